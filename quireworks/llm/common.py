@@ -13,6 +13,26 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Memo(dict):
+    """key -> make(key), of bounded size: when `size` keys are new, they become the old generation, and the former old one is dropped."""
+
+    def __init__(self, make, size: int, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
