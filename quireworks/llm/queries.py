@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 
 from .bpe import round_trip
+from .chat_format import CHAT_SQL, perspective_rows
 from .common import table
 from .exact_dedup import EXACT_SQL, exact_groups
+from .html_extract import main_texts
 from .language_id import identified
 from .mixing import MIX_SQL, mixture
 from .near_dedup import NEAR_SQL, near_groups
@@ -18,12 +20,14 @@ from .toxicity import scored
 TOKENIZER, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 
 QUERIES = {
+    "op1_html_extract": lambda spark, d: main_texts(table(spark, d, "pages")),
     "op2_token_files": lambda spark, d: token_digests(table(spark, d, "documents"), TOKENIZER, END_ID),
     "op3_near_dedup": lambda spark, d: near_groups(table(spark, d, "documents"), words=3, percent=85),
     "op4_quality_rules": lambda spark, d: judged(table(spark, d, "documents")).drop("rule"),
     "op5_toxicity": lambda spark, d: scored(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_language_id": lambda spark, d: identified(table(spark, d, "documents")),
     "op7_exact_dedup": lambda spark, d: exact_groups(table(spark, d, "documents")),
+    "op8_chat_format": lambda spark, d: perspective_rows(table(spark, d, "conversations")),
     "op9_source_mixing": lambda spark, d: mixture(table(spark, d, "documents")),
     "op10_bpe_round_trip": lambda spark, d: round_trip(table(spark, d, "documents"), TOKENIZER),
 }
@@ -31,5 +35,6 @@ ORACLES = {
     "op3_near_dedup": NEAR_SQL,
     "op4_quality_rules": QUALITY_SQL,
     "op7_exact_dedup": EXACT_SQL,
+    "op8_chat_format": CHAT_SQL,
     "op9_source_mixing": MIX_SQL,
 }
