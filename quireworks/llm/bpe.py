@@ -20,24 +20,20 @@ import codecs
 import hashlib
 import heapq
 import json
-import re
 import struct
-import sys
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import Memo, cut_at_spaces, text_of
 
-#: Entries of a worker's memo of pieces; when full, it starts anew.
+#: Entries in each of the two generations of a worker's two memos, of pieces and of pre-tokens: about 100 bytes an entry.
 MEMO = 500_000
 #: Pieces of a text that are looked up before the hashes are fed.
 PART = 8192
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r" \s|\s ")
 # Fixed value: the public pre-token pattern of this family of vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -194,11 +190,20 @@ class Transducer:
         return out[::-1]
 
 
-def _numbers(data: bytes) -> list[int]:
-    out = array("I", data)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tolist()
+class Table:
+    """Byte strings by number; gathers those of many numbers at once."""
+
+    def __init__(self, values: dict[int, bytes]):
+        self.size = np.zeros(max(values) + 1, np.int64)
+        for i, v in values.items():
+            self.size[i] = len(v)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(values.get(i, b"") for i in range(len(self.size))), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[ids] - ends + size, size)].tobytes()
 
 
 class Encoder:
@@ -207,68 +212,54 @@ class Encoder:
     def __init__(self, file: bytes):
         self.model = Model(file)
         self.transducer = Transducer(self.model)
-        self.words: dict[str, bytes] = {}
-        self.names = {i: str(i) for i in self.model.bytes_of}
-        encoder = self
-
-        class Memo(dict):
-            def __missing__(self, piece: str) -> bytes:
-                found = encoder.ids(" " + piece)
-                if len(piece) < 64:
-                    if len(self) >= MEMO:
-                        self.clear()
-                    self[piece] = found
-                return found
-
-        self.memo = Memo()
-
-    def word(self, text: str) -> bytes:
+        self.names = Table({i: b"%d," % i for i in self.model.bytes_of})
+        self.spelling = Table(self.model.bytes_of)
+        self.words = Memo(self._word, MEMO)
+        self.memo = Memo(lambda piece: self.ids(" " + piece), MEMO)
+
+    def _word(self, text: str) -> bytes:
         """One pre-token."""
-        found = self.words.get(text)
-        if found is None:
-            data, machine = text.encode("utf-8", "surrogatepass"), self.transducer
-            ids = encode_short(self.model, data) if len(data) <= self.model.lookahead else machine.feed(data) + machine.finish()
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(text) < 64:
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                self.words[text] = found
-        return found
+        data, machine = text.encode("utf-8", "surrogatepass"), self.transducer
+        ids = encode_short(self.model, data) if len(data) <= self.model.lookahead else machine.feed(data) + machine.finish()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         model, out = self.model, []
-        if "<" not in text and not any(s in text for s in model.special):
-            return b"".join(map(self.word, PATTERN.findall(text)))
+        for name in model.special:
+            if name in text:
+                break
+        else:
+            return b"".join(map(self.words.__getitem__, PATTERN.findall(text)))
         for part in model.special_re.split(text) if model.special_re else [text]:
             if part in model.special:
                 out.append(struct.pack("<I", model.special[part]))
             else:
-                out += [self.word(found[0]) for found in PATTERN.finditer(part)]
+                out += [self.words[found[0]] for found in PATTERN.finditer(part)]
         return b"".join(out)
 
-    def parts(self, text: str) -> Iterator[list[int]]:
-        """The text's ids, in lists: of its first piece, then of PART pieces each."""
+    def parts(self, text: str) -> Iterator[np.ndarray]:
+        """The text's ids, in arrays: of its first piece, then of PART pieces each."""
         if not text:
             return
-        cut = _CUT.split(text) if _UNSAFE.search(text) or text[0] == " " or text[-1] == " " else text.split(" ")
+        cut = cut_at_spaces(text)
         memo = self.memo
-        yield _numbers(self.ids(cut[0]))
+        yield np.frombuffer(self.ids(cut[0]), "<u4")
         for at in range(1, len(cut), PART):
-            yield _numbers(b"".join(map(memo.__getitem__, cut[at : at + PART])))
+            yield np.frombuffer(b"".join(map(memo.__getitem__, cut[at : at + PART])), "<u4")
 
 
 def encode_text(encoder: Encoder, text: str) -> list[int]:
-    return [i for part in encoder.parts(text) for i in part]
+    return [i for part in encoder.parts(text) for i in part.tolist()]
 
 
 class Decoder:
     """Ids -> text, fed in parts: the state is the bytes of a character that is not complete. What is not UTF-8 becomes U+FFFD."""
 
-    def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of, self.machine = bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, spelling: Table):
+        self.spelling, self.machine = spelling, codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
-        return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+    def feed(self, ids) -> str:
+        return self.machine.decode(self.spelling(np.asarray(ids, np.int64)))
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
@@ -303,7 +294,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             ids, texts = [], []
             for text in batch.column(1).to_pylist():
                 ids.append(encode_text(encoder, text))
-                decoder = Decoder(encoder.model.bytes_of)
+                decoder = Decoder(encoder.spelling)
                 texts.append("".join([*(decoder.feed(ids[-1][i : i + PART]) for i in range(0, len(ids[-1]), PART)), decoder.finish()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
@@ -326,9 +317,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(encoder: Encoder, text: str) -> tuple[int, str, str]:
-    n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(encoder.model.bytes_of)
+    n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(encoder.spelling)
     for ids in encoder.parts(text):
-        of_ids.update((("," if n else "") + ",".join(map(encoder.names.__getitem__, ids))).encode())
+        if len(ids):
+            of_ids.update((b"," if n else b"") + encoder.names(ids)[:-1])
         n += len(ids)
         of_text.update(decoder.feed(ids).encode())
     of_text.update(decoder.finish().encode())

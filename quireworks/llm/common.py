@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,6 +34,20 @@ class Memo(dict):
         return found
 
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """The pieces of text between single spaces that have no white space beside them: there, byte-level patterns always end a pre-token."""
+    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
+        return _CUT.split(text)
+    for c in _RARE_SPACES:
+        if c in text:
+            return _CUT.split(text)
+    return text.split(" ")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
