@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, text_of
+from .common import cut_at_spaces, scratch, text_of
 
 BLOCK = 256
 PERCENTILE = 0.95
 SEGMENT = 1 << 18
 MAGIC = b"PFOR1"
-#: Entries of a worker's memo of pieces; when full, it starts anew.
-MEMO = 300_000
+#: Entries in each of the two generations of a worker's memo of pieces.
+MEMO = 700_000
 PART = 8192
 
 
@@ -51,6 +51,31 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
+def _squeezed(values: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits of rows of BLOCK values as rows of BLOCK * w / 8 bytes. 64 values fill w words of 64 bits; each step handles one place of all."""
+    v = np.ascontiguousarray(values.reshape(-1, 64).T, np.uint64) & np.uint64((1 << w) - 1)
+    out = np.zeros((w, v.shape[1]), np.uint64)
+    for i in range(64):
+        word, at = divmod(i * w, 64)
+        out[word] |= v[i] << np.uint64(at)
+        if at + w > 64:
+            out[word + 1] |= v[i] >> np.uint64(64 - at)
+    return np.ascontiguousarray(out.T).astype("<u8").view(np.uint8).reshape(len(values), -1)
+
+
+def _spread(data: np.ndarray, w: int) -> np.ndarray:
+    """The values of _squeezed()."""
+    words = np.ascontiguousarray(np.ascontiguousarray(data).view("<u8").reshape(-1, w).T).astype(np.uint64)
+    out, mask = np.empty((64, words.shape[1]), np.uint32), np.uint64((1 << w) - 1)
+    for i in range(64):
+        word, at = divmod(i * w, 64)
+        v = words[word] >> np.uint64(at)
+        if at + w > 64:
+            v |= words[word + 1] << np.uint64(64 - at)
+        out[i] = v & mask
+    return out.T.reshape(len(data), BLOCK)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """The bytes of one segment."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
@@ -75,9 +100,7 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = np.unpackbits(rest[rows].view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
-            for r, p in zip(rows, packed, strict=True):
+            for r, p in zip(rows, _squeezed(rest[rows], int(w)), strict=True):
                 parts[r] = p.tobytes()
     if sizes[-1] < BLOCK:
         parts[-1] = parts[-1][: -(-int(sizes[-1]) * int(width[-1]) // 8)]
@@ -109,10 +132,7 @@ def _blocks(data: bytes, which: np.ndarray) -> np.ndarray:
             continue
         rows = np.flatnonzero(width[which] == w)
         take = body + starts[which[rows]].astype(np.int64)[:, None] + np.arange(BLOCK * int(w) // 8)
-        bits = np.unpackbits(raw[take], axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-        wide = np.zeros((len(rows), BLOCK, 32), np.uint8)
-        wide[:, :, : int(w)] = bits
-        out[rows] = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        out[rows] = _spread(raw[take], int(w))
     if len(places):
         row_of = np.full(len(starts), -1)
         row_of[which] = np.arange(len(which))
@@ -146,37 +166,77 @@ read_range = _unpack_range
 
 class Pieces:
     """Text -> ids as little-endian u32, by the tokenizers library. Texts are cut at single spaces between characters that are no
-    white space, where the byte-level pattern always ends a pre-token; the library encodes each new piece, and a bounded memo keeps its ids."""
+    white space, where the byte-level pattern always ends a pre-token; the library encodes the new pieces of a text in one string, whose ids are
+    dealt out by the tokens' lengths in bytes, and a bounded memo keeps them."""
 
     def __init__(self, file: bytes):
-        import re
+        import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut, self.unsafe = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s ")
+        self.points = {c: self._library(c).tobytes() for c in ",."}
+        data = json.loads(file)
+        sizes = {i: len(w) for w, i in data["model"]["vocab"].items()} | {t["id"]: len(t["content"].encode()) for t in data["added_tokens"]}
+        #: Bytes of each token: the vocabulary spells a byte as one character.
+        self.length = np.zeros(max(sizes) + 1, np.int64)
+        self.length[list(sizes)] = list(sizes.values())
         self.memo: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.old: dict[str, bytes] = {}
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of new pieces, each with the space before it."""
+        ids = self._library(" " + " ".join(pieces))
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        at = np.searchsorted(np.cumsum(self.length[ids]), ends, "left") + 1
+        raw, begin, out = ids.tobytes(), 0, []
+        for end in (4 * at).tolist():
+            out.append(raw[begin:end])
+            begin = end
+        return out
+
+    def _part(self, part: list[str]) -> bytes:
+        found = list(map(self.memo.get, part))
+        if None in found:
+            gone = [i for i, x in enumerate(found) if x is None]
+            known: dict[str, bytes] = {}
+            new: dict[str, None] = {}
+            points: dict[str, str] = {}  # a word and a point, which the pattern always parts: the ids of both
+            for i in gone:
+                name = part[i]
+                x = self.old.get(name)
+                if x is not None:
+                    known[name] = x
+                elif name[-1] in ",." and name[:-1].isalpha() and max(name) < "\u0250":
+                    word = points[name] = name[:-1]
+                    x = self.memo.get(word) or self.old.get(word)
+                    if x is None:
+                        new[word] = None
+                    else:
+                        known[word] = x
+                else:
+                    new[name] = None
+            if new:
+                known.update(zip(new, self._learn(list(new)), strict=True))
+            for name, word in points.items():
+                known[name] = known[word] + self.points[name[-1]]
+            for i in gone:
+                found[i] = known[part[i]]
+            self.memo.update((p, x) for p, x in known.items() if len(p) < 64)
+            if len(self.memo) >= MEMO:
+                self.memo, self.old = {}, self.memo
+        return b"".join(found)
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        cut = self.cut.split(text) if self.unsafe.search(text) or text[0] == " " or text[-1] == " " else text.split(" ")
-        out = self._library(cut[:1])
-        memo = self.memo
-        for at in range(1, len(cut), PART):
-            part = cut[at : at + PART]
-            if new := [p for p in set(part) if p not in memo]:
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list(set(part))
-                memo.update(zip(new, self._library([" " + p for p in new]), strict=True))
-            out.append(b"".join(map(memo.__getitem__, part)))
-        return b"".join(out)
+        cut = cut_at_spaces(text)
+        return b"".join([self._library(cut[0]).tobytes(), *(self._part(cut[at : at + PART]) for at in range(1, len(cut), PART))])
 
 
 _PIECES: dict[int, Pieces] = {}
@@ -203,12 +263,12 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     end = struct.pack("<I", end_id)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        pieces, part, seq = _pieces(file.value), TaskContext.get().partitionId(), 0
+        pieces, part, before = _pieces(file.value), TaskContext.get().partitionId(), 0
         names, sizes, parts, total = [], [], [], 0
 
         def segment():
             ids = np.frombuffer(b"".join(parts), "<u4")
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "doc_ids": pa.array([names], pa.list_(kind)), "n_ids": pa.array([sizes], pa.list_(pa.int64())), "segment": pa.array([pack(ids)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "within": pa.array([before], pa.int64()), "doc_ids": pa.array([names], pa.list_(kind)), "n_ids": pa.array([sizes], pa.list_(pa.int64())), "segment": pa.array([pack(ids)], pa.binary())})
 
         kind = None
         for batch in batches:
@@ -221,12 +281,13 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
                 total += size
                 if total >= SEGMENT:
                     yield segment()
-                    names, sizes, parts, total, seq = [], [], [], 0, seq + 1
+                    before += total
+                    names, sizes, parts, total = [], [], [], 0
         if names:
             yield segment()
 
     ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, f"part int, seq int, doc_ids array<{key}>, n_ids array<bigint>, segment binary").write.parquet(path)
+    ordered.mapInArrow(run, f"part int, within bigint, doc_ids array<{key}>, n_ids array<bigint>, segment binary").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -247,16 +308,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """doc_ids, n_ids, segment, before: the ids of all segments before it. Running totals are taken inside a part,
-    and over the parts, whose number is that of the writing tasks."""
+    """doc_ids, n_ids, segment, before: the ids of all segments before it. A segment carries the ids before it in its part; those before the part are
+    summed over the parts. Their table, two numbers for each task that wrote, is broadcast."""
     rows = spark.read.parquet(path)
-    totals = rows.select("part", "seq", F.aggregate("n_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
-    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inside = totals.withColumn("within", F.coalesce(F.sum("n").over(up_to(Window.partitionBy("part").orderBy("seq"))), F.lit(0)))
-    parts = totals.groupBy("part").agg(F.sum("n").alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(up_to(Window.orderBy("part"))), F.lit(0)).alias("ahead"))
-    starts = inside.join(parts, "part").select("part", "seq", (F.col("ahead") + F.col("within")).alias("before"))
-    return rows.join(starts, ["part", "seq"]).select("doc_ids", "n_ids", "segment", "before")
+    ends = rows.select("part", (F.col("within") + F.aggregate("n_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ends.groupBy("part").agg(F.max("n").alias("n")).select("part", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    return rows.join(F.broadcast(parts), "part").select("doc_ids", "n_ids", "segment", (F.col("ahead") + F.col("within")).alias("before"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
