@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import Memo, cut_at_spaces, text_of
 
@@ -286,7 +287,7 @@ def encoder_of(broadcast) -> Encoder:
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int), decoded (string) for each row of docs (doc_id, text)."""
     file = _file(docs, path)
-    schema = docs.select("doc_id").schema.add("ids", "array<int>").add("decoded", "string")
+    schema = docs.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches):
         encoder = encoder_of(file)

@@ -44,6 +44,11 @@ def _groups(parts: DataFrame, *key: str) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    return _decided(docs).drop("n_chars")
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """exact_groups() with n_chars, the row's own length."""
     narrow = stored(_keyed(docs).drop("norm"), "exact-rows")
     best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").alias("keep_id"))
     parts = narrow.groupBy("k", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
@@ -72,20 +77,23 @@ def _collisions(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _result(rows: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("keep.keep_id")) & (F.col("n_chars") == -F.col("keep.less"))
-    return rows.select("doc_id", F.col("keep.keep_id").alias("keep_id"), "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.select("doc_id", F.col("keep.keep_id").alias("keep_id"), "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups() does not keep, all columns kept. Of rows repeated with one id in a group, one stays."""
-    found = exact_groups(docs)
-    twice = found.where("kept AND group_size > 1").groupBy("text_sha256", "doc_id").count().where("count > 1")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
-    if twice.isEmpty():
-        return out
-    ids = twice.select(F.col("doc_id").alias("twice_id")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("twice_id"))
-    return out.join(ids, same, "left_anti").unionByName(out.join(ids, same, "left_semi").dropDuplicates(["doc_id"]))
+    found = _decided(docs)
+    same = ["exact_id", "exact_sha256"]
+    keys = found.select("kept", "group_size", F.col("doc_id").alias("exact_id"), F.col("text_sha256").alias("exact_sha256"), F.col("n_chars").alias("exact_chars"))
+    rows = docs.withColumns({"own_sha256": F.sha2(normal_form(text_of()), 256), "own_chars": F.char_length(text_of()).cast("long")})
+    own = F.col("doc_id").eqNullSafe(F.col("exact_id")) & (F.col("own_sha256") == F.col("exact_sha256"))
+    gone = keys.where("NOT kept").drop("kept", "group_size")
+    out = rows.join(gone, own & (F.col("own_chars") == F.col("exact_chars")), "left_anti")
+    twice = keys.where("kept AND group_size > 1").groupBy(*same).count().where("count > 1").select(*same)
+    if not twice.isEmpty():
+        one = out.join(twice, own, "left_semi").dropDuplicates(["doc_id", "own_sha256"])
+        out = out.join(twice, own, "left_anti").unionByName(one)
+    return out.select(*docs.columns)
 
 
 EXACT_SQL = r"""
