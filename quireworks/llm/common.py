@@ -34,6 +34,17 @@ class Memo(dict):
         return found
 
 
+_KEPT: dict = {}
+
+
+def worker_cache(key, make):
+    """What a worker process keeps from task to task: one thing at a time, so that operators that follow each other do not add up in its memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, stored, text_of
+from .common import Memo, stored, text_of, worker_cache
 
 #: Shingle length and similarity in percent, where a contract does not say otherwise.
 WORDS, PERCENT = 5, 80
@@ -43,8 +43,10 @@ MISS = 1e-5
 #: Members of a cell that one task compares at once.
 BLOCK = 512
 SALTS = 64
+#: Parts that a center's edges are spread over when they meet the size of its cell.
+PARTS = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-MEMO = 500_000
+MEMO = 200_000
 
 
 def rows_of(percent: int) -> int:
@@ -56,7 +58,10 @@ def rows_of(percent: int) -> int:
 # --- sets and signatures ----------------------------------------------------------------------------------------
 
 
-_HASHES = Memo(xxhash.xxh3_64_intdigest, MEMO)
+def _hashes() -> Memo:
+    return worker_cache("words", lambda: Memo(xxhash.xxh3_64_intdigest, MEMO))
+
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -71,7 +76,7 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(_hashes().__getitem__, found), np.uint64, len(found))
     size = min(words, len(h))
     total = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
@@ -132,22 +137,28 @@ def _signed(docs: DataFrame, words: int, rows: int) -> DataFrame:
 # --- candidates -------------------------------------------------------------------------------------------------
 
 
+def _growing(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is merged by sort at every size, never broadcast."""
+    return side.hint("merge")
+
+
 def _stars(reps: DataFrame) -> DataFrame:
     """reps: rep, bands. The distinct candidate edges (center, rep) of all buckets."""
     rows = reps.select("rep", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rows.join(shared, "key"), "near-buckets")
+    members = stored(rows.join(_growing(shared), "key"), "near-buckets")
     mates = members.groupBy("rep").agg(F.sum("n").alias("mates"))
-    scored = members.select("key", "rep").join(mates, "rep")
+    scored = members.select("key", "rep").join(_growing(mates), "rep")
     best = scored.groupBy("key").agg(F.max(F.struct("mates", (-F.col("rep")).alias("id"))).alias("best"))
     centers = best.select("key", (-F.col("best.id")).alias("center"))
-    return members.select("key", "rep").join(centers, "key").where("center != rep").select("center", "rep").distinct()
+    return members.select("key", "rep").join(_growing(centers), "key").where("center != rep").select("center", "rep").distinct()
 
 
 def _cells(edges: DataFrame) -> DataFrame:
     """edges: center, rep. One row for each place of a document in a block of a cell: rep, center, block, blocks. A center is in all blocks of its cell."""
     sizes = edges.groupBy("center").agg(F.count(F.lit(1)).alias("n")).select("center", (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
-    members = edges.join(sizes, "center").select("rep", "center", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks")
+    salted = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    members = edges.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PARTS)).cast("int")).join(_growing(salted), ["center", "part"]).select("rep", "center", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks")
     return members.unionByName(sizes.select(F.col("center").alias("rep"), "center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks"))
 
 
@@ -155,7 +166,7 @@ def _with_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
     """places: rep and any columns. The same rows with `shingles`, the document's set as bytes. Each set is made once, for all places of its document."""
     columns = [c for c in places.columns if c != "rep"]
     of_rep = places.groupBy("rep").agg(F.collect_list(F.struct(*columns)).alias("places"))
-    joined = docs.select("doc_id", text_of().alias("text")).join(of_rep, F.col("doc_id") == F.col("rep")).select("rep", "places", "text")
+    joined = docs.select("doc_id", text_of().alias("text")).join(_growing(of_rep), F.col("doc_id") == F.col("rep")).select("rep", "places", "text")
     schema = places.select("rep", *columns).schema.add("shingles", "binary")
     kinds = [places.schema[c].dataType.simpleString() for c in columns]
     of_kind = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
@@ -262,35 +273,41 @@ def _links(docs: DataFrame, edges: DataFrame, words: int, percent: int) -> DataF
             found = [link for x in sets if x[0] == center for link in comparison.star(x, members)]
             rest = [x for x in members if comparison.root(x[0]) != comparison.root(center)]
             found += comparison.against(rest, members) if len(members) > 1 else []
-            left = [x[0] for x in rest if comparison.root(x[0]) != comparison.root(center)] if blocks > 1 else []
-            n = len(found) + len(left)
-            if n:
-                yield pa.RecordBatch.from_pydict({"center": pa.array([center] * n, pa.int64()), "block": pa.array([block] * n, pa.int32()), "a": pa.array([a for a, _ in found] + left, pa.int64()), "b": pa.array([b for _, b in found] + [None] * len(left), pa.int64())})
+            n, here = len(found), members if blocks > 1 else []
+            open_ = {x[0] for x in rest if comparison.root(x[0]) != comparison.root(center)}
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "center": pa.array([center] * (n + len(here)), pa.int64()), "block": pa.array([block] * (n + len(here)), pa.int32()), "blocks": pa.array([blocks] * (n + len(here)), pa.int32()),
+                    "a": pa.array([a for a, _ in found] + [x[0] for x in here], pa.int64()), "b": pa.array([b for _, b in found] + [None] * len(here), pa.int64()),
+                    "open": pa.array([None] * n + [x[0] in open_ for x in here], pa.bool_()), "shingles": pa.array([None] * n + [x[1].tobytes() for x in here], pa.binary()),
+                }
+            )
 
     dealt = placed.repartition("center", "block").sortWithinPartitions("center", "block", "blocks")
-    first = stored(dealt.mapInArrow(inside, "center long, block int, a long, b long"), "near-links")
-    links, open_ = first.where("b IS NOT NULL").select("a", "b"), first.where("b IS NULL")
-    if open_.isEmpty():
+    first = stored(dealt.mapInArrow(inside, "center long, block int, blocks int, a long, b long, open boolean, shingles binary"), "near-links")
+    links, members = first.where("b IS NOT NULL").select("a", "b"), first.where("b IS NULL").select("center", "block", "blocks", F.col("a").alias("rep"), "open", "shingles")
+    if members.where("open").isEmpty():
         return links
-    return links.unionByName(stored(_across(docs, edges, open_, words, percent), "near-links-across"))
+    return links.unionByName(stored(_across(members, percent), "near-links-across"))
 
 
-def _across(docs: DataFrame, edges: DataFrame, open_: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of the members that no link of their block joins to the center, with the cell's other blocks. Queries and members meet in pairs of blocks."""
-    asked = open_.groupBy("center").agg(F.count(F.lit(1)).alias("n")).select("center", (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int").alias("q_blocks"))
-    cells = _cells(edges).where("blocks > 1").join(asked, "center")
-    each_q = F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block")
-    members = cells.where("rep != center").select("rep", "center", "block", each_q, F.lit(False).alias("query"))
-    queries = open_.select(F.col("a").alias("rep"), "center").join(cells.where("rep = center").groupBy("center").agg(F.max("blocks").alias("blocks"), F.max("q_blocks").alias("q_blocks")), "center")
-    queries = queries.select("rep", "center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep"), "q_blocks").cast("int").alias("q_block"), F.lit(True).alias("query"))
-    placed = _with_sets(docs, members.unionByName(queries), words).select("center", "block", "q_block", "query", "rep", "shingles")
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """members: those of cells of several blocks. Links of the open ones, which no link of their block joins to the center, with the cell's other blocks.
+    Queries and members meet in pairs of blocks."""
+    asked = members.where("open").groupBy("center").agg(F.count(F.lit(1)).alias("n")).select("center", (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int").alias("q_blocks"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = members.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PARTS)).cast("int")).join(_growing(asked), ["center", "part"])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sought = rows.select("center", "block", each("q_blocks").alias("q_block"), F.lit(False).alias("query"), "rep", "shingles")
+    queries = rows.where("open").select("center", each("blocks").alias("block"), F.pmod(F.xxhash64("rep", F.lit(2)), "q_blocks").cast("int").alias("q_block"), F.lit(True).alias("query"), "rep", "shingles")
 
     def between(batches):
-        for _, rows in _grouped(batches, 3):
-            sets = [(query, (rep, np.frombuffer(data, np.uint64))) for query, rep, data in rows]
-            found = Comparison(percent).against([x for q, x in sets if q], [x for q, x in sets if not q])
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        for _, found in _grouped(batches, 3):
+            sets = [(query, (rep, np.frombuffer(data, np.uint64))) for query, rep, data in found]
+            links = Comparison(percent).against([x for q, x in sets if q], [x for q, x in sets if not q])
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
+    placed = sought.unionByName(queries)
     return placed.repartition("center", "block", "q_block").sortWithinPartitions("center", "block", "q_block").mapInArrow(between, "a long, b long")
 
 
@@ -323,19 +340,21 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     parts = some.groupBy("digest", salt).agg(F.min("doc_id").alias("least"))
     whole = parts.groupBy("digest").agg(F.min("least").alias("rep"))
     classes = stored(parts.select("digest", "salt").join(whole, "digest"), "near-classes")
-    reps = some.join(classes.select("digest", "rep").distinct().withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("rep", "bands")
+    reps = some.join(_growing(classes.select("digest", "rep").distinct().withColumnRenamed("digest", "of")), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("rep", "bands")
     edges = stored(_stars(reps), "near-edges")
     found = components(_links(docs.withColumn("doc_id", F.col("doc_id").cast("long")), edges, words, percent))
     labelled = classes.join(found, F.col("rep") == F.col("id"), "left").select("digest", F.col("salt").alias("in"), F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest", salt).withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
-    out = out.join(labelled.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("in")), "left")
+    out = out.join(_growing(labelled.withColumnRenamed("digest", "of")), (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("in")), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, all columns kept."""
-    gone = near_groups(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    """docs with one document of each component, all columns kept. Rows that share an id with a kept row stay with it."""
+    found = stored(near_groups(docs, words, percent).select("doc_id", "kept"), "near-found")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = gone.join(found.where("kept").select(F.col("doc_id").alias("gone_id")), "gone_id", "left_anti")
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
