@@ -24,15 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, stored, text_of
+from .near_dedup import shingle_set
 
 LABELLED = 40_000
 MINED = 64
 #: A mined voter marks at least so many labelled toxic texts.
-SUPPORT = 4
+SUPPORT = 6
+#: And has at least this log likelihood ratio: among millions of terms, chance alone reaches lower ones.
+TELLING = 15.0
 LABEL_ACCURACY = 0.9
 ROUNDS = 25
 CUT = 0.3
-MEMO = 500_000
+MEMO = 200_000
+#: Terms that a task counts before it hands the counts on.
+TERMS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7, 8)
 # Insults and abuse that vote wherever they occur.
@@ -98,7 +103,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most / n))
     ids = F.broadcast(known.withColumnRenamed("doc_id", "of"))  # about `most` rows of two numbers
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("of")).select(text_of().alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    return stored(rows, "toxic-sample")
+    return stored(_apart(rows), "toxic-sample")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows of the sample without near copies of others, which would pass the chance words of one text off as marks: of rows with one of
+    three least shingle hashes in common, one stays."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), 3) for t in batch.column(0)]
+            least = [pa.array([int((s * np.uint64(odd)).min()) >> 1 if len(s) else 0 for s in sets], pa.int64()) for odd in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *least], ["text", "toxic", "a", "b", "c"])
+
+    rows = rows.mapInArrow(run, "text string, toxic int, a long, b long, c long")
+    for key in ("a", "b", "c"):
+        rows = rows.groupBy(F.col(key).alias("key")).agg(F.max(F.struct("toxic", "text", "a", "b", "c")).alias("row")).select("row.*")
+    return rows.select("text", "toxic")
 
 
 def mine(sample: DataFrame, most: int = MINED) -> list[str]:
@@ -117,7 +138,7 @@ def mine(sample: DataFrame, most: int = MINED) -> list[str]:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 terms = {t for w in set(LETTERS.findall(text.as_py().lower())) for t in terms_of(w)}
                 count[toxic > 0].update(terms)
-                if len(count[0]) + len(count[1]) > MEMO:
+                if len(count[0]) + len(count[1]) > TERMS:
                     yield from flush()
         yield from flush()
 
@@ -129,10 +150,12 @@ def mine(sample: DataFrame, most: int = MINED) -> list[str]:
     p, p0, p1 = (F.col("a") + F.col("b")) / (n0 + n1), F.col("a") / n0, F.col("b") / n1
     part = lambda x, q: F.when(x > 0, x * F.log(F.when(x > 0, x) / q)).otherwise(0.0)
     ratio = n0 * (part(p0, p) + part(1 - p0, 1 - p)) + n1 * (part(p1, p) + part(1 - p1, 1 - p))
-    best = found.where((F.col("b") >= max(SUPPORT, 0.002 * n1)) & (p1 > 4 * p0)).select("term", ratio.alias("ratio"))
-    rows = best.orderBy(F.col("ratio").desc(), F.length("term"), "term").limit(40 * most).collect()
+    best = found.where((F.col("b") >= max(SUPPORT, 0.005 * n1)) & (p1 > 4 * p0)).select("term", ratio.alias("ratio"))
+    rows = best.where(F.col("ratio") >= TELLING).orderBy(F.col("ratio").desc(), F.length("term"), "term").limit(40 * most).collect()
     out: list[str] = []
     for r in rows:
+        if any(w.startswith(r.term.rstrip()) for w in LEXICON):
+            continue
         if not any(r.term.startswith(t) or t.startswith(r.term) or t.rstrip().startswith(r.term.rstrip()) for t in out):
             out.append(r.term)
     return out[:most]
@@ -150,8 +173,8 @@ def label_model(votes: np.ndarray, given: np.ndarray) -> np.ndarray:
         shared = np.clip((left.T @ left) / len(votes) / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(shared, 0)
         discount = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(0))
-        yes, no = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = np.log(prior / (1 - prior)) + (votes * yes + (1 - votes) * no) @ discount + np.where(given > 0, sure, -sure)
+        # A voter that does not vote abstains: its silence says nothing, as most know one language only.
+        logit = np.log(prior / (1 - prior)) + votes @ (np.log(rate[1] / rate[0]) * discount) + np.where(given > 0, sure, -sure)
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         prior = np.clip(q.mean(), 0.01, 0.99)
     return q
