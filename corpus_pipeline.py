@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quireworks.llm.bpe import round_trip
-from quireworks.llm.common import scratch
+from quireworks.llm.common import scratch, ship
 from quireworks.llm.exact_dedup import drop_copies
 from quireworks.llm.mixing import mixed_documents
 from quireworks.llm.near_dedup import drop_near_copies
@@ -19,6 +19,7 @@ from quireworks.llm.queries import TOKENIZER
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    ship(spark)
     return good_documents(docs)
 
 
@@ -29,6 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
     return drop_near_copies(docs)
 
 
@@ -39,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    ship(spark)
     return round_trip(docs, TOKENIZER)
 
 
