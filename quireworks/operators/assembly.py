@@ -49,6 +49,18 @@ def book_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows, toc, text])
 
 
+def resolved_paths(wanted: DataFrame, project_files: DataFrame, shared_files: DataFrame) -> DataFrame:
+    """wanted: project, path. Where each path is found: in the project, else among the shared files, else nowhere (null)."""
+    own = project_files.select("project", "path").distinct().withColumn("own", F.concat("project", F.lit("/"), "path"))
+    shared = shared_files.select("path").distinct().withColumn("shared", F.col("path"))
+    return wanted.join(own, ["project", "path"], "left").join(shared, "path", "left").select("project", "path", F.coalesce("own", "shared").alias("found"))
+
+
+def art_sizes(art: DataFrame, width_inches: float = 6.0, print_width: int = 1800) -> DataFrame:
+    """art: project, width in pixels. Dots per inch over the full page, and the share of the print's width."""
+    return art.select("project", F.round(F.col("width") / width_inches, 1).alias("dpi"), F.round(F.col("width") / print_width, 3).alias("ratio"))
+
+
 # --- state ---------------------------------------------------------------------------------------------------------
 
 

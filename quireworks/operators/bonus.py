@@ -60,3 +60,10 @@ def field_boxes(boxes: DataFrame) -> DataFrame:
     """Boxes in pixels from the top to points from the bottom: boxes have project, page_height, left, top, width, height."""
     pt = lambda c: F.col(c) * 0.75
     return boxes.select("project", pt("left").alias("x"), (pt("page_height") - pt("top") - pt("height")).alias("y"), pt("width").alias("width"), pt("height").alias("height"))
+
+
+def content_lines(files: DataFrame, least: int = 15) -> DataFrame:
+    """files: file_id, text. Lines with a bonus file's own words: headings, list marks and short lines left out."""
+    rows = files.select("file_id", F.posexplode(F.transform(F.split("text", "\n"), T.trim)).alias("line_id", "line"))
+    bare = T.sub(T.sub(F.col("line"), rf"^[0-9]+[.)]{P.SPACE}+", ""), rf"^[-*]{P.SPACE}+", "")
+    return rows.where((F.col("line") != "") & ~F.startswith("line", F.lit("#"))).select("file_id", "line_id", bare.alias("line")).where(F.length("line") >= least)

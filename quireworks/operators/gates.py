@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from .joins import broken_targets, contained_lines, not_contained
 
 # The gates in their order.
 GATES = (
@@ -108,6 +109,64 @@ def metadata(rows: DataFrame) -> DataFrame:
     return _row(rows, "metadata", status(F.coalesce(good, F.lit(False))), F.col("title"))
 
 
+@register("fonts-embedded")
+def fonts(rows: DataFrame) -> DataFrame:
+    """rows: project, font, has_file, substituted."""
+    bad = F.count_if(~F.col("has_file") | F.col("substituted"))
+    return _row(rows.groupBy("project").agg(bad.alias("bad"), F.count_distinct("font").alias("n")), "fonts-embedded", status(F.col("bad") == 0, F.col("n") == 0), F.col("bad"))
+
+
+@register("text-coverage")
+def text_coverage(totals: DataFrame) -> DataFrame:
+    """totals: joins.coverage()."""
+    return _row(totals, "text-coverage", status(F.col("passes"), F.col("total") == 0), F.round("coverage", 4))
+
+
+@register("min-font-size")
+def min_font_size(styles: DataFrame, least: float = 9.5) -> DataFrame:
+    """styles: project, css."""
+    points = T.style_points(F.col("css"), "font-size-body")
+    return _row(styles, "min-font-size", status(points >= least, points.isNull()), points)
+
+
+@register("contrast")
+def contrast(colours: DataFrame, least: float = 4.5) -> DataFrame:
+    """colours: project, text, ground (#rrggbb)."""
+    ratio = T.contrast(F.col("text"), F.col("ground"))
+    return _row(colours, "contrast", status(ratio >= least), F.round(ratio, 2))
+
+
+@register("outline-toc")
+def outline_toc(titles: DataFrame, outline: DataFrame, targets: DataFrame, ids: DataFrame) -> DataFrame:
+    """titles: project, id, title; outline: project, title; targets, ids: project, target. A project without an outline fails."""
+    n = lambda df, name: df.groupBy("project").agg(F.count(F.lit(1)).alias(name))
+    rows = titles.select("project").distinct().join(n(outline, "there"), "project", "left").join(n(not_contained(titles, outline), "missing"), "project", "left").join(n(broken_targets(targets, ids), "broken"), "project", "left")
+    bad = F.coalesce("missing", F.lit(0)) + F.coalesce("broken", F.lit(0))
+    return _row(rows, "outline-toc", status(F.col("there").isNotNull() & (bad == 0)), bad)
+
+
+@register("no-bonus-in-body")
+def no_bonus(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """lines: project, line_id, line of bonus files; texts: project, text of the bodies. Projects without bonus lines are skipped."""
+    found = contained_lines(lines.select(F.struct("project", "line_id").alias("line_id"), "line"), texts.select(F.col("project").alias("text_id"), "text")).where("line_id.project = text_id")
+    leaks = found.distinct().groupBy(F.col("text_id").alias("project")).agg(F.count(F.lit(1)).alias("leaks"))
+    rows = texts.select("project").distinct().join(lines.groupBy("project").agg(F.count(F.lit(1)).alias("n")), "project", "left").join(leaks, "project", "left")
+    return _row(rows, "no-bonus-in-body", status(F.col("leaks").isNull(), F.col("n").isNull()), F.coalesce("leaks", F.lit(0)))
+
+
+def front_matter(pages: DataFrame) -> DataFrame:
+    """pages: project, page (from 0), classes. Pages before the first that opens a chapter; 0 where none does."""
+    first = F.min(F.when(F.array_contains("classes", "pagedjs_chapter-open_page"), F.col("page")))
+    return pages.groupBy("project").agg(F.coalesce(first, F.lit(0)).alias("front_matter"))
+
+
+def evidence(rows: DataFrame, most: int = 5) -> DataFrame:
+    """rows: project, item. The first items of each project, an ellipsis where there are more."""
+    every = F.array_sort(F.collect_list("item"))
+    text = F.concat(F.array_join(F.slice(F.col("every"), 1, most), ", "), F.when(F.size("every") > most, ", …").otherwise(""))
+    return rows.groupBy("project").agg(every.alias("every")).select("project", text.alias("evidence"))
+
+
 # --- folios ------------------------------------------------------------------------------------------------------
 
 
