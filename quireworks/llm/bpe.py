@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, cut_at_spaces, text_of
+from .common import Memo, cut_at_spaces, text_of, worker_cache
 
 #: Entries in each of the two generations of a worker's two memos, of pieces and of pre-tokens: about 100 bytes an entry.
-MEMO = 500_000
+MEMO = 300_000
 #: Pieces of a text that are looked up before the hashes are fed.
 PART = 8192
 # Fixed value: the public pre-token pattern of this family of vocabularies.
@@ -272,16 +272,10 @@ def _file(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder_of(broadcast) -> Encoder:
-    """One encoder for each worker process and file; its memo lives on over tasks."""
+    """One encoder for each worker process and file; its memos live on over tasks."""
     file = broadcast.value
-    key = hash(file)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(file)
-    return _ENCODERS[key]
+    return worker_cache(("bpe", hash(file)), lambda: Encoder(file))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

@@ -22,6 +22,7 @@ segment is closed once it has `SEGMENT` ids.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_at_spaces, scratch, text_of
+from .common import cut_at_spaces, scratch, text_of, worker_cache
 
 BLOCK = 256
 PERCENTILE = 0.95
 SEGMENT = 1 << 18
 MAGIC = b"PFOR1"
 #: Entries in each of the two generations of a worker's memo of pieces.
-MEMO = 700_000
+MEMO = 400_000
 PART = 8192
 
 
@@ -239,17 +240,9 @@ class Pieces:
         return b"".join([self._library(cut[0]).tobytes(), *(self._part(cut[at : at + PART]) for at in range(1, len(cut), PART))])
 
 
-_PIECES: dict[int, Pieces] = {}
-
-
 def _pieces(file: bytes) -> Pieces:
-    key = hash(file)
-    if key not in _PIECES:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _PIECES[key] = Pieces(file)
-    return _PIECES[key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return worker_cache(("pieces", hash(file)), lambda: Pieces(file))
 
 
 # --- files ------------------------------------------------------------------------------------------------------
