@@ -226,7 +226,8 @@ class Scorer:
 
     def _one(self, words: list[str]) -> tuple[str, float, bool]:
         model = self.model
-        if not words or not model.languages:
+        # The words' pattern lets numerals such as U+00B2 pass; they are no letters.
+        if not model.languages or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0, True
         total = self.rows[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
         n = total[-1]

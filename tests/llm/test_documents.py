@@ -266,6 +266,8 @@ def test_models_edges(spark, docs, rows, empty):
     by = {r.doc_id: r for r in found}
     assert by[0].lang_pred == by[1].lang_pred == by[4].lang_pred == "und" and by[0].score == 0
     assert {r.lang_pred for r in found} <= {"en", "fr", "und"}
+    odd = spark.createDataFrame([(1, "² ½ 12 _", "en", "s"), (2, "a the ship", "en", "s"), (3, "the", "en", "s"), (4, "² a", "en", "s")], SCHEMA)
+    assert [r.lang_pred for r in language_id.identified(odd).orderBy("doc_id").collect()] == ["und", "en", "en", "en"]
     assert language_id.identified(empty).count() == 0
     assert {r.lang_pred for r in language_id.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     labels = spark.createDataFrame([(3, 1, None), (None, 1, 1), (10, 1, 1), (10, 1, 0), (11, 0, 0), (11, 0, 0)], "doc_id long, quality int, toxic int")
