@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 #: Expected rows of the sample that orders the rules.
 SAMPLE_ROWS = 2000
 SYMBOLS = "#*$%&|<>"
@@ -111,6 +113,7 @@ def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     texts = docs.select("text").sample(False, min(1.0, sample_rows / max(n, 1)), seed=1)
 
     def run(batches):
+        worker_cache("quality", dict)  # lets go what an operator before this one kept
         spent, rejected = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
         for batch in batches:
             for text in batch.column(0):
@@ -159,6 +162,7 @@ def good_documents(docs: DataFrame, order: list[str] | None = None) -> DataFrame
     order, at = order or plan(docs), docs.columns.index("text")
 
     def run(batches):
+        worker_cache("quality", dict)
         for batch in batches:
             yield batch.filter(pa.array([first_rejection(Document(t.as_py()), order) is None for t in batch.column(at)], pa.bool_()))
 
