@@ -49,7 +49,7 @@ def front_matter(spark, d):
 
 
 def evidence(spark, d):
-    return gates.evidence(lift.table(spark, d, "part").select(F.col("p_brand").alias("project"), F.col("p_name").alias("item")).where("p_size > 40").distinct())
+    return gates.evidence(lift.table(spark, d, "part").select(F.col("p_brand").alias("project"), F.col("p_name").alias("item")).distinct())
 
 
 def report(spark, d):
@@ -128,7 +128,7 @@ UNION ALL SELECT source, 'outline-toc', CASE WHEN source <> 'src1' AND bad = 0 T
 UNION ALL SELECT l.lang, 'no-bonus-in-body', CASE WHEN l.lang NOT IN ('en', 'de', 'fr') THEN 'skipped' WHEN n IS NULL THEN 'pass' ELSE 'fail' END, coalesce(n, 0)::VARCHAR FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN lk USING (lang)
 UNION ALL SELECT project, 'text-coverage', CASE WHEN total = 0 THEN 'skipped' WHEN passes THEN 'pass' ELSE 'fail' END, round(coverage, 4)::VARCHAR FROM cv""",
     "front_matter": "SELECT user_id AS project, coalesce(min(event_id) FILTER (event_type = 'click' AND user_id % 3 > 0), 0) AS front_matter FROM events GROUP BY user_id",
-    "evidence": "WITH p AS (SELECT p_brand AS project, list(DISTINCT p_name ORDER BY p_name) AS every FROM part WHERE p_size > 40 GROUP BY 1) SELECT project, array_to_string(every[1:5], ', ') || CASE WHEN len(every) > 5 THEN ', …' ELSE '' END AS evidence FROM p",
+    "evidence": "WITH p AS (SELECT p_brand AS project, list(DISTINCT p_name ORDER BY p_name) AS every FROM part GROUP BY 1) SELECT project, array_to_string(every[1:5], ', ') || CASE WHEN len(every) > 5 THEN ', …' ELSE '' END AS evidence FROM p",
     "audit_report": f"""WITH f AS ({audit_queries.ORACLES['audit_findings']}),
 r AS (SELECT project, category, file_id, '| ' || category || ' | ' || file_id || ' | ' || regexp_replace({_ESC.format('detail')}, '\\s+', ' ', 'g') || ' |' AS line FROM f)
 SELECT project, '# Audit of ' || project || chr(10) || chr(10) || count(*) || ' finding(s)' || chr(10) || chr(10) || '| category | file | detail |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY category, file_id, line) || chr(10) AS text FROM r GROUP BY project""",

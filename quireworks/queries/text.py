@@ -15,7 +15,7 @@ def _first_line(spark, d):
 
 
 def metrics(spark, d):
-    return _first_line(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"), T.preview(F.col("text")).alias("preview"), T.slug(F.col("line")).alias("slug"), T.squeezed(F.col("line")).alias("squeezed"), T.trim(T.collapse(F.substring("text", 1, 300))).alias("flat"))
+    return _first_line(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"), T.preview(F.col("text")).alias("preview"), T.slug(F.col("line")).alias("slug"), T.squeezed(F.col("line")).alias("squeezed"), F.md5(T.trim(T.collapse(F.col("text"))).cast("binary")).alias("flat"))
 
 
 def word_frequencies(spark, d):
@@ -69,7 +69,7 @@ def page_escapes(spark, d):
     bare = T.without_comments(F.col("html"))
     template = F.lit("<a href='{{HREF}}'>{{TITLE}}</a> {{TITLE}} {{OTHER}}")
     filled = T.filled(template, {"HREF": F.col("page_id").cast("string"), "TITLE": T.escaped(title)})
-    return rows.select("page_id", (F.length("html") - F.length(bare)).cast("long").alias("comment_chars"), T.escaped(title).alias("escaped"), filled.alias("filled"), F.substring(T.marked(bare, F.lit("<i></i>")), 1, 900).alias("marked"))
+    return rows.select("page_id", (F.length("html") - F.length(bare)).cast("long").alias("comment_chars"), T.escaped(title).alias("escaped"), filled.alias("filled"), F.md5(T.marked(bare, F.lit("<i></i>")).cast("binary")).alias("marked"))
 
 
 def lifted_pages(spark, d):
@@ -79,7 +79,7 @@ def lifted_pages(spark, d):
     top = F.concat(F.lit('<section class="chapter-open" data-n="'), i, F.lit('" id="c'), i, F.lit('">'))
     entry = F.concat(F.lit('<li class="toc-entry">\n <a href="#c'), i, F.when(k == 1, "x").otherwise(""), F.lit('">t</a>\n <span class="toc-pagenum" data-target="#c'), i, F.when(k == 2, "y").otherwise(""), F.lit('"></span></li>'))
     image = F.concat(F.lit('<img src="assets/'), (F.col("page_id") % 40).cast("string"), F.when(k == 3, ".PNG").otherwise(".jpeg"), F.lit('"><img src="a.svg"><i style="background:url(\'bg/'), (F.col("page_id") % 7).cast("string"), F.lit(".png')\"></i>"))
-    return pages(spark, d).select("page_id", F.concat(top, entry, image, F.substring("html", 1, 2000)).alias("html"))
+    return pages(spark, d).select("page_id", F.concat(top, entry, image, "html").alias("html"))
 
 
 def page_anchors(spark, d):
@@ -165,7 +165,7 @@ _TITLE = r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 ORACLES = {
     "text_metrics": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10))[1] AS line FROM documents)
 SELECT doc_id, {words('text')} AS words, {preview('text')} AS preview, regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+\z', '', 'g') AS slug,
-  lower({collapse('line', '')}) AS squeezed, {trim(collapse('left(text, 300)'))} AS flat FROM t""",
+  lower({collapse('line', '')}) AS squeezed, md5({trim(collapse('text'))}) AS flat FROM t""",
     "word_frequencies": r"SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}][\p{L}\p{N}''-]*')) AS word FROM documents) GROUP BY ALL",
     "plain_markdown": f"WITH {lift.MD} SELECT file_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: {_plain('l')}), chr(10)) AS plain FROM mf",
     "chapter_labels": r"""WITH t AS (SELECT doc_id, left(string_split(coalesce(text, ''), chr(10))[1], 30) AS title, (doc_id % 130)::VARCHAR AS n FROM documents)
@@ -182,11 +182,11 @@ SELECT doc_id, text, ground, round((greatest(a, b) + 0.05::DOUBLE) / (least(a, b
 m AS (SELECT *, length(regexp_extract(bare, '(?s)^(.*?<(?:section|div|main|article)\b[^>]*>)', 1)) AS cut FROM p)
 SELECT page_id, length(html) - length(bare) AS comment_chars, {_ESC.format(_TITLE)} AS escaped,
   replace(replace('<a href=''{{{{HREF}}}}''>{{{{TITLE}}}}</a> {{{{TITLE}}}} {{{{OTHER}}}}', '{{{{HREF}}}}', page_id::VARCHAR), '{{{{TITLE}}}}', {_ESC.format(_TITLE)}) AS filled,
-  left(CASE WHEN cut > 0 THEN left(bare, cut) || '<i></i>' || bare[cut + 1:] ELSE '<i></i>' || chr(10) || bare END, 900) AS marked FROM m""",
+  md5(CASE WHEN cut > 0 THEN left(bare, cut) || '<i></i>' || bare[cut + 1:] ELSE '<i></i>' || chr(10) || bare END) AS marked FROM m""",
     "page_anchors": rf"""WITH p AS (
   SELECT page_id, '<section class="chapter-open" data-n="' || page_id || '" id="c' || page_id || '">' || '<li class="toc-entry">' || chr(10) || ' <a href="#c' || page_id || CASE WHEN page_id % 4 = 1 THEN 'x' ELSE '' END || '">t</a>' || chr(10)
     || ' <span class="toc-pagenum" data-target="#c' || page_id || CASE WHEN page_id % 4 = 2 THEN 'y' ELSE '' END || '"></span></li>'
-    || '<img src="assets/' || (page_id % 40) || CASE WHEN page_id % 4 = 3 THEN '.PNG' ELSE '.jpeg' END || '"><img src="a.svg"><i style="background:url(''bg/' || (page_id % 7) || '.png'')"></i>' || left(coalesce(html, ''), 2000) AS html FROM pages)
+    || '<img src="assets/' || (page_id % 40) || CASE WHEN page_id % 4 = 3 THEN '.PNG' ELSE '.jpeg' END || '"><img src="a.svg"><i style="background:url(''bg/' || (page_id % 7) || '.png'')"></i>' || coalesce(html, '') AS html FROM pages)
 SELECT page_id, regexp_extract(html, '<section class="chapter-open"[^>]*\bid="([^"]+)"', 1) AS anchor, array_to_string(regexp_extract_all(html, '\sid="([^"]+)"', 1), ',') AS ids,
   array_to_string(regexp_extract_all(html, '(?i)src="([^"]+\.(?:png|jpe?g))"', 1), ',') AS rasters,
   array_to_string(regexp_extract_all(html, '(?s)<li class="toc-entry">.*?<a href="#([^"]+)".*?<span class="toc-pagenum" data-target="#([^"]+)">', 1), ',') AS targets,
