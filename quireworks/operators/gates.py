@@ -147,9 +147,9 @@ def outline_toc(titles: DataFrame, outline: DataFrame, targets: DataFrame, ids:
 
 @register("no-bonus-in-body")
 def no_bonus(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """lines: project, line_id, line of bonus files; texts: project, text of the bodies. Projects without bonus lines are skipped."""
-    found = contained_lines(lines.select(F.struct("project", "line_id").alias("line_id"), "line"), texts.select(F.col("project").alias("text_id"), "text")).where("line_id.project = text_id")
-    leaks = found.distinct().groupBy(F.col("text_id").alias("project")).agg(F.count(F.lit(1)).alias("leaks"))
+    """lines: project, line_id, line of bonus files; texts: project, text_no, text of the bodies' parts. Projects without bonus lines are skipped."""
+    found = contained_lines(lines.select(F.struct("project", "line_id").alias("line_id"), "line"), texts.select(F.struct("project", "text_no").alias("text_id"), "text")).where("line_id.project = text_id.project")
+    leaks = found.select("text_id.project", "line_id.line_id").distinct().groupBy("project").agg(F.count(F.lit(1)).alias("leaks"))
     rows = texts.select("project").distinct().join(lines.groupBy("project").agg(F.count(F.lit(1)).alias("n")), "project", "left").join(leaks, "project", "left")
     return _row(rows, "no-bonus-in-body", status(F.col("leaks").isNull(), F.col("n").isNull()), F.coalesce("leaks", F.lit(0)))
 

@@ -37,7 +37,7 @@ def more_gates(spark, d):
     targets = docs.select(F.col("source").alias("project"), (p % 50).cast("string").alias("target"))
     ids = docs.select(F.col("source").alias("project"), F.when((F.col("source") == "src3") & (p % 50 == 43), "none").otherwise((p % 50).cast("string")).alias("target"))
     lines = lift.table(spark, d, "benchmark").select(F.explode(F.array(*map(F.lit, ("en", "de", "fr")))).alias("project"), F.col("item_id").alias("line_id"), F.col("text").alias("line"))
-    bodies = docs.groupBy(F.col("lang").alias("project"), (p % 64).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))).getField("t"), "\n").alias("text")).drop("part")
+    bodies = docs.select(F.col("lang").alias("project"), p.alias("text_no"), F.coalesce("text", F.lit("")).alias("text"))
     found = [gates.fonts(fonts), gates.min_font_size(styles), gates.contrast(colours), gates.outline_toc(titles, outline, targets, ids), gates.no_bonus(lines, bodies), gates.text_coverage(join_queries.coverages(spark, d))]
     return reduce(DataFrame.unionByName, found)
 
@@ -119,7 +119,7 @@ sq AS (SELECT DISTINCT source, lower(regexp_replace(t, '{S}+', '', 'g')) AS h FR
 mi AS (SELECT source, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM sq WHERE sq.source = f.source AND contains(h, lower(regexp_replace(f.t, '{S}+', '', 'g')))) GROUP BY source),
 br AS (SELECT d.source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.source = d.source AND CASE WHEN e.source = 'src3' AND e.doc_id % 50 = 43 THEN 'none' ELSE (e.doc_id % 50)::VARCHAR END = (d.doc_id % 50)::VARCHAR) GROUP BY d.source),
 ou AS (SELECT source, coalesce((SELECT n FROM mi WHERE mi.source = s.source), 0) + coalesce((SELECT n FROM br WHERE br.source = s.source), 0) AS bad FROM (SELECT DISTINCT source FROM documents) s),
-bo AS (SELECT lang, doc_id % 64 AS part, lower(regexp_replace(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id), '{S}+', ' ', 'g')) AS hay FROM documents GROUP BY ALL),
+bo AS (SELECT lang, lower(regexp_replace(coalesce(text, ''), '{S}+', ' ', 'g')) AS hay FROM documents),
 lk AS (SELECT lang, count(DISTINCT item_id) AS n FROM bo JOIN benchmark ON lang IN ('en', 'de', 'fr') AND contains(hay, lower(regexp_replace(benchmark.text, '{S}+', ' ', 'g'))) GROUP BY lang)
 SELECT source AS project, 'fonts-embedded' AS id, CASE WHEN count(*) FILTER (doc_id % 211 = 0 OR doc_id % 307 = 5) = 0 THEN 'pass' ELSE 'fail' END AS status, (count(*) FILTER (doc_id % 211 = 0 OR doc_id % 307 = 5))::VARCHAR AS evidence FROM documents GROUP BY source
 UNION ALL SELECT doc_id::VARCHAR, 'min-font-size', CASE WHEN doc_id % 9 = 0 THEN 'skipped' WHEN doc_id % 7 + 7.5 >= 9.5 THEN 'pass' ELSE 'fail' END, CASE WHEN doc_id % 9 > 0 THEN (doc_id % 7 + 7.5)::DOUBLE::VARCHAR END FROM documents
