@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, cut_at_spaces, text_of, worker_cache
+from .common import Memo, cut_at_spaces, text_of, without_gc, worker_cache
 
-#: Entries in each of the two generations of a worker's two memos, of pieces and of pre-tokens: about 100 bytes an entry.
-MEMO = 300_000
+#: Entries in each of the two generations of a worker's memo of pieces: about 200 bytes an entry.
+MEMO = 400_000
 #: Pieces of a text that are looked up before the hashes are fed.
 PART = 8192
 # Fixed value: the public pre-token pattern of this family of vocabularies.
@@ -208,14 +208,15 @@ class Table:
 
 
 class Encoder:
-    """Pieces of text -> their ids as little-endian u32, with two memos: of pieces, and of the pre-tokens inside them."""
+    """Pieces of text -> their ids as little-endian u32, with a memo of pieces (without the space before them), which also serves the pre-tokens inside
+    pieces, and a small one of pre-tokens that have no space before them."""
 
     def __init__(self, file: bytes):
         self.model = Model(file)
         self.transducer = Transducer(self.model)
         self.names = Table({i: b"%d," % i for i in self.model.bytes_of})
         self.spelling = Table(self.model.bytes_of)
-        self.words = Memo(self._word, MEMO)
+        self.words = Memo(self._word, MEMO // 8)
         self.memo = Memo(lambda piece: self.ids(" " + piece), MEMO)
 
     def _word(self, text: str) -> bytes:
@@ -224,18 +225,22 @@ class Encoder:
         ids = encode_short(self.model, data) if len(data) <= self.model.lookahead else machine.feed(data) + machine.finish()
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _known(self, word: str) -> bytes:
+        return self.memo[word[1:]] if word[0] == " " and not word.isspace() else self.words[word]
+
     def ids(self, text: str) -> bytes:
         model, out = self.model, []
         for name in model.special:
             if name in text:
                 break
         else:
-            return b"".join(map(self.words.__getitem__, PATTERN.findall(text)))
+            found = PATTERN.findall(text)
+            return self._word(found[0]) if len(found) == 1 and text[0] == " " else b"".join(map(self._known, found))
         for part in model.special_re.split(text) if model.special_re else [text]:
             if part in model.special:
                 out.append(struct.pack("<I", model.special[part]))
             else:
-                out += [self.words[found[0]] for found in PATTERN.finditer(part)]
+                out += [self._known(found[0]) for found in PATTERN.finditer(part)]
         return b"".join(out)
 
     def parts(self, text: str) -> Iterator[np.ndarray]:
@@ -303,7 +308,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         encoder = encoder_of(file)
-        for batch in batches:
+        for batch in without_gc(batches):
             rows = [digests(encoder, text) for text in batch.column(1).to_pylist()]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -47,6 +48,15 @@ def worker_cache(key, make):
     return _KEPT[key]
 
 
+def without_gc(batches):
+    """The batches, without searches for reference cycles in between: these would walk a large memo again and again, and nothing here makes cycles."""
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        gc.enable()
+
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
