@@ -157,8 +157,8 @@ _I = f"{_R}{TEXT_LINES}, {SECTIONS}, {BLOCKS}, {FILES}"
 ORACLES = {
     "layout_lines": f"{_R}{ITEMS}, {LAYOUT} SELECT project, page, line, y, font_height, array_to_string(cells, '¦') AS cells FROM q7",
     "layout_classified": f"{_R}{ITEMS}, {LAYOUT}, {CLASSIFIED} SELECT project, row_number() OVER (PARTITION BY project ORDER BY page, line) - 1 AS line_no, page, y, font_height, text, array_to_string(cells, '¦') AS cells, is_list_item, is_table_row FROM kl",
-    "section_list": f"{_R}{TEXT_LINES}, {SECTIONS} SELECT project, section, kind, number, title, next_title <> '' AS from_next, heading_text, start_page, end_page, n_body FROM se",
-    "section_blocks": f"{_R}{TEXT_LINES}, {SECTIONS}, {BLOCKS} SELECT project, section, block_no, type, CASE WHEN type = 'paragraph' THEN text END AS text, array_to_string(items, '¦') AS items, len(rows) AS n_rows FROM gb WHERE section > 0",
+    "section_list": f"{_R}{TEXT_LINES}, {SECTIONS} SELECT project, section::BIGINT AS section, kind, number, title, next_title <> '' AS from_next, heading_text, start_page, end_page, n_body FROM se",
+    "section_blocks": f"{_R}{TEXT_LINES}, {SECTIONS}, {BLOCKS} SELECT project, section::BIGINT AS section, block_no::BIGINT AS block_no, type, CASE WHEN type = 'paragraph' THEN text END AS text, array_to_string(items, '¦') AS items, len(rows) AS n_rows FROM gb WHERE section > 0",
     "ingest_files": f"{_I} SELECT *, {words('markdown')} AS words FROM fi",
     "inventory_problems": f"{_I}, {PROBLEMS} SELECT * FROM pq",
 }
