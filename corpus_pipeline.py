@@ -16,6 +16,9 @@ from quireworks.llm.near_dedup import drop_near_copies
 from quireworks.llm.quality_rules import good_documents
 from quireworks.llm.queries import TOKENIZER
 
+#: Pieces that a worker remembers while it encodes: fewer than by default, as executors hold what other stages left.
+MEMO = 100_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
@@ -42,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ship(spark)
-    return round_trip(docs, TOKENIZER)
+    return round_trip(docs, TOKENIZER, MEMO)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("source mixing", mix), ("bpe round trip", tokens)]

@@ -211,13 +211,13 @@ class Encoder:
     """Pieces of text -> their ids as little-endian u32, with a memo of pieces (without the space before them), which also serves the pre-tokens inside
     pieces, and a small one of pre-tokens that have no space before them."""
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, memo: int = MEMO):
         self.model = Model(file)
         self.transducer = Transducer(self.model)
         self.names = Table({i: b"%d," % i for i in self.model.bytes_of})
         self.spelling = Table(self.model.bytes_of)
-        self.words = Memo(self._word, MEMO // 8)
-        self.memo = Memo(lambda piece: self.ids(" " + piece), MEMO)
+        self.words = Memo(self._word, memo // 8)
+        self.memo = Memo(lambda piece: self.ids(" " + piece), memo)
 
     def _word(self, text: str) -> bytes:
         """One pre-token."""
@@ -277,10 +277,10 @@ def _file(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encoder_of(broadcast) -> Encoder:
+def encoder_of(broadcast, memo: int = MEMO) -> Encoder:
     """One encoder for each worker process and file; its memos live on over tasks."""
     file = broadcast.value
-    return worker_cache(("bpe", hash(file)), lambda: Encoder(file))
+    return worker_cache(("bpe", hash(file), memo), lambda: Encoder(file, memo))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -301,13 +301,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text)."""
+def round_trip(docs: DataFrame, path: str, memo: int = MEMO) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text). memo bounds the worker's memory: fewer pieces cost time only."""
     file = _file(docs, path)
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):
-        encoder = encoder_of(file)
+        encoder = encoder_of(file, memo)
         for batch in without_gc(batches):
             rows = [digests(encoder, text) for text in batch.column(1).to_pylist()]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +42,19 @@ class Memo(dict):
 _KEPT: dict = {}
 
 
+def _give_back() -> None:
+    """Returns free memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_cache(key, make):
     """What a worker process keeps from task to task: one thing at a time, so that operators that follow each other do not add up in its memory."""
     if key not in _KEPT:
         _KEPT.clear()
+        _give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
