@@ -33,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_at_spaces, scratch, text_of, worker_cache
+from .common import cut_at_spaces, scratch, text_of, without_gc, worker_cache
 
 BLOCK = 256
 PERCENTILE = 0.95
 SEGMENT = 1 << 18
 MAGIC = b"PFOR1"
-#: Entries in each of the two generations of a worker's memo of pieces.
-MEMO = 400_000
+#: Entries of a worker's memo of pieces, about 200 bytes each; when full, it starts anew. One large generation beats two small ones here: most pieces are rare.
+MEMO = 800_000
 PART = 8192
 
 
@@ -88,15 +88,13 @@ def pack(ids: np.ndarray) -> bytes:
     full = full.reshape(blocks, BLOCK)
     low = full.min(1)
     rest = full - low[:, None]
-    need = _bits(rest)
     sizes = np.full(blocks, BLOCK)
     sizes[-1] = n - (blocks - 1) * BLOCK
-    if sizes[-1] < BLOCK:
-        need[-1, sizes[-1] :] = 255  # fill-in sorts behind what counts
     at = np.ceil(PERCENTILE * sizes).astype(np.int64) - 1
-    width = np.sort(need, 1)[np.arange(blocks), at]
-    need[-1, sizes[-1] :] = 0
-    over = np.flatnonzero((need > width[:, None]).ravel())
+    wide = np.partition(rest, at[0], 1)[:, at[0]]
+    wide[-1] = np.sort(rest[-1, : sizes[-1]])[at[-1]]
+    width = _bits(wide)
+    over = np.flatnonzero((rest >= np.left_shift(np.uint64(1), width.astype(np.uint64))[:, None]).ravel()[:n])
     parts: list[bytes] = [b""] * blocks
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
@@ -185,7 +183,7 @@ class Pieces:
         self.length = np.zeros(max(sizes) + 1, np.int64)
         self.length[list(sizes)] = list(sizes.values())
         self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # of first pieces, which have no space before them
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
@@ -210,12 +208,9 @@ class Pieces:
             points: dict[str, str] = {}  # a word and a point, which the pattern always parts: the ids of both
             for i in gone:
                 name = part[i]
-                x = self.old.get(name)
-                if x is not None:
-                    known[name] = x
-                elif name[-1] in ",." and name[:-1].isalpha() and max(name) < "\u0250":
+                if name[-1] in ",." and name[:-1].isalpha() and (name.isascii() or max(name) < "\u0250"):
                     word = points[name] = name[:-1]
-                    x = self.memo.get(word) or self.old.get(word)
+                    x = self.memo.get(word)
                     if x is None:
                         new[word] = None
                     else:
@@ -228,16 +223,21 @@ class Pieces:
                 known[name] = known[word] + self.points[name[-1]]
             for i in gone:
                 found[i] = known[part[i]]
+            if len(self.memo) + len(known) > MEMO:
+                self.memo.clear()
             self.memo.update((p, x) for p, x in known.items() if len(p) < 64)
-            if len(self.memo) >= MEMO:
-                self.memo, self.old = {}, self.memo
         return b"".join(found)
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         cut = cut_at_spaces(text)
-        return b"".join([self._library(cut[0]).tobytes(), *(self._part(cut[at : at + PART]) for at in range(1, len(cut), PART))])
+        head = self.heads.get(cut[0])
+        if head is None:
+            head = self._library(cut[0]).tobytes()
+            if len(cut[0]) < 64 and len(self.heads) < 100_000:
+                self.heads[cut[0]] = head
+        return b"".join([head, *(self._part(cut[at : at + PART]) for at in range(1, len(cut), PART))])
 
 
 def _pieces(file: bytes) -> Pieces:
@@ -264,7 +264,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "within": pa.array([before], pa.int64()), "doc_ids": pa.array([names], pa.list_(kind)), "n_ids": pa.array([sizes], pa.list_(pa.int64())), "segment": pa.array([pack(ids)], pa.binary())})
 
         kind = None
-        for batch in batches:
+        for batch in without_gc(batches):
             kind = batch.schema.field(0).type
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 parts += [pieces.ids(text.as_py()), end]
