@@ -4,8 +4,9 @@
    parents, by dynamic programming over the children of nodes with equal labels (tag and class).
 2. Nodes that are aligned in most of the pages and have the same text in all of them are the host's template; aligned nodes with varying text are slots. The wrapper is the
    path of the smallest container that holds most of the varying text, and the hashes of the template's texts.
-3. Each page is parsed whole. Subtrees that HTML itself marks as no article (navigation, forms, scripts and so on, by tag, role, class or id) go. The article is
-   the largest `article` or `main` element; without one it is the wrapper's container, and template nodes inside it go; without a wrapper it is the body.
+3. Each page is parsed whole. Subtrees that HTML itself marks as no article (navigation, forms, scripts and so on, by tag or role) go. Where the host has a wrapper, it
+   decides: the article is its container (of several with that path the one with most text), and template texts inside it go, whatever the elements are called. Only without
+   a wrapper subtrees also go by words in class and id, and the article is the largest `article` or `main` element, or else the body.
    The rest is split into blocks: white space inside a block becomes one space, and blocks are joined by a line feed.
 
 Scale: sampling carries numbers only; a host's sample has SAMPLE pages whatever its size, so a host with a third of all pages is no larger than others. Pages are scanned
@@ -148,8 +149,8 @@ def path(node: Node) -> str:
     return "/".join(reversed(out))
 
 
-def is_dropped(node: Node, holders: set[int]) -> bool:
-    """Whether a subtree is no article. holders: nodes that hold an article or main element, or are one."""
+def is_dropped(node: Node, holders: set[int], words: bool) -> bool:
+    """Whether a subtree is no article. holders: nodes that hold an article or main element, or are one. words: whether class and id count."""
     if node.tag in DROPPED or node.role == "hidden":
         return True
     if id(node) in holders or node.tag in ("html", "body"):
@@ -159,20 +160,20 @@ def is_dropped(node: Node, holders: set[int]) -> bool:
         while up and up.tag not in ("article", "main"):
             up = up.parent
         return not (up and any(x.tag in ("h1", "h2", "h3") for x in walk(node)))
-    return node.role in DROPPED_ROLES or not DROPPED_NAMES.isdisjoint(node.names)
+    return node.role in DROPPED_ROLES or words and not DROPPED_NAMES.isdisjoint(node.names)
 
 
-def pruned(root: Node) -> None:
+def pruned(root: Node, words: bool = True) -> None:
     holders: set[int] = set()
     for node in walk(root):
-        if node.tag in ("article", "main") and not is_dropped(node, {id(node)}):
+        if node.tag in ("article", "main") and not is_dropped(node, {id(node)}, words):
             up = node
             while up and id(up) not in holders:
                 holders.add(id(up))
                 up = up.parent
     for node in walk(root):
         for x in node.elements():
-            if is_dropped(x, holders):
+            if is_dropped(x, holders, words):
                 x.children = []  # an empty element: a block still ends the text before it
 
 
@@ -195,9 +196,9 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
         elif isinstance(x, str):
             buffer.append(x)
         else:
-            if template and text_hash(x) in template:
-                continue
             inside = list(reversed(x.children))
+            if template and text_hash(x) in template:  # its own text goes; elements inside are judged by themselves
+                inside = [y for y in inside if isinstance(y, Node)]
             if x.tag in BLOCKS:
                 flush()
                 stack.append(None)
@@ -260,7 +261,7 @@ def induce(pages: list[str]) -> tuple[str, list[int]] | None:
     trees = []
     for page in dict.fromkeys(pages):
         tree = parse(page)
-        pruned(tree)
+        pruned(tree, words=False)
         nodes = list(walk(tree))
         if len(nodes) <= NODES and max(x.depth for x in nodes) <= DEPTH:
             trees.append(tree)
@@ -291,20 +292,20 @@ def induce(pages: list[str]) -> tuple[str, list[int]] | None:
 
 
 def extract(page: str | None, wrapper: tuple[str, frozenset[int]] | None = None) -> str:
-    """The main text of one page."""
+    """The main text of one page: by the host's wrapper where there is one, by marked elements and listed words otherwise."""
     if not page:
         return ""
     tree = parse(page)
-    pruned(tree)
+    pruned(tree, words=not wrapper)
+    if wrapper:
+        found = [x for x in walk(tree) if x.label == wrapper[0].rpartition("/")[2] and path(x) == wrapper[0]]
+        return "\n".join(max((blocks(x, wrapper[1]) for x in found or [tree]), key=lambda texts: sum(map(len, texts))))
     marked = [x for x in walk(tree) if x.tag in ("article", "main") and not any(y.tag == "article" for y in _above(x))]
     marked = [x for x in marked if x.tag == "article"] or marked
     if marked:
         best = max((blocks(x) for x in marked), key=lambda found: sum(map(len, found)))
         if best:
             return "\n".join(best)
-    if wrapper:
-        found = next((x for x in walk(tree) if x.label == wrapper[0].rpartition("/")[2] and path(x) == wrapper[0]), tree)
-        return "\n".join(blocks(found, wrapper[1]))
     return "\n".join(blocks(tree))
 
 

@@ -93,6 +93,20 @@ def test_wrapper():
     assert len(html_extract.match(a, b)) == len(list(html_extract.walk(a)))
 
 
+def marked(i, n=3):
+    body = "".join(f"<p>words {i} {k} that differ on every page {i * k}</p>" for k in range(n))
+    return f"<html><body><div class='top'>Our site</div><article><h2>Title {i}</h2><p class='keep'>Write to us.</p>{body}<p class='comment'>View {i} of the writer</p><div>Read more of us</div></article></body></html>"
+
+
+def test_wrapper_decides_in_article():
+    found = html_extract.induce([marked(i) for i in range(5)])
+    text = html_extract.extract(marked(9, 6), (found[0], frozenset(found[1])))
+    assert found[0].endswith("article") and text.split("\n")[0] == "Title 9" and len(text.split("\n")) == 8
+    assert "Read more" not in text and "Write to us" not in text and "View 9 of the writer" in text
+    lone = html_extract.extract(marked(9))
+    assert "Read more" in lone and "Write to us" in lone and "View 9" not in lone  # without a wrapper: article and words
+
+
 def test_pages(spark):
     rows = [(i, f"https://a.example/{i}", wrapped(i)) for i in range(30)] + [(99, "https://b.example/x", PAGE), (100, None, PAGE), (101, "nonsense", None), (102, "https://a.example/e", ""), (99, "https://b.example/x", PAGE), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "pick", "slot", "of", "container", "template", "text", "n_chars")})
