@@ -1,20 +1,20 @@
 """Main text of HTML pages by wrapper induction.
 
-1. Up to `SAMPLE` pages of a host, picked by a hash, are parsed and aligned with one of them by simple tree matching: the largest match of two trees that keeps order and
-   parents, by dynamic programming over the children of nodes with equal labels (tag and class).
-2. Nodes that are aligned in most of the pages and have the same text in all of them are the host's template; aligned nodes with varying text are slots. The wrapper is the
-   path of the smallest container that holds most of the varying text, and the hashes of the template's texts.
+1. Every page is parsed. Its texts, each with the label path (tags and classes) of the block it lies in, are counted over all distinct pages of its host. A text
+   is the host's template where it is on most of the pages that have its path at all, so that layouts of a host do not hide each other's template.
+2. Containers are the label paths whose fullest element holds most of the text that varies (is no template), summed over all pages that have the path. The wrapper is the
+   containers and the template.
 3. Each page is parsed whole. Subtrees that HTML itself marks as no article (navigation, forms, scripts and so on, by tag or role) go. Where the host has a wrapper, it
-   decides: the article is its container (of several with that path the one with most text), and template texts inside it go, whatever the elements are called. Only without
+   decides: the article is the deepest container that the page has (of several the one with most text), and template texts inside it go, whatever the elements are called. Only without
    a wrapper subtrees also go by words in class and id, and the article is the largest `article` or `main` element, or else the body.
    The rest is split into blocks: white space inside a block becomes one space, and blocks are joined by a line feed.
 
-Scale: sampling carries numbers only; a host's sample has SAMPLE pages whatever its size, so a host with a third of all pages is no larger than others. Pages are scanned
-twice. Picks and wrappers are stored tables, which Spark broadcasts where they are below its threshold and joins by shuffle beyond it; such
-a join splits hot hosts by adaptive execution.
+Scale: pages are scanned three times. Counts are group-bys on host and path or text, with partial sums in each task, so a hot host is spread like any other. What
+a host's wrapper holds is bounded by its pages' own size, as each text must be on `LAYOUT` of them. Wrappers are a stored table, which Spark broadcasts
+where it is below its threshold and joins by shuffle beyond it; such a join splits hot hosts by adaptive execution.
 
 Edge cases: a null or empty html gives an empty text; a null or malformed url is a host of its own kind; unclosed and stray tags, truncated pages and unknown references are
-read as browsers do, as far as text goes; pages of any size are parsed whole, but one with more than `NODES` nodes or deeper than `DEPTH` isn't used as a sample.
+read as browsers do, as far as text goes; pages of any size and depth are parsed whole and counted.
 Repeated rows are separate pages; other columns are ignored; an empty table gives no rows.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE = 8
-NODES, DEPTH = 1500, 120
-#: Share of the sample in which a template node is aligned; share of the varying text that the article's container holds.
+#: Distinct pages that a text or a container must be on at least, and their least share of the host's distinct pages (of each layout, however many there are).
+PAGES, LAYOUT = 3, 0.01
+#: Characters of a path from which the part above is hashed.
+DEEP = 500
+#: Share of the pages with a path on which a template text repeats; share of the varying text that the article's container holds.
 TEMPLATE, CONTAINER = 0.8, 0.6
+#: Containers are sought among blocks, except those that hold content of one kind.
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol table tbody thead tfoot tr caption blockquote pre dl dt dd figure figcaption details summary address hgroup hr legend".split())
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -137,16 +142,20 @@ def walk(root: Node):
         stack += [x for x in reversed(node.children) if isinstance(x, Node)]
 
 
-def own_text(node: Node) -> str:
-    return " ".join("".join(x if isinstance(x, str) else "\x00" for x in node.children).replace("\x00", " ").split())
+class Paths(dict):
+    """node -> the labels from the root to it; past DEEP labels a hash stands for those above, so a deep tree's paths stay short."""
 
-
-def path(node: Node) -> str:
-    out = []
-    while node.parent:
-        out.append(node.label)
-        node = node.parent
-    return "/".join(reversed(out))
+    def __missing__(self, node: Node) -> str:
+        chain = []
+        while node is not None and node not in self:
+            chain.append(node)
+            node = node.parent
+        for x in reversed(chain):
+            up = self[x.parent] if x.parent else ""
+            if len(up) > DEEP:
+                up = f"#{xxhash.xxh3_64_hexdigest(up)}"
+            self[x] = f"{up}/{x.label}" if up else x.label if x.parent else ""
+        return self[chain[0]]
 
 
 def is_dropped(node: Node, holders: set[int], words: bool) -> bool:
@@ -177,31 +186,32 @@ def pruned(root: Node, words: bool = True) -> None:
                 x.children = []  # an empty element: a block still ends the text before it
 
 
-def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
-    """The texts of root's blocks in page order; those of the template are left out."""
-    out: list[str] = []
+def runs(root: Node) -> list[tuple[Node, str]]:
+    """The texts of root's blocks in page order, each with the block that it lies in."""
+    out: list[tuple[Node, str]] = []
     buffer: list[str] = []
+    holder = root
 
     def flush():
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            out.append(text)
+            out.append((holder, text))
 
     stack: list = [root]
     while stack:
         x = stack.pop()
-        if x is None:
-            flush()
-        elif isinstance(x, str):
+        if isinstance(x, str):
             buffer.append(x)
+        elif isinstance(x, tuple):  # the end of a block: back to the one around it
+            flush()
+            holder = x[0]
         else:
             inside = list(reversed(x.children))
-            if template and text_hash(x) in template:  # its own text goes; elements inside are judged by themselves
-                inside = [y for y in inside if isinstance(y, Node)]
             if x.tag in BLOCKS:
                 flush()
-                stack.append(None)
+                stack.append((holder,))
+                holder = x
             elif x.tag in CELLS:
                 buffer.append(" ")
                 stack.append(" ")
@@ -210,17 +220,23 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
     return out
 
 
-def text_hash(node: Node) -> int | None:
-    """Of a node's path and its own text; None without text."""
-    text = own_text(node)
-    return xxhash.xxh3_64_intdigest(f"{path(node)}\x00{text}") >> 1 if text else None
+def key_of(where: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{where}\x00{text}") >> 1
+
+
+def blocks(root: Node, template: frozenset[int] = frozenset(), paths: Paths | None = None) -> list[str]:
+    """The texts of root's blocks in page order; those of the template are left out."""
+    if not template:
+        return [text for _, text in runs(root)]
+    paths = paths or Paths()
+    return [text for node, text in runs(root) if key_of(paths[node], text) not in template]
 
 
 # --- wrapper induction ------------------------------------------------------------------------------------------
 
 
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The pairs of simple tree matching, with the two roots."""
+    """The pairs of simple tree matching, with the two roots. Pairs share their label paths, by which all pages of a host are counted; no pair of pages is matched for that."""
     known: dict[tuple[int, int], tuple[int, list]] = {}
 
     def weight(x: Node, y: Node) -> tuple[int, list]:
@@ -256,50 +272,83 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
+def read(page: str) -> tuple[Node, Paths, list[tuple[Node, str]]]:
+    tree = parse(page)
+    pruned(tree, words=False)
+    return tree, Paths(), runs(tree)
+
+
+def seen(page: str) -> tuple[int, list[int], list[int]]:
+    """A page's content hash, the hashes of its paths that hold text, and of its texts at their paths with the path's index beside each (two lists, flattened)."""
+    _, paths, found = read(page)
+    content = xxhash.xxh3_64_intdigest("\n".join(text for _, text in found)) >> 1
+    of = {(key_of(paths[node], text)): key_of(paths[node], "") for node, text in found}
+    return content, list(of.values()), list(of)
+
+
+def votes(page: str, template: frozenset[int]) -> list[tuple[str, int, int]]:
+    """For each container path of a page: the path, the varying text in its fullest element, and the page's varying text. Root's path is left out."""
+    tree, paths, found = read(page)
+    under: Counter[Node] = Counter()
+    for node, text in found:
+        if key_of(paths[node], text) not in template:
+            under[node] += len(text)
+    nodes = list(walk(tree))
+    for node in reversed(nodes):
+        under[node.parent] += under[node]
+    best: dict[str, int] = {}
+    sought = {tree}  # an article is sought no further inside
+    for node in nodes:
+        if node.parent in sought and node.tag in BLOCKS and node.tag not in CONTENT:
+            best[paths[node]] = max(best.get(paths[node], 0), under[node])
+            if node.tag != "article":
+                sought.add(node)
+    return [(where, n, under[tree]) for where, n in best.items()]
+
+
+def is_template(n: int, on_path: int, pages: int) -> bool:
+    return pages >= PAGES and n >= max(PAGES, LAYOUT * pages) and n >= TEMPLATE * on_path
+
+
+def is_container(under: int, total: int, n: int, pages: int) -> bool:
+    return n >= max(PAGES, LAYOUT * pages) and under >= CONTAINER * total > 0
+
+
 def induce(pages: list[str]) -> tuple[str, list[int]] | None:
-    """The wrapper of some pages of a host: the container's path and the hashes of the template's texts. None if fewer than three differ."""
-    trees = []
-    for page in dict.fromkeys(pages):
-        tree = parse(page)
-        pruned(tree, words=False)
-        nodes = list(walk(tree))
-        if len(nodes) <= NODES and max(x.depth for x in nodes) <= DEPTH:
-            trees.append(tree)
-    if len({tuple(blocks(t)) for t in trees}) < 3:
+    """The wrapper of all pages of a host held in memory, by the rules that main_texts applies by group-bys: the deepest container's path
+    and the template's hashes. None if fewer than PAGES differ."""
+    texts, on, n = Counter(), Counter(), set()
+    for page in pages:
+        content, where, keys = seen(page)
+        if content not in n:
+            n.add(content)
+            texts.update(dict(zip(keys, where, strict=True)).items())
+            on.update(set(where))
+    if len(n) < PAGES:
         return None
-    first, rest = trees[0], trees[1:]
-    aligned: dict[int, int] = {}
-    same: dict[int, int] = {}
-    for tree in rest:
-        for x, y in match(first, tree):
-            aligned[id(x)] = aligned.get(id(x), 0) + 1
-            same[id(x)] = same.get(id(x), 0) + (own_text(x) == own_text(y))
-    template, varying = [], {}
-    for node in walk(first):
-        text, n = own_text(node), aligned.get(id(node), 0)
-        constant = n >= TEMPLATE * len(rest) and same.get(id(node), 0) == n
-        if text and constant:
-            template.append(text_hash(node))
-        elif text:
-            up = node
-            while up:
-                varying[id(up)] = varying.get(id(up), 0) + len(text)
-                up = up.parent
-    container = first
-    while inner := [x for x in container.elements() if x.tag in BLOCKS and x.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table") and varying.get(id(x), 0) >= CONTAINER * varying.get(id(first), 1)]:
-        container = inner[0]
-    return path(container), template
+    template = [key for (key, where), k in texts.items() if is_template(k, on[where], len(n))]
+    sums: dict[str, list[int]] = {}
+    for page in pages:
+        for where, under, total in votes(page, frozenset(template)):
+            for i, x in enumerate((under, total, 1)):
+                sums.setdefault(where, [0, 0, 0])[i] += x
+    held = [where for where, (under, total, k) in sums.items() if is_container(under, total, k, len(n))]
+    return max(held, key=lambda x: (x.count("/"), x), default=""), template
 
 
-def extract(page: str | None, wrapper: tuple[str, frozenset[int]] | None = None) -> str:
+def extract(page: str | None, wrapper: tuple[str | frozenset[str], frozenset[int]] | None = None) -> str:
     """The main text of one page: by the host's wrapper where there is one, by marked elements and listed words otherwise."""
     if not page:
         return ""
     tree = parse(page)
     pruned(tree, words=not wrapper)
     if wrapper:
-        found = [x for x in walk(tree) if x.label == wrapper[0].rpartition("/")[2] and path(x) == wrapper[0]]
-        return "\n".join(max((blocks(x, wrapper[1]) for x in found or [tree]), key=lambda texts: sum(map(len, texts))))
+        paths = Paths()
+        held = {wrapper[0]} if isinstance(wrapper[0], str) else wrapper[0]
+        found = [x for x in walk(tree) if x.tag in BLOCKS and paths[x] in held] if held else []
+        deepest = max((x.depth for x in found), default=0)
+        found = [x for x in found if x.depth == deepest]
+        return "\n".join(max((blocks(x, wrapper[1], paths) for x in found or [tree]), key=lambda texts: sum(map(len, texts))))
     marked = [x for x in walk(tree) if x.tag in ("article", "main") and not any(y.tag == "article" for y in _above(x))]
     marked = [x for x in marked if x.tag == "article"] or marked
     if marked:
@@ -323,47 +372,59 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, container, template (hashes) for each host whose sample differs enough."""
-    rows = _hosted(pages).withColumn("pick", F.xxhash64("page_id", "url")).withColumn("slot", F.pmod("pick", F.lit(SAMPLE)))
-    picks = stored(rows.groupBy("host", "slot").agg(F.min("pick").alias("pick")).select("host", "pick"), "page-picks")
-    sample = rows.join(picks, ["host", "pick"]).select("host", "pick", "html")
-
-    def run(batches):
-        host, some = None, []
-
-        def one():
-            found = induce(some) if len(some) > 2 else None
-            if found:
-                yield pa.RecordBatch.from_pydict({"host": [host], "container": [found[0]], "template": pa.array([found[1]], pa.list_(pa.int64()))})
+    """host, containers (paths), template (hashes) for each host of which PAGES pages differ at least; all pages count, equal ones once."""
+    rows = _hosted(pages).where("html IS NOT NULL").select("host", "html")
 
+    def look(batches):
+        for batch in batches:
+            found = [seen(x.as_py()) for x in batch.column(1)]
+            longs = lambda xs: pa.array(xs, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), longs([x[1] for x in found]), longs([x[2] for x in found])], ["host", "content", "paths", "texts"])
+
+    seen_ = rows.mapInArrow(look, "host string, content long, paths array<bigint>, texts array<bigint>").groupBy("host", "content").agg(F.first(F.struct("paths", "texts")).alias("x"))
+    each = stored(seen_.select("host", "x.*"), "page-texts")
+    sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES)
+    on = each.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("on_path"))
+    texts = each.select("host", F.explode(F.arrays_zip("paths", "texts")).alias("x")).groupBy("host", F.col("x.paths").alias("path"), F.col("x.texts").alias("text")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    least = F.greatest(F.lit(PAGES), F.col("pages") * LAYOUT)
+    kept = texts.join(on, ["host", "path"]).join(sizes, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("on_path") * TEMPLATE))
+    template = stored(sizes.join(kept.groupBy("host").agg(F.collect_set("text").alias("template")), "host", "left").select("host", "pages", F.coalesce("template", F.array().cast("array<bigint>")).alias("template")), "page-template")
+
+    def weigh(batches):
+        known: dict[str, frozenset[int]] = {}
         for batch in batches:
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                if name != host:
-                    yield from one()
-                    host, some = name, []
-                if len(some) < SAMPLE and page.is_valid:  # repeated rows share a pick
-                    some.append(page.as_py())
-        yield from one()
+            hosts, out = batch.column(0).to_pylist(), {}
+            for host, page, template_ in zip(hosts, batch.column(1), batch.column(2), strict=True):
+                if host not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[host] = frozenset(template_.as_py())
+                for where, under, total in votes(page.as_py(), known[host]):
+                    x = out.setdefault((host, where), [0, 0, 0])
+                    x[0], x[1], x[2] = x[0] + under, x[1] + total, x[2] + 1
+            yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in out], pa.string()), "path": pa.array([w for _, w in out], pa.string()), **{c: pa.array([x[i] for x in out.values()], pa.int64()) for i, c in enumerate(("under", "total", "n"))}})
 
-    dealt = sample.repartition("host").sortWithinPartitions("host", "pick")
-    return stored(dealt.mapInArrow(run, "host string, container string, template array<bigint>"), "page-wrappers")
+    voted = rows.join(template, "host").select("host", "html", "template").mapInArrow(weigh, "host string, path string, under long, total long, n long")
+    voted = voted.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("under", "total", "n"))).join(sizes, "host")
+    held = voted.where((F.col("n") >= least) & (F.col("total") > 0) & (F.col("under") >= F.col("total") * CONTAINER)).groupBy("host").agg(F.collect_set("path").alias("containers"))
+    return stored(template.join(held, "host", "left").select("host", F.coalesce("containers", F.array().cast("array<string>")).alias("containers"), "template"), "page-wrappers")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     wrapped = wrappers(pages).withColumnRenamed("host", "of")
-    rows = _hosted(pages).join(wrapped, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "container", "template")
+    rows = _hosted(pages).join(wrapped, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "containers", "template")
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
-        known: dict[str, tuple[str, frozenset[int]] | None] = {}
+        known: dict[str, tuple[frozenset[str], frozenset[int]] | None] = {}
         for batch in batches:
             texts = []
-            for page, host, container, template in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            for page, host, containers, template in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 if host not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[host] = (container.as_py(), frozenset(template.as_py())) if container.is_valid else None
+                    known[host] = (frozenset(containers.as_py()), frozenset(template.as_py())) if containers.is_valid else None
                 texts.append(extract(page.as_py(), known[host]))
             sizes = np.array([len(t) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sizes)], ["page_id", "url", "text", "n_chars"])

@@ -107,6 +107,24 @@ def test_wrapper_decides_in_article():
     assert "Read more" in lone and "Write to us" in lone and "View 9" not in lone  # without a wrapper: article and words
 
 
+def test_wrapper_from_all_pages(spark):
+    """Two layouts in equal parts, long pages, and one page in eight of one layout without the notice: none of it may keep a template in the text."""
+
+    def page(i):
+        body = "".join(f"<p>words {i} {k} that differ</p>" for k in range(1700 if i % 20 < 2 else 4))
+        notice = "<p class='n'>Write to us.</p>" if i % 16 else "<p class='n'>Closed.</p>"
+        name = "story" if i % 2 else "report"
+        return f"<html><body><div class='top'>Our site</div><div class='{name}'><h2>Title {i}</h2>{notice}{body}<div>More {name}</div></div><div class='end'>Hits {i}</div></body></html>"
+
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(80)] + [(100 + i, f"https://long.example/{i}", page(20 * i + 1)) for i in range(4)]
+    got = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lines = r.text.split("\n")
+        assert lines[0].startswith("Title ") and not {"Our site", "Write to us.", "More story", "More report"} & set(lines) and "Hits" not in r.text
+        assert sum(x.startswith("words ") for x in lines) in (4, 1700)
+
+
 def test_pages(spark):
     rows = [(i, f"https://a.example/{i}", wrapped(i)) for i in range(30)] + [(99, "https://b.example/x", PAGE), (100, None, PAGE), (101, "nonsense", None), (102, "https://a.example/e", ""), (99, "https://b.example/x", PAGE), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "pick", "slot", "of", "container", "template", "text", "n_chars")})
