@@ -124,14 +124,19 @@ def media_url(doc: Column, depth: int = 4) -> Column:
 
 
 def flat_titles(nodes: DataFrame) -> DataFrame:
-    """nodes: project, id, parent (null for roots), pos, title. Depth-first order of each project's outline: project, nth, depth, title. One join for each level of depth."""
+    """nodes: project, id, parent (null for roots), pos, title. Depth-first order of each project's outline: project, nth, depth, title. One join for each level of depth, until a
+    level is empty; the nodes and each level are stored tables. Nodes that no root leads to are left out."""
+    from ..llm.common import stored
+
     path = lambda p: F.format_string("%08d", p)
+    nodes = stored(nodes.select("project", "id", "parent", "pos", "title"), "outline-nodes")
     level = nodes.where("parent IS NULL").select("project", "id", "title", path(F.col("pos")).alias("path"), F.lit(0).alias("depth"))
     found, depth = [level], 0
-    while depth < 8:
+    while not level.isEmpty():
         depth += 1
         up = level.select("project", F.col("id").alias("parent"), F.col("path").alias("above"))
         level = nodes.join(up, ["project", "parent"]).select("project", "id", "title", F.concat("above", F.lit("/"), path(F.col("pos"))).alias("path"), F.lit(depth).alias("depth"))
+        level = stored(level, "outline-level")
         found.append(level)
     rows = reduce(DataFrame.unionByName, found)
     return rows.select("project", F.row_number().over(Window.partitionBy("project").orderBy("path")).alias("nth"), "depth", "title")
