@@ -85,7 +85,7 @@ def media(spark, d):
         .when(k == 4, F.concat(F.lit('["no", "'), url, F.lit('"]')))
         .otherwise(F.concat(F.lit('{"a": {"b": {"c": {"d": "'), url, F.lit('"}}}}')))
     )
-    return lift.table(spark, d, "events").select("event_id", assembly.media_url(doc, 2).alias("url"))
+    return lift.table(spark, d, "events").select("event_id", assembly.media_url(doc).alias("url"))
 
 
 def outline(spark, d):

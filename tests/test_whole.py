@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from quireworks.operators import assembly
+from quireworks.queries import books
+
+from .oracle import SMALL
 
 
 def test_outline_of_any_depth(spark):
     rows = [("p", i, i - 1 if i else None, i, f"t{i}") for i in range(14)] + [("q", 0, None, 0, "root"), ("q", 5, 6, 0, "loop"), ("q", 6, 5, 0, "loop")]
     got = assembly.flat_titles(spark.createDataFrame(rows, "project string, id int, parent int, pos int, title string")).collect()
     assert sorted((r.project, r.nth, r.depth, r.title) for r in got) == sorted([("p", i + 1, i, f"t{i}") for i in range(14)] + [("q", 1, 0, "root")])
+
+
+def test_addresses_at_depth_four(spark):
+    got = books.QUERIES["media_urls"](spark, SMALL).collect()
+    assert got and all(r.url == (None if r.event_id % 6 == 3 else f"http://m/{r.event_id}") for r in got)
