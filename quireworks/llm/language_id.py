@@ -6,9 +6,9 @@ errors above the language's own, which follows from the counts.
 
 The counts cover all learning rows: words are counted in each task, turned into character n-grams there, and summed by Spark; the
 continuation counts of the lower orders are group-bys over the n-grams. Only the finished
-model is collected: sorted arrays of hashed n-grams, with `SLOTS` hash values at most, and for each the discounted share (for contexts the
-weight of the lower order) in each language. So what is broadcast is bounded by SLOTS * (8 + 4 * languages) bytes twice, whatever the
-input; n-grams that share a hash share the larger value.
+model is collected: for each order sorted arrays of the packed n-grams themselves, so lookups are exact, and for each the discounted share (for contexts the
+weight of the lower order) in each language. What is broadcast takes 8 + 4 * languages bytes for each distinct n-gram and for each distinct context, and grows with them.
+Characters beyond the first 65,536 code points share symbols, as a symbol has 16 bits.
 
 Edge cases: null texts and texts without a letter get `und`, score 0. Null languages, and rows with held-out ids, teach nothing. Without learning rows
 every text gets `und`. Null ids and repeated rows pass through; other columns are ignored.
@@ -21,13 +21,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, stored, text_of
 
 ORDER = 4
-SLOTS = 1 << 22
 #: Standard errors over a language's own cross-entropy from which a text is rejected.
 REJECT = 12.0
 #: Symbols of a text that count for the score: words repeat each other, so a long text is no surer than this.
@@ -54,20 +54,12 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[real].view(np.int64), owner[3:][real]
 
 
-def _slot(packed: np.ndarray, order: int, context: bool) -> np.ndarray:
-    kind = (order * 2 + context + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    h = packed.astype(np.int64).view(np.uint64) + np.uint64(kind)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((h ^ (h >> np.uint64(31))) % np.uint64(SLOTS)).astype(np.int64)
-
-
 def _suffix(packed: np.ndarray, order: int) -> np.ndarray:
     return packed if order == 4 else packed & np.int64((1 << (16 * order)) - 1)
 
 
 class Model:
-    """Sorted hash arrays: `grams` with `shares`, `contexts` with `weights`; a column for each language."""
+    """For each order (the first is at 0) sorted arrays of packed n-grams: `grams` with `shares`, `contexts` with `weights`; a column for each language."""
 
     def __init__(self, languages, grams, shares, contexts, weights, alphabet: int):
         self.languages, self.grams, self.shares, self.contexts, self.weights = languages, grams, shares, contexts, weights
@@ -89,9 +81,9 @@ class Model:
         p = np.full((len(packed), len(self.languages)), self.uniform)
         for order in range(1, ORDER + 1):
             gram = _suffix(packed, order)
-            share = self._find(self.grams, _slot(gram, order, False), self.shares, 0.0)
+            share = self._find(self.grams[order - 1], gram, self.shares[order - 1], 0.0)
             context = (gram.view(np.uint64) >> np.uint64(16)).view(np.int64)
-            weight = self._find(self.contexts, _slot(context, order, True), self.weights, 1.0)
+            weight = self._find(self.contexts[order - 1], context, self.weights[order - 1], 1.0)
             p = share + weight * p
         return -np.log2(np.maximum(p, 1e-12))
 
@@ -153,33 +145,25 @@ def train(docs: DataFrame) -> Model:
 
     languages = sorted(r.lang for r in few.select("lang").distinct().collect())
     alphabet = counts.where("k = 1").select("g").distinct().count()
-    g, s = _arrays(_hashed(shares, False), languages)
-    c, w = _arrays(_hashed(weights, True), languages)
+    g, s = _arrays(shares, languages)
+    c, w = _arrays(weights, languages)
     model = Model(languages, g, s, c, w, alphabet)
     model.own = _own(orders[ORDER], model)
     return model
 
 
-def _hashed(values: DataFrame, context: bool) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            k, g = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            slots = np.zeros(len(k), np.int64)
-            for order in np.unique(k):
-                slots[k == order] = _slot(g[k == order], int(order), context)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(0), batch.column(3)], ["slot", "lang", "v"])
-
-    return values.mapInArrow(run, "slot long, lang string, v double").groupBy("slot", "lang").agg(F.max("v").alias("v"))
-
-
-def _arrays(values: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Collects at most SLOTS rows for each language."""
-    found = values.toArrow()
-    slots, langs = found["slot"].to_numpy(), found["lang"].to_pylist()
-    keys, at = np.unique(slots, return_inverse=True)
-    out = np.zeros((len(keys), len(languages)), np.float32)
-    number = {lang: i for i, lang in enumerate(languages)}
-    out[at, np.fromiter((number[x] for x in langs), np.int64, len(langs))] = found["v"].to_numpy()
+def _arrays(values: DataFrame, languages: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order the sorted keys of values (lang, k, g, v), and their values in each language."""
+    found = values.select("k", "g", F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).alias("at"), F.col("v").cast("float").alias("v")).toArrow() if languages else None
+    keys, out = [], []
+    for order in range(1, ORDER + 1):
+        part = found.filter(pc.equal(found["k"], order)) if found else None
+        grams, at = np.unique(part["g"].to_numpy() if part else np.zeros(0, np.int64), return_inverse=True)
+        row = np.zeros((len(grams), len(languages)), np.float32)
+        if part:
+            row[at, part["at"].to_numpy() - 1] = part["v"].to_numpy()
+        keys.append(grams)
+        out.append(row)
     return keys, out
 
 

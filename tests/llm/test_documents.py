@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +261,20 @@ def test_held_out_never_teaches(spark):
     assert any(r.held_out for r in got) and any(not r.held_out for r in got)
 
 
+def test_language_model_keeps_every_ngram(spark):
+    """Some 400,000 n-grams of noisy words: each has an entry of its own."""
+    rng = random.Random(5)
+    texts = [(i, [chr(0x4E00 + rng.randrange(20_000)) + chr(0x4E00 + rng.randrange(20_000)) + chr(0x4E00 + rng.randrange(20_000)) for _ in range(1000)]) for i in range(40)]
+    model = language_id.train(spark.createDataFrame([(i, " ".join(words), "zh", "s") for i, words in texts], SCHEMA))
+    want = set()
+    for i, words in texts:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in words:
+                marked = f"\0\0\1{w}\2"
+                want |= {marked[at - n : at] for at in range(4, len(marked) + 1) for n in range(1, 5)}
+    assert sum(np.size(x) for x in model.grams) == len(want)
+
+
 def test_models_edges(spark, docs, rows, empty):
     found = language_id.identified(docs).collect()
     assert len(found) == len(rows)
