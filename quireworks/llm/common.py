@@ -42,7 +42,7 @@ class Memo(dict):
 _KEPT: dict = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns free memory to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -54,7 +54,7 @@ def worker_cache(key, make):
     """What a worker process keeps from task to task: one thing at a time, so that operators that follow each other do not add up in its memory."""
     if key not in _KEPT:
         _KEPT.clear()
-        _give_back()
+        give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -72,14 +72,28 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
-def cut_at_spaces(text: str) -> list[str]:
-    """The pieces of text between single spaces that have no white space beside them: there, byte-level patterns always end a pre-token."""
+def single_spaces(text: str) -> bool:
+    """Whether no space in a text (one character at least) is at its ends or beside other white space; False where a rare white space makes that costly to tell."""
     if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
-        return _CUT.split(text)
+        return False
     for c in _RARE_SPACES:
         if c in text:
-            return _CUT.split(text)
-    return text.split(" ")
+            return False
+    return True
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """The pieces of text between single spaces that have no white space beside them: there, byte-level patterns always end a pre-token."""
+    return text.split(" ") if single_spaces(text) else _CUT.split(text)
+
+
+def windows(text: str, size: int):
+    """A long text in parts of about `size` characters, cut before such spaces; a part has no bound where the text has none."""
+    at = 0
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 _SHIPPED: set[str] = set()

@@ -23,25 +23,29 @@ segment is closed once it has `SEGMENT` ids.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_at_spaces, scratch, text_of, without_gc, worker_cache
+from .bpe import byte_alphabet
+from .common import Memo, cut_at_spaces, give_back, scratch, single_spaces, text_of, windows, without_gc, worker_cache
 
 BLOCK = 256
 PERCENTILE = 0.95
 SEGMENT = 1 << 18
 MAGIC = b"PFOR1"
-#: Entries of a worker's memo of pieces, about 200 bytes each; when full, it starts anew. One large generation beats two small ones here: most pieces are rare.
-MEMO = 800_000
-PART = 8192
+#: Bytes of a worker's memo of pieces, as counted: its objects and ENTRY for an entry's headers and place. When full, it starts anew.
+MEMO, ENTRY = 64 << 20, 190
+#: Pieces that the library encodes in one string; bytes of text that are encoded at once.
+PART, SLICE = 8192, 8 << 20
 
 
 # --- the format -------------------------------------------------------------------------------------------------
@@ -164,9 +168,10 @@ read_range = _unpack_range
 
 
 class Pieces:
-    """Text -> ids as little-endian u32, by the tokenizers library. Texts are cut at single spaces between characters that are no
-    white space, where the byte-level pattern always ends a pre-token; the library encodes the new pieces of a text in one string, whose ids are
-    dealt out by the tokens' lengths in bytes, and a bounded memo keeps them."""
+    """Texts -> ids, by the tokenizers library, a slice of texts at a time. Texts are cut at single spaces between characters that are no
+    white space, where the byte-level pattern always ends a pre-token; a slice's distinct pieces are encoded once, and numbers stand for them until the ids are gathered.
+    New words of letters go to the library's model, other new pieces to the whole library in one string, whose ids are dealt out by the tokens' lengths in bytes. A
+    memo keeps pieces that a slice has more than once."""
 
     def __init__(self, file: bytes):
         import json
@@ -176,68 +181,134 @@ class Pieces:
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.points = {c: self._library(c).tobytes() for c in ",."}
+        self.model = self.tokenizer.model
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.points = Memo(lambda x: self._library([x])[0].tobytes(), 10_000)
         data = json.loads(file)
         sizes = {i: len(w) for w, i in data["model"]["vocab"].items()} | {t["id"]: len(t["content"].encode()) for t in data["added_tokens"]}
         #: Bytes of each token: the vocabulary spells a byte as one character.
         self.length = np.zeros(max(sizes) + 1, np.int64)
         self.length[list(sizes)] = list(sizes.values())
         self.memo: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}  # of first pieces, which have no space before them
+        self.held = 0  # bytes of the memo
 
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
         """The ids of new pieces, each with the space before it."""
-        ids = self._library(" " + " ".join(pieces))
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        at = np.searchsorted(np.cumsum(self.length[ids]), ends, "left") + 1
-        raw, begin, out = ids.tobytes(), 0, []
-        for end in (4 * at).tolist():
-            out.append(raw[begin:end])
-            begin = end
+        out = []
+        for start in range(0, len(pieces), PART):
+            part = pieces[start : start + PART]
+            ids = self._library([" " + " ".join(part)])[0]
+            ends = np.cumsum([len(p.encode()) + 1 for p in part])
+            at = np.searchsorted(np.cumsum(self.length[ids]), ends, "left") + 1
+            raw, begin = ids.tobytes(), 0
+            for end in (4 * at).tolist():
+                out.append(raw[begin:end])
+                begin = end
         return out
 
-    def _part(self, part: list[str]) -> bytes:
-        found = list(map(self.memo.get, part))
-        if None in found:
-            gone = [i for i, x in enumerate(found) if x is None]
-            known: dict[str, bytes] = {}
-            new: dict[str, None] = {}
-            points: dict[str, str] = {}  # a word and a point, which the pattern always parts: the ids of both
-            for i in gone:
-                name = part[i]
-                if name[-1] in ",." and name[:-1].isalpha() and (name.isascii() or max(name) < "\u0250"):
-                    word = points[name] = name[:-1]
-                    x = self.memo.get(word)
-                    if x is None:
-                        new[word] = None
-                    else:
-                        known[word] = x
-                else:
-                    new[name] = None
-            if new:
-                known.update(zip(new, self._learn(list(new)), strict=True))
-            for name, word in points.items():
-                known[name] = known[word] + self.points[name[-1]]
-            for i in gone:
-                found[i] = known[part[i]]
-            if len(self.memo) + len(known) > MEMO:
-                self.memo.clear()
-            self.memo.update((p, x) for p, x in known.items() if len(p) < 64)
-        return b"".join(found)
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        cut = cut_at_spaces(text)
-        head = self.heads.get(cut[0])
-        if head is None:
-            head = self._library(cut[0]).tobytes()
-            if len(cut[0]) < 64 and len(self.heads) < 100_000:
-                self.heads[cut[0]] = head
-        return b"".join([head, *(self._part(cut[at : at + PART]) for at in range(1, len(cut), PART))])
+    def _letters(self, word: str) -> bytes:
+        """The ids of letters, with or without a space before them: one pre-token, which the library's model takes as it is, spelt in the byte alphabet."""
+        spelt = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _simple(self, text: str, space: str, words: dict[str, bytes]) -> bytes | None:
+        """The ids of letters and ASCII points after them, which are a pre-token of their own; None if text is anything else."""
+        word = text.rstrip(string.punctuation)
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
+            return None
+        ids = words.get(space + word)
+        if ids is None:
+            ids = words[space + word] = (self.memo.get(word) if space else None) or self._letters(space + word)
+        return ids + self.points[text[len(word) :]] if len(word) < len(text) else ids
+
+    def _known(self, pieces: list[str], often: np.ndarray) -> list[bytes]:
+        """The ids of distinct pieces; `often` marks those that the memo is to keep."""
+        found = list(map(self.memo.get, pieces))
+        gone = [i for i, x in enumerate(found) if x is None]
+        words: dict[str, bytes] = {}
+        rest = []
+        for i in gone:
+            line, feed, after = pieces[i].partition("\n")
+            ids = self._simple(line, " ", words)
+            if feed and ids:  # a line feed between other characters is a pre-token of its own
+                more = self._simple(after, "", words)
+                ids = more and ids + self.points[feed] + more
+            if ids:
+                found[i] = ids
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._learn([pieces[i] for i in rest]), strict=True):
+            found[i] = ids
+        if self.held > MEMO:
+            self.memo.clear()
+            self.held = 0
+        for i in gone:
+            if often[i] and len(pieces[i]) < 64:
+                self.held += ENTRY + 2 * len(pieces[i]) + len(found[i])
+                self.memo[pieces[i]] = found[i]
+        return found
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a slice of texts, `end` after each, and how many each has."""
+        lists, counts = _cut(texts)
+        ends = np.cumsum(counts)
+        heads = ends - counts
+        coded = lists.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).copy()
+        pieces = coded.dictionary.to_pylist()
+        # A text's first piece has no space before it.
+        first = lists.take(pa.array(heads)).dictionary_encode()
+        n = np.bincount(which, minlength=len(pieces))
+        n -= np.bincount(which[heads], minlength=len(pieces))
+        used = np.flatnonzero(n)
+        ids: list[bytes] = [b""] * len(pieces)
+        for i, x in zip(used.tolist(), self._known([pieces[i] for i in used.tolist()], n[used] > 1), strict=True):
+            ids[i] = x
+        which[heads] = len(ids) + first.indices.to_numpy(zero_copy_only=False)
+        ids += [x.tobytes() for x in self._library(first.dictionary.to_pylist())]
+        ids.append(struct.pack("<I", end))
+        which = np.insert(which, ends, len(ids) - 1)
+        raw = pa.array(ids, pa.large_binary()).take(pa.array(which))
+        offsets = np.frombuffer(raw.buffers()[1], np.int64, len(which) + 1) // 4
+        return np.frombuffer(raw.buffers()[2], "<u4", offsets[-1]), np.diff(offsets[ends + np.arange(1, len(ends) + 1)], prepend=0)
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of a slice of texts, and how many each has: at least one, which may be empty."""
+    simple, other = [], {}
+    for i, text in enumerate(texts.to_pylist()):
+        if text and not single_spaces(text):
+            other[i], text = cut_at_spaces(text), ""
+        simple.append(text)
+    lists = pc.split_pattern(pa.array(simple, pa.large_string()), " ")
+    if other:
+        parts, last = [], 0
+        for i, cut in other.items():
+            parts += [lists.slice(last, i - last), pa.array([cut], lists.type)]
+            last = i + 1
+        lists = pa.concat_arrays([*parts, lists.slice(last)])
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _slices(pieces: Pieces, texts: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids and sizes of a column of texts, in slices of about SLICE bytes. A longer text is a slice of its own, encoded in windows."""
+    bytes_ = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = bytes_[at - 1] if at else 0
+        stop = int(np.searchsorted(bytes_, before + SLICE, "right"))
+        if stop > at:
+            yield pieces.encode(texts.slice(at, stop - at), end)
+            at = stop
+        else:
+            parts = [pieces.encode(pa.array([x]), end)[0][:-1] for x in windows(texts[at].as_py(), SLICE)]
+            ids = np.concatenate([*parts, np.array([end], "<u4")])
+            yield ids, np.array([len(ids)])
+            at += 1
 
 
 def _pieces(file: bytes) -> Pieces:
@@ -253,34 +324,39 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     with open(tokenizer, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())  # about 2 MB, whatever the input
     key = docs.schema["doc_id"].dataType.simpleString()
-    end = struct.pack("<I", end_id)
-
     def run(batches) -> Iterator[pa.RecordBatch]:
         pieces, part, before = _pieces(file.value), TaskContext.get().partitionId(), 0
         names, sizes, parts, total = [], [], [], 0
-
-        def segment():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "within": pa.array([before], pa.int64()), "doc_ids": pa.array([names], pa.list_(kind)), "n_ids": pa.array([sizes], pa.list_(pa.int64())), "segment": pa.array([pack(ids)], pa.binary())})
-
-        kind = None
         for batch in without_gc(batches):
-            kind = batch.schema.field(0).type
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts += [pieces.ids(text.as_py()), end]
-                size = (len(parts[-2]) + 4) // 4
-                names.append(name)
-                sizes.append(size)
-                total += size
-                if total >= SEGMENT:
-                    yield segment()
-                    before += total
-                    names, sizes, parts, total = [], [], [], 0
+            column, row = batch.column(0), 0
+            for ids, counts in _slices(pieces, batch.column(1), end_id):
+                ends, at, done = np.cumsum(counts), 0, 0
+                while at < len(counts):  # up to the document that fills the segment
+                    stop = min(int(np.searchsorted(ends, done + SEGMENT - total)) + 1, len(counts))
+                    names.append(column.slice(row + at, stop - at))
+                    sizes.append(counts[at:stop])
+                    parts.append(ids[done : ends[stop - 1]])
+                    total += int(ends[stop - 1]) - done
+                    at, done = stop, int(ends[stop - 1])
+                    if total >= SEGMENT:
+                        yield _segment(part, before, names, sizes, parts)
+                        before += total
+                        names, sizes, parts, total = [], [], [], 0
+                row += len(counts)
+                give_back()
         if names:
-            yield segment()
+            yield _segment(part, before, names, sizes, parts)
+
+    # Equal ids are told apart by their texts' hashes, and equal rows by numbers, so that none of them has to be in one task.
+    rows = docs.select("doc_id", text_of().alias("text")).withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange("doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "text").mapInArrow(run, f"part int, within bigint, doc_ids array<{key}>, n_ids array<bigint>, segment binary").write.parquet(path)
+
 
-    ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, f"part int, within bigint, doc_ids array<{key}>, n_ids array<bigint>, segment binary").write.parquet(path)
+def _segment(part: int, before: int, names: list[pa.Array], sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+    one = lambda flat: pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+    row = {"part": pa.array([part], pa.int32()), "within": pa.array([before], pa.int64()), "doc_ids": one(pa.concat_arrays(names)), "n_ids": one(pa.array(np.concatenate(sizes), pa.int64())), "segment": pa.array([pack(np.concatenate(parts))], pa.binary())}
+    return pa.RecordBatch.from_pydict(row)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
