@@ -6,8 +6,9 @@ original text stays, then the smallest id. Bytes are compared inside each group,
 cannot merge different texts.
 
 Scale: texts are hashed where they are scanned, and only (hash, id, length) is shuffled. Groups are pre-aggregated by
-(hash, salt), so a group that holds a third of all rows is spread over `SALTS` keys in every shuffle. Only members of groups of two or more have their bytes
-shuffled for the comparison.
+(hash, salt), so a group that holds a third of all rows is spread over `SALTS` keys in every shuffle, whatever the ids. For the comparison members of groups of two or more
+are marked in a bitmap of ids (4 MB): other rows are neither hashed again nor shuffled, as long as the marked ids are few against its 2 ** 25 bits; beyond that more rows take part, never fewer.
+Each task hands on two texts of a group at most.
 
 Edge cases: null text counts as empty; all empty texts form one group; a null id sorts before all others; rows
 repeated with the same id and text are all marked as kept (`drop_copies` keeps one of them); other columns are ignored.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, text_of
+from .common import SPACES, marked, stored, text_of
 
 #: Parts that the rows of one hash are spread over.
 SALTS = 64
@@ -29,71 +30,70 @@ def normal_form(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, norm, n_chars, digest (32 bytes), k (its first 16), salt."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    """doc_id, n_chars, norm, digest (32 bytes), k (its first 16)."""
     rows = docs.select("doc_id", text_of().alias("raw")).select("doc_id", F.char_length("raw").cast("long").alias("n_chars"), normal_form(F.col("raw")).alias("norm"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    return rows.withColumn("k", F.substring("digest", 1, 16)).withColumn("salt", salt)
+    return rows.withColumn("digest", F.unhex(F.sha2("norm", 256))).withColumn("k", F.substring("digest", 1, 16))
 
 
-def _groups(parts: DataFrame, *key: str) -> DataFrame:
-    """parts: key, salt, n, best (a struct whose minimum is the row that stays). Adds the size and the best of the whole group to each part."""
+def _groups(rows: DataFrame, *key: str) -> DataFrame:
+    """rows: key, salt, doc_id, n_chars. For each key and salt the size of the key's whole group and the row that stays."""
+    best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").alias("keep_id"))
+    parts = rows.groupBy(*key, "salt").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
     whole = parts.groupBy(*key).agg(F.sum("n").alias("group_size"), F.min("best").alias("keep"))
     return parts.select(*key, "salt").join(whole, list(key))
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """rows, each with a part of its group by its place in the table: null and repeated ids are spread as well. The result has to be stored."""
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    return _decided(docs).drop("n_chars")
+    return _decided(docs).drop("n_chars", "k")
 
 
 def _decided(docs: DataFrame) -> DataFrame:
-    """exact_groups() with n_chars, the row's own length."""
-    narrow = stored(_keyed(docs).drop("norm"), "exact-rows")
-    best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").alias("keep_id"))
-    parts = narrow.groupBy("k", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
-    groups = stored(_groups(parts, "k"), "exact-groups")
-    collided = _collisions(docs, groups)
+    """exact_groups() with n_chars, the row's own length, and k."""
+    narrow = stored(_salted(_keyed(docs).drop("norm")), "exact-rows")
+    decided = stored(_result(narrow.join(_groups(narrow, "k"), ["k", "salt"])), "exact-groups")
+    collided = _collisions(docs, decided)
     if collided.isEmpty():
-        return _result(narrow.join(groups, ["k", "salt"]))
+        return decided
     # Different texts share 128 bits: their rows are grouped by the text itself.
-    apart = _keyed(docs).join(collided, "k", "left_semi")
-    parts = apart.groupBy("k", "norm", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
-    fine = apart.join(_groups(parts, "k", "norm"), ["k", "norm", "salt"])
-    rest = narrow.join(collided, "k", "left_anti").join(groups, ["k", "salt"])
-    return _result(rest).unionByName(_result(fine))
+    apart = stored(_salted(_keyed(docs).join(collided, "k", "left_semi")), "exact-apart")
+    fine = apart.join(_groups(apart, "k", "norm"), ["k", "norm", "salt"])
+    return stored(decided.join(collided, "k", "left_anti").unionByName(_result(fine)), "exact-groups")
 
 
-def _collisions(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The k of groups whose texts are not all the same bytes. Compared as the least and the greatest text of each (k, salt), then of each k."""
-    shared = groups.where("group_size > 1").select("k", "salt")
-    texts = _keyed(docs).select("k", "salt", "norm").join(shared, ["k", "salt"])
-    ends = texts.groupBy("k", "salt").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-    # Where a part's two ends are equal, which is the rule, one of them stands for both.
-    ends = ends.select("k", "low", F.when(F.col("low") != F.col("high"), F.col("high")).alias("high"))
-    whole = ends.groupBy("k").agg(F.min("low").alias("low"), F.max("low").alias("low_max"), F.max("high").alias("high"))
-    return stored(whole.where("low != low_max OR high IS NOT NULL").select("k"), "exact-collisions")
+def _collisions(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The k of groups whose texts are not all the same bytes: their least and their greatest text differ. Only rows that share their k with
+    others are compared, found by their ids; each task hands on two texts of a group at most."""
+    members, _ = marked(docs.select("doc_id", "text"), "doc_id", decided.where("group_size > 1").select("doc_id"))
+    ends = _keyed(members).groupBy("k").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    return stored(ends.where("low != high").select("k"), "exact-collisions")
 
 
 def _result(rows: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("keep.keep_id")) & (F.col("n_chars") == -F.col("keep.less"))
-    return rows.select("doc_id", F.col("keep.keep_id").alias("keep_id"), "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
+    return rows.select("doc_id", F.col("keep.keep_id").alias("keep_id"), "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars", "k")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups() does not keep, all columns kept. Of rows repeated with one id in a group, one stays."""
-    found = _decided(docs)
+    found = _decided(docs).select("kept", "group_size", F.col("doc_id").alias("exact_id"), F.col("text_sha256").alias("exact_sha256"), F.col("n_chars").alias("exact_chars"))
     same = ["exact_id", "exact_sha256"]
-    keys = found.select("kept", "group_size", F.col("doc_id").alias("exact_id"), F.col("text_sha256").alias("exact_sha256"), F.col("n_chars").alias("exact_chars"))
-    rows = docs.withColumns({"own_sha256": F.sha2(normal_form(text_of()), 256), "own_chars": F.char_length(text_of()).cast("long")})
+    gone = found.where("NOT kept").drop("kept", "group_size")
+    twice = stored(found.where("kept AND group_size > 1").groupBy(*same).count().where("count > 1").select(*same), "exact-twice")
+    # Rows whose id no dropped or repeated row has stay where they are.
+    touched, rest = marked(docs, "doc_id", gone.select("exact_id").unionByName(twice.select("exact_id")))
+    rows = touched.withColumns({"own_sha256": F.sha2(normal_form(text_of()), 256), "own_chars": F.char_length(text_of()).cast("long")})
     own = F.col("doc_id").eqNullSafe(F.col("exact_id")) & (F.col("own_sha256") == F.col("exact_sha256"))
-    gone = keys.where("NOT kept").drop("kept", "group_size")
     out = rows.join(gone, own & (F.col("own_chars") == F.col("exact_chars")), "left_anti")
-    twice = keys.where("kept AND group_size > 1").groupBy(*same).count().where("count > 1").select(*same)
     if not twice.isEmpty():
         one = out.join(twice, own, "left_semi").dropDuplicates(["doc_id", "own_sha256"])
         out = out.join(twice, own, "left_anti").unionByName(one)
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(rest)
 
 
 EXACT_SQL = r"""
