@@ -6,8 +6,9 @@ encoding of the first q bytes. No token is longer than L bytes, which the merge
 one of the last L positions is a boundary. The transducer keeps, for each position, the last token of the encoding up to there; tokens that the
 encodings up to the last L positions have in common can't change any more and are emitted. Memory is that window, not the text.
 
-Pre-tokens come from the public byte-level pattern. Texts are first cut at single spaces between two characters that
-are no white space; the pattern always ends a pre-token there. The results for the pieces are kept in a bounded memo.
+Pre-tokens come from the public byte-level pattern; each is fed to the transducer and finished at its end. Texts are read in windows, cut at single spaces between two characters that
+are no white space, where the pattern always ends a pre-token; a longer pre-token is fed in parts. What the transducer gave for a piece of text between two spaces is kept in a
+bounded memo, an exact shortcut for pieces that come again. So beside the text itself, which Spark hands over whole, memory is bounded by the window and the memos.
 
 The result equals the tokenizers library's with add_special_tokens=False: strings of added special tokens in a text are those tokens. Null text is encoded as
 the empty text (0 tokens). Ids and null ids pass through; repeated rows are separate rows; other columns are ignored. A text of any
@@ -19,22 +20,26 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, cut_at_spaces, text_of, without_gc, worker_cache
+from .common import Memo, cut_at_spaces, text_of, windows, without_gc, worker_cache
 
 #: Entries in each of the two generations of a worker's memo of pieces: about 200 bytes an entry.
 MEMO = 400_000
-#: Pieces of a text that are looked up before the hashes are fed.
-PART = 8192
+#: Characters of a text that are looked up before the hashes are fed; of a pre-token that the transducer is fed at once, and that a memo is asked for.
+WINDOW, LONG = 1 << 18, 1 << 12
+#: Pairs of tokens of which it is known whether they stand; ids that are decoded at once.
+PAIRS, PART = 500_000, 8192
 # Fixed value: the public pre-token pattern of this family of vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -70,15 +75,25 @@ class Model:
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         #: The merge list's sufficient lookahead in bytes: the length of its longest token.
         self.lookahead = max(map(len, self.ids))
-        self.prefixes = {token[:n] for token in self.ids for n in range(1, len(token))}
+        #: Tokens as the vocabulary spells them, found in one walk over a text.
+        self.automaton = ahocorasick.Automaton()
+        for word, i in vocab.items():
+            if spelt.get(word) in self.ids:
+                self.automaton.add_word(word, (len(word), i))
+        self.automaton.make_automaton()
+        self.alphabet = {b: c for c, b in alphabet.items()}
         self.pairs: dict[int, bool] = {}
 
+    def spell(self, data: bytes) -> str:
+        """Bytes as the vocabulary writes them, a character each."""
+        return data.decode("latin-1").translate(self.alphabet)
+
     def stands(self, a: int, b: int) -> bool:
         """Whether the bytes of tokens a and b together are encoded as a, b."""
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self._seam_holds(a, b, len(self.rank))
         return known
@@ -101,70 +116,56 @@ class Model:
                 taken_b, b = born_b[0], born_b[1]
 
 
-def encode_short(model: Model, data: bytes) -> list[int]:
-    """The tokens of a pre-token that the window holds whole, so that none has to be emitted before its end. Tokens are tried
-    longest first; each position has one last token at most that stands, so a position left once is never tried again."""
-    ids, prefixes, stands, n = model.ids, model.prefixes, model.stands, len(data)
-    row: list[int] = []
-    ends, left = [0], set()
-    while (at := ends[-1]) < n:
-        found, end = [], at + 1
-        while end <= n:
-            part = data[at:end]
-            if (token := ids.get(part)) is not None:
-                found.append((end, token))
-            if part not in prefixes:
-                break
-            end += 1
-        for end, token in reversed(found):
-            if end not in left and (not row or stands(row[-1], token)):
-                row.append(token)
-                ends.append(end)
-                break
-        else:
-            left.add(ends.pop())
-            if not row:
-                raise ValueError("a byte is missing from the vocabulary")
-            row.pop()
-    return row
-
-
 class Transducer:
-    """Encodes one pre-token: feed() bytes, each call returning the tokens that have become stable, then finish()."""
+    """Encodes one pre-token: feed() its bytes in parts of any size, each call returning the tokens that have become stable, then finish().
+
+    An automaton over all tokens names, at each position, the tokens that end there, longest first; one of them alone stands after the encoding up to its begin."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.base = 0  # position of window[0]
-        self.window = b""  # bytes from base on
+        self.search = model.automaton.iter("")
+        self.base = 0  # position of steps[0]
         self.steps: list[tuple[int, int]] = [(0, -1)]  # for positions base, base + 1, ...: where the last token begins, its id
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
+        spelt = self.model.spell(data)
         most = self.model.lookahead
-        for at in range(0, len(data), 4 * most):
-            self._extend(data[at : at + 4 * most])
-            if len(self.window) > 2 * most:
-                out += self._emit(range(self.base + len(self.window) - most + 1, self.base + len(self.window) + 1))
+        for at in range(0, len(spelt), 4 * most):
+            self._extend(spelt[at : at + 4 * most])
+            if len(self.steps) > 2 * most:
+                end = self.base + len(self.steps)
+                out += self._emit(range(end - most, end))
         return out
 
+    @property
+    def window(self) -> list[tuple[int, int]]:
+        """What is held of bytes whose tokens may still change."""
+        return self.steps[1:]
+
     def finish(self) -> list[int]:
-        out = self._emit([self.base + len(self.window)])
-        self.base, self.window, self.steps = 0, b"", [(0, -1)]
+        out = self._emit([self.base + len(self.steps) - 1])
+        self.search.set("", True)
+        self.base, self.steps = 0, [(0, -1)]
         return out
 
-    def _extend(self, data: bytes) -> None:
-        ids, stands, most = self.model.ids, self.model.stands, self.model.lookahead
-        start = len(self.window)
-        window = self.window = self.window + data
-        base, steps = self.base, self.steps
-        for end in range(start + 1, len(window) + 1):
-            for begin in range(max(0, end - most), end):
-                token = ids.get(window[begin:end])
-                if token is not None and ((before := steps[begin][1]) < 0 or stands(before, token)):
-                    steps.append((base + begin, token))
-                    break
-            else:
-                raise ValueError("a byte is missing from the vocabulary")
+    def _extend(self, spelt: str) -> None:
+        base, steps, pairs, stands = self.base, self.steps, self.model.pairs, self.model.stands
+        self.search.set(spelt)
+        size = len(steps) + len(spelt)
+        done = base + len(steps) - 1  # the last position that has its token
+        for last, (length, token) in self.search:
+            if last < done:
+                continue
+            begin = last + 1 - length
+            if begin < base:
+                continue
+            before = steps[begin - base][1]
+            if before < 0 or (pairs[key] if (key := before << 32 | token) in pairs else stands(before, token)):
+                steps.append((begin, token))
+                done = last + 1
+        if len(steps) != size:
+            raise ValueError("a byte is missing from the vocabulary")
 
     def _emit(self, live) -> list[int]:
         """The tokens up to the last boundary that the encodings of all live positions share; the window is cut there."""
@@ -184,7 +185,6 @@ class Transducer:
             at, token = steps[at - base]
             out.append(token)
         if cut > base:
-            self.window = self.window[cut - base :]
             # A boundary that is known to hold: what comes before it is still compared with the next token.
             self.steps = [(cut, steps[cut - base][1]), *steps[cut - base + 1 :]]
             self.base = cut
@@ -208,8 +208,8 @@ class Table:
 
 
 class Encoder:
-    """Pieces of text -> their ids as little-endian u32, with a memo of pieces (without the space before them), which also serves the pre-tokens inside
-    pieces, and a small one of pre-tokens that have no space before them."""
+    """Texts -> their ids as little-endian u32, in parts. Every pre-token goes through the transducer once; a memo of what it gave for pieces of text between spaces (without the space
+    before them) is an exact shortcut for those that come again, and a small one serves pre-tokens that have no space before them."""
 
     def __init__(self, file: bytes, memo: int = MEMO):
         self.model = Model(file)
@@ -221,37 +221,62 @@ class Encoder:
 
     def _word(self, text: str) -> bytes:
         """One pre-token."""
-        data, machine = text.encode("utf-8", "surrogatepass"), self.transducer
-        ids = encode_short(self.model, data) if len(data) <= self.model.lookahead else machine.feed(data) + machine.finish()
+        ids = self.transducer.feed(text.encode("utf-8", "surrogatepass"))
+        ids += self.transducer.finish()
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _known(self, word: str) -> bytes:
         return self.memo[word[1:]] if word[0] == " " and not word.isspace() else self.words[word]
 
     def ids(self, text: str) -> bytes:
-        model, out = self.model, []
-        for name in model.special:
-            if name in text:
-                break
-        else:
-            found = PATTERN.findall(text)
-            return self._word(found[0]) if len(found) == 1 and text[0] == " " else b"".join(map(self._known, found))
-        for part in model.special_re.split(text) if model.special_re else [text]:
-            if part in model.special:
-                out.append(struct.pack("<I", model.special[part]))
-            else:
-                out += [self._known(found[0]) for found in PATTERN.finditer(part)]
-        return b"".join(out)
+        """A text in one."""
+        if not self._special(text):
+            found = PATTERN.findall(text) if len(text) <= LONG else []
+            if len(found) == 1 and text[0] == " ":
+                return self._word(text)
+            if found:
+                return b"".join(map(self._known, found))
+        return b"".join(self.stream(text))
+
+    def _special(self, text: str) -> bool:
+        return any(name in text for name in self.model.special)
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """A text pre-token by pre-token. One of more than LONG characters is fed in parts, and its tokens come out as they become stable."""
+        model, machine, at = self.model, self.transducer, 0
+        marks = model.special_re.finditer(text) if model.special_re else ()
+        for mark in [*marks, None] if len(text) <= LONG else itertools.chain(marks, [None]):
+            for m in PATTERN.finditer(text, at, mark.start() if mark else len(text)):
+                begin, end = m.span()
+                if end - begin <= LONG:
+                    yield self._known(m[0])
+                    continue
+                for i in range(begin, end, LONG):
+                    ids = machine.feed(text[i : min(i + LONG, end)].encode("utf-8", "surrogatepass"))
+                    yield struct.pack(f"<{len(ids)}I", *ids)
+                ids = machine.finish()
+                yield struct.pack(f"<{len(ids)}I", *ids)
+            if mark:
+                yield struct.pack("<I", model.special[mark[0]])
+                at = mark.end()
 
     def parts(self, text: str) -> Iterator[np.ndarray]:
-        """The text's ids, in arrays: of its first piece, then of PART pieces each."""
+        """The text's ids, in arrays: of each window its first piece, then the others."""
         if not text:
             return
-        cut = cut_at_spaces(text)
         memo = self.memo
-        yield np.frombuffer(self.ids(cut[0]), "<u4")
-        for at in range(1, len(cut), PART):
-            yield np.frombuffer(b"".join(map(memo.__getitem__, cut[at : at + PART])), "<u4")
+        for window in windows(text, WINDOW):
+            cut = cut_at_spaces(window)
+            for at, piece in enumerate(cut):
+                if len(piece) > LONG:  # no memo for it, and no bound on its ids
+                    break
+            else:
+                first = self.ids(cut[0]) if cut[0] else b""
+                yield np.frombuffer(b"".join([first, *map(memo.__getitem__, cut[1:])]), "<u4")
+                continue
+            for at, piece in enumerate(cut):
+                for ids in self.stream(f" {piece}" if at else piece):
+                    yield np.frombuffer(ids, "<u4")
 
 
 def encode_text(encoder: Encoder, text: str) -> list[int]:
