@@ -41,7 +41,7 @@ def md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, F.concat(F.when(d % 2 == 0, "Warning: ").otherwise("Note: "), "line"))
         .when(k.isin(7, 8, 9), F.concat(F.when(d % 6 == 5, "* ").otherwise("- "), item, "line"))
         .when(k == 10, F.concat(F.lit("| a | "), first, F.when(d % 3 == 0, " | c | d | e").otherwise(""), F.lit(" |\n| --- | --- |\n| 1 | 2 |")))
-        .when(k == 11, F.concat(F.lit("total = "), i.cast("string"), F.lit(" + "), F.substring("line", 1, 190)))
+        .when(k == 11, F.concat(F.lit("total = "), i.cast("string"), F.lit(" + "), F.col("line")))
         .otherwise(F.concat("line", fault))
     )
     at = F.when(k.isin(2, 3, 4), i - k + 2).when(k.isin(7, 8, 9), i - k + 7).otherwise(i)
@@ -74,7 +74,7 @@ ml AS (
       WHEN k = 6 THEN CASE WHEN doc_id % 2 = 0 THEN 'Warning: ' ELSE 'Note: ' END || line
       WHEN k IN (7, 8, 9) THEN CASE WHEN doc_id % 6 = 5 THEN '* ' ELSE '- ' END || item || line
       WHEN k = 10 THEN '| a | ' || w1 || CASE WHEN doc_id % 3 = 0 THEN ' | c | d | e' ELSE '' END || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |'
-      WHEN k = 11 THEN 'total = ' || line_no::VARCHAR || ' + ' || left(line, 190)
+      WHEN k = 11 THEN 'total = ' || line_no::VARCHAR || ' + ' || line
       ELSE line || CASE WHEN doc_id % 17 = 3 AND k = 1 THEN chr(65533) || ' (cid:7)' WHEN doc_id % 19 = 4 AND k = 1 THEN chr(145) || ' x' ELSE '' END END AS md FROM mk),
 mb AS (SELECT doc_id, source, block_at, string_agg(md, chr(10) ORDER BY line_no) AS md FROM ml GROUP BY ALL),
 mf AS (

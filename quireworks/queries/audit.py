@@ -8,9 +8,9 @@ from .sql import S, collapse, trim, words
 
 
 def entries(spark, d):
-    """A title for each document: the first line, shortened so that titles recur."""
+    """A title for each document: the first line; titles recur as documents do."""
     docs = lift.table(spark, d, "documents")
-    return docs.select(F.col("source").alias("project"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 14).alias("title"))
+    return docs.select(F.col("source").alias("project"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"))
 
 
 def _joined(spark, d):
@@ -24,7 +24,7 @@ PROMISE = (
     r"(?i)\b(do(e?s)?\s+and\s+(don''?ts?|do\s*nots?)|pros\s+and\s+cons|before\s+and\s+after|dos?\s*/\s*don''?ts?)\b|^\s*\d+\s+(ways?|steps?|rules?|reasons?|things?|mistakes?)\b"
     r"|\bthe\s+\d+\s+(ways?|steps?|rules?|reasons?|checks?)\b|\bvs\.?\b|\bversus\b"
 )
-ENTRIES = "en AS (SELECT source AS project, doc_id AS pos, doc_id AS id, left(string_split(coalesce(text, ''), chr(10))[1], 14) AS title FROM documents)"
+ENTRIES = "en AS (SELECT source AS project, doc_id AS pos, doc_id AS id, string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents)"
 DUPLICATES = f"du AS (SELECT project, lower({trim('title')}) AS title, count(*) AS n, list(id ORDER BY pos) AS ids FROM en GROUP BY 1, 2 HAVING count(*) > 1)"
 DENSITY = f"""d0 AS (SELECT project, file_id, {words('text')} AS words, greatest(1, end_page - start_page + 1) AS pages FROM mf),
 d1 AS (SELECT *, words / pages AS density FROM d0),

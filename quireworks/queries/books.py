@@ -23,7 +23,7 @@ def forms(spark, d):
     docs = lift.table(spark, d, "documents")
     p = F.col("doc_id")
     text = F.concat(
-        F.lit("<!-- note\n**Tone:** hidden -->\n# Brand\n**Niche (required):** "), F.substring(_line(0), 1, 20), F.lit("\n**Book Title:** "), F.substring(_line(1), 1, 30), F.lit("\nsecond line\n\n\nthird <&>\n\n**Unknown:** zzz\nlost\n**Author / Brand Name:**\n"), F.col("source"),
+        F.lit("<!-- note\n**Tone:** hidden -->\n# Brand\n**Niche (required):** "), _line(0), F.lit("\n**Book Title:** "), _line(1), F.lit("\nsecond line\n\n\nthird <&>\n\n**Unknown:** zzz\nlost\n**Author / Brand Name:**\n"), F.col("source"),
         F.lit("\n---\nignored\n**Primary:** "), F.lpad((p % 1000000).cast("string"), 6, "0"), F.lit("\n**Accent:** #abc123\n**Target Reader:** all\n**Tone (optional):** calm\n**Secondary:** 333333\n**Text:** #1c1a17\n"),
         F.when(p % 3 == 0, "**Background:** fbfaf7\n").otherwise("**Background:**\n"), F.lit("**Back Cover Bullets:**\n- one\n\n* two-"), p.cast("string"), F.lit("\n\nthree - x\n**Back Cover Punchline:** P"), F.when(p % 5 == 0, "").otherwise("unch"), F.lit("\n**Accent:** #def456\n"),
         F.when(p % 2 == 0, "**Disclaimer (optional):** not\nadvice\n\nat all\n").otherwise(""), F.when(p % 4 == 1, "**CTA Title:** Go\n**CTA Body:** now\n**CTA Link:** http://x\n").otherwise(""), F.when(p % 8 == 1, "**CTA Link Label:** Click\n").otherwise(""), F.lit("**Body Font:** Lora\n"),
@@ -41,10 +41,10 @@ def _resolved(spark, d):
 
 def bonus_files(spark, d):
     docs = lift.table(spark, d, "documents")
-    p, a = F.col("doc_id"), F.substring(_line(0), 1, 15)
+    p, a = F.col("doc_id"), _line(0)
     check = F.concat(F.when(p % 3 == 0, "• Example zero • ").otherwise("• check "), a, F.lit(" • Example a • example b • Examples c • Example d\n\nBetween\n\n• last <one> • Example e"))
     sheet = F.concat(F.lit("1. Name • hint\nplain line\n2. Goal "), a, F.lit(" • guide & • more\n\nrule • go • no\n\n3. Third"))
-    text = F.concat(F.lit("# BONUS\n\n## "), F.substring(_line(1), 1, 20), F.lit(" title\n\nIntro "), a, F.lit("\n\n"), F.when(p % 2 == 0, check).otherwise(sheet), F.lit("\n\nOutro"))
+    text = F.concat(F.lit("# BONUS\n\n## "), _line(1), F.lit(" title\n\nIntro "), a, F.lit("\n\n"), F.when(p % 2 == 0, check).otherwise(sheet), F.lit("\n\nOutro"))
     return docs.select(p.alias("file_id"), F.when(p % 2 == 0, "checklist").otherwise("worksheet").alias("format"), text.alias("text"))
 
 
@@ -57,8 +57,8 @@ def book_parts(spark, d):
         "project", F.concat(F.lit("Book & "), "project").alias("title"), F.when(k % 2 == 0, "Sub").alias("subtitle"), F.lit("Me").alias("author"), F.when(k % 3 == 0, F.concat(F.lit("cover/final/"), "project", F.lit(".png"))).alias("cover"), F.when(k % 2 == 1, "One.\n\nTwo <b>.").alias("disclaimer"),
         (k % 2 == 1).alias("disclaimer_required"), (k % 3).alias("n_bonuses"), F.when(k % 4 > 0, "Go").alias("cta_title"), F.lit("now").alias("cta_content"), F.when(k % 4 == 2, "http://x").alias("cta_link"), F.when(k % 5 > 0, "Punch").alias("punchline"), (k % 2 + 0).alias("n_points"),
     )
-    html = F.concat(F.lit('<section class="chapter-open" id="c'), F.col("doc_id").cast("string"), F.lit('"><p>'), T.escaped(F.substring(_line(0), 1, 30)), F.lit("</p></section>"))
-    chapters = docs.select(F.col("source").alias("project"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("number"), F.substring(_line(0), 1, 12).alias("title"), html.alias("html"))
+    html = F.concat(F.lit('<section class="chapter-open" id="c'), F.col("doc_id").cast("string"), F.lit('"><p>'), T.escaped(F.coalesce("text", F.lit(""))), F.lit("</p></section>"))
+    chapters = docs.select(F.col("source").alias("project"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("number"), _line(0).alias("title"), html.alias("html"))
     return assembly.book_parts(books, chapters)
 
 
@@ -93,7 +93,7 @@ def outline(spark, d):
     docs = lift.table(spark, d, "documents")
     from pyspark.sql import Window
 
-    rows = docs.select(F.col("source").alias("project"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("id"), F.substring(_line(0), 1, 10).alias("title"))
+    rows = docs.select(F.col("source").alias("project"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("id"), _line(0).alias("title"))
     up = F.floor(F.col("id") / 5).cast("int")
     return assembly.flat_titles(rows.select("project", "id", F.when(up > 0, up).alias("parent"), F.col("id").alias("pos"), "title"))
 
@@ -121,7 +121,7 @@ QUERIES = {
 _L = "ls AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
 _FIELDS = f"""f0 AS (SELECT doc_id AS p, source, coalesce(l[1], '') AS l0, coalesce(l[2], '') AS l1 FROM ls),
 f AS (
-  SELECT p, 'niche' AS key, {trim('left(l0, 20)')} AS value FROM f0 UNION ALL SELECT p, 'title', CASE WHEN {trim('left(l1, 30)')} = '' THEN '' ELSE {trim('left(l1, 30)')} || ' ' END || 'second line' || chr(10) || chr(10) || 'third <&>' FROM f0
+  SELECT p, 'niche' AS key, {trim('l0')} AS value FROM f0 UNION ALL SELECT p, 'title', CASE WHEN {trim('l1')} = '' THEN '' ELSE {trim('l1')} || ' ' END || 'second line' || chr(10) || chr(10) || 'third <&>' FROM f0
   UNION ALL SELECT p, 'author', source FROM f0 UNION ALL SELECT p, 'primary', lpad((p % 1000000)::VARCHAR, 6, '0') FROM f0 UNION ALL SELECT p, 'accent', '#def456' FROM f0 UNION ALL SELECT p, 'targetReader', 'all' FROM f0 UNION ALL SELECT p, 'tone', 'calm' FROM f0
   UNION ALL SELECT p, 'secondary', '333333' FROM f0 UNION ALL SELECT p, 'text', '#1c1a17' FROM f0 UNION ALL SELECT p, 'background', CASE WHEN p % 3 = 0 THEN 'fbfaf7' ELSE '' END FROM f0
   UNION ALL SELECT p, 'backCoverBullets', '- one' || chr(10) || chr(10) || '* two-' || p || chr(10) || chr(10) || 'three - x' FROM f0 UNION ALL SELECT p, 'backCoverPunchline', CASE WHEN p % 5 = 0 THEN 'P' ELSE 'Punch' END FROM f0
@@ -138,7 +138,7 @@ _MISSING = "concat_ws(',', CASE WHEN niche IS NULL THEN 'niche' END, CASE WHEN p
 _VARS = {"bg": "color-bg", "bgAlt": "color-bg-alt", "text": "color-text", "textMuted": "color-text-muted", "heading": "color-heading", "primary": "color-primary", "secondary": "color-secondary", "accent": "color-accent", "border": "color-border", "rule": "color-rule", "link": "color-link", "danger": "color-danger"}
 _E = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 #: The checklist's items, by the rule applied row by row: a fold over the bullets in order.
-_ITEMS = f"""bb AS (SELECT doc_id AS p, left(coalesce(l[1], ''), 15) AS a, left(coalesce(l[2], ''), 20) AS t FROM ls),
+_ITEMS = f"""bb AS (SELECT doc_id AS p, coalesce(l[1], '') AS a, coalesce(l[2], '') AS t FROM ls),
 bu AS (SELECT p, list_filter(list_transform(string_split(CASE WHEN p % 3 = 0 THEN '• Example zero • ' ELSE '• check ' END || a || ' • Example a • example b • Examples c • Example d' || ' • last <one> • Example e', '•'), lambda x: {trim('x')}), lambda x: x <> '') AS bs FROM bb WHERE p % 2 = 0),
 st AS (
   SELECT p, 1 AS i, bs, bs[1] AS text, false AS is_note, false AS has_note FROM bu
@@ -166,7 +166,7 @@ SELECT p AS file_id, nth, CASE WHEN p % 2 = 0 THEN '<li class="checklist-item"><
   ELSE '<li class="worksheet-field">' || chr(10) || '<p class="worksheet-label">' || label || '</p>' || CASE WHEN guide = '' THEN '' ELSE chr(10) || '<p class="worksheet-guide">' || {_E('guide')} || '</p>' END || chr(10) || '<span class="worksheet-rule" data-field="f' || nth || '" data-field-label="' || label || '"></span>' || chr(10) || '</li>' END AS html FROM l""",
     "field_boxes": "SELECT l_orderkey AS project, l_quantity * 0.75::DOUBLE AS x, 800 * 0.75::DOUBLE - l_quantity * 3 * 0.75::DOUBLE - 9.0::DOUBLE AS y, l_linenumber * 0.75::DOUBLE AS width, 9.0::DOUBLE AS height FROM lineitem",
     "book_parts": f"""WITH {_L}, b AS (SELECT source AS project, min(doc_id) AS k FROM ls GROUP BY 1), m AS (SELECT *, '<div class="doc-title-marker">Book &amp; ' || project || '</div>' AS mark FROM b),
-h AS (SELECT source AS project, doc_id AS p, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth, {_E("left(l[1], 30)")} AS body, {_E("CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id < 10 THEN '0' ELSE '' END || doc_id || '. ' ELSE '' END || left(l[1], 12)")} AS label FROM ls)
+h AS (SELECT source AS project, doc_id AS p, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth, {_E("array_to_string(l, chr(10))")} AS body, {_E("CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id < 10 THEN '0' ELSE '' END || doc_id || '. ' ELSE '' END || l[1]")} AS label FROM ls)
 SELECT project, 0 AS ordinal, 0 AS nth, 'cover' AS section, CASE WHEN k % 3 = 0 THEN '<section class="cover-page">' || mark || '<img src="cover/final/' || project || '.png" alt="Book &amp; ' || project || '"></section>' END AS html, CASE WHEN k % 3 > 0 THEN 'no print cover' END AS reason FROM m
 UNION ALL SELECT project, 1, 0, 'title-page', '<section class="title-page">' || CASE WHEN k % 3 > 0 THEN mark ELSE '' END || '<h1>Book &amp; ' || project || '</h1>' || CASE WHEN k % 2 = 0 THEN '<p>Sub</p>' ELSE '' END || '<p>Me</p></section>', NULL FROM m
 UNION ALL SELECT project, 2, 0, CASE WHEN k % 2 = 1 THEN 'copyright+disclaimer' ELSE 'copyright' END, '<section><p>Me</p>' || CASE WHEN k % 2 = 1 THEN '<p>One.</p>' || chr(10) || '<p>Two &lt;b&gt;.</p>' ELSE '' END || '</section>', NULL FROM m
@@ -180,8 +180,8 @@ r AS (SELECT *, CASE WHEN name ILIKE '%.print.%' THEN 0 WHEN name NOT ILIKE '%.k
 SELECT project, 'cover/final/' || arg_min(name, {'r': rank, 'n': name}) AS cover FROM r WHERE rank IS NOT NULL GROUP BY project""",
     "stage_results": """WITH r AS (SELECT user_id AS project, 'stage' || (event_id % 4) AS stage, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'not_implemented' ELSE 'success' END AS status FROM events)
 SELECT project, stage, arg_max(status, event_id) AS status, max(event_id) AS finished_at, CASE arg_max(status, event_id) WHEN 'success' THEN 0 WHEN 'not_implemented' THEN 2 ELSE 1 END AS exit_code FROM r GROUP BY ALL""",
-    "media_urls": "SELECT event_id, CASE WHEN event_id % 6 IN (3, 5) THEN NULL WHEN event_id % 6 = 1 THEN NULL ELSE 'http://m/' || event_id END AS url FROM events",
-    "outline_titles": """WITH RECURSIVE n AS (SELECT source AS project, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id, left(string_split(coalesce(text, ''), chr(10))[1], 10) AS title FROM documents),
+    "media_urls": "SELECT event_id, CASE WHEN event_id % 6 = 3 THEN NULL ELSE 'http://m/' || event_id END AS url FROM events",
+    "outline_titles": """WITH RECURSIVE n AS (SELECT source AS project, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id, string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents),
 t AS (SELECT project, id, title, [id] AS path, 0 AS depth FROM n WHERE id < 5 UNION ALL SELECT n.project, n.id, n.title, list_append(path, n.id), depth + 1 FROM t JOIN n ON n.project = t.project AND n.id // 5 = t.id)
 SELECT project, row_number() OVER (PARTITION BY project ORDER BY path) AS nth, depth, title FROM t""",
 }

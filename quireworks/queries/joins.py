@@ -10,14 +10,14 @@ from .sql import S, collapse
 
 def _titles(spark, d):
     docs = lift.table(spark, d, "documents")
-    return docs.select(F.col("source").alias("project"), F.col("doc_id").alias("id"), F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 24).alias("title"))
+    return docs.select(F.col("source").alias("project"), F.col("doc_id").alias("id"), F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"))
 
 
 def not_in_outline(spark, d):
     """Each document's title against an outline: the second lines of its source's documents, with every other title put in longer."""
     docs = lift.table(spark, d, "documents")
     first, second = (F.coalesce(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(i)), F.lit("")) for i in (0, 1))
-    outline = docs.select(F.col("source").alias("project"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("1. "), F.substring(first, 1, 40))).otherwise(second).alias("title"))
+    outline = docs.select(F.col("source").alias("project"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("1. "), first)).otherwise(second).alias("title"))
     return joins.not_contained(_titles(spark, d), outline)
 
 
@@ -60,7 +60,7 @@ def broken_targets(spark, d):
 
 def by_position(spark, d):
     conv = lift.table(spark, d, "conversations")
-    side = lambda who, name: conv.where(F.col("role") == who).select(F.col("conv_id").alias("project"), F.col("turn").alias(f"{name}_turn"), F.substring("text", 1, 20).alias(name))
+    side = lambda who, name: conv.where(F.col("role") == who).select(F.col("conv_id").alias("project"), F.col("turn").alias(f"{name}_turn"), F.col("text").alias(name))
     return joins.by_position(side("user", "asked"), side("assistant", "said"), "asked_turn", "said_turn")
 
 
@@ -99,7 +99,7 @@ _SQ = lambda x: f"lower({collapse(x, '')})"
 _REFS = """list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?:src|href)="([^"]+)"', 1), lambda r: trim(r)), lambda r: r <> '' AND NOT regexp_matches(r, '^(data:|#|https?://)'))"""
 ORACLES = {
     "join_not_in_outline": f"""WITH t AS (SELECT source AS project, doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-w AS (SELECT project, id, left(l[1], 24) AS title FROM t), o AS (SELECT project, CASE WHEN id % 2 = 0 THEN '1. ' || left(l[1], 40) ELSE coalesce(l[2], '') END AS title FROM t)
+w AS (SELECT project, id, l[1] AS title FROM t), o AS (SELECT project, CASE WHEN id % 2 = 0 THEN '1. ' || l[1] ELSE coalesce(l[2], '') END AS title FROM t)
 SELECT project, id, title FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.project = w.project AND contains({_SQ('o.title')}, {_SQ('w.title')}))""",
     "join_leaked_lines": f"""WITH n AS (SELECT item_id AS line_id, lower({collapse('text')}) AS needle FROM benchmark), h AS (SELECT doc_id AS text_id, lower({collapse("coalesce(text, '')")}) AS hay FROM documents)
 SELECT line_id, text_id FROM n JOIN h ON contains(hay, needle)""",
@@ -115,8 +115,8 @@ SELECT lang AS project, sum(matched)::BIGINT AS matched, sum(total)::BIGINT AS t
     "join_broken_targets": rf"""WITH l AS (SELECT DISTINCT regexp_extract(url, '//([^/]+)', 1) AS project, unnest({_REFS}) AS target FROM pages),
 i AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS project, '/' || regexp_extract(string_split(html, '</h1>')[1], '<h1>(\S+)', 1) AS target FROM pages UNION SELECT * FROM l WHERE length(target) % 2 = 0)
 SELECT * FROM l ANTI JOIN i USING (project, target)""",
-    "join_by_position": """WITH a AS (SELECT conv_id AS project, turn AS asked_turn, left(text, 20) AS asked, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations WHERE role = 'user'),
-s AS (SELECT conv_id AS project, turn AS said_turn, left(text, 20) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations WHERE role = 'assistant')
+    "join_by_position": """WITH a AS (SELECT conv_id AS project, turn AS asked_turn, text AS asked, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations WHERE role = 'user'),
+s AS (SELECT conv_id AS project, turn AS said_turn, text AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations WHERE role = 'assistant')
 SELECT * FROM a JOIN s USING (project, position)""",
     "join_exemptions": """WITH p AS (SELECT event_id // 10 AS project, event_id % 10 AS page, event_type = 'view' AS exempt FROM events), v AS (SELECT project, page, page / 10 AS ink FROM p WHERE NOT (project % 3 = 0 AND page = 7)),
 n AS (SELECT project, (SELECT count(*) FROM p q WHERE q.project = x.project) AS a, count(*) AS b FROM v x GROUP BY project)

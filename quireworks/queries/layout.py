@@ -10,20 +10,27 @@ from .sql import NS, S, trim, words
 
 
 def items(spark, d):
-    """Words on a grid, six lines a page, the last of them a footer number; the words of some documents sink along the line."""
-    rows = lift.doc_lines(spark, d)
-    k = F.col("line_no") % 6
-    page = (F.floor(F.col("line_no") / 6) + 1).cast("int")
-    words_ = F.when(k == 5, F.array(page.cast("string"))).otherwise(F.slice(F.split("line", " "), 1, 6))
-    rows = rows.select(F.col("doc_id").alias("project"), page.alias("page"), k.alias("k"), "line_no", F.posexplode(words_).alias("i", "w"))
+    """All words on a grid, six to a line and five lines to a page with a footer number below; the words of some documents sink along the line."""
+    docs = lift.table(spark, d, "documents").select(F.col("doc_id").alias("project"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    wrapped = lambda line: F.transform(F.sequence(F.lit(0), F.floor((F.size(F.split(line, " ")) - 1) / 6).cast("int")), lambda j: F.slice(F.split(line, " "), j * 6 + 1, F.lit(6)))
+    rows = docs.select("project", F.posexplode(F.flatten(F.transform("lines", wrapped))).alias("r", "ws"))
+    page, k = (F.floor(F.col("r") / 5) + 1).cast("int"), F.col("r") % 5
+    item = lambda k, i, w: F.struct(k.cast("int").alias("k"), i.cast("int").alias("i"), w.alias("w"))
+    footer = F.when(k == 0, F.array(item(F.lit(5), F.lit(0), page.cast("string")))).otherwise(F.array().cast("array<struct<k:int,i:int,w:string>>"))
+    rows = rows.select("project", page.alias("page"), F.inline(F.concat(F.transform("ws", lambda w, i: item(k, i, w)), footer)))
     sink = F.when(F.col("project") % 5 == 0, F.col("i") * 0.9).otherwise(F.col("i") % 2 * 0.5)
-    text = F.when((F.col("i") == 3) & (F.col("project") % 3 == 0), " ").otherwise(F.col("w"))
-    return rows.select("project", "page", (F.col("line_no") * 10 + F.col("i")).alias("item_no"), text.alias("str"), (F.col("i") * 60 + 50).cast("double").alias("x"), (700 - F.col("k") * 20 - sink).cast("double").alias("y"), (F.length(text) * 5).cast("double").alias("width"), F.when(F.col("k") == 5, 8.0).otherwise(10.0).alias("height"))
+    text = F.when((F.col("i") == 3) & (F.col("project") % 3 == 0) & (F.length("w") < 3), " ").otherwise(F.col("w"))
+    return rows.select("project", "page", (((F.col("page") - 1) * 6 + F.col("k")) * 10 + F.col("i")).alias("item_no"), text.alias("str"), (F.col("i") * 60 + 50).cast("double").alias("x"), (700 - F.col("k") * 20 - sink).cast("double").alias("y"), (F.length(text) * 5).cast("double").alias("width"), F.when(F.col("k") == 5, 8.0).otherwise(10.0).alias("height"))
 
 
-ITEMS = """i0 AS (SELECT doc_id AS project, line_no // 6 + 1 AS page, line_no % 6 AS k, line_no, CASE WHEN line_no % 6 = 5 THEN [(line_no // 6 + 1)::VARCHAR] ELSE string_split(line, ' ')[1:6] END AS ws FROM dl),
+ITEMS = """i00 AS (
+  SELECT doc_id, flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: list_transform(range(0, (len(string_split(l, ' ')) - 1) // 6 + 1), lambda j: string_split(l, ' ')[j * 6 + 1:j * 6 + 6]))) AS rs FROM documents),
+i01 AS (SELECT doc_id, rs[n] AS ws, n - 1 AS r FROM (SELECT doc_id, rs, unnest(range(1, len(rs) + 1)) AS n FROM i00)),
+i0 AS (
+  SELECT doc_id AS project, r // 5 + 1 AS page, r % 5 AS k, r // 5 * 6 + r % 5 AS line_no, ws FROM i01
+  UNION ALL SELECT doc_id, r // 5 + 1, 5, r // 5 * 6 + 5, [(r // 5 + 1)::VARCHAR] FROM i01 WHERE r % 5 = 0),
 i1 AS (SELECT * EXCLUDE ws, ws[j] AS w, j - 1 AS i FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM i0)),
-i2 AS (SELECT *, CASE WHEN i = 3 AND project % 3 = 0 THEN ' ' ELSE w END AS str FROM i1),
+i2 AS (SELECT *, CASE WHEN i = 3 AND project % 3 = 0 AND length(w) < 3 THEN ' ' ELSE w END AS str FROM i1),
 it AS (SELECT project, page, line_no * 10 + i AS item_no, str, (i * 60 + 50)::DOUBLE AS x, 700 - k * 20 - CASE WHEN project % 5 = 0 THEN i * 0.9::DOUBLE ELSE i % 2 * 0.5::DOUBLE END AS y, (length(str) * 5)::DOUBLE AS width, CASE WHEN k = 5 THEN 8.0::DOUBLE ELSE 10.0::DOUBLE END AS height FROM i2),
 o AS (SELECT *, row_number() OVER (PARTITION BY project, page ORDER BY y DESC, x, item_no) AS r FROM it),
 rc AS (
@@ -44,39 +51,42 @@ kl AS (SELECT * FROM k2 WHERE NOT (is_last AND regexp_matches({trim('text')}, '^
 
 
 def text_lines(spark, d):
-    """Lines of documents as lines on pages, with headings, numbered items, table rows, runs of bullets and repeated paragraphs by line number."""
-    rows = lift.doc_lines(spark, d)
-    i, p, line = F.col("line_no"), F.col("doc_id"), F.col("line")
-    k, n = i % 9, (F.floor(i / 9) + 1).cast("string")
-    left = lambda m: F.substring(line, 1, m)
-    head = F.when(p % 6 == 0, F.concat(F.lit("Chapter "), n, F.lit(": "), left(25))).when(p % 6 == 1, F.concat(F.lit("CHAPTER "), n)).when(p % 6 == 2, "Introduction").when(p % 6 == 3, F.concat(F.lit("BONUS - "), left(20))).when(p % 6 == 4, "Conclusion").otherwise("Bonus")
-    again = (p % 4 == 2) & k.isin(7, 8)
-    text = (
-        F.when((k == 0) & (p % 10 != 9), head)
-        .when((k == 1) & (p % 12 == 2), "Introduction")
-        .when(k.isin(1, 2), left(40))
-        .when(k.isin(3, 4), F.concat((k - 2).cast("string"), F.lit(". "), left(50)))
-        .when((k == 7) & (p % 4 == 1), F.concat(F.lit("• "), left(15), F.lit(" • "), left(10)))
-        .when(again, "Repeat of the paragraph.")
-        .otherwise(left(60))
-    )
-    w = F.split(line, " ")
-    cells = F.when((k == 6) & (p % 3 == 0), F.array(F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.coalesce(F.get(w, F.lit(1)), F.lit("")))).otherwise(F.array(text))
-    height = F.when(k.isin(0, 1) | ((k == 2) & (p % 4 == 0)), 18.0).otherwise(12.0)
-    y = 700 - i % 6 * 25 - F.when(k == 8, 40).when(k == 5, 8).otherwise(0)
-    rows = rows.select(p.alias("project"), i.alias("line_no"), (F.floor(i / 6) + 1).cast("int").alias("page"), y.cast("double").alias("y"), height.alias("font_height"), F.array_join(cells, " ").alias("text"), cells.alias("cells"))
+    """All lines of documents as lines on pages. By line number some have a heading or a paragraph twice before them, or are numbered items, runs of bullets or table rows."""
+    docs = lift.table(spark, d, "documents").select(F.col("doc_id").alias("p"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    p = F.col("p")
+
+    def rows_of(line, i):
+        k, n = i % 9, (F.floor(i / 9) + 1).cast("string")
+        row = lambda cells, height, down: F.struct(cells.alias("cells"), F.lit(height).cast("double").alias("font_height"), F.lit(down).cast("int").alias("down"))
+        one = lambda text: F.array(F.lit(text) if isinstance(text, str) else text)
+        left = lambda m: F.substring(line, 1, m)
+        head = F.when(p % 6 == 0, F.concat(F.lit("Chapter "), n, F.lit(": "), left(25))).when(p % 6 == 1, F.concat(F.lit("CHAPTER "), n)).when(p % 6 == 2, "Introduction").when(p % 6 == 3, F.concat(F.lit("BONUS - "), left(20))).when(p % 6 == 4, "Conclusion").otherwise("Bonus")
+        again = (p % 4 == 2) & k.isin(7, 8)
+        mark = F.when((k == 0) & (p % 10 != 9), row(one(head), 18, 0)).when((k == 1) & (p % 12 == 2), row(one("Introduction"), 18, 0)).when(again, row(one("Repeat of the paragraph."), 12, 10))
+        twice = F.when(again, row(one("Repeat of the paragraph."), 12, 30))
+        body = F.when(k.isin(3, 4), F.concat((k - 2).cast("string"), F.lit(". "), line)).when((k == 7) & (p % 4 == 1), F.concat(F.lit("• "), left(15), F.lit(" • "), F.substring(line, 16, 1 << 30))).otherwise(line)
+        w = F.split(line, " ", 2)
+        cells = F.when((k == 6) & (p % 3 == 0), F.array(w[0], F.coalesce(F.get(w, F.lit(1)), F.lit("")))).otherwise(one(body))
+        height = F.when(k.isin(0, 1) | ((k == 2) & (p % 4 == 0)), 18).otherwise(12)
+        return F.array_compact(F.array(mark, twice, row(cells, height, F.when(again, 50).when(k == 8, 40).when(k == 5, 8).otherwise(0))))
+
+    rows = docs.select("p", F.posexplode(F.flatten(F.transform("lines", rows_of))).alias("i", "row")).select("p", "i", "row.*")
+    i = F.col("i")
+    rows = rows.select(p.alias("project"), i.alias("line_no"), (F.floor(i / 6) + 1).cast("int").alias("page"), (700 - i % 6 * 25 - F.col("down")).cast("double").alias("y"), "font_height", F.array_join("cells", " ").alias("text"), "cells")
     rows = rows.where(T.trim(F.col("text")) != "")
     table_row = F.size("cells") >= 2
     return rows.select("*", (~table_row & T.has(T.trim(F.col("text")), P.NUMBERED_LINE)).alias("is_list_item"), table_row.alias("is_table_row"))
 
 
-TEXT_LINES = rf"""t0 AS (SELECT doc_id AS project, line_no, line_no % 9 AS k, (line_no // 9 + 1)::VARCHAR AS n, line, string_split(line, ' ') AS w, doc_id AS p FROM dl),
+TEXT_LINES = rf"""t0 AS (SELECT doc_id AS project, line_no AS ln, line_no % 9 AS k, (line_no // 9 + 1)::VARCHAR AS n, line, strpos(line, ' ') AS sp, doc_id AS p FROM dl),
 t1 AS (
-  SELECT *, CASE WHEN k = 0 AND p % 10 <> 9 THEN CASE p % 6 WHEN 0 THEN 'Chapter ' || n || ': ' || left(line, 25) WHEN 1 THEN 'CHAPTER ' || n WHEN 2 THEN 'Introduction' WHEN 3 THEN 'BONUS - ' || left(line, 20) WHEN 4 THEN 'Conclusion' ELSE 'Bonus' END
-    WHEN k = 1 AND p % 12 = 2 THEN 'Introduction' WHEN k IN (1, 2) THEN left(line, 40) WHEN k IN (3, 4) THEN (k - 2) || '. ' || left(line, 50) WHEN k = 7 AND p % 4 = 1 THEN '• ' || left(line, 15) || ' • ' || left(line, 10)
-    WHEN p % 4 = 2 AND k IN (7, 8) THEN 'Repeat of the paragraph.' ELSE left(line, 60) END AS own FROM t0),
-t2 AS (SELECT project, line_no, line_no // 6 + 1 AS page, (700 - line_no % 6 * 25 - CASE k WHEN 8 THEN 40 WHEN 5 THEN 8 ELSE 0 END)::DOUBLE AS y, CASE WHEN k IN (0, 1) OR (k = 2 AND p % 4 = 0) THEN 18.0::DOUBLE ELSE 12.0::DOUBLE END AS fh,
-  CASE WHEN k = 6 AND p % 3 = 0 THEN [coalesce(w[1], ''), coalesce(w[2], '')] ELSE [own] END AS cells FROM t1),
+  SELECT project, ln, 0 AS j, [CASE p % 6 WHEN 0 THEN 'Chapter ' || n || ': ' || left(line, 25) WHEN 1 THEN 'CHAPTER ' || n WHEN 2 THEN 'Introduction' WHEN 3 THEN 'BONUS - ' || left(line, 20) WHEN 4 THEN 'Conclusion' ELSE 'Bonus' END] AS cells, 18.0::DOUBLE AS fh, 0 AS down FROM t0 WHERE k = 0 AND p % 10 <> 9
+  UNION ALL SELECT project, ln, 0, ['Introduction'], 18.0::DOUBLE, 0 FROM t0 WHERE k = 1 AND p % 12 = 2
+  UNION ALL SELECT project, ln, unnest([0, 1]), ['Repeat of the paragraph.'], 12.0::DOUBLE, unnest([10, 30]) FROM t0 WHERE p % 4 = 2 AND k IN (7, 8)
+  UNION ALL SELECT project, ln, 2, CASE WHEN k = 6 AND p % 3 = 0 THEN CASE WHEN sp > 0 THEN [left(line, sp - 1), line[sp + 1:]] ELSE [line, ''] END
+      ELSE [CASE WHEN k IN (3, 4) THEN (k - 2) || '. ' || line WHEN k = 7 AND p % 4 = 1 THEN '• ' || left(line, 15) || ' • ' || line[16:] ELSE line END] END,
+    CASE WHEN k IN (0, 1) OR (k = 2 AND p % 4 = 0) THEN 18.0::DOUBLE ELSE 12.0::DOUBLE END, CASE WHEN p % 4 = 2 AND k IN (7, 8) THEN 50 WHEN k = 8 THEN 40 WHEN k = 5 THEN 8 ELSE 0 END FROM t0),
+t2 AS (SELECT project, r AS line_no, r // 6 + 1 AS page, (700 - r % 6 * 25 - down)::DOUBLE AS y, fh, cells FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ln, j) - 1 AS r FROM t1)),
 t3 AS (SELECT *, array_to_string(cells, ' ') AS text, len(cells) >= 2 AS tr FROM t2),
 t4 AS (SELECT *, {trim('text')} AS tt, NOT tr AND regexp_matches({trim('text')}, '^{S}*[0-9]+[.)]{S}+{NS}') AS li FROM t3 WHERE {trim('text')} <> ''),
 t5 AS (SELECT *, lag(page) OVER w AS p_page, lag(fh) OVER w AS p_fh, lag(y) OVER w AS p_y, lag(tt) OVER w AS p_tt FROM t4 WINDOW w AS (PARTITION BY project ORDER BY line_no)),

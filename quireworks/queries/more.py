@@ -31,7 +31,7 @@ def more_gates(spark, d):
     fonts = docs.select(F.col("source").alias("project"), F.col("lang").alias("font"), (p % 211 > 0).alias("has_file"), (p % 307 == 5).alias("substituted"))
     styles = docs.select(p.cast("string").alias("project"), F.when(p % 9 > 0, F.concat(F.lit("--font-size-body: "), (p % 7 + 7).cast("string"), F.lit(".5pt;"))).otherwise("none").alias("css"))
     colours = docs.select(p.cast("string").alias("project"), F.concat(F.lit("#"), F.lpad(F.lower(F.hex((p * 104729) % 16777216)), 6, "0")).alias("text"), F.lit("#ffffff").alias("ground"))
-    first = F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 24)
+    first = F.split(F.coalesce("text", F.lit("")), "\n")[0]
     titles = docs.select(F.col("source").alias("project"), p.alias("id"), first.alias("title"))
     outline = docs.where("source != 'src1'").select(F.col("source").alias("project"), F.when((F.col("source") == "src2") & (p % 40 == 2), "x").otherwise(first).alias("title"))
     targets = docs.select(F.col("source").alias("project"), (p % 50).cast("string").alias("target"))
@@ -113,7 +113,7 @@ co AS (SELECT doc_id, '#' || lpad(lower(to_hex((doc_id * 104729) % 16777216)), 6
 ch AS (SELECT doc_id, ('0x' || c[2:3])::INT / 255.0::DOUBLE AS r, ('0x' || c[4:5])::INT / 255.0::DOUBLE AS g, ('0x' || c[6:7])::INT / 255.0::DOUBLE AS b FROM co),
 cl AS (SELECT doc_id, 1.05::DOUBLE / (0.2126::DOUBLE * CASE WHEN r <= 0.03928 THEN r / 12.92::DOUBLE ELSE pow((r + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END + 0.7152::DOUBLE * CASE WHEN g <= 0.03928 THEN g / 12.92::DOUBLE ELSE pow((g + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END
   + 0.0722::DOUBLE * CASE WHEN b <= 0.03928 THEN b / 12.92::DOUBLE ELSE pow((b + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END + 0.05::DOUBLE) AS ratio FROM ch),
-f AS (SELECT source, doc_id, left(string_split(coalesce(text, ''), chr(10))[1], 24) AS t FROM documents),
+f AS (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10))[1] AS t FROM documents),
 ol AS (SELECT source, CASE WHEN source = 'src2' AND doc_id % 40 = 2 THEN 'x' ELSE t END AS t FROM f WHERE source <> 'src1'),
 sq AS (SELECT DISTINCT source, lower(regexp_replace(t, '{S}+', '', 'g')) AS h FROM ol),
 mi AS (SELECT source, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM sq WHERE sq.source = f.source AND contains(h, lower(regexp_replace(f.t, '{S}+', '', 'g')))) GROUP BY source),

@@ -41,13 +41,13 @@ def folio_pages(spark, d):
 
 
 def page_items(spark, d):
-    """Positioned items: each conversation is a project, each turn a page with three words in the body, one of them hyphenated now and then, and a number below."""
+    """Positioned items: each conversation is a project, each turn a page with its words in the body, one of them hyphenated now and then, and a number below."""
     conv = lift.table(spark, d, "conversations").select(F.col("conv_id").alias("project"), F.col("turn").alias("page"), F.split(F.coalesce("text", F.lit("")), " ").alias("w"))
     word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(" "))
     hyphen = F.when(F.col("project") % 5 == 0, "‐").when(F.col("project") % 5 == 1, "-").otherwise("")
     item = lambda s, x, y: F.struct(s.cast("string").alias("str"), F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
     number = F.when(F.col("project") % 7 == 0, F.lit("iv")).when(F.col("project") % 7 == 1, F.lit("x 1")).otherwise((F.col("page") + 1).cast("string"))
-    items = F.array(item(word(0), 10, 400), item(F.concat(word(1), hyphen), 90, 200), item(word(2), 10, 201.5), item(number, 100, 30), item(F.lit(" "), 1, 5), item(F.lit("top"), 1, 795))
+    items = F.array(item(word(0), 10, 400), item(F.concat(word(1), hyphen), 90, 200), item(word(2), 10, 201.5), item(F.array_join(F.slice("w", 4, F.greatest(F.size("w") - 3, F.lit(0))), " "), 10, 600), item(number, 100, 30), item(F.lit(" "), 1, 5), item(F.lit("top"), 1, 795))
     return conv.select("project", "page", F.lit(800.0).alias("page_height"), F.inline(items))
 
 
@@ -82,7 +82,7 @@ def single_gates(spark, d):
     there = part.where("p_partkey % 200 > 0").select(F.lit("x").alias("k"), F.col("p_partkey").cast("string").alias("path"))
     there = refs.select("project").distinct().withColumn("k", F.lit("x")).join(refs.distinct(), "project").join(there, ["k", "path"], "left_semi").select("project", "path")
     covers = docs.select(F.col("doc_id").cast("string").alias("project"), (F.col("doc_id") % 3).alias("painted"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 100 / 50).alias("textured"))
-    titles = docs.select(F.col("doc_id").cast("string").alias("project"), F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 20), F.when(F.col("doc_id") % 4 == 0, "zz").otherwise("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    titles = docs.select(F.col("doc_id").cast("string").alias("project"), F.concat(F.split(F.coalesce("text", F.lit("")), "\n")[0], F.when(F.col("doc_id") % 4 == 0, "zz").otherwise("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
     meta = docs.select(F.col("doc_id").cast("string").alias("project"), F.col("source").alias("title"), F.lit("src1").alias("wanted_title"), F.when(F.col("lang") == "en", "en-US").otherwise(F.col("lang")).alias("language"), F.concat("source", F.lit(" & co")).alias("author"), F.col("source").alias("wanted_author"))
     found = [
         gates.broken_chars(texts), gates.ink(previews), gates.overflow(boxes), gates.image_dpi(images), gates.file_size(files), gates.assets(refs, there), gates.cover(covers), gates.structure(titles), gates.metadata(meta),
@@ -147,7 +147,7 @@ fb AS (
     WHEN p_kind = kind THEN CASE WHEN value = p_value THEN 'repeats' WHEN value < p_value THEN 'back by ' || (p_value - value) WHEN value > p_value + 1 THEN 'skips ' || (value - p_value - 1) END END AS reason FROM f3)"""
 _ITEMS = """c0 AS (SELECT conv_id AS project, turn AS page, string_split(coalesce(text, ''), ' ') AS w FROM conversations),
 it AS (SELECT project, page, unnest([
-  {'str': coalesce(w[1], ' '), 'x': 10.0, 'y': 400.0}, {'str': coalesce(w[2], ' ') || CASE project % 5 WHEN 0 THEN '‐' WHEN 1 THEN '-' ELSE '' END, 'x': 90.0, 'y': 200.0}, {'str': coalesce(w[3], ' '), 'x': 10.0, 'y': 201.5},
+  {'str': coalesce(w[1], ' '), 'x': 10.0, 'y': 400.0}, {'str': coalesce(w[2], ' ') || CASE project % 5 WHEN 0 THEN '‐' WHEN 1 THEN '-' ELSE '' END, 'x': 90.0, 'y': 200.0}, {'str': coalesce(w[3], ' '), 'x': 10.0, 'y': 201.5}, {'str': array_to_string(w[4:], ' '), 'x': 10.0, 'y': 600.0},
   {'str': CASE project % 7 WHEN 0 THEN 'iv' WHEN 1 THEN 'x 1' ELSE (page + 1)::VARCHAR END, 'x': 100.0, 'y': 30.0}, {'str': ' ', 'x': 1.0, 'y': 5.0}, {'str': 'top', 'x': 1.0, 'y': 795.0}], recursive := true) FROM c0),
 bo AS (SELECT *, min(y) OVER (PARTITION BY project, page) AS lowest FROM it WHERE trim(str, ' ' || chr(9) || chr(10)) <> '' AND y > 96 AND y < 744),
 bl2 AS (SELECT project, page, string_agg(trim(str, ' ' || chr(9) || chr(10)), '' ORDER BY x) AS line FROM bo WHERE abs(y - lowest) <= 2 GROUP BY ALL),
@@ -181,7 +181,7 @@ ov AS (SELECT project, count(*) FILTER (CASE WHEN split THEN up ELSE greatest(up
 im0 AS (SELECT p_brand AS project, CASE WHEN p_partkey % 97 > 0 THEN p_size * 40 + 620 END AS width, CASE WHEN p_brand = 'Brand#11' THEN NULL ELSE 6.0::DOUBLE - 0.75::DOUBLE - 0.875::DOUBLE END AS col FROM part),
 im AS (SELECT project, count(*) FILTER (width / col < 150) AS low, count(*) FILTER (width IS NULL) AS unread, count(width) AS got, bool_or(col IS NULL) AS odd FROM im0 GROUP BY project),
 ae AS (SELECT project, count(DISTINCT l_partkey) FILTER (NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_partkey % 200 > 0)) AS n FROM l GROUP BY project),
-st AS (SELECT doc_id::VARCHAR AS project, NOT contains(lower(regexp_replace(own, '\\s+', '', 'g')), lower(regexp_replace(left(own, 20) || CASE WHEN doc_id % 4 = 0 THEN 'zz' ELSE '' END, '\\s+', '', 'g'))) AS miss FROM t),
+st AS (SELECT doc_id::VARCHAR AS project, NOT contains(lower(regexp_replace(own, '\\s+', '', 'g')), lower(regexp_replace(string_split(own, chr(10))[1] || CASE WHEN doc_id % 4 = 0 THEN 'zz' ELSE '' END, '\\s+', '', 'g'))) AS miss FROM t),
 fc AS (SELECT project::VARCHAR AS project, count(*) FILTER (reason IS NOT NULL) AS n FROM fb GROUP BY ALL),
 fp AS (SELECT DISTINCT project::VARCHAR AS project, count(kind) OVER (PARTITION BY project) AS printed FROM f2),
 hy AS (SELECT project, count(*) FILTER (right(line, 1) IN ('‐', '‑', chr(173))) AS split, count(*) FILTER (right(line, 1) = '-') AS authored FROM bl2 JOIN la USING (project) WHERE page < last GROUP BY project)

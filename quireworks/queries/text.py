@@ -15,7 +15,7 @@ def _first_line(spark, d):
 
 
 def metrics(spark, d):
-    return _first_line(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"), T.preview(F.col("text")).alias("preview"), T.slug(F.col("line")).alias("slug"), T.squeezed(F.col("line")).alias("squeezed"), F.md5(T.trim(T.collapse(F.col("text"))).cast("binary")).alias("flat"))
+    return _first_line(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"), T.preview(F.col("text")).alias("preview"), T.slug(F.col("text")).alias("slug"), F.md5(T.squeezed(F.col("text")).cast("binary")).alias("squeezed"), F.md5(T.trim(T.collapse(F.col("text"))).cast("binary")).alias("flat"))
 
 
 def word_frequencies(spark, d):
@@ -31,7 +31,7 @@ def labels(spark, d):
     rows = _first_line(spark, d)
     number = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 130)
     path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("html/"), (F.col("doc_id") % 130).cast("string"), F.lit(".html"))).otherwise(F.concat(F.lit("html/c-"), F.col("doc_id").cast("string"), F.lit(".html")))
-    return rows.select("doc_id", T.toc_label(number, F.substring("line", 1, 30)).alias("toc_label"), T.chapter_label(path).alias("chapter_label"))
+    return rows.select("doc_id", T.toc_label(number, F.col("line")).alias("toc_label"), T.chapter_label(path).alias("chapter_label"))
 
 
 ROMAN_PARTS = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
@@ -105,7 +105,7 @@ def style_tokens(spark, d):
 
 
 def title_splits(spark, d):
-    rows = _first_line(spark, d).select("doc_id", F.substring("line", 1, 40).alias("title"))
+    rows = _first_line(spark, d).select("doc_id", F.col("line").alias("title"))
     n = F.locate(" ", F.col("title"))
     lead = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, F.concat(F.lit(" "), F.substring(F.col("title"), F.lit(1), n))).when(F.col("doc_id") % 5 == 2, F.lit("Zzz")).when(F.col("doc_id") % 5 == 3, F.col("title")).otherwise(F.substring("title", 1, 3))
     return rows.withColumn("lead", lead).select("doc_id", T.split_title(F.col("title"), F.col("lead")).alias("s")).select("doc_id", "s.lead", "s.main", "s.problem")
@@ -114,12 +114,13 @@ def title_splits(spark, d):
 def lists_and_tables(spark, d):
     """Each document's lines as a table of words and as a list, in Markdown; runs of bullets split; leaked callouts repaired."""
     docs = lift.table(spark, d, "documents")
-    lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 4)
-    rows = F.transform(lines, lambda x: F.slice(F.split(x, " "), F.lit(1), F.length(x) % 3 + 1))
-    items = F.transform(lines, lambda x, i: F.when(i % 2 == 0, F.concat((i + 1).cast("string"), F.lit(". "), F.substring(x, 1, 30))).otherwise(F.substring(x, 1, 30)))
-    run = F.array_join(F.transform(lines, lambda x: F.substring(x, 1, 20)), " • ")
-    leak = F.concat(F.when(F.col("doc_id") % 2 == 0, "\u0091CALLOUT\u0091KIND[ª]TIP, EYEBROW[ª]\"").otherwise("CALL "), F.regexp_replace(F.substring(lines[0], 1, 12), '["\n]', ""), F.lit('x", BODY[ª]"b '), F.col("doc_id").cast("string"), F.lit('"}]:'))
-    return docs.select("doc_id", T.table_markdown(rows).alias("table"), T.list_markdown(items).alias("list"), F.array_join(T.bullets(run), "|").alias("bullets"), T.repaired_callout(leak).alias("callout"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = F.transform(lines, lambda x: F.split(x, " "))
+    items = F.transform(lines, lambda x, i: F.when(i % 2 == 0, F.concat((i + 1).cast("string"), F.lit(". "), x)).otherwise(x))
+    run = F.array_join(lines, " • ")
+    leak = F.concat(F.when(F.col("doc_id") % 2 == 0, "\u0091CALLOUT\u0091KIND[ª]TIP, EYEBROW[ª]\"").otherwise("CALL "), F.regexp_replace(lines[0], '["\n]', ""), F.lit('x", BODY[ª]"b '), F.col("doc_id").cast("string"), F.lit('"}]:'))
+    md5 = lambda x: F.md5(x.cast("binary"))  # noqa: E731  wide results as digests
+    return docs.select("doc_id", md5(T.table_markdown(rows)).alias("table"), md5(T.list_markdown(items)).alias("list"), md5(F.array_join(T.bullets(run), "|")).alias("bullets"), T.repaired_callout(leak).alias("callout"))
 
 
 CUT = "ls AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
@@ -163,12 +164,12 @@ def _refs(x: str) -> str:
 _ESC = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _TITLE = r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 ORACLES = {
-    "text_metrics": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10))[1] AS line FROM documents)
-SELECT doc_id, {words('text')} AS words, {preview('text')} AS preview, regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+\z', '', 'g') AS slug,
-  lower({collapse('line', '')}) AS squeezed, md5({trim(collapse('text'))}) AS flat FROM t""",
+    "text_metrics": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, doc_id AS d FROM documents)
+SELECT doc_id, {words('text')} AS words, {preview('text')} AS preview, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+\z', '', 'g') AS slug,
+  md5(lower({collapse('text', '')})) AS squeezed, md5({trim(collapse('text'))}) AS flat FROM t""",
     "word_frequencies": r"SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}][\p{L}\p{N}''-]*')) AS word FROM documents) GROUP BY ALL",
     "plain_markdown": f"WITH {lift.MD} SELECT file_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: {_plain('l')}), chr(10)) AS plain FROM mf",
-    "chapter_labels": r"""WITH t AS (SELECT doc_id, left(string_split(coalesce(text, ''), chr(10))[1], 30) AS title, (doc_id % 130)::VARCHAR AS n FROM documents)
+    "chapter_labels": r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS title, (doc_id % 130)::VARCHAR AS n FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN title ELSE CASE WHEN length(n) < 2 THEN '0' || n ELSE n END || '. ' || title END AS toc_label,
   CASE WHEN doc_id % 2 = 0 THEN CASE WHEN length(n) < 2 THEN '0' || n ELSE n END ELSE 'c-' || doc_id END AS chapter_label FROM t""",
     "roman_numbers": """WITH t AS (SELECT doc_id, doc_id % 3999 + 1 AS n FROM documents)
@@ -195,20 +196,20 @@ SELECT page_id, regexp_extract(html, '<section class="chapter-open"[^>]*\bid="([
 c AS (SELECT doc_id, ':root {' || chr(10) || '  --color-bg:  #' || lpad((doc_id % 1000)::VARCHAR, 6, '0') || ';' || chr(10) || '  --font-body: "' || source || '", Georgia, "Times New Roman", serif;' || chr(10)
   || '  --font-size-body: ' || pt::DOUBLE || unit || ';' || chr(10) || '}' AS css, CASE WHEN unit = 'pt' THEN pt::DOUBLE END AS points FROM t)
 SELECT doc_id, css, points, CASE WHEN points IS NULL THEN 'skipped' WHEN points >= 9.5 THEN 'pass' ELSE 'fail' END AS status, true AS no_absent FROM c""",
-    "title_splits": rf"""WITH t AS (SELECT doc_id, left(string_split(coalesce(text, ''), chr(10))[1], 40) AS title FROM documents),
+    "title_splits": rf"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents),
 l AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' || left(title, strpos(title, ' ')) WHEN 2 THEN 'Zzz' WHEN 3 THEN title ELSE left(title, 3) END AS given FROM t),
 s AS (SELECT *, {trim('given')} AS short FROM l),
 m AS (SELECT *, {trim('title[length(short) + 1:]')} AS rest FROM s),
 p AS (SELECT *, coalesce(given, '') = '' AS bare, CASE WHEN coalesce(given, '') = '' THEN NULL WHEN NOT starts_with(title, short) THEN 'not a prefix' WHEN rest = '' THEN 'nothing left' WHEN short || ' ' || rest <> title THEN 'not lossless' END AS problem FROM m)
 SELECT doc_id, CASE WHEN NOT bare AND problem IS NULL THEN short END AS lead, CASE WHEN bare THEN title WHEN problem IS NULL THEN rest END AS main, problem FROM p""",
-    "lists_and_tables": rf"""WITH {CUT}, c AS (SELECT doc_id, l[1:4] AS l FROM ls),
-r AS (SELECT doc_id, l, list_transform(l, lambda x: string_split(x, ' ')[1:length(x) % 3 + 1]) AS rs FROM c),
+    "lists_and_tables": rf"""WITH {CUT}, c AS (SELECT doc_id, l FROM ls),
+r AS (SELECT doc_id, l, list_transform(l, lambda x: string_split(x, ' ')) AS rs FROM c),
 w AS (SELECT *, list_max(list_transform(rs, lambda r: len(r))) AS n FROM r),
 t AS (SELECT *, list_transform(rs, lambda r: '| ' || array_to_string(list_resize(r, n, ''), ' | ') || ' |') AS ts FROM w),
-k AS (SELECT *, regexp_replace(left(l[1], 12), '["\n]', '', 'g') || 'x' AS eye FROM t)
-SELECT doc_id, array_to_string(list_concat(ts[1:1], ['| ' || array_to_string(list_resize(['---'], n, '---'), ' | ') || ' |'], ts[2:]), chr(10)) AS "table",
-  array_to_string(list_transform(l, lambda x, i: CASE WHEN i % 2 = 1 THEN CASE WHEN regexp_matches(i || '. ' || left(x, 30), '^\s*\d+[.)]\s+\S') THEN '' ELSE '- ' END || i || '. ' || left(x, 30)
-    ELSE CASE WHEN regexp_matches(left(x, 30), '^\s*\d+[.)]\s+\S') THEN '' ELSE '- ' END || left(x, 30) END), chr(10)) AS list,
-  array_to_string(list_filter(list_transform(string_split(array_to_string(list_transform(l, lambda x: left(x, 20)), ' • '), '•'), lambda x: {trim('x')}), lambda x: x <> ''), '|') AS bullets,
+k AS (SELECT *, regexp_replace(l[1], '["\n]', '', 'g') || 'x' AS eye FROM t)
+SELECT doc_id, md5(array_to_string(list_concat(ts[1:1], ['| ' || array_to_string(list_resize(['---'], n, '---'), ' | ') || ' |'], ts[2:]), chr(10))) AS "table",
+  md5(array_to_string(list_transform(l, lambda x, i: CASE WHEN i % 2 = 1 THEN CASE WHEN regexp_matches(i || '. ' || x, '^\s*\d+[.)]\s+\S') THEN '' ELSE '- ' END || i || '. ' || x
+    ELSE CASE WHEN regexp_matches(x, '^\s*\d+[.)]\s+\S') THEN '' ELSE '- ' END || x END), chr(10))) AS list,
+  md5(array_to_string(list_filter(list_transform(string_split(array_to_string(l, ' • '), '•'), lambda x: {trim('x')}), lambda x: x <> ''), '|')) AS bullets,
   CASE WHEN doc_id % 2 = 0 THEN '> **' || eye || '**' || chr(10) || '>' || chr(10) || '> b ' || doc_id ELSE 'CALL ' || eye || '", BODY[ª]"b ' || doc_id || '"}}]:' END AS callout FROM k""",
 }
