@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, stored, text_of, worker_cache
+from .common import Memo, marked, stored, text_of, worker_cache
 
 #: Shingle length and similarity in percent, where a contract does not say otherwise.
 WORDS, PERCENT = 5, 80
@@ -43,6 +43,8 @@ MISS = 1e-5
 #: Members of a cell that one task compares at once.
 BLOCK = 512
 SALTS = 64
+#: Blocks of a cell for which a center's set is made in one row.
+RUN = 64
 #: Parts that a center's edges are spread over when they meet the size of its cell.
 PARTS = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -163,9 +165,10 @@ def _cells(edges: DataFrame) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
-    """places: rep and any columns. The same rows with `shingles`, the document's set as bytes. Each set is made once, for all places of its document."""
+    """places: rep, block and any columns. The same rows with `shingles`, the document's set as bytes. A set is made once for all places of its document, or, for a
+    center of many blocks, once for each RUN of them, so that no row's list grows with a cell."""
     columns = [c for c in places.columns if c != "rep"]
-    of_rep = places.groupBy("rep").agg(F.collect_list(F.struct(*columns)).alias("places"))
+    of_rep = places.groupBy("rep", F.floor(F.col("block") / RUN).alias("run")).agg(F.collect_list(F.struct(*columns)).alias("places"))
     joined = docs.select("doc_id", text_of().alias("text")).join(_growing(of_rep), F.col("doc_id") == F.col("rep")).select("rep", "places", "text")
     schema = places.select("rep", *columns).schema.add("shingles", "binary")
     kinds = [places.schema[c].dataType.simpleString() for c in columns]
@@ -344,18 +347,20 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     edges = stored(_stars(reps), "near-edges")
     found = components(_links(docs.withColumn("doc_id", F.col("doc_id").cast("long")), edges, words, percent))
     labelled = classes.join(found, F.col("rep") == F.col("id"), "left").select("digest", F.col("salt").alias("in"), F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest", salt).withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
-    out = out.join(_growing(labelled.withColumnRenamed("digest", "of")), (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("in")), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = F.col("n_shingles") > 0
+    out = signed.where(linked & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "digest", salt)
+    out = out.join(_growing(labelled.withColumnRenamed("digest", "of")), (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("in")))
+    alone = signed.where(~linked | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, all columns kept. Rows that share an id with a kept row stay with it."""
     found = stored(near_groups(docs, words, percent).select("doc_id", "kept"), "near-found")
     gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = gone.join(found.where("kept").select(F.col("doc_id").alias("gone_id")), "gone_id", "left_anti")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = stored(gone.join(found.where("kept").select(F.col("doc_id").alias("gone_id")), "gone_id", "left_anti"), "near-gone")
+    touched, rest = marked(docs, "doc_id", gone)
+    return touched.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").unionByName(rest)
 
 
 NEAR_SQL = r"""
