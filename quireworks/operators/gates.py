@@ -162,9 +162,10 @@ def front_matter(pages: DataFrame) -> DataFrame:
 
 def evidence(rows: DataFrame, most: int = 5) -> DataFrame:
     """rows: project, item. The first items of each project, an ellipsis where there are more."""
-    every = F.array_sort(F.collect_list("item"))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("project").orderBy("item"))).where(F.col("nth") <= most + 1)  # a limit that each task applies by itself first
+    every = F.transform(F.array_sort(F.collect_list(F.struct("nth", "item"))), lambda x: x["item"])
     text = F.concat(F.array_join(F.slice(F.col("every"), 1, most), ", "), F.when(F.size("every") > most, ", …").otherwise(""))
-    return rows.groupBy("project").agg(every.alias("every")).select("project", text.alias("evidence"))
+    return first.groupBy("project").agg(every.alias("every")).select("project", text.alias("evidence"))
 
 
 # --- folios ------------------------------------------------------------------------------------------------------
@@ -217,12 +218,12 @@ def folio_continuity(pages: DataFrame) -> DataFrame:
 @register("no-hyphen-page-break")
 def hyphen_breaks(items: DataFrame) -> DataFrame:
     """items as for bottom_lines(). Pages, but for a project's last, whose body ends in a hyphen that the renderer put in; authored hyphens are counted only."""
-    last = items.groupBy("project").agg(F.max("page").alias("last"))
+    last = items.groupBy("project").agg(F.max("page").alias("last"), F.count_distinct("page").alias("pages"))
     ends = bottom_lines(items, 0.12, 0.93).join(last, "project").where("page < last").withColumn("end", F.right("line", F.lit(1)))
     n = ends.groupBy("project").agg(F.count_if(F.col("end").isin(P.RENDERER_HYPHENS)).alias("split"), F.count_if(F.col("end") == P.AUTHORED_HYPHEN).alias("authored"))
     rows = last.join(n, "project", "left")
     evidence = F.concat(F.coalesce("split", F.lit(0)).cast("string"), F.lit("/"), F.coalesce("authored", F.lit(0)).cast("string"))
-    return _row(rows, "no-hyphen-page-break", status(F.coalesce("split", F.lit(0)) == 0, F.col("last") < 2), evidence)
+    return _row(rows, "no-hyphen-page-break", status(F.coalesce("split", F.lit(0)) == 0, F.col("pages") < 2), evidence)
 
 
 # --- pixels ------------------------------------------------------------------------------------------------------

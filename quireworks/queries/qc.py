@@ -151,7 +151,7 @@ it AS (SELECT project, page, unnest([
   {'str': CASE project % 7 WHEN 0 THEN 'iv' WHEN 1 THEN 'x 1' ELSE (page + 1)::VARCHAR END, 'x': 100.0, 'y': 30.0}, {'str': ' ', 'x': 1.0, 'y': 5.0}, {'str': 'top', 'x': 1.0, 'y': 795.0}], recursive := true) FROM c0),
 bo AS (SELECT *, min(y) OVER (PARTITION BY project, page) AS lowest FROM it WHERE trim(str, ' ' || chr(9) || chr(10)) <> '' AND y > 96 AND y < 744),
 bl2 AS (SELECT project, page, string_agg(trim(str, ' ' || chr(9) || chr(10)), '' ORDER BY x) AS line FROM bo WHERE abs(y - lowest) <= 2 GROUP BY ALL),
-la AS (SELECT project, max(page) AS last FROM it GROUP BY project)"""
+la AS (SELECT project, max(page) AS last, count(DISTINCT page) AS pages FROM it GROUP BY project)"""
 _PIX = """px0 AS (
   SELECT l_orderkey % 50 AS project, l_linenumber AS page, l_partkey % 8 AS px, l_suppkey % 8 AS py, min(floor(l_extendedprice * 1)::BIGINT % 3 * 100) AS r, max(floor(l_extendedprice * 2)::BIGINT % 3 * 100) AS g, min(floor(l_extendedprice * 3)::BIGINT % 3 * 100) AS b FROM lineitem GROUP BY ALL),
 px1 AS (SELECT *, ((r >> 3) << 10) | ((g >> 3) << 5) | (b >> 3) AS bucket FROM px0),
@@ -195,7 +195,7 @@ UNION ALL SELECT doc_id::VARCHAR, 'cover-renders', {_PASS('doc_id % 3 > 0 AND co
 UNION ALL SELECT project, 'structure', {_PASS('NOT miss')}, miss::INT::VARCHAR FROM st
 UNION ALL SELECT doc_id::VARCHAR, 'metadata', {_PASS("source = 'src1' AND lang = 'en'")}, source FROM documents
 UNION ALL SELECT project, 'folio-continuity', {_PASS('coalesce(n, 0) = 0', 'printed = 0')}, coalesce(n, 0)::VARCHAR FROM fp LEFT JOIN fc USING (project)
-UNION ALL SELECT project::VARCHAR, 'no-hyphen-page-break', {_PASS('coalesce(split, 0) = 0', 'last < 2')}, coalesce(split, 0) || '/' || coalesce(authored, 0) FROM la LEFT JOIN hy USING (project)""",
+UNION ALL SELECT project::VARCHAR, 'no-hyphen-page-break', {_PASS('coalesce(split, 0) = 0', 'pages < 2')}, coalesce(split, 0) || '/' || coalesce(authored, 0) FROM la LEFT JOIN hy USING (project)""",
     "preferred_files": """WITH f AS (SELECT user_id AS project, CASE WHEN event_type = 'click' THEN user_id || '-book.pdf' WHEN event_type = 'error' AND event_id % 9 = 0 THEN 'prototype.pdf' ELSE event_type || (event_id % 5) END AS name FROM events),
 r AS (SELECT *, CASE WHEN name = project || '-book.pdf' THEN 0 WHEN name = 'ebook-final.pdf' THEN 1 WHEN name = 'prototype.pdf' THEN 2 ELSE 3 END AS rank FROM f)
 SELECT project, arg_min(name, {'r': rank, 'n': name}) AS name, count(*) AS n, min(rank) AS rank FROM r GROUP BY project""",
