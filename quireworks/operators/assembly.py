@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stored
 
 
 def print_cover(files: DataFrame) -> DataFrame:
@@ -126,9 +127,7 @@ def media_url(doc: Column, depth: int = 4) -> Column:
 def flat_titles(nodes: DataFrame) -> DataFrame:
     """nodes: project, id, parent (null for roots), pos, title. Depth-first order of each project's outline: project, nth, depth, title. One join for each level of depth, until a
     level is empty; the nodes and each level are stored tables. Nodes that no root leads to are left out."""
-    from ..llm.common import stored
-
-    path = lambda p: F.format_string("%08d", p)
+    path = lambda p: F.format_string("%019d", p)
     nodes = stored(nodes.select("project", "id", "parent", "pos", "title"), "outline-nodes")
     level = nodes.where("parent IS NULL").select("project", "id", "title", path(F.col("pos")).alias("path"), F.lit(0).alias("depth"))
     found, depth = [level], 0
