@@ -31,6 +31,7 @@ PROMISE = (
 )
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
 REFERENCE = r"""(?:src|href)="([^"]+)"|url\(([^)]+)\)"""
+FONT_URL = r"""(?i)url\((["']?)((?:(?!\1)[^)])+\.(?:ttf|otf|woff2?))\1\)"""
 RASTER = r"""(?i)src="([^"]+\.(?:png|jpe?g))\""""
 ELEMENT_ID = rf'{SPACE}id="([^"]+)"'
 TOC_ENTRY = r'(?s)<li class="toc-entry">.*?<a href="#([^"]+)".*?<span class="toc-pagenum" data-target="#([^"]+)">'

@@ -163,6 +163,38 @@ def with_variable(css: Column, name: str, value: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(css, F.lit(1), at - 1), head, value, F.lit(";"), after))
 
 
+def required(c: Column, message: str) -> Column:
+    """The value; a null ends the query with the message."""
+    return F.coalesce(c, F.raise_error(F.lit(message)).cast("string"))
+
+
+def relative_path(root: Column, path: Column) -> Column:
+    """A POSIX path as seen from a folder; both are absolute or both are not."""
+    names = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    a, b = names(root), names(path)
+    most = F.least(F.size(a), F.size(b))
+    same = F.aggregate(F.sequence(F.lit(0), most), F.lit(0), lambda n, i: F.when((n == i) & (i < most) & F.get(a, i).eqNullSafe(F.get(b, i)), n + 1).otherwise(n))
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - same), F.slice(b, same + 1, F.size(b))), "/")
+
+
+def font_urls(css: Column) -> Column:
+    """The local fonts that a style sheet refers to in quotes: array of struct(whole, quote, path), in order."""
+    parts_ = [F.regexp_extract_all(css, F.lit(P.FONT_URL), F.lit(i)) for i in range(3)]
+    found = F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts_, ("whole", "quote", "path"), strict=True))), lambda x: x)
+    return F.filter(found, lambda x: ~has(x["path"], r"^(https?:)?//") & ~F.startswith(x["path"], F.lit("data:")))
+
+
+def with_fonts(css: Column, data: Column) -> Column:
+    """css with each local font put in; data: map of path to base64 content. Null where a font is missing."""
+
+    def put(text: Column, x: Column) -> Column:
+        kind = F.lower(F.regexp_extract(x["path"], r"\.([A-Za-z0-9]+)\z", 1))
+        quote = F.when(x["quote"] == "", '"').otherwise(x["quote"])
+        return F.replace(text, x["whole"], F.concat(F.lit("url("), quote, F.lit("data:font/"), kind, F.lit(";base64,"), F.try_element_at(data, x["path"]), quote, F.lit(")")))
+
+    return F.aggregate(font_urls(css), css, put)
+
+
 def marked(section: Column, marker: Column) -> Column:
     """The marker right after the first opening section, div, main or article tag; before all where there is none."""
     pattern = r"<(?:section|div|main|article)(?![A-Za-z0-9_])[^>]*>"

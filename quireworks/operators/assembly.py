@@ -22,19 +22,22 @@ def print_cover(files: DataFrame) -> DataFrame:
 
 
 def book_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """books: project, title, subtitle, author, cover, disclaimer, disclaimer_required, n_bonuses, cta_title, cta_content, cta_link, punchline, n_points. chapters: project, pos, number, title, html.
-    The sections in their order, each with its HTML or the reason it is left out: project, ordinal, nth, section, html, reason. The first chapter begins the body; the title marker goes into the book's first section."""
+    """books: project, title, subtitle, author, cover, disclaimer, disclaimer_required, n_bonuses, cta_title, cta_content, cta_link, punchline, points. chapters: project, pos, number, title, html.
+    The sections in their order, each with its HTML or the reason it is left out: project, ordinal, nth, section, html, reason. The first chapter begins the body; the title marker goes into the book's first section. Books that blocked() names have none."""
+    stopped = blocked(books).select("project")
+    books, chapters = books.join(stopped, "project", "left_anti"), chapters.join(stopped, "project", "left_anti")
     filled = lambda c: F.coalesce(T.trim(F.col(c)), F.lit("")) != ""
     e = lambda c: T.escaped(F.coalesce(F.col(c), F.lit("")))
     part = lambda n, name, cond, html, why: F.struct(F.lit(n).alias("ordinal"), F.lit(0).alias("nth"), name.alias("section"), F.when(cond, html).alias("html"), F.when(~cond, F.lit(why)).alias("reason"))
     yes = F.lit(True)
+    points = F.array_join(F.transform("points", lambda x: F.concat(F.lit("<li>"), T.escaped(x), F.lit("</li>"))), "\n")
     fixed = F.array(
         part(0, F.lit("cover"), F.col("cover").isNotNull(), F.concat(F.lit('<section class="cover-page"><img src="'), F.coalesce("cover", F.lit("")), F.lit('" alt="'), e("title"), F.lit('"></section>')), "no print cover"),
         part(1, F.lit("title-page"), yes, F.concat(F.lit('<section class="title-page"><h1>'), e("title"), F.lit("</h1>"), F.when(filled("subtitle"), F.concat(F.lit("<p>"), e("subtitle"), F.lit("</p>"))).otherwise(""), F.lit("<p>"), e("author"), F.lit("</p></section>")), ""),
         part(2, F.when(F.col("disclaimer_required"), "copyright+disclaimer").otherwise("copyright"), yes, F.concat(F.lit("<section><p>"), e("author"), F.lit("</p>"), F.when(filled("disclaimer"), F.array_join(F.transform(T.paragraphs(F.col("disclaimer")), lambda p: F.concat(F.lit("<p>"), T.escaped(p), F.lit("</p>"))), "\n")).otherwise(""), F.lit("</section>")), ""),
         part(3, F.lit("bonus-teaser"), F.col("n_bonuses") > 0, F.concat(F.lit("<section>"), F.col("n_bonuses").cast("string"), F.lit(" companion deliverable"), F.when(F.col("n_bonuses") == 1, "").otherwise("s"), F.lit("</section>")), "no bonuses"),
         part(6, F.lit("cta"), filled("cta_title") & filled("cta_content"), F.concat(F.lit("<section><h2>"), e("cta_title"), F.lit("</h2>"), e("cta_content"), F.when(filled("cta_link"), F.concat(F.lit('<a href="'), e("cta_link"), F.lit('"></a>'))).otherwise(""), F.lit("</section>")), "no title or body"),
-        part(7, F.lit("back-cover"), filled("punchline") & (F.col("n_points") > 0), F.concat(F.lit("<section>"), e("punchline"), F.lit("</section>")), "no punchline or bullets"),
+        part(7, F.lit("back-cover"), filled("punchline") & (F.size(F.coalesce("points", F.array().cast("array<string>"))) > 0), F.concat(F.lit("<section>"), T.escaped(T.trim(F.coalesce("punchline", F.lit("")))), F.lit("<ul>"), points, F.lit("</ul></section>")), "no punchline or bullets"),
     )
     marker = F.concat(F.lit('<div class="doc-title-marker">'), e("title"), F.lit("</div>"))
     rows = books.select("project", marker.alias("marker"), F.inline(fixed))
@@ -50,6 +53,21 @@ def book_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows, toc, text])
 
 
+def blocked(books: DataFrame) -> DataFrame:
+    """Books that must not be put together: their niche needs a disclaimer, and they have none. project, reason."""
+    bare = F.coalesce(T.trim(F.col("disclaimer")), F.lit("")) == ""
+    return books.where(F.col("disclaimer_required") & bare).select("project", F.lit("a disclaimer is required, and there is none").alias("reason"))
+
+
+def inlined_fonts(styles: DataFrame, fonts: DataFrame) -> DataFrame:
+    """styles: project, css; fonts: project, path, content (binary). Style sheets with their local fonts as data: project, css (null where one is missing), missing (the paths)."""
+    wanted = styles.select("project", F.explode(F.array_distinct(F.transform(T.font_urls(F.col("css")), lambda x: x["path"]))).alias("path"))
+    found = wanted.join(fonts.select("project", "path", F.regexp_replace(F.base64("content"), r"\s", "").alias("data")), ["project", "path"], "left")
+    per = found.groupBy("project").agg(F.map_from_entries(F.array_agg(F.when(F.col("data").isNotNull(), F.struct("path", "data")))).alias("data"), F.array_sort(F.array_agg(F.when(F.col("data").isNull(), F.col("path")))).alias("missing"))
+    rows = styles.join(per, "project", "left")
+    return rows.select("project", F.when(F.col("data").isNull(), F.col("css")).otherwise(T.with_fonts(F.col("css"), F.col("data"))).alias("css"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
 def resolved_paths(wanted: DataFrame, project_files: DataFrame, shared_files: DataFrame) -> DataFrame:
     """wanted: project, path. Where each path is found: in the project, else among the shared files, else nowhere (null)."""
     own = project_files.select("project", "path").distinct().withColumn("own", F.concat("project", F.lit("/"), "path"))

@@ -33,9 +33,9 @@ def parsed(files: DataFrame) -> DataFrame:
     is_note = F.col("is_example") & (nth % 2 == F.when(F.col("run") > 0, 1).otherwise(0))
     items = items.withColumn("is_note", is_note)
     follows = F.lead(F.when(F.col("is_note"), F.col("text"))).over(w)
-    items = items.withColumn("note", follows).where("NOT is_note").select("file_id", F.lit("item").alias("role"), (F.col("block_no") * 10000 + F.col("i")).alias("block_no"), "text", "note")
-    order = F.row_number().over(Window.partitionBy("file_id", "role").orderBy("block_no"))
-    return prose.unionByName(items).select("file_id", "role", order.alias("nth"), "text", "note")
+    items = items.withColumn("note", follows).where("NOT is_note").select("file_id", F.lit("item").alias("role"), "block_no", "i", "text", "note")
+    order = F.row_number().over(Window.partitionBy("file_id", "role").orderBy("block_no", "i"))
+    return prose.withColumn("i", F.lit(0)).unionByName(items).select("file_id", "role", order.alias("nth"), "text", "note")
 
 
 def field_labels(parts: DataFrame) -> DataFrame:

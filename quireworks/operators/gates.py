@@ -54,6 +54,13 @@ def ink(previews: DataFrame, low: float = 0.02, high: float = 0.62) -> DataFrame
     return _row(rows, "ink-coverage", status(F.col("out") == 0), F.col("out"))
 
 
+def ink_ranges(previews: DataFrame, low: float = 0.02, high: float = 0.62) -> DataFrame:
+    """previews as for ink(). Least and most ink of the pages that aren't exempt, and those outside the band: project, least, most, out (pages in order)."""
+    body = previews.where("NOT exempt")
+    out = F.array_sort(F.collect_set(F.when(~F.col("ink").between(low, high), F.col("page"))))
+    return body.groupBy("project").agg(F.min("ink").alias("least"), F.max("ink").alias("most"), out.alias("out"))
+
+
 @register("no-overflow")
 def overflow(boxes: DataFrame, slack: float = 2.0) -> DataFrame:
     """boxes: project, left_, top_, right_, bottom_ and the page's own page_left and so on; split fragments count vertically only."""
@@ -275,11 +282,11 @@ def scores(checks: DataFrame) -> DataFrame:
 
 
 def verdicts(checks: DataFrame) -> DataFrame:
-    """GO unless a check failed; counts and the failed ids in order."""
+    """GO unless a check failed; counts, and the failed and the skipped ids in order."""
     count = lambda s: F.count_if(F.col("status") == s)
-    failed = F.array_sort(F.collect_list(F.when(F.col("status") == "fail", F.struct("pos", "id"))))
-    rows = checks.groupBy("project").agg(F.bool_and(F.col("status") != "fail").alias("ok"), count("pass").alias("passed"), count("fail").alias("failed"), count("skipped").alias("skipped"), failed.alias("at"))
-    return rows.select("project", F.when(F.col("ok"), "GO").otherwise("NO-GO").alias("verdict"), "passed", "failed", "skipped", F.array_join(F.transform("at", lambda x: x["id"]), ",").alias("failed_ids"))
+    ids = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.struct("pos", "id"))))  # noqa: E731  as many as there are gates
+    rows = checks.groupBy("project").agg(F.bool_and(F.col("status") != "fail").alias("ok"), count("pass").alias("passed"), count("fail").alias("failed"), count("skipped").alias("skipped"), ids("fail").alias("at"), ids("skipped").alias("past"))
+    return rows.select("project", F.when(F.col("ok"), "GO").otherwise("NO-GO").alias("verdict"), "passed", "failed", "skipped", F.array_join(F.transform("at", lambda x: x["id"]), ",").alias("failed_ids"), F.array_join(F.transform("past", lambda x: x["id"]), ",").alias("skipped_ids"))
 
 
 def best_by_rank(files: DataFrame, ranks: list[str]) -> DataFrame:
@@ -290,6 +297,12 @@ def best_by_rank(files: DataFrame, ranks: list[str]) -> DataFrame:
     return files.groupBy("project").agg(F.min_by("name", F.struct(rank, "name")).alias("name"), F.count(F.lit(1)).alias("n"), F.min(rank).alias("rank"))
 
 
+def only_file(files: DataFrame, name: str) -> DataFrame:
+    """files: project, name. The file of that name (`{project}` as in best_by_rank), else a project's only file, else none."""
+    found = best_by_rank(files, [name])
+    return found.select("project", F.when((F.col("rank") == 0) | (F.col("n") == 1), F.col("name")).alias("name"))
+
+
 def only_tier(files: DataFrame) -> DataFrame:
     """files: project, tier, name. The files of each project's lowest tier, numbered by name."""
     low = files.groupBy("project").agg(F.min("tier").alias("tier"))

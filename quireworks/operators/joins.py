@@ -41,6 +41,14 @@ def not_contained(titles: DataFrame, outline: DataFrame) -> DataFrame:
     return wanted.select("project", "id", "title").join(found, ["project", "id"], "left_anti")
 
 
+def lookups(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """wanted: project, id; entries: project, id, title, file. Each wanted entry, or a problem that lists the ids that the project has: project, id, title, file, problem."""
+    known = entries.groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("id")), ", ").alias("known"))  # an inventory's ids
+    rows = wanted.join(entries, ["project", "id"], "left").join(known, "project", "left")
+    problem = F.concat(F.lit('No entry with id "'), "id", F.lit('". Known ids: '), F.coalesce("known", F.lit("(none)")), F.lit("."))
+    return rows.select("project", "id", "title", "file", F.when(F.col("file").isNull(), problem).alias("problem"))
+
+
 def broken_targets(targets: DataFrame, ids: DataFrame) -> DataFrame:
     """targets and ids: project, target. Targets without an element of that id."""
     return targets.join(ids, ["project", "target"], "left_anti")

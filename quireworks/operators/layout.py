@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,12 +81,22 @@ def linked(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"wraps": no(same_page & same_font & (gap <= mean * WRAP)), "list_wraps": no(same_page & same_font & (gap <= mean * LIST_WRAP)), "crosses": no(crosses), "list_follows": no(~same_page | (gap <= mean * LIST_WRAP))})
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """linked() with each line's heading (h) and the number of its section, 0 before the first heading."""
+    rows = linked(rows).withColumn("h", F.when(~F.col("is_table_row"), heading(F.col("text"))))
+    w = Window.partitionBy("project").orderBy("line_no")
+    return rows.withColumn("section", F.sum(F.when(F.col("h.kind").isNotNull(), 1).otherwise(0)).over(w))
+
+
 def sections(rows: DataFrame) -> DataFrame:
     """Classified lines to sections: project, section, kind, number, title, from_next, heading_text, start_page, end_page, body (array of lines). Lines before the first
     heading belong to none; an empty section just before one of the same kind, title and number is dropped."""
-    rows = linked(rows).withColumn("h", F.when(~F.col("is_table_row"), heading(F.col("text"))))
-    w = Window.partitionBy("project").orderBy("line_no")
-    rows = rows.withColumn("section", F.sum(F.when(F.col("h.kind").isNotNull(), 1).otherwise(0)).over(w)).where("section > 0")
+    return _all_sections(rows).where("NOT orphan").drop("orphan")
+
+
+def _all_sections(rows: DataFrame) -> DataFrame:
+    """sections() with `orphan` for those that it drops."""
+    rows = _numbered(rows).where("section > 0")
     inside = Window.partitionBy("project", "section").orderBy("line_no")
     rows = rows.withColumn("pos", F.row_number().over(inside) - 1)
     head = F.first("h").over(inside)
@@ -104,11 +116,16 @@ def sections(rows: DataFrame) -> DataFrame:
     after = Window.partitionBy("project").orderBy("section")
     following = F.lead(F.struct("kind", "title", "number")).over(after)
     orphan = (F.size("body") == 0) & following.isNotNull() & following.eqNullSafe(F.struct("kind", "title", "number"))
-    return out.withColumn("orphan", orphan).where("NOT orphan").drop("orphan")
+    return out.withColumn("orphan", orphan)
 
 
 def blocks(found: DataFrame, key: str = "section") -> DataFrame:
-    """Sections' bodies to blocks: project, key, block_no, type, text, items, rows. Which lines continue a block depends on the block's own mode, so the starts are found by a fold."""
+    """Sections' bodies to blocks: project, key, block_no, type, text, items, rows. Which lines continue a block depends on the block's own mode, so the starts are found by a fold. A paragraph equal to the one just before it is dropped."""
+    return _all_blocks(found, key).where("NOT again").select("project", key, "block_no", "type", F.when(F.col("type") == "paragraph", F.col("text")).alias("text"), "items", "rows")
+
+
+def _all_blocks(found: DataFrame, key: str = "section") -> DataFrame:
+    """blocks() with `again` for paragraphs that it drops, and `leaked` for callouts that it repairs."""
     zero = F.struct(F.lit("").alias("mode"), F.array().cast("array<boolean>").alias("starts"))
 
     def step(s: Column, x: Column) -> Column:
@@ -130,18 +147,37 @@ def blocks(found: DataFrame, key: str = "section") -> DataFrame:
     lines_ = F.array_sort(F.collect_list(F.struct("i", T.trim(F.col("text")).alias("t"), "item", "cells", "is_list_item", "is_table_row")))
     rows = rows.groupBy("project", key, "block_no").agg(lines_.alias("ls"))
     kind = F.when(F.col("ls")[0]["is_table_row"], "table").when(F.col("ls")[0]["is_list_item"], "list").otherwise("paragraph")
-    text = T.repaired_callout(F.array_join(F.transform("ls", lambda x: x["t"]), " "))
+    raw = F.array_join(F.transform("ls", lambda x: x["t"]), " ")
+    text = T.repaired_callout(raw)
     item = lambda n: F.array_join(F.transform(F.filter("ls", lambda x: x["item"] == n), lambda x: x["t"]), " ")
     items = F.transform(F.sequence(F.lit(1), F.greatest(F.array_max(F.transform("ls", lambda x: x["item"])), F.lit(1))), item)
-    rows = rows.select("project", key, "block_no", kind.alias("type"), text.alias("text"), items.alias("items"), F.transform("ls", lambda x: x["cells"]).alias("rows"))
+    rows = rows.select("project", key, "block_no", kind.alias("type"), text.alias("text"), items.alias("items"), F.transform("ls", lambda x: x["cells"]).alias("rows"), (raw != text).alias("leaked"))
     run = T.bullets(F.col("text"))
     promoted = (F.col("type") == "paragraph") & F.startswith(T.trim(F.col("text")), F.lit("•")) & (F.size(run) >= 2)
     rows = rows.withColumns({"promoted": promoted, "run": run})
-    rows = rows.select("project", key, "block_no", F.when(F.col("promoted"), "list").otherwise(F.col("type")).alias("type"), "text", F.when(F.col("promoted"), F.col("run")).when(F.col("type") == "list", F.col("items")).alias("items"), F.when(F.col("type") == "table", F.col("rows")).alias("rows"))
+    rows = rows.select("project", key, "block_no", F.when(F.col("promoted"), "list").otherwise(F.col("type")).alias("type"), "text", F.when(F.col("promoted"), F.col("run")).when(F.col("type") == "list", F.col("items")).alias("items"), F.when(F.col("type") == "table", F.col("rows")).alias("rows"), "leaked")
     before = F.lag(F.struct("type", "text")).over(Window.partitionBy("project", key).orderBy("block_no"))
     again = (F.col("type") == "paragraph") & F.coalesce(before == F.struct("type", "text"), F.lit(False))
-    rows = rows.withColumn("again", again).where("NOT again")
-    return rows.select("project", key, "block_no", "type", F.when(F.col("type") == "paragraph", F.col("text")).alias("text"), "items", "rows")
+    return rows.withColumn("again", again)
+
+
+def warnings(rows: DataFrame) -> DataFrame:
+    """What files() leaves out, repairs or cannot tell: project, rule, section (null: the whole project), detail."""
+    numbered, found = _numbered(rows), _all_sections(rows)
+    whole = F.lit(None).cast("bigint").alias("section")
+    per = numbered.groupBy("project").agg(F.count_if(F.col("section") == 0).alias("n"), F.max("section").alias("last"))
+    row = lambda df, rule, section, detail: df.select("project", F.lit(rule).alias("rule"), section, detail.cast("string").alias("detail"))
+    kept = found.where("NOT orphan")
+    parts = _all_blocks(kept)
+    return reduce(DataFrame.unionByName, [
+        row(per.where("last > 0 AND n > 0"), "lines-before-first-heading", whole, F.col("n")),
+        row(per.where("last = 0"), "no-heading", whole, F.col("n")),
+        row(found.where("kind IN ('chapter', 'bonus') AND title = ''"), "untitled-heading", F.col("section").cast("bigint"), F.col("heading_text")),
+        row(found.where("orphan"), "empty-divider", F.col("section").cast("bigint"), F.col("heading_text")),
+        row(parts.where("again"), "repeated-paragraph", F.col("section").cast("bigint"), F.substring("text", 1, 80)),
+        row(parts.where("leaked"), "leaked-callout", F.col("section").cast("bigint"), F.regexp_extract("text", r"^> \*\*([^*]*)\*\*", 1)),
+        row(parts.where(T.has(F.col("text"), P.C1)), "control-character", F.col("section").cast("bigint"), T.snippet(F.col("text"), P.C1)),
+    ])
 
 
 def files(rows: DataFrame) -> DataFrame:

@@ -105,6 +105,26 @@ def plan(files: DataFrame) -> DataFrame:
     return rows.select("file_id", F.col("index").cast("long").alias("index"), component.alias("component"), kind.alias("source_kind"), rule.alias("rule"), T.preview(shown).alias("preview"))
 
 
+def plan_totals(plans: DataFrame, project: str) -> DataFrame:
+    """Blocks and files of each project: plans are rows of plan() with a column that names the project."""
+    return plans.groupBy(F.col(project).alias("project")).agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("file_id").alias("files"))
+
+
+def plan_report(files: DataFrame) -> DataFrame:
+    """files: file_id, type, text. Each file's part of the coverage report in Markdown: file_id, text. A project's report is its files' parts in order."""
+    cell = lambda c: F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", cell("index"), cell("component"), cell("source_kind"), cell("rule")), F.lit(" |"))
+    lines = plan(files).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("index", line.alias("line")))).alias("ls"))
+    rows = chapter_plans(files).join(lines, "file_id", "left")
+    blocks_ = F.coalesce(F.size("ls"), F.lit(0))
+    warned = F.when(F.col("warnings") != "", F.concat(F.lit("\n**Warnings:**\n- "), F.replace(F.col("warnings"), F.lit(","), F.lit("\n- ")), F.lit("\n"))).otherwise("")
+    text = F.concat(
+        F.lit("## "), F.col("file_id").cast("string"), F.lit("\n\n- Blocks: "), F.when(F.col("ls").isNull(), 0).otherwise(blocks_).cast("string"), F.lit("\n- Estimated pages: "), F.format_string("%.1f", F.round("estimated_pages", 1)), F.lit("\n- Editorial-body ratio: "), F.round(F.col("editorial_body_ratio") * 100).cast("long").cast("string"),
+        F.lit("%\n- Non-body components: "), F.col("actual_non_body").cast("string"), F.lit(" (budget minimum: "), F.col("min_non_body").cast("string"), F.lit(")\n\n| # | Component | Source | Rule |\n|---|---|---|---|\n"), F.coalesce(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("")), F.lit("\n"), warned,
+    )
+    return rows.select("file_id", text.alias("text"))
+
+
 def chapter_plans(files: DataFrame) -> DataFrame:
     """files: file_id, type, text. Budget figures of each file: component counts, ratio of body blocks, pages, wanted and actual other components, warnings."""
     per = plan(files).groupBy("file_id").agg(

@@ -55,7 +55,7 @@ def book_parts(spark, d):
     k = F.col("k")
     books = books.select(
         "project", F.concat(F.lit("Book & "), "project").alias("title"), F.when(k % 2 == 0, "Sub").alias("subtitle"), F.lit("Me").alias("author"), F.when(k % 3 == 0, F.concat(F.lit("cover/final/"), "project", F.lit(".png"))).alias("cover"), F.when(k % 2 == 1, "One.\n\nTwo <b>.").alias("disclaimer"),
-        (k % 2 == 1).alias("disclaimer_required"), (k % 3).alias("n_bonuses"), F.when(k % 4 > 0, "Go").alias("cta_title"), F.lit("now").alias("cta_content"), F.when(k % 4 == 2, "http://x").alias("cta_link"), F.when(k % 5 > 0, "Punch").alias("punchline"), (k % 2 + 0).alias("n_points"),
+        (k % 2 == 1).alias("disclaimer_required"), (k % 3).alias("n_bonuses"), F.when(k % 4 > 0, "Go").alias("cta_title"), F.lit("now").alias("cta_content"), F.when(k % 4 == 2, "http://x").alias("cta_link"), F.when(k % 5 > 0, "Punch ").alias("punchline"), F.when(k % 2 > 0, F.array(F.lit("One & all"), F.lit("two"))).alias("points"),
     )
     html = F.concat(F.lit('<section class="chapter-open" id="c'), F.col("doc_id").cast("string"), F.lit('"><p>'), T.escaped(F.coalesce("text", F.lit(""))), F.lit("</p></section>"))
     chapters = docs.select(F.col("source").alias("project"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("number"), _line(0).alias("title"), html.alias("html"))
@@ -172,7 +172,7 @@ UNION ALL SELECT project, 1, 0, 'title-page', '<section class="title-page">' ||
 UNION ALL SELECT project, 2, 0, CASE WHEN k % 2 = 1 THEN 'copyright+disclaimer' ELSE 'copyright' END, '<section><p>Me</p>' || CASE WHEN k % 2 = 1 THEN '<p>One.</p>' || chr(10) || '<p>Two &lt;b&gt;.</p>' ELSE '' END || '</section>', NULL FROM m
 UNION ALL SELECT project, 3, 0, 'bonus-teaser', CASE WHEN k % 3 > 0 THEN '<section>' || (k % 3) || ' companion deliverable' || CASE WHEN k % 3 = 1 THEN '' ELSE 's' END || '</section>' END, CASE WHEN k % 3 = 0 THEN 'no bonuses' END FROM m
 UNION ALL SELECT project, 6, 0, 'cta', CASE WHEN k % 4 > 0 THEN '<section><h2>Go</h2>now' || CASE WHEN k % 4 = 2 THEN '<a href="http://x"></a>' ELSE '' END || '</section>' END, CASE WHEN k % 4 = 0 THEN 'no title or body' END FROM m
-UNION ALL SELECT project, 7, 0, 'back-cover', CASE WHEN k % 5 > 0 AND k % 2 > 0 THEN '<section>Punch</section>' END, CASE WHEN NOT (k % 5 > 0 AND k % 2 > 0) THEN 'no punchline or bullets' END FROM m
+UNION ALL SELECT project, 7, 0, 'back-cover', CASE WHEN k % 5 > 0 AND k % 2 > 0 THEN '<section>Punch<ul><li>One &amp; all</li>' || chr(10) || '<li>two</li></ul></section>' END, CASE WHEN NOT (k % 5 > 0 AND k % 2 > 0) THEN 'no punchline or bullets' END FROM m
 UNION ALL SELECT project, 4, nth, 'toc', '<li class="toc-entry"><a href="#c' || p || '">' || label || '</a></li>', NULL FROM h
 UNION ALL SELECT project, 5, nth, 'chapter', '<section class="chapter-open' || CASE WHEN nth = 0 THEN ' body-start' ELSE '' END || '" id="c' || p || '"><p>' || body || '</p></section>', NULL FROM h""",
     "print_covers": """WITH f AS (SELECT user_id AS project, event_type || (event_id % 7) || CASE WHEN event_id % 3 = 0 THEN '.kindle' WHEN event_id % 11 = 0 AND user_id % 2 = 0 THEN '.Print' WHEN event_id % 5 = 0 THEN '-back' ELSE '' END || CASE WHEN event_id % 2 = 0 THEN '.png' ELSE '.txt' END AS name FROM events),

@@ -165,7 +165,7 @@ ORACLES = {
   round(20 * {_ratio("'fonts-embedded', 'min-font-size', 'contrast'")}, 1) AS typography, round(20 * {_ratio("'ink-coverage', 'no-overflow', 'outline-toc'")}, 1) AS layout, round(15 * {_ratio("'metadata', 'assets-exist'")}, 1) AS consistency, round(10 * {_ratio('')}, 1) AS technical FROM cc GROUP BY project)
 SELECT *, 7.0::DOUBLE AS niche_fit, round(7.0::DOUBLE + content + typography + layout + consistency + technical, 1) AS total FROM p""",
     "qc_verdicts": f"""WITH {_CHECKS} SELECT project, CASE WHEN bool_and(status <> 'fail') THEN 'GO' ELSE 'NO-GO' END AS verdict, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
-  coalesce(string_agg(id, ',' ORDER BY pos) FILTER (status = 'fail'), '') AS failed_ids FROM cc GROUP BY project""",
+  coalesce(string_agg(id, ',' ORDER BY pos) FILTER (status = 'fail'), '') AS failed_ids, coalesce(string_agg(id, ',' ORDER BY pos) FILTER (status = 'skipped'), '') AS skipped_ids FROM cc GROUP BY project""",
     "qc_folio_breaks": f"WITH {_FOLIOS} SELECT * FROM fb WHERE reason IS NOT NULL",
     "qc_folio_runs": f"WITH {_FOLIOS} SELECT project, kind, arg_min(text, page) AS first, arg_max(text, page) AS last, count(*) AS n FROM f2 WHERE kind IS NOT NULL GROUP BY ALL",
     "qc_folios": f"""WITH {_ITEMS} SELECT DISTINCT project, page, CASE project % 7 WHEN 1 THEN NULL WHEN 0 THEN 'iv' ELSE (page + 1)::VARCHAR END AS text, CASE project % 7 WHEN 1 THEN NULL WHEN 0 THEN 'roman' ELSE 'arabic' END AS kind,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import gates, joins
+from ..operators import gates, joins, layout
 from ..plans import audit as audit_plan
 from ..plans import lift, qc
+from . import audit as audit_queries
 from . import layout as layout_queries
 from . import qc as qc_queries
-from .sql import S, collapse
+from .sql import collapse, trim, words
 
 N = 40
 
@@ -62,16 +63,18 @@ def qc_run_results(spark, d):
     return qc.results(qc.checks(*_inputs(spark, d)))
 
 
-def _files(spark, d):
-    return audit_plan.ingested(layout_queries.items(spark, d))
+def run_files(spark, d):
+    """Files that positioned words give, from items to Markdown."""
+    rows = audit_plan.ingested(layout_queries.items(spark, d))
+    return rows.select("project", "id", "file", "start_page", "end_page", "words", F.md5(F.col("markdown").cast("binary")).alias("digest"))
 
 
 def run_findings(spark, d):
-    """Findings in the files that positioned words give."""
-    return audit_plan.audited(_files(spark, d)).groupBy("project", "category").agg(F.count(F.lit(1)).alias("n"))
+    """Findings in the files that lines with headings give."""
+    return audit_plan.audited(layout.files(layout_queries.text_lines(spark, d)))
 
 
-QUERIES = {"qc_run": qc_run, "qc_run_results": qc_run_results}
+QUERIES = {"qc_run": qc_run, "qc_run_results": qc_run_results, "run_files": run_files, "run_findings": run_findings}
 _Q = qc_queries
 _CHECKS = rf"""pr AS (SELECT DISTINCT doc_id % {N} AS project FROM documents),
 dd AS (SELECT doc_id % {N} AS project, doc_id, lang, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10))[1] AS first FROM documents),
@@ -113,7 +116,17 @@ cc AS (
 _ALL = f"WITH {_Q._FOLIOS}, {_Q._ITEMS}, {_CHECKS}"
 _scores = _Q.ORACLES["qc_scores"].partition("p AS (")[2]
 _verdicts = _Q.ORACLES["qc_verdicts"].partition("SELECT project, CASE")[2]
+_L, _A = layout_queries, audit_queries
+_FROM_ITEMS = f"""t4 AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY page, line) - 1 AS line_no, page, y, font_height AS fh, cells, text, is_table_row AS tr, {trim('text')} AS tt, is_list_item AS li FROM kl),
+t5 AS ({_L.TEXT_LINES.partition('t5 AS (')[2]}"""
+_RUN = f"WITH RECURSIVE {lift.LINES}, {_L.TEXT_LINES}, {_L.SECTIONS}, {_L.BLOCKS}, {_L.FILES}"
 ORACLES = {
+    "run_files": f"""WITH RECURSIVE {lift.LINES}, {_L.ITEMS}, {_L.LAYOUT}, {_L.CLASSIFIED}, {_FROM_ITEMS}, {_L.SECTIONS}, {_L.BLOCKS}, {_L.FILES}
+SELECT project, id, file, start_page, end_page, {words('markdown')} AS words, md5(markdown) AS digest FROM fi""",
+    "run_findings": f"""{_RUN}, mf AS (SELECT project, file AS file_id, start_page, end_page, markdown AS text FROM fi), en AS (SELECT project, (entry_kind, pos) AS pos, file AS id, title FROM fi),
+{_A.DUPLICATES}, {_A.DENSITY}, {_A.NEAR}, {_A.BROKEN}, {_A.LISTS}, {_A.TRUNCATED}, {_A.HEADINGS}
+SELECT 'duplicate-title' AS category, project, ids[1] AS file_id, array_to_string(ids, ',') AS detail FROM du
+UNION ALL SELECT * FROM ne UNION ALL SELECT * FROM br UNION ALL SELECT * FROM li UNION ALL SELECT * FROM tp UNION ALL SELECT * FROM uh""",
     "qc_run": f"{_ALL} SELECT project, pos, id, status FROM cc",
     "qc_run_results": f"{_ALL}, v AS (SELECT project, CASE{_verdicts}), p AS ({_scores.partition('FROM cc GROUP BY project)')[0]}FROM cc GROUP BY project) SELECT * FROM v JOIN (SELECT *, 7.0::DOUBLE AS niche_fit, round(7.0::DOUBLE + content + typography + layout + consistency + technical, 1) AS total FROM p) USING (project)",
 }

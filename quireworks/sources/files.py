@@ -40,6 +40,51 @@ def templates(spark: SparkSession, path: str) -> DataFrame:
     return markdown_files(spark, path).withColumn("text", X.without_comments(F.col("text")))
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def template(spark: SparkSession, path: str) -> str:
+    """One template, comments taken out. A missing one is an error."""
+    if not _there(spark, path):
+        raise FileNotFoundError(f"no template at {path}")
+    return templates(spark, path).first().text
+
+
+def theme(spark: SparkSession, folder: str, name: str) -> dict:
+    """One theme's name, fonts and palette. A missing one is an error."""
+    path = f"{folder}/{name}/tokens.json"
+    if not _there(spark, path):
+        raise FileNotFoundError(f"no theme {name} in {folder}")
+    row = theme_presets(spark, path).first()
+    return {"name": row.name, "fonts": row.fonts, "palette": row.palette}
+
+
+def build_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of stage results (assembly.run_stage), or None where no stage has run yet."""
+    return spark.read.parquet(path) if _there(spark, path) else None
+
+
+def project_folder(spark: SparkSession, root: str, project: str) -> str:
+    """A project's folder. A missing one, or a name that leaves the root, is an error."""
+    if not project or "/" in project or project in (".", ".."):
+        raise ValueError(f"no project name: {project!r}")
+    if not _there(spark, f"{root}/{project}"):
+        raise FileNotFoundError(f"no project {project} in {root}")
+    return f"{root}/{project}"
+
+
+def ensured_form(spark: SparkSession, path: str, blank: str) -> str:
+    """The text of a filled form. Where there is none a blank one is put there, and the error says to fill it."""
+    if not _there(spark, path):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        a, b = jvm.org.apache.hadoop.fs.Path(blank), jvm.org.apache.hadoop.fs.Path(path)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+        raise FileNotFoundError(f"{path} was missing; fill the blank form that is there now")
+    return markdown_files(spark, path).first().text
+
+
 def binaries(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256, content of each file."""
     found = spark.read.format("binaryFile").load(path)

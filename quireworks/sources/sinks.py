@@ -34,6 +34,15 @@ def report(findings: DataFrame) -> DataFrame:
     return rows.groupBy("project").agg(F.concat(F.lit("# Audit of "), F.first("project").cast("string"), F.lit("\n\n"), F.count(F.lit(1)).cast("string"), F.lit(" finding(s)\n\n"), head, body, F.lit("\n")).alias("text"))
 
 
+def settings_text(rows: DataFrame) -> DataFrame:
+    """rows: project, key (group.name), value. A YAML mapping of two levels for each project, values quoted: project, text."""
+    group, name = F.substring_index("key", ".", 1), F.regexp_extract("key", r"^[^.]*\.(.*)$", 1)
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.col("value"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    lines = rows.groupBy("project", group.alias("group")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), quoted.alias("value")))).alias("vs"))
+    part = F.concat("group", F.lit(":\n"), F.array_join(F.transform("vs", lambda v: F.concat(F.lit("  "), v["name"], F.lit(": "), v["value"])), "\n"))
+    return lines.groupBy("project").agg(F.concat(F.array_join(F.array_sort(F.collect_list(part)), "\n"), F.lit("\n")).alias("text"))
+
+
 def whole_text(parts: DataFrame) -> DataFrame:
     """parts: project, ordinal, nth, html. The sections of each project that have text, joined in order by blank lines."""
     order = F.array_sort(F.collect_list(F.struct("ordinal", "nth", "html")))
