@@ -1,17 +1,20 @@
 """Main text of HTML pages by wrapper induction.
 
-1. Every page is parsed. Its texts, each with the label path (tags and classes) of the block it lies in, are counted over all distinct pages of its host. A text
-   is the host's template where it is on most of the pages that have its path at all, so that layouts of a host do not hide each other's template.
-2. Containers are the label paths whose fullest element holds most of the text that varies (is no template), summed over all pages that have the path. The wrapper is the
-   containers and the template.
-3. Each page is parsed whole. Subtrees that HTML itself marks as no article (navigation, forms, scripts and so on, by tag or role) go. Where the host has a wrapper, it
-   decides: the article is the deepest container that the page has (of several the one with most text), and template texts inside it go, whatever the elements are called. Only without
-   a wrapper subtrees also go by words in class and id, and the article is the largest `article` or `main` element, or else the body.
+1. Every page is parsed. Its containers (elements that hold blocks: div, section, article and so on) are its skeleton; each text lies in a container, at a label path below it.
+2. A host's pivot is the skeleton that most of its distinct pages have. Every page's skeleton is aligned with it by simple tree matching: a matched container has the pivot's number as
+   its address, any other the address of its parent and its own label. An address with a label path below it is a slot.
+3. Slots are counted over all distinct pages of a host. A text is the host's template where it is constant: on most of the pages that have its slot at all, so that layouts of
+   a host do not hide each other's template. What varies is content. The host's containers are the addresses whose element holds most of the varying text, summed
+   over the pages that have them. The wrapper is pivot, containers and template.
+4. Each page is parsed whole. Subtrees that HTML itself marks as no article (navigation, forms, scripts and so on, by tag or role) go. Where the host has a wrapper, it
+   decides: the article is the deepest container that the aligned page has (of several the one with most text), and template texts inside it go, whatever the elements are called. Only where
+   there is none subtrees also go by words in class and id, and the article is the largest `article` or `main` element, or else the body.
    The rest is split into blocks: white space inside a block becomes one space, and blocks are joined by a line feed.
 
-Scale: pages are scanned three times. Counts are group-bys on host and path or text, with partial sums in each task, so a hot host is spread like any other. What
-a host's wrapper holds is bounded by its pages' own size, as each text must be on `LAYOUT` of them. Wrappers are a stored table, which Spark broadcasts
-where it is below its threshold and joins by shuffle beyond it; such a join splits hot hosts by adaptive execution.
+Scale: pages are parsed twice; in between a narrow table of numbers stands for them. Counts are group-bys on host and slot or text, with partial sums in each task, so a hot host is spread
+like any other. What a host's wrapper holds is bounded by its pages' own size, as each text must be on `LAYOUT` of them. Wrappers are a stored table, which Spark broadcasts
+where it is below its threshold and joins by shuffle beyond it; such a join splits hot hosts by adaptive execution. Equal subtrees are matched at once, so an alignment's cost
+grows with what differs; children in lists of more than `PAIRS` pairs that differ are aligned in halves.
 
 Edge cases: a null or empty html gives an empty text; a null or malformed url is a host of its own kind; unclosed and stray tags, truncated pages and unknown references are
 read as browsers do, as far as text goes; pages of any size and depth are parsed whole and counted.
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ from .common import stored
 
 #: Distinct pages that a text or a container must be on at least, and their least share of the host's distinct pages (of each layout, however many there are).
 PAGES, LAYOUT = 3, 0.01
-#: Characters of a path from which the part above is hashed.
-DEEP = 500
+#: Pairs of children that are aligned in one table.
+PAIRS = 1 << 22
 #: Share of the pages with a path on which a template text repeats; share of the varying text that the article's container holds.
 TEMPLATE, CONTAINER = 0.8, 0.6
 #: Containers are sought among blocks, except those that hold content of one kind.
@@ -134,7 +137,7 @@ def parse(page: str) -> Node:
 
 
 def walk(root: Node):
-    """All nodes below root in page order."""
+    """root and all nodes below it in page order."""
     stack = [root]
     while stack:
         node = stack.pop()
@@ -142,22 +145,6 @@ def walk(root: Node):
         stack += [x for x in reversed(node.children) if isinstance(x, Node)]
 
 
-class Paths(dict):
-    """node -> the labels from the root to it; past DEEP labels a hash stands for those above, so a deep tree's paths stay short."""
-
-    def __missing__(self, node: Node) -> str:
-        chain = []
-        while node is not None and node not in self:
-            chain.append(node)
-            node = node.parent
-        for x in reversed(chain):
-            up = self[x.parent] if x.parent else ""
-            if len(up) > DEEP:
-                up = f"#{xxhash.xxh3_64_hexdigest(up)}"
-            self[x] = f"{up}/{x.label}" if up else x.label if x.parent else ""
-        return self[chain[0]]
-
-
 def is_dropped(node: Node, holders: set[int], words: bool) -> bool:
     """Whether a subtree is no article. holders: nodes that hold an article or main element, or are one. words: whether class and id count."""
     if node.tag in DROPPED or node.role == "hidden":
@@ -220,135 +207,265 @@ def runs(root: Node) -> list[tuple[Node, str]]:
     return out
 
 
-def key_of(where: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{where}\x00{text}") >> 1
+def blocks(root: Node) -> list[str]:
+    """The texts of root's blocks in page order."""
+    return [text for _, text in runs(root)]
+
+
+# --- simple tree matching ---------------------------------------------------------------------------------------
+
+
+class Shape:
+    """A tree of labels, nodes numbered in page order: label, parent and children of each, and the end of its subtree."""
+
+    def __init__(self, labels: list[str], parents: list[int]):
+        self.labels, self.parents = labels, parents
+        self.children: list[list[int]] = [[] for _ in labels]
+        self.ends = list(range(1, len(labels) + 1))
+        for i in range(len(labels) - 1, 0, -1):
+            up = parents[i]
+            self.children[up].append(i)
+            self.ends[up] = max(self.ends[up], self.ends[i])
+        for x in self.children:
+            x.reverse()
+
+    def kinds(self, known: dict) -> list[int]:
+        """A number for each node: equal subtrees have equal ones."""
+        out = [0] * len(self.labels)
+        for i in range(len(self.labels) - 1, -1, -1):
+            out[i] = known.setdefault((self.labels[i], *(out[c] for c in self.children[i])), len(known))
+        return out
+
+
+def align(a: Shape, b: Shape) -> list[int]:
+    """Simple tree matching of two shapes: for each node of a, the node of b that it is matched with, or -1. Matched nodes have equal labels and matched parents,
+    keep their order, and are as many as can be."""
+    known: dict = {}
+    of_a, of_b = a.kinds(known), b.kinds(known)
+    inside = [key[1:] for key in known]
+    labels = [key[0] for key in known]
+    sizes: list[int] = []
+    for x in inside:
+        sizes.append(1 + sum(sizes[c] for c in x))
+    weights: dict[tuple[int, int], int] = {}
+
+    def weight(x: int, y: int) -> int:
+        return sizes[x] if x == y else weights[x, y] if labels[x] == labels[y] else 0
+
+    def weigh(x: int, y: int) -> None:
+        stack = [(x, y)]
+        while stack:
+            x, y = stack[-1]
+            if x == y or (x, y) in weights or labels[x] != labels[y]:
+                stack.pop()
+                continue
+            head, tail = _ends(inside[x], inside[y])
+            xs, ys = inside[x][head : len(inside[x]) - tail], inside[y][head : len(inside[y]) - tail]
+            missing = [(p, q) for p in set(xs) for q in set(ys) if p != q and labels[p] == labels[q] and (p, q) not in weights]
+            if missing:
+                stack += missing
+                continue
+            same = sum(sizes[c] for c in (*inside[x][:head], *inside[x][len(inside[x]) - tail :]))
+            weights[x, y] = 1 + same + sum(weight(xs[i], ys[j]) for i, j in _chosen(xs, ys, weight))
+            stack.pop()
+
+    out = [-1] * len(of_a)
+    stack = [(0, 0)] if a.labels[0] == b.labels[0] else []
+    while stack:
+        i, j = stack.pop()
+        if of_a[i] == of_b[j]:  # equal subtrees
+            out[i : a.ends[i]] = range(j, b.ends[j])
+            continue
+        out[i] = j
+        xs, ys = [of_a[c] for c in a.children[i]], [of_b[c] for c in b.children[j]]
+        head, tail = _ends(xs, ys)
+        for k in range(head):
+            stack.append((a.children[i][k], b.children[j][k]))
+        for k in range(1, tail + 1):
+            stack.append((a.children[i][-k], b.children[j][-k]))
+        xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+        for p in set(xs):
+            for q in set(ys):
+                weigh(p, q)
+        stack += [(a.children[i][head + k], b.children[j][head + m]) for k, m in _chosen(xs, ys, weight)]
+    return out
+
+
+def _ends(xs, ys) -> tuple[int, int]:
+    """How many elements two lists share at their beginning, and at their end beyond that: some best matching has these in pairs."""
+    most, head, tail = min(len(xs), len(ys)), 0, 0
+    while head < most and xs[head] == ys[head]:
+        head += 1
+    while tail < most - head and xs[-1 - tail] == ys[-1 - tail]:
+        tail += 1
+    return head, tail
+
+
+def _chosen(xs, ys, weight) -> list[tuple[int, int]]:
+    """The places of the pairs of the matching of two lists in order that weighs most."""
+    if not xs or not ys:
+        return []
+    if len(xs) * len(ys) > PAIRS:
+        i, j = len(xs) // 2, len(ys) // 2
+        return _chosen(xs[:i], ys[:j], weight) + [(i + p, j + q) for p, q in _chosen(xs[i:], ys[j:], weight)]
+    kinds, at = np.unique(np.array(ys), return_inverse=True)
+    rows: dict[int, np.ndarray] = {}
+    best = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
+    for i, x in enumerate(xs, 1):
+        if x not in rows:
+            rows[x] = np.array([weight(x, y) for y in kinds.tolist()], np.int32)[at]
+        best[i, 1:] = np.maximum.accumulate(np.maximum(best[i - 1, 1:], best[i - 1, :-1] + rows[x]))
+    out, i, j = [], len(xs), len(ys)
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
-def blocks(root: Node, template: frozenset[int] = frozenset(), paths: Paths | None = None) -> list[str]:
-    """The texts of root's blocks in page order; those of the template are left out."""
-    if not template:
-        return [text for _, text in runs(root)]
-    paths = paths or Paths()
-    return [text for node, text in runs(root) if key_of(paths[node], text) not in template]
+def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """The pairs of elements of two trees by simple tree matching."""
+    sides = []
+    for root in (a, b):
+        nodes = list(walk(root))
+        number = {x: i for i, x in enumerate(nodes)}
+        sides.append((nodes, Shape([x.label for x in nodes], [number.get(x.parent, 0) for x in nodes])))
+    (of_a, x), (of_b, y) = sides
+    return [(of_a[i], of_b[j]) for i, j in enumerate(align(x, y)) if j >= 0]
 
 
 # --- wrapper induction ------------------------------------------------------------------------------------------
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The pairs of simple tree matching, with the two roots. Pairs share their label paths, by which all pages of a host are counted; no pair of pages is matched for that."""
-    known: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def weight(x: Node, y: Node) -> tuple[int, list]:
-        key = (id(x), id(y))
-        if key in known:
-            return known[key]
-        xs, ys = x.elements(), y.elements()
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        pair: dict[tuple[int, int], int] = {}
-        for i, p in enumerate(xs, 1):
-            for j, q in enumerate(ys, 1):
-                w = weight(p, q)[0] if p.label == q.label else 0
-                pair[i, j] = w
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w if w else 0)
-        chosen, i, j = [], len(xs), len(ys)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
+def key_of(*parts) -> int:
+    return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts))) >> 1
+
+
+class Page:
+    """A parsed page: its containers in page order (the root first), their shape, and its texts, each with its container's number and the hash of the label path below it."""
+
+    def __init__(self, page: str, words: bool = False):
+        self.tree = parse(page)
+        pruned(self.tree, words)
+        self.containers, parents = [self.tree], [0]
+        at: dict[Node, int] = {self.tree: 0}
+        below: dict[Node, int] = {self.tree: 0}
+        for node in walk(self.tree):
+            if node is self.tree:
+                continue
+            up = at[node.parent]
+            if node.tag in BLOCKS and node.tag not in CONTENT:
+                at[node], below[node] = len(self.containers), 0
+                self.containers.append(node)
+                parents.append(up)
             else:
-                chosen.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-        known[key] = (1 + best[len(xs)][len(ys)], chosen[::-1])
-        return known[key]
+                at[node], below[node] = up, key_of(below[node.parent], node.label)
+        self.shape = Shape([x.label for x in self.containers], parents)
+        self.runs = [(node, at[node], below[node], text) for node, text in runs(self.tree)]
 
-    weight(a, b)
-    out, stack = [], [(a, b)]
-    while stack:
-        x, y = stack.pop()
-        out.append((x, y))
-        stack += known[id(x), id(y)][1]
+    def skeleton(self) -> str:
+        return "\n".join(f"{up} {label}" for up, label in zip(self.shape.parents, self.shape.labels, strict=True))
+
+
+def shape_of(skeleton: str) -> Shape:
+    rows = [x.split(" ", 1) for x in skeleton.split("\n")]
+    return Shape([label for _, label in rows], [int(up) for up, _ in rows])
+
+
+def addresses(shape: Shape, pivot: Shape) -> list[int]:
+    """For each container the number of the pivot's that it is matched with, or a hash of its parent's address and its label."""
+    out: list[int] = []
+    for i, found in enumerate(align(shape, pivot)):
+        out.append(found if found >= 0 else key_of(out[shape.parents[i]], shape.labels[i]))
     return out
 
 
-def read(page: str) -> tuple[Node, Paths, list[tuple[Node, str]]]:
-    tree = parse(page)
-    pruned(tree, words=False)
-    return tree, Paths(), runs(tree)
-
-
-def seen(page: str) -> tuple[int, list[int], list[int]]:
-    """A page's content hash, the hashes of its paths that hold text, and of its texts at their paths with the path's index beside each (two lists, flattened)."""
-    _, paths, found = read(page)
-    content = xxhash.xxh3_64_intdigest("\n".join(text for _, text in found)) >> 1
-    of = {(key_of(paths[node], text)): key_of(paths[node], "") for node, text in found}
-    return content, list(of.values()), list(of)
-
-
-def votes(page: str, template: frozenset[int]) -> list[tuple[str, int, int]]:
-    """For each container path of a page: the path, the varying text in its fullest element, and the page's varying text. Root's path is left out."""
-    tree, paths, found = read(page)
-    under: Counter[Node] = Counter()
-    for node, text in found:
-        if key_of(paths[node], text) not in template:
-            under[node] += len(text)
-    nodes = list(walk(tree))
-    for node in reversed(nodes):
-        under[node.parent] += under[node]
-    best: dict[str, int] = {}
-    sought = {tree}  # an article is sought no further inside
-    for node in nodes:
-        if node.parent in sought and node.tag in BLOCKS and node.tag not in CONTENT:
-            best[paths[node]] = max(best.get(paths[node], 0), under[node])
-            if node.tag != "article":
-                sought.add(node)
-    return [(where, n, under[tree]) for where, n in best.items()]
-
-
-def is_template(n: int, on_path: int, pages: int) -> bool:
-    return pages >= PAGES and n >= max(PAGES, LAYOUT * pages) and n >= TEMPLATE * on_path
+def keys_of(page: Page, address: list[int]) -> list[tuple[int, int]]:
+    """For each text of a page the hash of its slot, and of slot and text."""
+    slots = [key_of(address[at], below) for _, at, below, _ in page.runs]
+    return [(slot, key_of(slot, key_of(text))) for slot, (*_, text) in zip(slots, page.runs, strict=True)]
+
+
+def varying(shape: Shape, address: list[int], at: list[int], sizes: list[int], constant: list[bool]) -> dict[int, tuple[int, int]]:
+    """For each address of a page but the root's: the varying text in its fullest element, and the page's varying text. Articles hold no containers of their own."""
+    under = [0] * len(address)
+    for i, n, fixed in zip(at, sizes, constant, strict=True):
+        under[i] += 0 if fixed else n
+    for i in range(len(address) - 1, 0, -1):
+        under[shape.parents[i]] += under[i]
+    out: dict[int, tuple[int, int]] = {}
+    sought = [True] * len(address)
+    for i in range(1, len(address)):
+        up = shape.parents[i]
+        sought[i] = sought[up] and shape.labels[up].split(".")[0] != "article"
+        if sought[i]:
+            out[address[i]] = (max(out.get(address[i], (0, 0))[0], under[i]), under[0])
+    return out
+
+
+def is_template(n: int, on_slot: int, pages: int) -> bool:
+    return pages >= PAGES and n >= max(PAGES, LAYOUT * pages) and n >= TEMPLATE * on_slot
 
 
 def is_container(under: int, total: int, n: int, pages: int) -> bool:
     return n >= max(PAGES, LAYOUT * pages) and under >= CONTAINER * total > 0
 
 
-def induce(pages: list[str]) -> tuple[str, list[int]] | None:
-    """The wrapper of all pages of a host held in memory, by the rules that main_texts applies by group-bys: the deepest container's path
-    and the template's hashes. None if fewer than PAGES differ."""
-    texts, on, n = Counter(), Counter(), set()
-    for page in pages:
-        content, where, keys = seen(page)
-        if content not in n:
-            n.add(content)
-            texts.update(dict(zip(keys, where, strict=True)).items())
-            on.update(set(where))
-    if len(n) < PAGES:
-        return None
-    template = [key for (key, where), k in texts.items() if is_template(k, on[where], len(n))]
-    sums: dict[str, list[int]] = {}
-    for page in pages:
-        for where, under, total in votes(page, frozenset(template)):
-            for i, x in enumerate((under, total, 1)):
-                sums.setdefault(where, [0, 0, 0])[i] += x
-    held = [where for where, (under, total, k) in sums.items() if is_container(under, total, k, len(n))]
-    return max(held, key=lambda x: (x.count("/"), x), default=""), template
+class Wrapper:
+    def __init__(self, pivot: str, containers: list[int], template: list[int]):
+        self.pivot, self.containers, self.template = shape_of(pivot), frozenset(containers), frozenset(template)
 
 
-def extract(page: str | None, wrapper: tuple[str | frozenset[str], frozenset[int]] | None = None) -> str:
+def content_of(page: Page) -> int:
+    return key_of(*(text for *_, text in page.runs))
+
+
+def induce(pages: list[str]) -> Wrapper | None:
+    """The wrapper of all pages of a host held in memory, by the rules that main_texts applies by group-bys. None if fewer than PAGES differ."""
+    distinct = {content_of(x): x for x in reversed([Page(page) for page in pages])}
+    if len(distinct) < PAGES:
+        return None
+    common = Counter(x.skeleton() for x in distinct.values())
+    pivot = min(common, key=lambda x: (-common[x], x.encode()))
+    slots, texts, sums = Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
+    found = []
+    for page in distinct.values():
+        address = addresses(page.shape, shape_of(pivot))
+        keys = keys_of(page, address)
+        slots.update({slot for slot, _ in keys})
+        texts.update(set(keys))
+        found.append((page, address, keys))
+    template = [key for (slot, key), n in texts.items() if is_template(n, slots[slot], len(distinct))]
+    for page, address, keys in found:
+        fixed = [key in template for _, key in keys]
+        for where, (under, total) in varying(page.shape, address, [x[1] for x in page.runs], [len(x[3]) for x in page.runs], fixed).items():
+            sums[where] = [x + y for x, y in zip(sums[where], (under, total, 1), strict=True)]
+    return Wrapper(pivot, [where for where, (under, total, n) in sums.items() if is_container(under, total, n, len(distinct))], template)
+
+
+def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
     """The main text of one page: by the host's wrapper where there is one, by marked elements and listed words otherwise."""
     if not page:
         return ""
-    tree = parse(page)
-    pruned(tree, words=not wrapper)
     if wrapper:
-        paths = Paths()
-        held = {wrapper[0]} if isinstance(wrapper[0], str) else wrapper[0]
-        found = [x for x in walk(tree) if x.tag in BLOCKS and paths[x] in held] if held else []
-        deepest = max((x.depth for x in found), default=0)
-        found = [x for x in found if x.depth == deepest]
-        return "\n".join(max((blocks(x, wrapper[1], paths) for x in found or [tree]), key=lambda texts: sum(map(len, texts))))
+        parsed = Page(page)
+        address = addresses(parsed.shape, wrapper.pivot)
+        found = [i for i, x in enumerate(address) if i and x in wrapper.containers]
+        if found:
+            deepest = max(parsed.containers[i].depth for i in found)
+            lines: dict[int, list[str]] = {i: [] for i in found if parsed.containers[i].depth == deepest}
+            for (_, at, _, text), (_, key) in zip(parsed.runs, keys_of(parsed, address), strict=True):
+                if key not in wrapper.template:
+                    for i in lines:
+                        if i <= at < parsed.shape.ends[i]:
+                            lines[i].append(text)
+            return "\n".join(max(lines.values(), key=lambda texts: sum(map(len, texts))))
+    tree = parse(page)
+    pruned(tree)
     marked = [x for x in walk(tree) if x.tag in ("article", "main") and not any(y.tag == "article" for y in _above(x))]
     marked = [x for x in marked if x.tag == "article"] or marked
     if marked:
@@ -371,62 +488,96 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"))
 
 
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, containers (paths), template (hashes) for each host of which PAGES pages differ at least; all pages count, equal ones once."""
-    rows = _hosted(pages).where("html IS NOT NULL").select("host", "html")
+    """host, pivot, containers (addresses), template (hashes) for each host of which PAGES pages differ at least; all pages count, equal ones once."""
 
-    def look(batches):
+    def read(batches):
         for batch in batches:
-            found = [seen(x.as_py()) for x in batch.column(1)]
-            longs = lambda xs: pa.array(xs, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), longs([x[1] for x in found]), longs([x[2] for x in found])], ["host", "content", "paths", "texts"])
-
-    seen_ = rows.mapInArrow(look, "host string, content long, paths array<bigint>, texts array<bigint>").groupBy("host", "content").agg(F.first(F.struct("paths", "texts")).alias("x"))
-    each = stored(seen_.select("host", "x.*"), "page-texts")
+            found = [Page(x.as_py()) for x in batch.column(1)]
+            runs_ = lambda f, kind: pa.array([[f(*x) for x in p.runs] for p in found], kind)
+            yield _batch(
+                host=batch.column(0), content=pa.array([content_of(x) for x in found], pa.int64()), skeleton=pa.array([x.skeleton() for x in found], pa.string()),
+                at=runs_(lambda _, at, below, text: at, _INTS), below=runs_(lambda _, at, below, text: below, _LONGS), texts=runs_(lambda _, at, below, text: key_of(text), _LONGS), sizes=runs_(lambda _, at, below, text: len(text), _INTS),
+            )
+
+    rows = _hosted(pages).where("html IS NOT NULL").select("host", "html").mapInArrow(read, "host string, content long, skeleton string, at array<int>, below array<bigint>, texts array<bigint>, sizes array<int>")
+    each = rows.groupBy("host", "content").agg(F.first(F.struct("skeleton", "at", "below", "texts", "sizes")).alias("x"))
+    each = stored(each.select("host", "x.*"), "page-runs")
     sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES)
-    on = each.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("on_path"))
-    texts = each.select("host", F.explode(F.arrays_zip("paths", "texts")).alias("x")).groupBy("host", F.col("x.paths").alias("path"), F.col("x.texts").alias("text")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    common = each.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"))
+    pivots = stored(common.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("less"), "skeleton")).alias("x")).join(sizes, "host").select("host", "pages", F.col("x.skeleton").alias("pivot")), "page-pivots")
+
+    def slots(batches):
+        known: dict[str, Shape] = {}
+        for batch in batches:
+            out = []
+            for pivot, skeleton, at, below, texts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
+                if pivot not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[pivot] = shape_of(pivot)
+                address = addresses(shape_of(skeleton), known[pivot])
+                of = [key_of(address[i], x) for i, x in zip(at, below, strict=True)]
+                out.append((address, of, [key_of(x, y) for x, y in zip(of, texts, strict=True)]))
+            column = lambda i: pa.array([x[i] for x in out], _LONGS)
+            yield _batch(host=batch.column(0), skeleton=batch.column(2), at=batch.column(3), sizes=batch.column(6), address=column(0), slots=column(1), texts=column(2))
+
+    aligned = each.join(pivots, "host").select("host", "pivot", "skeleton", "at", "below", "texts", "sizes")
+    aligned = stored(aligned.mapInArrow(slots, "host string, skeleton string, at array<int>, sizes array<int>, address array<bigint>, slots array<bigint>, texts array<bigint>"), "page-slots")
+    on = aligned.select("host", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("on_slot"))
+    texts = aligned.select("host", F.explode(F.array_distinct(F.arrays_zip("slots", "texts"))).alias("x")).groupBy("host", F.col("x.slots").alias("slot"), F.col("x.texts").alias("text")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
     least = F.greatest(F.lit(PAGES), F.col("pages") * LAYOUT)
-    kept = texts.join(on, ["host", "path"]).join(sizes, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("on_path") * TEMPLATE))
-    template = stored(sizes.join(kept.groupBy("host").agg(F.collect_set("text").alias("template")), "host", "left").select("host", "pages", F.coalesce("template", F.array().cast("array<bigint>")).alias("template")), "page-template")
+    kept = texts.join(on, ["host", "slot"]).join(pivots, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("on_slot") * TEMPLATE))
+    template = pivots.join(kept.groupBy("host").agg(F.collect_set("text").alias("template")), "host", "left")
+    template = stored(template.select("host", "pages", "pivot", F.coalesce("template", F.array().cast("array<bigint>")).alias("template")), "page-template")
 
     def weigh(batches):
         known: dict[str, frozenset[int]] = {}
         for batch in batches:
             hosts, out = batch.column(0).to_pylist(), {}
-            for host, page, template_ in zip(hosts, batch.column(1), batch.column(2), strict=True):
+            for host, template_, skeleton, at, n, address, found in zip(hosts, batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
                 if host not in known:
                     if len(known) > 10_000:
                         known.clear()
                     known[host] = frozenset(template_.as_py())
-                for where, under, total in votes(page.as_py(), known[host]):
+                for where, (under, total) in varying(shape_of(skeleton), address, at, n, [x in known[host] for x in found]).items():
                     x = out.setdefault((host, where), [0, 0, 0])
                     x[0], x[1], x[2] = x[0] + under, x[1] + total, x[2] + 1
-            yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in out], pa.string()), "path": pa.array([w for _, w in out], pa.string()), **{c: pa.array([x[i] for x in out.values()], pa.int64()) for i, c in enumerate(("under", "total", "n"))}})
+            count = lambda i: pa.array([x[i] for x in out.values()], pa.int64())
+            yield _batch(host=pa.array([h for h, _ in out], pa.string()), address=pa.array([w for _, w in out], pa.int64()), under=count(0), total=count(1), n=count(2))
 
-    voted = rows.join(template, "host").select("host", "html", "template").mapInArrow(weigh, "host string, path string, under long, total long, n long")
-    voted = voted.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("under", "total", "n"))).join(sizes, "host")
-    held = voted.where((F.col("n") >= least) & (F.col("total") > 0) & (F.col("under") >= F.col("total") * CONTAINER)).groupBy("host").agg(F.collect_set("path").alias("containers"))
-    return stored(template.join(held, "host", "left").select("host", F.coalesce("containers", F.array().cast("array<string>")).alias("containers"), "template"), "page-wrappers")
+    voted = aligned.join(template.select("host", "template"), "host").select("host", "template", "skeleton", "at", "sizes", "address", "texts")
+    voted = voted.mapInArrow(weigh, "host string, address long, under long, total long, n long")
+    voted = voted.groupBy("host", "address").agg(*(F.sum(c).alias(c) for c in ("under", "total", "n"))).join(pivots, "host")
+    held = voted.where((F.col("n") >= least) & (F.col("total") > 0) & (F.col("under") >= F.col("total") * CONTAINER)).groupBy("host").agg(F.collect_set("address").alias("containers"))
+    found = template.join(held, "host", "left").select("host", "pivot", F.coalesce("containers", F.array().cast("array<bigint>")).alias("containers"), "template")
+    return stored(found, "page-wrappers")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     wrapped = wrappers(pages).withColumnRenamed("host", "of")
-    rows = _hosted(pages).join(wrapped, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "containers", "template")
+    rows = _hosted(pages).join(wrapped, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "pivot", "containers", "template")
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
-        known: dict[str, tuple[frozenset[str], frozenset[int]] | None] = {}
+        known: dict[str, Wrapper | None] = {}
         for batch in batches:
             texts = []
-            for page, host, containers, template in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            for page, host, pivot, containers, template in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), batch.column(6), strict=True):
                 if host not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[host] = (frozenset(containers.as_py()), frozenset(template.as_py())) if containers.is_valid else None
+                    known[host] = Wrapper(pivot.as_py(), containers.as_py(), template.as_py()) if pivot.is_valid else None
                 texts.append(extract(page.as_py(), known[host]))
             sizes = np.array([len(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sizes)], ["page_id", "url", "text", "n_chars"])
+            yield _batch(page_id=batch.column(0), url=batch.column(1), text=pa.array(texts, pa.string()), n_chars=pa.array(sizes))
 
     return rows.mapInArrow(run, schema)

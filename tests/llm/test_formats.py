@@ -82,10 +82,16 @@ def wrapped(i, n=3):
     return f"<html><body><div class='top'>Our site</div><div class='story'><h2>Title {i}</h2>{body}<div>Read more of us</div></div><div class='end'>All rights</div></body></html>"
 
 
+def held(page, wrapper):
+    """The labels of a page's containers that the wrapper holds, in page order."""
+    page = html_extract.Page(page)
+    return [page.shape.labels[i] for i, x in enumerate(html_extract.addresses(page.shape, wrapper.pivot)) if x in wrapper.containers]
+
+
 def test_wrapper():
     found = html_extract.induce([wrapped(i) for i in range(5)])
-    assert found is not None and found[0].endswith("div.story")
-    text = html_extract.extract(wrapped(9, 6), (found[0], frozenset(found[1])))
+    assert found is not None and held(wrapped(9), found)[-1] == "div.story"
+    text = html_extract.extract(wrapped(9, 6), found)
     assert text.split("\n")[0] == "Title 9" and len(text.split("\n")) == 7
     assert "Our site" not in text and "Read more" not in text and "rights" not in text
     assert html_extract.induce([wrapped(1)] * 9) is None
@@ -93,6 +99,46 @@ def test_wrapper():
     assert len(html_extract.match(a, b)) == len(list(html_extract.walk(a)))
 
 
+def tree(rng, size):
+    """labels and parents of a random tree in page order."""
+    labels, parents, path = ["r"], [0], [0]
+    for i in range(1, size):
+        path = path[: rng.randint(1, len(path))]
+        labels.append(rng.choice("ab"))
+        parents.append(path[-1])
+        path.append(i)
+    return labels, parents
+
+
+def brute(a, b, i=0, j=0):
+    """The size of the largest matching of two trees, by trying all matchings of the children."""
+    if a.labels[i] != b.labels[j]:
+        return 0
+
+    def lists(xs, ys):
+        if not xs or not ys:
+            return 0
+        pair = brute(a, b, xs[0], ys[0])
+        return max(lists(xs[1:], ys), lists(xs, ys[1:]), pair + lists(xs[1:], ys[1:]) if pair else 0)
+
+    return 1 + lists(a.children[i], b.children[j])
+
+
+def test_tree_matching():
+    """Against brute force: as many pairs, each with equal labels and matched parents, in order."""
+    rng = random.Random(4)
+    for _ in range(400):
+        a, b = (html_extract.Shape(*tree(rng, rng.randint(1, 9))) for _ in range(2))
+        found = html_extract.align(a, b)
+        pairs = [(i, j) for i, j in enumerate(found) if j >= 0]
+        assert len(pairs) == brute(a, b) and [j for _, j in pairs] == sorted({j for _, j in pairs})
+        assert all(a.labels[i] == b.labels[j] and (i == 0 or found[a.parents[i]] == b.parents[j]) for i, j in pairs)
+    flat = [html_extract.Shape(["r"] + [rng.choice("abcd") for _ in range(6000)], [0] * 6001) for _ in range(2)]
+    assert sum(x >= 0 for x in html_extract.align(*flat)) > 3000  # long lists, aligned in parts
+    deep = html_extract.Shape(["r"] + ["a"] * 3000, [0, *range(3000)])
+    assert html_extract.align(deep, deep) == list(range(3001))
+
+
 def marked(i, n=3):
     body = "".join(f"<p>words {i} {k} that differ on every page {i * k}</p>" for k in range(n))
     return f"<html><body><div class='top'>Our site</div><article><h2>Title {i}</h2><p class='keep'>Write to us.</p>{body}<p class='comment'>View {i} of the writer</p><div>Read more of us</div></article></body></html>"
@@ -100,8 +146,8 @@ def marked(i, n=3):
 
 def test_wrapper_decides_in_article():
     found = html_extract.induce([marked(i) for i in range(5)])
-    text = html_extract.extract(marked(9, 6), (found[0], frozenset(found[1])))
-    assert found[0].endswith("article") and text.split("\n")[0] == "Title 9" and len(text.split("\n")) == 8
+    text = html_extract.extract(marked(9, 6), found)
+    assert held(marked(9), found)[-1] == "article" and text.split("\n")[0] == "Title 9" and len(text.split("\n")) == 8
     assert "Read more" not in text and "Write to us" not in text and "View 9 of the writer" in text
     lone = html_extract.extract(marked(9))
     assert "Read more" in lone and "Write to us" in lone and "View 9" not in lone  # without a wrapper: article and words
