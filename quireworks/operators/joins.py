@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stored
 
-GRAM = 8
+#: Characters of a substring by which titles and words meet, and how many of a title's are looked at.
+GRAM, PROBES = 8, 16
 
 
 def with_content(entries: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,17 +30,30 @@ def paired_or_unmarked(pages: DataFrame, previews: DataFrame) -> DataFrame:
     return rows.select("project", "page", "ink", F.coalesce((F.col("n_pages") == F.col("n_previews")) & F.col("exempt"), F.lit(False)).alias("exempt"))
 
 
+def _grams(text, sizes):
+    """All substrings of the given sizes (a column of numbers), once each; of a text that is shorter none."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+
 def not_contained(titles: DataFrame, outline: DataFrame) -> DataFrame:
     """titles: project, id, title; outline: project, title. Titles that, white space and case aside, no outline title of their project contains.
-    Candidates meet on the first GRAM characters (all, of shorter titles), so no title is compared with every outline title."""
+    A title looks at up to PROBES of its substrings of GRAM characters (a shorter one at the whole of it) and meets the outline titles that have the rarest of these, so beginnings that all
+    titles share cost nothing. Equal titles are sought once."""
     wanted = titles.select("project", "id", "title", T.squeezed(F.col("title")).alias("needle"))
-    wanted = wanted.withColumn("gram", F.substring("needle", 1, GRAM))
+    needles = wanted.select("project", "needle").distinct()
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    last = F.length("needle") - size  # the probes are spread over the needle
+    probes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.substring(F.col("needle"), (F.floor(i * last / (PROBES - 1)) + 1).cast("int"), size)))
     hay = outline.select("project", T.squeezed(F.col("title")).alias("hay")).distinct()
-    lengths = wanted.groupBy("project").agg(F.collect_set(F.length("gram")).alias("sizes"))  # GRAM + 1 numbers at most
-    grams = F.array_distinct(F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - n + 1, F.lit(1))), lambda i: F.substring(F.col("hay"), i, n)))))
-    hay = hay.join(lengths, "project").select("project", "hay", F.explode(grams).alias("gram"))
-    found = wanted.join(hay, ["project", "gram"]).where(F.contains("hay", F.col("needle"))).select("project", "id").distinct()
-    return wanted.select("project", "id", "title").join(found, ["project", "id"], "left_anti")
+    sizes = needles.groupBy("project").agg(F.collect_set(size).alias("sizes"))  # GRAM + 1 numbers at most
+    hay = hay.join(sizes, "project").select("project", "hay", F.explode(_grams(F.col("hay"), F.col("sizes"))).alias("gram"))
+    often = hay.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = needles.select("project", "needle", F.explode(probes).alias("gram")).join(often, ["project", "gram"], "left")
+    rarest = asked.groupBy("project", "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    met = rarest.join(hay, ["project", "gram"]).where(F.contains("hay", F.col("needle"))).select("project", "needle").distinct()
+    anything = needles.where("needle = ''").join(hay.select("project").distinct(), "project", "left_semi")  # nothing is contained in any title
+    return wanted.join(met.unionByName(anything), ["project", "needle"], "left_anti").select("project", "id", "title")
 
 
 def lookups(wanted: DataFrame, entries: DataFrame) -> DataFrame:
@@ -55,10 +70,10 @@ def broken_targets(targets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def contained_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """lines: line_id, line; texts: text_id, text. Pairs where the text contains the line, white space and case aside. A line meets texts that have
-    its rarest inner word as a word; lines without an inner word are few words long and are compared with each text."""
+    """lines: line_id, line; texts: text_id, text. Pairs where the text contains the line, white space and case aside; a blank line is contained in none. A line meets texts that have
+    its rarest inner word as a word. A line without an inner word, which is one or two words long, meets texts with a word that holds its longest one, found by their substrings."""
     flat = lambda c: F.lower(T.collapse(c, " "))
-    needles = lines.select("line_id", flat(F.col("line")).alias("needle"))
+    needles = lines.select("line_id", flat(F.col("line")).alias("needle")).where(F.trim("needle") != "")
     hay = texts.select("text_id", flat(F.col("text")).alias("hay"))
     words = hay.select("text_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
     inner = needles.select("line_id", F.explode(F.array_distinct(F.slice(F.split("needle", " "), F.lit(2), F.greatest(F.size(F.split("needle", " ")) - 2, F.lit(0))))).alias("word"))
@@ -66,17 +81,26 @@ def contained_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     known = words.join(inner.select("word").distinct(), "word")
     often = known.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = inner.join(often, "word", "left").groupBy("line_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    candidates = known.join(rarest, "word").select("line_id", "text_id")
-    pairs = candidates.join(needles, "line_id").join(hay, "text_id").where(F.contains("hay", F.col("needle"))).select("line_id", "text_id")
     short = needles.join(rarest, "line_id", "left_anti")
-    return pairs.unionByName(short.join(hay, F.contains("hay", F.col("needle"))).select("line_id", "text_id"))
+    piece = F.array_max(F.transform(F.split("needle", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = short.select("line_id", piece.alias("piece")).withColumn("gram", F.substring("piece", 1, GRAM))
+    sizes = short.agg(F.collect_set(F.length("gram")).alias("sizes"))  # one row, GRAM numbers at most
+    vocabulary = words.select("word").distinct().join(F.broadcast(sizes)).select("word", F.explode(_grams(F.col("word"), F.col("sizes"))).alias("gram"))
+    holds = short.join(vocabulary, "gram").where(F.contains("word", F.col("piece"))).select("line_id", "word")
+    candidates = known.join(rarest, "word").select("line_id", "text_id").unionByName(words.join(holds, "word").select("line_id", "text_id").distinct())
+    return candidates.join(needles, "line_id").join(hay, "text_id").where(F.contains("hay", F.col("needle"))).select("line_id", "text_id")
 
 
 def drawn(pool: DataFrame, groups: DataFrame) -> DataFrame:
     """pool: project, word, n; groups: project, name, priority, word, n. Each group draws its words from the project's pool, in order of priority: per group
     matched and total. A group's draw is the pool's part between the running totals before and after it."""
-    w = Window.partitionBy("project", "word").orderBy("priority").rowsBetween(Window.unboundedPreceding, 0)
-    rows = groups.groupBy("project", "name", "priority", "word").agg(F.sum("n").alias("n")).withColumn("so_far", F.sum("n").over(w))
+    rows = groups.groupBy("project", "name", "priority", "word").agg(F.sum("n").alias("n"))
+    # Groups are dealt out in ranges of their order. A word's running total is that of the ranges before, and that inside its own range, so a word that all groups have is in no one task.
+    rows = stored(rows.repartitionByRange("project", "priority").withColumn("range", F.spark_partition_id()), "drawn-words")
+    before = Window.partitionBy("project", "word").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("project", "word", "range").agg(F.sum("n").alias("of_range")).withColumn("ahead", F.coalesce(F.sum("of_range").over(before), F.lit(0))).drop("of_range")
+    inside = Window.partitionBy("project", "word", "range").orderBy("priority", "name").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("so_far", F.sum("n").over(inside)).join(ranges, ["project", "word", "range"]).withColumn("so_far", F.col("so_far") + F.col("ahead"))
     rows = rows.join(pool.select("project", "word", F.col("n").alias("there")), ["project", "word"], "left")
     there = F.coalesce("there", F.lit(0))
     matched = F.least(there, F.col("so_far")) - F.least(there, F.col("so_far") - F.col("n"))

@@ -131,3 +131,26 @@ def test_rules(spark):
     bad = good.withColumns({"type": F.lit("odd"), "title": F.lit(None).cast("string"), "words": F.lit(-1)})
     assert {r.rule_id for r in rules.violations(bad, "key", rules.inventory_rules()).collect()} == {"type-enum", "title-required", "words-minimum"}
     assert set(rules.SCORES) <= set(gates.scores(spark.createDataFrame([("p", "contrast", "pass", 1.0)], "project string, id string, status string, coverage double")).columns)
+
+
+def test_joins_with_one_key_for_a_third(spark):
+    """Titles with one beginning, lines of one and two words, a word that all groups have: as brute force has it."""
+    titles = [("p", i, f"Chapter the same beginning {i % 40}") for i in range(90)] + [("p", 200, "ab"), ("p", 201, ""), ("r", 202, ""), ("p", 203, "zzz"), (None, 204, "x")]
+    outline = [("p", f"1. chapter THE same  beginning {i}") for i in range(0, 40, 2)] + [("p", "xaby"), ("q", "zzz")]
+    got = {r.id for r in joins.not_contained(spark.createDataFrame(titles, "project string, id int, title string"), spark.createDataFrame(outline, "project string, title string")).collect()}
+    flat = lambda x: "".join(x.split()).lower()
+    assert got == {i for p, i, t in titles if not any(p == q and flat(t) in flat(o) for q, o in outline)}
+    lines = ["the", "he sa", "same", "qu", " ", "the same beginning and", "same  the", "zz top"]
+    texts = ["The same beginning and end"] * 30 + ["unique", "breathe sand", "", "none of it"]
+    pairs = joins.contained_lines(spark.createDataFrame(list(enumerate(lines)), "line_id int, line string"), spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")).collect()
+    norm = lambda x: " ".join(x.lower().split())
+    assert sorted((r.line_id, r.text_id) for r in pairs) == sorted((i, j) for i, x in enumerate(lines) for j, y in enumerate(texts) if x.strip() and norm(x) in norm(y))
+    groups = [("p", f"g{i:03}", i, w, 1 + i % 3) for i in range(120) for w in ("all", f"w{i % 7}")]
+    pool = [("p", "all", 100), *(("p", f"w{i}", 20) for i in range(6))]
+    left, want = {w: n for _, w, n in pool}, {}
+    for _, name, _, word, n in groups:
+        taken = min(n, left.get(word, 0))
+        left[word] = left.get(word, 0) - taken
+        want[name] = want.get(name, 0) + taken
+    drawn = joins.drawn(spark.createDataFrame(pool, "project string, word string, n long"), spark.createDataFrame(groups, "project string, name string, priority int, word string, n long").repartition(5))
+    assert {r.name: r.matched for r in drawn.collect()} == want
