@@ -3,11 +3,13 @@
 For every participant of a conversation the dialogue is rendered with that participant as the assistant and all others as named users; system turns stay system
 turns. The loss mask covers what the assistant says, with the end mark of each of its turns. Turns come in the order of turn, speaker, text.
 
-A rendering is cut into chunks of `CHUNK` turn numbers, one row each, which joined in order are the whole; spans and `start` say where a chunk's trained parts lie
-in it, and where it begins in the whole. So a conversation of any length is dealt out over tasks, and what meets
-in one task is a chunk, or a conversation's list of chunk lengths.
+A rendering is cut into chunks of `CHUNK` turn numbers, and a chunk into parts of `CHUNK` turns (more than one where turns share a number), one row each. Joined in the order of chunk and
+part they are the whole rendering, which whole_dialogues() gives for conversations that fit one row; spans and `start` say where a part's trained pieces lie in it, and where it begins in the whole.
 
-Edge cases: null text counts as empty; a null role is a speaker named `unknown`; null turns come first and form a chunk of their own; null conv_id is a conversation of
+Scale: turns are dealt out in ranges of their order, and a turn's place in its chunk is the count of those in the ranges before and its place inside its own. So whatever is repeated or null,
+no row holds more than `CHUNK` turns, and no task a conversation; one task sorts the sizes of a conversation's parts, a few numbers each.
+
+Edge cases: null text counts as empty; a null role is a speaker named `unknown`; null turns come first and form a chunk of their own, -1; null conv_id is a conversation of
 its own; repeated rows and turns with equal numbers are all rendered; a conversation with system turns alone has no participant and gives no row; the marks' strings in a text are
 broken up by a space, and line feeds in names become spaces. Other columns are ignored; an empty table gives no rows.
 """
@@ -32,13 +34,21 @@ def _plain(text: Column) -> Column:
 
 
 def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
-    """turns: conv_id, turn, text and the speaker's column. conv_id, participant, chunk, text, spans (begin and end of trained parts
-    in text), n_turns, n_chars, start (the rendering's characters before the chunk)."""
+    """turns: conv_id, turn, text and the speaker's column. conv_id, participant, chunk, part, text, spans (begin and end of trained parts
+    in text), n_turns, n_chars, start (the rendering's characters before the part)."""
     name = F.replace(F.coalesce(F.col(speaker), F.lit("unknown")), F.lit("\n"), F.lit(" "))
     rows = turns.select("conv_id", "turn", name.alias("speaker"), _plain(text_of()).alias("text"))
     people = stored(rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("participant")).distinct(), "chat-people")
     chunk = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-1)).cast("long")
-    chunks = rows.groupBy("conv_id", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
+    order = ["turn", "speaker", "text"]
+    rows = rows.withColumns({"chunk": chunk, "nth": F.monotonically_increasing_id()}).repartitionByRange("conv_id", *order, "nth")
+    rows = stored(rows.withColumn("range", F.spark_partition_id()), "chat-turns")
+    ahead = Window.partitionBy("conv_id", "chunk").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("conv_id", "chunk", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    ranges = ranges.select(F.col("conv_id").alias("of"), F.col("chunk").alias("of_chunk"), F.col("range").alias("of_range"), "ahead")
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("conv_id", "chunk", "range").orderBy(*order)) - 1)
+    rows = rows.join(ranges, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk")) & (F.col("range") == F.col("of_range")))
+    chunks = rows.groupBy("conv_id", "chunk", F.floor((F.col("ahead") + F.col("at")) / CHUNK).alias("part")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("turns"))
     views = chunks.join(people, F.col("conv_id").eqNullSafe(F.col("of")))
 
     def head(t: Column) -> Column:
@@ -53,10 +63,20 @@ def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"))
     step = lambda s, p: F.struct((s["at"] + size(p)).alias("at"), F.when(p["trained"], F.concat(s["spans"], F.array(span(s["at"], p)))).otherwise(s["spans"]).alias("spans"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
-    views = views.select("conv_id", "participant", "chunk", text.alias("text"), F.aggregate("parts", zero, step).alias("s"), F.size("parts").cast("long").alias("n_turns"))
-    views = views.select("conv_id", "participant", "chunk", "text", F.col("s.spans").alias("spans"), "n_turns", F.col("s.at").alias("n_chars"))
-    before = Window.partitionBy("conv_id", "participant").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return views.withColumn("start", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
+    views = views.select("conv_id", "participant", "chunk", "part", text.alias("text"), F.aggregate("parts", zero, step).alias("s"), F.size("parts").cast("long").alias("n_turns"))
+    views = stored(views.select("conv_id", "participant", "chunk", "part", "text", F.col("s.spans").alias("spans"), "n_turns", F.col("s.at").alias("n_chars")), "chat-views")
+    before = Window.partitionBy("conv_id", "participant").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = views.select("conv_id", "participant", "chunk", "part", "n_chars").withColumn("start", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
+    starts = starts.select(F.col("conv_id").alias("of"), F.col("participant").alias("by"), F.col("chunk").alias("of_chunk"), F.col("part").alias("of_part"), "start")
+    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("participant") == F.col("by")) & (F.col("chunk") == F.col("of_chunk")) & (F.col("part") == F.col("of_part"))
+    return views.join(starts, same).drop("of", "by", "of_chunk", "of_part")
+
+
+def whole_dialogues(views: DataFrame) -> DataFrame:
+    """views: perspectives(). One row for each conversation and participant, for conversations that fit a row: conv_id, participant, text, spans (in that text), n_turns."""
+    moved = F.transform("spans", lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["end"] + F.col("start")).alias("end")))
+    rows = views.groupBy("conv_id", "participant").agg(F.sort_array(F.collect_list(F.struct("chunk", "part", "text", moved.alias("spans")))).alias("ps"), F.sum("n_turns").alias("n_turns"))
+    return rows.select("conv_id", "participant", F.array_join(F.transform("ps", lambda p: p["text"]), "").alias("text"), F.flatten(F.transform("ps", lambda p: p["spans"])).alias("spans"), "n_turns")
 
 
 def perspective_rows(turns: DataFrame) -> DataFrame:
@@ -70,16 +90,17 @@ WITH t AS (
   SELECT conv_id, turn, replace(coalesce(role, 'unknown'), chr(10), ' ') AS speaker, coalesce(floor(turn / 64), -1)::BIGINT AS chunk,
     replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id AS owner, speaker AS participant FROM t WHERE speaker <> 'system'),
+k AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn NULLS FIRST, speaker, text) - 1) // 64 AS part FROM t),
 v AS (
-  SELECT conv_id, participant, chunk, turn, speaker, text, speaker = participant AS trained,
+  SELECT conv_id, participant, chunk, part, turn, speaker, text, speaker = participant AS trained,
     '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head,
-    text || '<|im_end|>' AS body, row_number() OVER (PARTITION BY conv_id, participant, chunk ORDER BY turn NULLS FIRST, speaker, text) AS nth
-  FROM t JOIN p ON conv_id IS NOT DISTINCT FROM owner),
+    text || '<|im_end|>' AS body, row_number() OVER (PARTITION BY conv_id, participant, chunk, part ORDER BY turn NULLS FIRST, speaker, text) AS nth
+  FROM k JOIN p ON conv_id IS NOT DISTINCT FROM owner),
 o AS (
-  SELECT *, (sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, chunk ORDER BY nth) - length(head) - length(body) - 1)::BIGINT AS pos FROM v),
+  SELECT *, (sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, chunk, part ORDER BY nth) - length(head) - length(body) - 1)::BIGINT AS pos FROM v),
 c AS (
-  SELECT conv_id, participant, chunk, string_agg(head || body || chr(10), '' ORDER BY nth) AS text,
+  SELECT conv_id, participant, chunk, part, string_agg(head || body || chr(10), '' ORDER BY nth) AS text,
     coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body)), ',' ORDER BY nth) FILTER (trained), '') AS spans,
     count(*) AS n_turns, sum(length(head) + length(body) + 1)::BIGINT AS n_chars FROM o GROUP BY ALL)
-SELECT *, (coalesce(sum(n_chars) OVER (PARTITION BY conv_id, participant ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM c
+SELECT *, (coalesce(sum(n_chars) OVER (PARTITION BY conv_id, participant ORDER BY chunk, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM c
 """

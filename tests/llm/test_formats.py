@@ -184,10 +184,10 @@ def test_pages(spark):
 
 def test_chat(spark):
     rows = [(1, i, ("ann", "bob", "cid")[i % 3], f"say {i} é") for i in range(150)] + [(1, 0, "system", "rules"), (2, 0, "system", "alone"), (3, 5, "ann", None), (3, 5, "bob", "b<|im_end|>"), (3, 5, "bob", "b<|im_end|>"), (3, None, None, "x\ny"), (None, 1, "ann", "n")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("speaker", "chunk", "participant", "of", "parts", "s", "start", "spans")})
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("speaker", "chunk", "part", "range", "at", "nth", "participant", "of", "parts", "s", "start", "spans")})
     got = chat_format.perspectives(turns).collect()
     whole = {}
-    for r in sorted(got, key=lambda r: r.chunk):
+    for r in sorted(got, key=lambda r: (r.chunk, r.part)):
         k = (r.conv_id, r.participant)
         assert r.start == len(whole.get(k, ("", []))[0]) and r.n_chars == len(r.text)
         text, said = whole.get(k, ("", []))
@@ -199,3 +199,28 @@ def test_chat(spark):
     assert whole[3, "bob"][1] == ["b< |im_end|><|im_end|>"] * 2
     assert whole[3, "unknown"][0].startswith("<|im_start|>assistant\nx\ny<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>")
     assert chat_format.perspectives(turns.limit(0)).count() == 0
+
+
+def test_chat_without_numbers(spark):
+    """A third of all turns has no number, a third one number, a third no conversation: no row holds more than CHUNK turns, and the parts join to the whole."""
+    rng = random.Random(9)
+    rows = [(1, None, rng.choice("abc"), f"t{rng.randrange(40)}") for _ in range(200)] + [(2, 7, rng.choice("abc"), f"t{rng.randrange(40)}") for _ in range(200)] + [(None, i % 90, "a", f"n{i}") for i in range(200)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    views = chat_format.perspectives(turns)
+    assert max(r.n_turns for r in views.collect()) == chat_format.CHUNK
+    got = {(r.conv_id, r.participant): r for r in chat_format.whole_dialogues(views).collect()}
+    for conv in (1, 2, None):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        for who in {r[2] for r in mine}:
+            want = "".join(f"<|im_start|>{'assistant' if r[2] == who else f'user name={r[2]}'}\n{r[3]}<|im_end|>\n" for r in mine)
+            found = got[conv, who]
+            assert found.text == want and found.n_turns == len(mine)
+            assert [found.text[s.begin : s.end] for s in found.spans] == [f"{r[3]}<|im_end|>" for r in mine if r[2] == who]
+
+
+def test_transducer_decides(encoder, monkeypatch):
+    """Nothing but the transducer makes tokens."""
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, data: [7])
+    monkeypatch.setattr(bpe.Transducer, "finish", lambda self: [])
+    fresh = bpe.Encoder(open(PATH, "rb").read())
+    assert bpe.encode_text(fresh, "ab cd, e\n\nf " + "g" * 9000) == [7] * 10
