@@ -1,8 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 A text's letters, lower-cased, form words; a word is scored on its own, from a start mark to an end mark, by models of order `ORDER`.
-The language with the lowest cross-entropy per symbol wins. A text is rejected (`rejected`) when that cross-entropy lies more than `REJECT` standard
-errors above the language's own, which follows from the counts.
+The language with the lowest cross-entropy per symbol wins. A text is rejected (`rejected`) when that cross-entropy lies more standard errors above the language's own, which follows from the
+counts, than in all but `FALSE_REJECTIONS` of that language's held-back rows: one learning row in `HELD_BACK`, by a hash of the id, which a first model does not learn from. The
+model in use learns from all learning rows.
 
 The counts cover all learning rows: words are counted in each task, turned into character n-grams there, and summed by Spark; the
 continuation counts of the lower orders are group-bys over the n-grams. Only the finished
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import held_out, stored, text_of
 
 ORDER = 4
-#: Standard errors over a language's own cross-entropy from which a text is rejected.
+#: Share of a language's own texts that may be rejected; one learning row in so many is held back to find the limit for that.
+FALSE_REJECTIONS, HELD_BACK = 0.001, 16
+#: Standard errors over a language's own cross-entropy from which a text is rejected, where no row of the language is held back.
 REJECT = 12.0
 #: Symbols of a text that count for the score: words repeat each other, so a long text is no surer than this.
 SURE = 40
@@ -65,6 +68,7 @@ class Model:
         self.languages, self.grams, self.shares, self.contexts, self.weights = languages, grams, shares, contexts, weights
         self.uniform = 1.0 / max(alphabet, 1)
         self.own = np.zeros((len(languages), 2))
+        self.limits = np.full(len(languages), REJECT)
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
@@ -101,34 +105,66 @@ class Model:
 
 
 def _learn(docs: DataFrame) -> DataFrame:
-    """lang, g (packed ORDER-gram), n over all learning rows."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out()).select("lang", text_of().alias("text"))
+    """lang, back, g (packed ORDER-gram), n over all learning rows; those held back are counted apart."""
+    rows = _learning(docs).select("lang", _back().alias("back"), text_of().alias("text"))
 
     def run(batches):
-        counts: dict[str, Counter] = defaultdict(Counter)
+        counts: dict[tuple[str, bool], Counter] = defaultdict(Counter)
 
         def flush():
-            for lang, found in counts.items():
+            for (lang, back), found in counts.items():
                 words = list(found)
                 packed, owner = _grams(words)
                 keys, at = np.unique(packed, return_inverse=True)
                 n = np.bincount(at, np.fromiter(found.values(), np.int64, len(words))[owner], len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "g": keys, "n": n})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "back": pa.array([back] * len(keys), pa.bool_()), "g": keys, "n": n})
             counts.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts[lang].update(LETTERS.findall(text.as_py().lower()))
+            for lang, back, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                counts[lang, back].update(LETTERS.findall(text.as_py().lower()))
                 if sum(map(len, counts.values())) > MEMO:
                     yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, back boolean, g long, n long").groupBy("lang", "back", "g").agg(F.sum("n").alias("n"))
+
+
+def _learning(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("lang").isNotNull() & ~held_out())
+
+
+def _back() -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(HELD_BACK)) == 0
 
 
 def train(docs: DataFrame) -> Model:
     """The model of docs (doc_id, text, lang), learnt from the rows with a language that aren't held out."""
-    orders = {ORDER: stored(_learn(docs), "lang-grams")}
+    grams = stored(_learn(docs), "lang-grams")
+    limits = _limits(docs, _finished(grams.where("NOT back").drop("back")))
+    model = _finished(grams.groupBy("lang", "g").agg(F.sum("n").alias("n")))
+    model.limits = np.array([limits.get(x, REJECT) for x in model.languages])
+    return model
+
+
+def _limits(docs: DataFrame, model: Model) -> dict[str, float]:
+    """For each language the standard errors that all but FALSE_REJECTIONS of its held-back rows stay below."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer, number = Scorer(shared.value), {lang: i for i, lang in enumerate(shared.value.languages)}
+        for batch in batches:
+            found = [(lang, scorer.errors(x, number[lang])) for lang, x in zip(batch.column(0).to_pylist(), scorer.totals(batch.column(1).to_pylist()), strict=True) if lang in number and x is not None]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in found], pa.string()), "errors": pa.array([x for _, x in found], pa.float64())})
+
+    rows = _learning(docs).where(_back()).select("lang", text_of().alias("text")).mapInArrow(run, "lang string, errors double")
+    found = rows.groupBy("lang").agg(F.percentile_approx("errors", 1 - FALSE_REJECTIONS, 100_000).alias("limit"))
+    return {r.lang: r.limit for r in found.collect()}
+
+
+def _finished(grams: DataFrame) -> Model:
+    """The model of the counts lang, g, n of ORDER-grams."""
+    orders = {ORDER: stored(grams, "lang-grams-used")}
     for order in range(ORDER - 1, 0, -1):
         suffix: Column = F.col("g").bitwiseAND(F.lit((1 << (16 * order)) - 1))
         orders[order] = orders[order + 1].groupBy("lang", suffix.alias("g")).agg(F.count(F.lit(1)).alias("n"))
@@ -203,23 +239,29 @@ class Scorer:
         self.rows[first : first + len(new)] = self.model.words(new)
         self.number.update(zip(new, range(first, first + len(new)), strict=True))
 
-    def batch(self, texts: list[str]) -> list[tuple[str, float, bool]]:
+    def totals(self, texts: list[str]) -> list[np.ndarray | None]:
+        """For each text the surprise in each language and the number of symbols; None without a letter."""
         words = [LETTERS.findall(t.lower()) for t in texts]
         self._know(set().union(*words))
-        return [self._one(w) for w in words]
+        # The words' pattern lets numerals such as U+00B2 pass; they are no letters.
+        return [self.rows[np.fromiter(map(self.number.__getitem__, w), np.int64, len(w))].sum(0, dtype=np.float64) if any(c.isalpha() for x in w for c in x) else None for w in words]
+
+    def errors(self, total: np.ndarray, language: int) -> float:
+        """How many standard errors a text's cross-entropy lies above a language's own."""
+        mean, variance = self.model.own[language]
+        return float((total[language] / total[-1] - mean) / np.sqrt(variance / total[-1]))
 
-    def _one(self, words: list[str]) -> tuple[str, float, bool]:
+    def batch(self, texts: list[str]) -> list[tuple[str, float, bool]]:
+        return [self._one(x) for x in self.totals(texts)]
+
+    def _one(self, total: np.ndarray | None) -> tuple[str, float, bool]:
         model = self.model
-        # The words' pattern lets numerals such as U+00B2 pass; they are no letters.
-        if not model.languages or not any(c.isalpha() for w in words for c in w):
+        if not model.languages or total is None:
             return "und", 0.0, True
-        total = self.rows[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-        n = total[-1]
-        entropy = total[:-1] / n
+        entropy = total[:-1] / total[-1]
         best = int(entropy.argmin())
-        odds = np.exp2((entropy[best] - entropy) * min(n, SURE))
-        mean, variance = model.own[best]
-        return model.languages[best], float(1 / odds.sum()), bool(entropy[best] > mean + REJECT * np.sqrt(variance / n))
+        odds = np.exp2((entropy[best] - entropy) * min(total[-1], SURE))
+        return model.languages[best], float(1 / odds.sum()), bool(self.errors(total, best) > model.limits[best])
 
 
 def identified(docs: DataFrame, model: Model | None = None, reject: bool = False) -> DataFrame:
