@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model over their votes, and a linear classifier trained on its posterior labels.
 
-1. Voters: a fixed lexicon, one voter a word; patterns (shouting, exclamation); and up to `MINED` words and word beginnings
-   that mark labelled rows, mined by the likelihood ratio of their document counts. A voter votes "toxic" or abstains.
-2. Label model: each voter's rate of votes in toxic and in clean texts, by expectation maximisation. A row's given label is one more voter, of fixed accuracy
-   `LABEL_ACCURACY`. Correlations that remain between voters once the class is known are estimated in each round; a voter is discounted by what it shares with others.
+1. Voters: a fixed lexicon, one voter a word; patterns (shouting, exclamation, density of marked words); and up to `MINED` words and word beginnings, each with how often a text
+   must have it, that mark labelled rows, mined by the likelihood ratio of their document counts. A voter votes "toxic" or is silent.
+2. Label model: expectation maximisation over the unknown true label of each row. A voter's rates of votes in toxic and in clean texts are its accuracy. Correlations are modelled by a
+   tree: a voter depends on the one with which it shares most information once the class is known, if that is more than chance, and its rates are then estimated for each vote of that
+   one. The given labels are one more voter, whose two rates are estimated as well, from a prior that trusts it (`LABEL_PRIOR`).
 3. Classifier: logistic regression with L2 penalty on votes, hits and hits per word, fitted to the posterior labels.
 
 Learning uses a bounded sample of labelled rows that aren't held out: `LABELLED` expected rows, chosen by a hash of the id. All texts are scored in one pass without a
@@ -32,7 +33,14 @@ MINED = 64
 SUPPORT = 6
 #: And has at least this log likelihood ratio: among millions of terms, chance alone reaches lower ones.
 TELLING = 15.0
-LABEL_ACCURACY = 0.9
+#: Texts' worth of belief in the given labels: toxic ones marked and not marked, clean ones marked and not marked.
+LABEL_PRIOR = ((18, 2), (1, 49))
+#: Ways in which a mined term votes: where it occurs, or where it occurs twice or more and at least once in so many words.
+RATES = (0, 150, 75)
+#: The same for all terms together, as two pattern voters.
+DENSE = (100, 64)
+#: Least G statistic (twice the log likelihood ratio) by which two voters count as correlated.
+CORRELATED = 15.0
 ROUNDS = 25
 CUT = 0.3
 MEMO = 200_000
@@ -49,21 +57,30 @@ def terms_of(word: str) -> list[str]:
     return [word + " ", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
+def parted(mined: str) -> tuple[str, int]:
+    """A mined term's name: the term, and its place in RATES."""
+    return mined[:-1], int(mined[-1])
+
+
+def often(n: int, words: int, rate: int) -> bool:
+    return n >= 1 if not rate else n >= 2 and n * rate >= words
+
+
 class Voters:
-    """Terms and patterns over a text's words."""
+    """Terms and patterns over a text's words. Mined terms are named as mine() does."""
 
-    def __init__(self, terms: list[str]):
-        self.terms = [*(w + " " for w in LEXICON), *(t for t in terms if t[:-1] not in LEXICON or t[-1] != " ")]
-        self.bit = {t: 1 << i for i, t in enumerate(self.terms)}
-        self.n = len(self.terms) + 2
-        self.memo: dict[str, int] = {}
+    def __init__(self, mined: list[str]):
+        self.terms = [*((w + " ", 0) for w in LEXICON), *map(parted, mined)]
+        self.of: dict[str, list[tuple[int, int]]] = {}
+        for i, (term, rate) in enumerate(self.terms):
+            self.of.setdefault(term, []).append((i, RATES[rate]))
+        self.n = len(self.terms) + 2 + len(DENSE)
+        self.memo: dict[str, tuple[str, ...]] = {}
 
-    def mask(self, word: str) -> int:
+    def hit(self, word: str) -> tuple[str, ...]:
         found = self.memo.get(word)
         if found is None:
-            found = 0
-            for term in terms_of(word):
-                found |= self.bit.get(term, 0)
+            found = tuple(term for term in terms_of(word) if term in self.of)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = found
@@ -73,10 +90,17 @@ class Voters:
         """Votes as bits, words hit, words."""
         words = LETTERS.findall(text.lower())
         bits = hits = 0
-        for m in map(self.mask, words):
-            if m:
-                bits |= m
+        count: dict[str, int] = {}
+        for found in map(self.hit, words):
+            if found:
                 hits += 1
+                for term in found:
+                    count[term] = count.get(term, 0) + 1
+        for term, n in count.items():
+            for i, rate in self.of[term]:
+                bits |= often(n, len(words), rate) << i
+        for i, rate in enumerate(DENSE, len(self.terms)):
+            bits |= often(hits, len(words), rate) << i
         data = text.encode("utf-8", "surrogatepass")
         upper = len(data) - len(data.translate(None, bytes(range(65, 91))))
         bits |= (2 * upper > len(data)) << (self.n - 2)
@@ -100,9 +124,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     n = known.count()
     if n > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most / n))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < int((1 << 62) * most / n))
     ids = F.broadcast(known.withColumnRenamed("doc_id", "of"))  # about `most` rows of two numbers
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("of")).select(text_of().alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("of")).groupBy("doc_id").agg(F.min(text_of()).alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic")
     return stored(_apart(rows), "toxic-sample")
 
 
@@ -123,7 +147,7 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def mine(sample: DataFrame, most: int = MINED) -> list[str]:
-    """Terms that mark toxic rows, the most telling first; none is a beginning of another."""
+    """Terms that mark toxic rows, each followed by its place in RATES, the most telling first; none is a beginning of another."""
 
     def run(batches):
         count: tuple[Counter, Counter] = (Counter(), Counter())
@@ -136,8 +160,11 @@ def mine(sample: DataFrame, most: int = MINED) -> list[str]:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                terms = {t for w in set(LETTERS.findall(text.as_py().lower())) for t in terms_of(w)}
-                count[toxic > 0].update(terms)
+                times, words = Counter(), LETTERS.findall(text.as_py().lower())
+                for word, n in Counter(words).items():
+                    for term in terms_of(word):
+                        times[term] += n
+                count[toxic > 0].update(f"{t}{k}" for t, n in times.items() for k, rate in enumerate(RATES) if often(n, len(words), rate))
                 if len(count[0]) + len(count[1]) > TERMS:
                     yield from flush()
         yield from flush()
@@ -154,27 +181,61 @@ def mine(sample: DataFrame, most: int = MINED) -> list[str]:
     rows = best.where(F.col("ratio") >= TELLING).orderBy(F.col("ratio").desc(), F.length("term"), "term").limit(40 * most).collect()
     out: list[str] = []
     for r in rows:
-        if any(w.startswith(r.term.rstrip()) for w in LEXICON):
+        term = parted(r.term)[0].rstrip()
+        if any(w.startswith(term) for w in LEXICON):
             continue
-        if not any(r.term.startswith(t) or t.startswith(r.term) or t.rstrip().startswith(r.term.rstrip()) for t in out):
+        if not any(term.startswith(t) or t.startswith(term) for t in (parted(x)[0].rstrip() for x in out)):
             out.append(r.term)
     return out[:most]
 
 
+def _joint(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted counts of each pair of voters by their votes: [b of the one, c of the other, one, other]."""
+    both = votes.T @ (votes * weight[:, None])
+    one, n = votes.T @ weight, weight.sum()
+    return np.array([[n - one[:, None] - one[None, :] + both, one[None, :] - both], [one[:, None] - both, both]])
+
+
+def correlations(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each voter the one that it depends on, or -1: the tree of most shared information, given the class, by edges that pass CORRELATED."""
+    g = np.zeros((votes.shape[1],) * 2)
+    for weight in (q, 1 - q):
+        n = np.maximum(_joint(votes, weight), 0)
+        total = max(n.sum((0, 1)).max(), 1e-9)
+        expected = n.sum(1, keepdims=True) * n.sum(0, keepdims=True) / total
+        g += 2 * np.where(n > 1e-9, n * np.log(np.maximum(n, 1e-9) / np.maximum(expected, 1e-9)), 0).sum((0, 1))
+    np.fill_diagonal(g, 0)
+    parent, inside = np.full(len(g), -1), np.zeros(len(g), bool)
+    best, by = np.zeros(len(g)), np.full(len(g), -1)
+    for _ in range(len(g)):
+        i = int(np.argmax(np.where(inside, -1, best)))
+        parent[i], inside[i] = (by[i] if best[i] > CORRELATED else -1), True
+        nearer = g[i] > best
+        best, by = np.where(nearer, g[i], best), np.where(nearer, i, by)
+    return parent
+
+
 def label_model(votes: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Posterior of "toxic" for rows of votes (0 or 1 each) and their given labels."""
-    sure = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
     prior = np.clip(given.mean(), 0.01, 0.99)
-    q = np.where(given > 0, LABEL_ACCURACY, (1 - LABEL_ACCURACY) * prior)
+    q = np.where(given > 0, 0.95, 0.05 * prior)
+    alone = np.column_stack([votes, np.zeros(len(votes))])  # a voter without a parent depends on one that never votes
     for _ in range(ROUNDS):
-        rate = [np.clip((votes.T @ w + 0.5 * v.mean()) / (w.sum() + 1), 1e-5, 1 - 1e-5) for w, v in ((1 - q, votes), (q, votes))]
-        left = votes - (np.outer(1 - q, rate[0]) + np.outer(q, rate[1]))
-        spread = left.std(0) + 1e-9
-        shared = np.clip((left.T @ left) / len(votes) / np.outer(spread, spread), 0, 1)
-        np.fill_diagonal(shared, 0)
-        discount = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(0))
-        # A voter that does not vote abstains: its silence says nothing, as most know one language only.
-        logit = np.log(prior / (1 - prior)) + votes @ (np.log(rate[1] / rate[0]) * discount) + np.where(given > 0, sure, -sure)
+        parent = correlations(votes, q)
+        follows = alone[:, parent]
+        evidence = np.zeros(len(votes))
+        for led in (0, 1):
+            mine = follows == led
+            rate = []
+            for w in (1 - q, q):
+                base = (votes.T @ w + 0.5 * votes.mean(0)) / (w.sum() + 1)
+                rate.append(np.clip(((votes * mine).T @ w + base) / (mine.T @ w + 1), 1e-5, 1 - 1e-5))
+            evidence += (mine * np.where(votes > 0, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0])))).sum(1)
+        (hit, missed), (wrong, right) = LABEL_PRIOR
+        told = ((given @ q + hit) / (q.sum() + hit + missed), (given @ (1 - q) + wrong) / ((1 - q).sum() + wrong + right))
+        sure = np.where(given > 0, np.log(told[0] / told[1]), np.log((1 - told[0]) / (1 - told[1])))
+        # Voters that know one language are silent together in the others: the tree keeps that from counting more than once.
+        logit = np.log(prior / (1 - prior)) + evidence + sure
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         prior = np.clip(q.mean(), 0.01, 0.99)
     return q
