@@ -31,6 +31,8 @@ from .common import held_out, stored, text_of
 ORDER = 4
 #: Share of a language's own texts that may be rejected; one learning row in so many is held back to find the limit for that.
 FALSE_REJECTIONS, HELD_BACK = 0.001, 16
+#: Standard deviations beyond which a normal distribution has that share.
+NORMAL = 3.09
 #: Standard errors over a language's own cross-entropy from which a text is rejected, where no row of the language is held back.
 REJECT = 12.0
 #: Symbols of a text that count for the score: words repeat each other, so a long text is no surer than this.
@@ -158,7 +160,9 @@ def _limits(docs: DataFrame, model: Model) -> dict[str, float]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in found], pa.string()), "errors": pa.array([x for _, x in found], pa.float64())})
 
     rows = _learning(docs).where(_back()).select("lang", text_of().alias("text")).mapInArrow(run, "lang string, errors double")
-    found = rows.groupBy("lang").agg(F.percentile_approx("errors", 1 - FALSE_REJECTIONS, 100_000).alias("limit"))
+    # Of few rows the quantile is too low by chance, so that of a normal distribution counts where it is higher.
+    spread = F.coalesce(F.stddev("errors"), F.lit(REJECT / NORMAL))
+    found = rows.groupBy("lang").agg(F.greatest(F.percentile_approx("errors", 1 - FALSE_REJECTIONS, 100_000), F.avg("errors") + NORMAL * spread).alias("limit"))
     return {r.lang: r.limit for r in found.collect()}
 
 
@@ -181,21 +185,21 @@ def _finished(grams: DataFrame) -> Model:
 
     languages = sorted(r.lang for r in few.select("lang").distinct().collect())
     alphabet = counts.where("k = 1").select("g").distinct().count()
-    g, s = _arrays(shares, languages)
-    c, w = _arrays(weights, languages)
+    g, s = _arrays(shares, languages, 0.0)
+    c, w = _arrays(weights, languages, 1.0)
     model = Model(languages, g, s, c, w, alphabet)
     model.own = _own(orders[ORDER], model)
     return model
 
 
-def _arrays(values: DataFrame, languages: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order the sorted keys of values (lang, k, g, v), and their values in each language."""
+def _arrays(values: DataFrame, languages: list[str], missing: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order the sorted keys of values (lang, k, g, v), and their values in each language, `missing` in those that lack a key."""
     found = values.select("k", "g", F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).alias("at"), F.col("v").cast("float").alias("v")).toArrow() if languages else None
     keys, out = [], []
     for order in range(1, ORDER + 1):
         part = found.filter(pc.equal(found["k"], order)) if found else None
         grams, at = np.unique(part["g"].to_numpy() if part else np.zeros(0, np.int64), return_inverse=True)
-        row = np.zeros((len(grams), len(languages)), np.float32)
+        row = np.full((len(grams), len(languages)), missing, np.float32)
         if part:
             row[at, part["at"].to_numpy() - 1] = part["v"].to_numpy()
         keys.append(grams)
