@@ -4,7 +4,7 @@ Every rule is a predicate that rejects a document. `plan()` runs all rules on a
 look at. Then it orders the rules greedily by rejection per cost, both conditional: what a rule rejects of the documents that the rules before it left, for the seconds of the
 features that those rules have not computed already. `judged()` and `good_documents()` evaluate each document's rules in that order and stop at the
 first that rejects. A document is kept if no rule rejects it, so the order changes the cost and the named rule, never the verdict. Features that
-several rules share are computed once for a document. The rules look at words, lines, marks and digits of any language; none knows the words of one.
+several rules share are computed once for a document. The rules look at words, lines and marks of any language; none knows the words of one.
 
 Scale: one pass over the texts without a shuffle, next to the pass that draws the sample (`SAMPLE_ROWS` expected rows, for the order only). `judged()` gives the base counts of all
 documents, so it computes these whatever the order; `good_documents()` saves what the order saves.
@@ -15,6 +15,7 @@ all columns. An empty table gives no rows, with the rules in the order they are
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -29,6 +30,7 @@ from .common import worker_cache
 SAMPLE_ROWS = 2000
 SYMBOLS = "#*$%&|<>"
 SPACE_BYTES = b" \t\n\x0b\f\r"
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]").search
 BULLETS, ELLIPSES = tuple(x.encode() for x in ("•", "‣", "◦", "- ", "* ")), ("…".encode(), b"...")
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
@@ -80,19 +82,24 @@ class Document:
     def _n_ellipses(self) -> int:
         return sum(x.rstrip(SPACE_BYTES).endswith(ELLIPSES) for x in self.lines)
 
-    def _n_digits(self) -> int:
-        return len(self.data) - len(self.data.translate(None, b"0123456789"))
-
     def _n_braces(self) -> int:
         return self.data.count(b"{") + self.data.count(b"}")
 
     def _n_links(self) -> int:
         return self.data.count(b"http://") + self.data.count(b"https://")
 
+    def _number(self) -> dict[bytes, int]:
+        """A number for each distinct word, in the order they come."""
+        return {w: i for i, w in enumerate(dict.fromkeys(self.words))}
+
     def _ids(self) -> np.ndarray:
         """The words as numbers."""
-        number: dict[bytes, int] = {}
-        return np.fromiter((number.setdefault(w, len(number)) for w in self.words), np.int64, self.n_words)
+        return np.fromiter(map(self.number.__getitem__, self.words), np.int64, self.n_words)
+
+    def _n_letterless(self) -> int:
+        """Words that have no ASCII letter and nothing beyond ASCII."""
+        bare = [i for w, i in self.number.items() if not LETTER(w)]
+        return int(np.isin(self.ids, bare).sum()) if bare else 0
 
     def _n_top_word(self) -> int:
         return int(np.bincount(self.ids).max()) if self.n_words else 0
@@ -130,7 +137,7 @@ RULES: dict[str, Callable[[Document], bool]] = {
     "word_length": lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words,
     "bullet_lines": lambda d: 10 * d.n_bullets > 9 * len(d.lines),
     "ellipsis_lines": lambda d: 10 * d.n_ellipses > 3 * len(d.lines),
-    "digits": lambda d: 4 * d.n_digits > d.word_chars,
+    "letterless": lambda d: 10 * d.n_letterless > 4 * d.n_words,
     "braces": lambda d: 20 * d.n_braces > d.n_words,
     "links": lambda d: 10 * d.n_links > d.n_words,
     "one_word": lambda d: 10 * d.n_top_word > 3 * d.n_words,
@@ -258,13 +265,13 @@ b AS (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
-    length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, length(regexp_replace(text, '[^{}]', '', 'g')) AS n_braces,
+    length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims, len(list_filter(w, lambda x: NOT regexp_matches(x, '[a-zA-Z]|[^\x00-\x7F]'))) AS n_letterless, length(regexp_replace(text, '[^{}]', '', 'g')) AS n_braces,
     len(regexp_extract_all(text, 'https?://')) AS n_links, len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(•|‣|◦|- |\* )'))) AS n_bullets,
     len(list_filter(lines, lambda x: regexp_matches(x, '(…|\.\.\.)[\x20\x09-\x0D]*$'))) AS n_ellipses, coalesce(n_top, 0) AS n_top FROM t LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR n_upper > n_lower OR 3 * n_exclaims > n_words
-    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines OR 4 * n_digits > word_chars OR 20 * n_braces > n_words
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines OR 10 * n_letterless > 4 * n_words OR 20 * n_braces > n_words
     OR 10 * n_links > n_words OR 10 * n_top > 3 * n_words) AS kept
 FROM f
 """
