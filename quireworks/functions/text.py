@@ -163,6 +163,12 @@ def with_variable(css: Column, name: str, value: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(css, F.lit(1), at - 1), head, value, F.lit(";"), after))
 
 
+def toc_targets(html: Column) -> Column:
+    """Ids that contents entries point to, by link and by page number."""
+    href, number = (F.regexp_extract_all(html, F.lit(P.TOC_ENTRY), F.lit(i)) for i in (1, 2))
+    return F.array_distinct(F.concat(href, number))
+
+
 def required(c: Column, message: str) -> Column:
     """The value; a null ends the query with the message."""
     return F.coalesce(c, F.raise_error(F.lit(message)).cast("string"))

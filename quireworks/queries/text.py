@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators import joins
 from ..plans import lift
 from .sql import S, collapse, preview, trim, words
 
@@ -95,6 +96,14 @@ def page_anchors(spark, d):
     )
 
 
+def toc_breaks(spark, d):
+    """Ids that a page's contents entries point to and no element has."""
+    rows = lifted_pages(spark, d)
+    targets = rows.select(F.col("page_id").alias("project"), F.explode(T.toc_targets(F.col("html"))).alias("target"))
+    ids = rows.select(F.col("page_id").alias("project"), F.explode(F.regexp_extract_all(F.col("html"), F.lit(P.ELEMENT_ID), F.lit(1))).alias("target")).distinct()
+    return joins.broken_targets(targets, ids)
+
+
 def style_tokens(spark, d):
     """A style sheet with variables set, read back."""
     rows = lift.table(spark, d, "documents").select("doc_id", F.col("source"))
@@ -134,6 +143,7 @@ QUERIES = {
     "page_references": page_references,
     "page_escapes": page_escapes,
     "page_anchors": page_anchors,
+    "toc_breaks": toc_breaks,
     "style_tokens": style_tokens,
     "title_splits": title_splits,
     "lists_and_tables": lists_and_tables,
@@ -192,6 +202,8 @@ SELECT page_id, regexp_extract(html, '<section class="chapter-open"[^>]*\bid="([
   array_to_string(regexp_extract_all(html, '(?i)src="([^"]+\.(?:png|jpe?g))"', 1), ',') AS rasters,
   array_to_string(regexp_extract_all(html, '(?s)<li class="toc-entry">.*?<a href="#([^"]+)".*?<span class="toc-pagenum" data-target="#([^"]+)">', 1), ',') AS targets,
   array_to_string(list_filter({_refs('html')}, lambda r, i: list_position({_refs('html')}, r) = i), ',') AS refs FROM p""",
+    "toc_breaks": r"""WITH p AS (SELECT page_id, 'c' || page_id || CASE page_id % 4 WHEN 1 THEN 'x' WHEN 2 THEN 'y' END AS target, list_append(regexp_extract_all(coalesce(html, ''), '\sid="([^"]+)"', 1), 'c' || page_id) AS ids FROM pages)
+SELECT page_id AS project, target FROM p WHERE page_id % 4 IN (1, 2) AND NOT list_contains(ids, target)""",
     "style_tokens": r"""WITH t AS (SELECT doc_id, source, (doc_id % 40) / 4 + 3 AS pt, CASE WHEN doc_id % 11 = 0 THEN 'px' ELSE 'pt' END AS unit FROM documents),
 c AS (SELECT doc_id, ':root {' || chr(10) || '  --color-bg:  #' || lpad((doc_id % 1000)::VARCHAR, 6, '0') || ';' || chr(10) || '  --font-body: "' || source || '", Georgia, "Times New Roman", serif;' || chr(10)
   || '  --font-size-body: ' || pt::DOUBLE || unit || ';' || chr(10) || '}' AS css, CASE WHEN unit = 'pt' THEN pt::DOUBLE END AS points FROM t)

@@ -16,6 +16,10 @@ NO_LENGTH = {0x01, *range(0xD0, 0xDA)}
 FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
 
 
+#: Pixels that are handed on at once.
+ROWS = 1 << 16
+
+
 def image_size(data: bytes) -> tuple[int, int] | None:
     """Width and height from the header of a PNG or JPEG file; None for others and for broken ones."""
     if data[:8] == SIGNATURE:
@@ -57,32 +61,29 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError("bit depth, interlacing or colour type not supported")
     width, height, n = head[0], head[1], CHANNELS[head[3]]
     rows = np.frombuffer(zlib.decompress(packed), np.uint8)[: height * (width * n + 1)].reshape(height, width * n + 1)
-    out = np.zeros((height + 1, width * n), np.uint8)
-    for y in range(height):
-        out[y + 1] = _unfiltered(int(rows[y, 0]), rows[y, 1:], out[y], n)
-    pixels = out[1:].reshape(height, width, n)
+    pixels = _unfiltered(rows[:, 0], rows[:, 1:].reshape(height, width, n))
     return np.repeat(pixels[:, :, :1], 3, 2) if n < 3 else pixels[:, :, :3]
 
 
-def _unfiltered(kind: int, line: np.ndarray, up: np.ndarray, n: int) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 2:
-        return line + up
-    if kind == 1:
-        return np.cumsum(line.reshape(-1, n), axis=0, dtype=np.uint64).astype(np.uint8).ravel()
-    out, above = [0] * n + line.tolist(), [0] * n + up.tolist()
-    for i in range(n, len(out)):
-        a, b, c = out[i - n], above[i], above[i - n]
-        if kind == 3:
-            guess = (a + b) // 2
-        elif kind == 4:
-            p = a + b - c
-            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-        else:
-            raise ValueError("unknown row filter")
-        out[i] = (out[i] + guess) & 255
-    return np.array(out[n:], np.uint8)
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Rows of pixels without their filters. A pixel needs those to its left and above, so the pixels of a diagonal are all done at once."""
+    height, width, n = lines.shape
+    if len(kinds) and kinds.max() > 4:
+        raise ValueError("unknown row filter")
+    out = np.zeros((height + 1, width + 1, n), np.int16)  # with a row above and a column to the left
+    if not np.isin(kinds, (1, 3, 4)).any():  # rows of their own, or on the one above
+        for y in range(height):
+            out[y + 1, 1:] = (lines[y] + (out[y, 1:] if kinds[y] else 0)) & 255
+        return out[1:, 1:].astype(np.uint8)
+    for d in range(width + height - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        near_left, near_up, near_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((near_left <= near_up) & (near_left <= near_corner), left, np.where(near_up <= near_corner, up, corner))
+        guess = np.choose(kinds[y][:, None], [np.zeros_like(left), left, up, (left + up) // 2, paeth])
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def sizes(files: DataFrame) -> DataFrame:
@@ -107,8 +108,11 @@ def pixels(files: DataFrame) -> DataFrame:
                 except (ValueError, zlib.error, struct.error):
                     continue
                 height, width = image.shape[:2]
-                for y in range(height):
-                    row = image[y].astype(np.int32)
-                    yield pa.RecordBatch.from_pydict({"path": pa.array([path] * width), "px": np.arange(width, dtype=np.int32), "py": np.full(width, y, np.int32), "width": np.full(width, width, np.int32), "height": np.full(width, height, np.int32), "r": row[:, 0].copy(), "g": row[:, 1].copy(), "b": row[:, 2].copy()})
+                step = max(1, ROWS // max(width, 1))
+                for top in range(0, height, step):
+                    part = image[top : top + step].astype(np.int32).reshape(-1, 3)
+                    py, px = np.divmod(np.arange(len(part), dtype=np.int32), width)
+                    n = len(part)
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([path] * n), "px": px, "py": py + np.int32(top), "width": np.full(n, width, np.int32), "height": np.full(n, height, np.int32), "r": part[:, 0].copy(), "g": part[:, 1].copy(), "b": part[:, 2].copy()})
 
     return files.select("path", "content").mapInArrow(run, "path string, px int, py int, width int, height int, r int, g int, b int")
