@@ -123,6 +123,11 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def growing(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is merged by sort at every size, never broadcast."""
+    return side.hint("merge")
+
+
 #: Bits of marked(): 2 ** 25 take 4 MB, whatever the input.
 MARKS, MARKS_EACH = 1 << 25, 1 << 15
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, marked, stored, text_of
+from .common import SPACES, growing, marked, stored, text_of
 
 #: Parts that the rows of one hash are spread over.
 SALTS = 64
@@ -89,6 +89,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     touched, rest = marked(docs, "doc_id", gone.select("exact_id").unionByName(twice.select("exact_id")))
     rows = touched.withColumns({"own_sha256": F.sha2(normal_form(text_of()), 256), "own_chars": F.char_length(text_of()).cast("long")})
     own = F.col("doc_id").eqNullSafe(F.col("exact_id")) & (F.col("own_sha256") == F.col("exact_sha256"))
+    gone, twice = growing(gone), growing(twice)
     out = rows.join(gone, own & (F.col("own_chars") == F.col("exact_chars")), "left_anti")
     if not twice.isEmpty():
         one = out.join(twice, own, "left_semi").dropDuplicates(["doc_id", "own_sha256"])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_of
+from .common import WORD, growing, stored, text_of
 
 MAX_COPIES = 3
 #: Hexadecimal digits of the MD5 that split a source's queue: 3 make 4096 parts.
@@ -76,7 +76,7 @@ def queues(sizes: DataFrame) -> DataFrame:
     parts = parts.select(F.col("source").alias("aim_source"), F.col("part").alias("aim_part"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", "at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum(words).over(inside), F.lit(0)))
-    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("aim_source")) & (F.col("part") == F.col("aim_part")))
+    rows = rows.join(growing(parts), F.col("source").eqNullSafe(F.col("aim_source")) & (F.col("part") == F.col("aim_part")))
     return stored(rows.select("source", "doc_id", "size", "n", (F.col("before") + F.col("within")).alias("start")), "mix-queues")
 
 
@@ -141,9 +141,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     same = docs["doc_id"].eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source"))
     repeated = counts.groupBy("mix_id", "mix_source").agg(F.count(F.lit(1)).alias("sizes"), F.max("mix_n").alias("n")).where("sizes > 1 OR n > 1")
     if repeated.isEmpty():  # an id and its source tell a row: its words need no second count
-        rows = docs.join(counts.where("mix_total > 0"), same).withColumn("mix_copies", F.col("mix_total"))
+        rows = docs.join(growing(counts.where("mix_total > 0")), same).withColumn("mix_copies", F.col("mix_total"))
     else:
-        rows = stored(docs.join(counts, same & (F.regexp_count(docs["text"], F.lit(WORD)) == F.col("mix_size"))).withColumn("mix_at", F.spark_partition_id()), "mix-rows")
+        rows = stored(docs.join(growing(counts), same & (F.regexp_count(docs["text"], F.lit(WORD)) == F.col("mix_size"))).withColumn("mix_at", F.spark_partition_id()), "mix-rows")
         key = ["mix_source", "mix_id", "mix_size"]
         before = Window.partitionBy(*key).orderBy("mix_at").rowsBetween(Window.unboundedPreceding, -1)
         parts = rows.where("mix_n > 1").groupBy(*key, "mix_at").agg(F.count(F.lit(1)).alias("k")).withColumn("mix_before", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")

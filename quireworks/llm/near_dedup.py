@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, marked, stored, text_of, worker_cache
+from .common import Memo, growing, marked, stored, text_of, worker_cache
 
 #: Shingle length and similarity in percent, where a contract does not say otherwise.
 WORDS, PERCENT = 5, 80
@@ -139,28 +139,23 @@ def _signed(docs: DataFrame, words: int, rows: int) -> DataFrame:
 # --- candidates -------------------------------------------------------------------------------------------------
 
 
-def _growing(side: DataFrame) -> DataFrame:
-    """A side of a join that grows with the input: it is merged by sort at every size, never broadcast."""
-    return side.hint("merge")
-
-
 def _stars(reps: DataFrame) -> DataFrame:
     """reps: rep, bands. The distinct candidate edges (center, rep) of all buckets."""
     rows = reps.select("rep", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rows.join(_growing(shared), "key"), "near-buckets")
+    members = stored(rows.join(growing(shared), "key"), "near-buckets")
     mates = members.groupBy("rep").agg(F.sum("n").alias("mates"))
-    scored = members.select("key", "rep").join(_growing(mates), "rep")
+    scored = members.select("key", "rep").join(growing(mates), "rep")
     best = scored.groupBy("key").agg(F.max(F.struct("mates", (-F.col("rep")).alias("id"))).alias("best"))
     centers = best.select("key", (-F.col("best.id")).alias("center"))
-    return members.select("key", "rep").join(_growing(centers), "key").where("center != rep").select("center", "rep").distinct()
+    return members.select("key", "rep").join(growing(centers), "key").where("center != rep").select("center", "rep").distinct()
 
 
 def _cells(edges: DataFrame) -> DataFrame:
     """edges: center, rep. One row for each place of a document in a block of a cell: rep, center, block, blocks. A center is in all blocks of its cell."""
     sizes = edges.groupBy("center").agg(F.count(F.lit(1)).alias("n")).select("center", (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
     salted = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    members = edges.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PARTS)).cast("int")).join(_growing(salted), ["center", "part"]).select("rep", "center", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks")
+    members = edges.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PARTS)).cast("int")).join(growing(salted), ["center", "part"]).select("rep", "center", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks")
     return members.unionByName(sizes.select(F.col("center").alias("rep"), "center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks"))
 
 
@@ -169,7 +164,7 @@ def _with_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
     center of many blocks, once for each RUN of them, so that no row's list grows with a cell."""
     columns = [c for c in places.columns if c != "rep"]
     of_rep = places.groupBy("rep", F.floor(F.col("block") / RUN).alias("run")).agg(F.collect_list(F.struct(*columns)).alias("places"))
-    joined = docs.select("doc_id", text_of().alias("text")).join(_growing(of_rep), F.col("doc_id") == F.col("rep")).select("rep", "places", "text")
+    joined = docs.select("doc_id", text_of().alias("text")).join(growing(of_rep), F.col("doc_id") == F.col("rep")).select("rep", "places", "text")
     schema = places.select("rep", *columns).schema.add("shingles", "binary")
     kinds = [places.schema[c].dataType.simpleString() for c in columns]
     of_kind = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
@@ -299,7 +294,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     Queries and members meet in pairs of blocks."""
     asked = members.where("open").groupBy("center").agg(F.count(F.lit(1)).alias("n")).select("center", (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int").alias("q_blocks"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    rows = members.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PARTS)).cast("int")).join(_growing(asked), ["center", "part"])
+    rows = members.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PARTS)).cast("int")).join(growing(asked), ["center", "part"])
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sought = rows.select("center", "block", each("q_blocks").alias("q_block"), F.lit(False).alias("query"), "rep", "shingles")
     queries = rows.where("open").select("center", each("blocks").alias("block"), F.pmod(F.xxhash64("rep", F.lit(2)), "q_blocks").cast("int").alias("q_block"), F.lit(True).alias("query"), "rep", "shingles")
@@ -343,13 +338,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     parts = some.groupBy("digest", salt).agg(F.min("doc_id").alias("least"))
     whole = parts.groupBy("digest").agg(F.min("least").alias("rep"))
     classes = stored(parts.select("digest", "salt").join(whole, "digest"), "near-classes")
-    reps = some.join(_growing(classes.select("digest", "rep").distinct().withColumnRenamed("digest", "of")), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("rep", "bands")
+    reps = some.join(growing(classes.select("digest", "rep").distinct().withColumnRenamed("digest", "of")), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("rep", "bands")
     edges = stored(_stars(reps), "near-edges")
     found = components(_links(docs.withColumn("doc_id", F.col("doc_id").cast("long")), edges, words, percent))
     labelled = classes.join(found, F.col("rep") == F.col("id"), "left").select("digest", F.col("salt").alias("in"), F.coalesce("component", "rep").alias("component"))
     linked = F.col("n_shingles") > 0
     out = signed.where(linked & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "digest", salt)
-    out = out.join(_growing(labelled.withColumnRenamed("digest", "of")), (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("in")))
+    out = out.join(growing(labelled.withColumnRenamed("digest", "of")), (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("in")))
     alone = signed.where(~linked | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -360,7 +355,7 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = stored(gone.join(found.where("kept").select(F.col("doc_id").alias("gone_id")), "gone_id", "left_anti"), "near-gone")
     touched, rest = marked(docs, "doc_id", gone)
-    return touched.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").unionByName(rest)
+    return touched.join(growing(gone), F.col("doc_id") == F.col("gone_id"), "left_anti").unionByName(rest)
 
 
 NEAR_SQL = r"""
