@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, cut_at_spaces, text_of, windows, without_gc, worker_cache
+from .common import Memo, cut_at_spaces, give_back, text_of, windows, without_gc, worker_cache
 
 #: Entries in each of the two generations of a worker's memo of pieces: about 200 bytes an entry.
 MEMO = 400_000
@@ -334,9 +334,10 @@ def round_trip(docs: DataFrame, path: str, memo: int = MEMO) -> DataFrame:
     def run(batches):
         encoder = encoder_of(file, memo)
         for batch in without_gc(batches):
-            rows = [digests(encoder, text) for text in batch.column(1).to_pylist()]
+            rows = [digests(encoder, text.as_py()) for text in batch.column(1)]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            give_back()
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
