@@ -6,7 +6,8 @@ turns. The loss mask covers what the assistant says, with the end mark of each o
 A rendering is cut into chunks of `CHUNK` turn numbers, and a chunk into parts of `CHUNK` turns (more than one where turns share a number), one row each. Joined in the order of chunk and
 part they are the whole rendering, which whole_dialogues() gives for conversations that fit one row; spans and `start` say where a part's trained pieces lie in it, and where it begins in the whole.
 
-Scale: turns are dealt out in ranges of their order, and a turn's place in its chunk is the count of those in the ranges before and its place inside its own. So whatever is repeated or null,
+Scale: turns of chunks that are one part are grouped by it. Those of other chunks are first dealt out in ranges of their order, where a turn's place in its chunk is the count of those in the ranges before
+and its place inside its own. So whatever is repeated or null,
 no row holds more than `CHUNK` turns, and no task a conversation; one task sorts the sizes of a conversation's parts, a few numbers each.
 
 Edge cases: null text counts as empty; a null role is a speaker named `unknown`; null turns come first and form a chunk of their own, -1; null conv_id is a conversation of
@@ -33,22 +34,33 @@ def _plain(text: Column) -> Column:
     return text
 
 
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows: conv_id, chunk and the columns of the order. Adds part: each CHUNK rows of a chunk in order are one."""
+    rows = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange("conv_id", *order, "nth").drop("nth")
+    rows = stored(rows.withColumn("range", F.spark_partition_id()), "chat-turns")
+    ahead = Window.partitionBy("conv_id", "chunk").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("conv_id", "chunk", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    ranges = ranges.select(F.col("conv_id").alias("of"), F.col("chunk").alias("of_chunk"), F.col("range").alias("of_range"), "ahead")
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("conv_id", "chunk", "range").orderBy(*order)) - 1)
+    rows = rows.join(ranges, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk")) & (F.col("range") == F.col("of_range")))
+    return rows.select("conv_id", "chunk", *order, F.floor((F.col("ahead") + F.col("at")) / CHUNK).alias("part"))
+
+
 def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
     """turns: conv_id, turn, text and the speaker's column. conv_id, participant, chunk, part, text, spans (begin and end of trained parts
     in text), n_turns, n_chars, start (the rendering's characters before the part)."""
     name = F.replace(F.coalesce(F.col(speaker), F.lit("unknown")), F.lit("\n"), F.lit(" "))
     rows = turns.select("conv_id", "turn", name.alias("speaker"), _plain(text_of()).alias("text"))
     people = stored(rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("participant")).distinct(), "chat-people")
-    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-1)).cast("long")
+    rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-1)).cast("long"))
     order = ["turn", "speaker", "text"]
-    rows = rows.withColumns({"chunk": chunk, "nth": F.monotonically_increasing_id()}).repartitionByRange("conv_id", *order, "nth")
-    rows = stored(rows.withColumn("range", F.spark_partition_id()), "chat-turns")
-    ahead = Window.partitionBy("conv_id", "chunk").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("conv_id", "chunk", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    ranges = ranges.select(F.col("conv_id").alias("of"), F.col("chunk").alias("of_chunk"), F.col("range").alias("of_range"), "ahead")
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("conv_id", "chunk", "range").orderBy(*order)) - 1)
-    rows = rows.join(ranges, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk")) & (F.col("range") == F.col("of_range")))
-    chunks = rows.groupBy("conv_id", "chunk", F.floor((F.col("ahead") + F.col("at")) / CHUNK).alias("part")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("turns"))
+    crowded = stored(rows.groupBy(F.col("conv_id").alias("of"), F.col("chunk").alias("of_chunk")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "chat-crowded")
+    parts = rows.withColumn("part", F.lit(0).cast("long"))
+    if not crowded.isEmpty():
+        same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk"))
+        parts = parts.join(crowded, same, "left_anti").unionByName(_numbered(rows.join(crowded, same, "left_semi"), order))
+    chunks = parts.groupBy("conv_id", "chunk", "part").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("turns"))
+    chunks = stored(chunks, "chat-chunks")
     views = chunks.join(people, F.col("conv_id").eqNullSafe(F.col("of")))
 
     def head(t: Column) -> Column:
@@ -64,7 +76,7 @@ def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
     step = lambda s, p: F.struct((s["at"] + size(p)).alias("at"), F.when(p["trained"], F.concat(s["spans"], F.array(span(s["at"], p)))).otherwise(s["spans"]).alias("spans"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
     views = views.select("conv_id", "participant", "chunk", "part", text.alias("text"), F.aggregate("parts", zero, step).alias("s"), F.size("parts").cast("long").alias("n_turns"))
-    views = stored(views.select("conv_id", "participant", "chunk", "part", "text", F.col("s.spans").alias("spans"), "n_turns", F.col("s.at").alias("n_chars")), "chat-views")
+    views = views.select("conv_id", "participant", "chunk", "part", "text", F.col("s.spans").alias("spans"), "n_turns", F.col("s.at").alias("n_chars"))
     before = Window.partitionBy("conv_id", "participant").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = views.select("conv_id", "participant", "chunk", "part", "n_chars").withColumn("start", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
     starts = starts.select(F.col("conv_id").alias("of"), F.col("participant").alias("by"), F.col("chunk").alias("of_chunk"), F.col("part").alias("of_part"), "start")
