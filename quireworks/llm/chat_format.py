@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import marked, stored, text_of
 
 CHUNK = 64
 SYSTEM = "system"
@@ -58,16 +58,24 @@ def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
     parts = rows.withColumn("part", F.lit(0).cast("long"))
     if not crowded.isEmpty():
         same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk"))
-        parts = parts.join(crowded, same, "left_anti").unionByName(_numbered(rows.join(crowded, same, "left_semi"), order))
+        touched, rest = marked(rows, "conv_id", crowded.select("of"))  # turns of other conversations are not moved for this
+        alone = rest.unionByName(touched.join(crowded, same, "left_anti")).withColumn("part", F.lit(0).cast("long"))
+        parts = alone.unionByName(_numbered(touched.join(crowded, same, "left_semi"), order))
     chunks = parts.groupBy("conv_id", "chunk", "part").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("turns"))
     chunks = stored(chunks, "chat-chunks")
-    views = chunks.join(people, F.col("conv_id").eqNullSafe(F.col("of")))
 
     def head(t: Column) -> Column:
         other = F.concat(F.lit("user name="), t["speaker"])
         role = F.when(t["speaker"] == SYSTEM, F.lit(SYSTEM)).when(t["speaker"] == F.col("participant"), F.lit("assistant")).otherwise(other)
         return F.concat(F.lit(BEGIN), role, F.lit("\n"))
 
+    # Where the parts begin follows from the lengths of their turns alone; texts meet the result once.
+    lengths = chunks.select("conv_id", "chunk", "part", F.transform("turns", lambda t: F.struct(t["speaker"].alias("speaker"), F.length(t["text"]).alias("n"))).alias("ts"))
+    chars = F.aggregate("ts", F.lit(0).cast("long"), lambda n, t: n + F.length(head(t)) + t["n"] + len(END) + 1)
+    before = Window.partitionBy("conv_id", "participant").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lengths.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "participant", "chunk", "part", chars.alias("chars"))
+    starts = starts.select(F.col("conv_id").alias("of"), "participant", F.col("chunk").alias("of_chunk"), F.col("part").alias("of_part"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start"))
+    views = chunks.join(starts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk")) & (F.col("part") == F.col("of_part")))
     part = lambda t: F.struct((t["speaker"] == F.col("participant")).alias("trained"), head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"))
     views = views.withColumn("parts", F.transform("turns", part))
     size = lambda p: (F.length(p["head"]) + F.length(p["body"]) + 1).cast("long")
@@ -75,13 +83,8 @@ def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"))
     step = lambda s, p: F.struct((s["at"] + size(p)).alias("at"), F.when(p["trained"], F.concat(s["spans"], F.array(span(s["at"], p)))).otherwise(s["spans"]).alias("spans"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
-    views = views.select("conv_id", "participant", "chunk", "part", text.alias("text"), F.aggregate("parts", zero, step).alias("s"), F.size("parts").cast("long").alias("n_turns"))
-    views = views.select("conv_id", "participant", "chunk", "part", "text", F.col("s.spans").alias("spans"), "n_turns", F.col("s.at").alias("n_chars"))
-    before = Window.partitionBy("conv_id", "participant").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = views.select("conv_id", "participant", "chunk", "part", "n_chars").withColumn("start", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
-    starts = starts.select(F.col("conv_id").alias("of"), F.col("participant").alias("by"), F.col("chunk").alias("of_chunk"), F.col("part").alias("of_part"), "start")
-    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("participant") == F.col("by")) & (F.col("chunk") == F.col("of_chunk")) & (F.col("part") == F.col("of_part"))
-    return views.join(starts, same).drop("of", "by", "of_chunk", "of_part")
+    views = views.select("conv_id", "participant", "chunk", "part", "start", text.alias("text"), F.aggregate("parts", zero, step).alias("s"), F.size("parts").cast("long").alias("n_turns"))
+    return views.select("conv_id", "participant", "chunk", "part", "text", F.col("s.spans").alias("spans"), "n_turns", F.col("s.at").alias("n_chars"), "start")
 
 
 def whole_dialogues(views: DataFrame) -> DataFrame:
