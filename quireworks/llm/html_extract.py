@@ -63,6 +63,7 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MARKING = re.compile("class|id|role|style", re.I)  # "hidden" has "id" in it
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -73,10 +74,11 @@ class Node:
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
         self.label, self.names, self.role = tag, frozenset(), ""
-        if attributes and "=" in attributes or "hidden" in attributes:
+        if attributes and _MARKING.search(attributes):
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             css = html.unescape(found.get("class", ""))
-            self.names = frozenset(x.lower() for x in _NAME.findall(f"{css} {html.unescape(found.get('id', ''))}"))
+            if css or "id" in found:
+                self.names = frozenset(x.lower() for x in _NAME.findall(f"{css} {html.unescape(found.get('id', ''))}"))
             self.role = found.get("role", "").lower()
             if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
                 self.role = "hidden"
