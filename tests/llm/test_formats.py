@@ -224,3 +224,11 @@ def test_transducer_decides(encoder, monkeypatch):
     monkeypatch.setattr(bpe.Transducer, "finish", lambda self: [])
     fresh = bpe.Encoder(open(PATH, "rb").read())
     assert bpe.encode_text(fresh, "ab cd, e\n\nf " + "g" * 9000) == [7] * 10
+
+
+def test_repeated_pages(spark):
+    """Each page twelve times: counted once, and the site's own texts go from every copy."""
+    rows = [(i, f"https://a.example/{i}", wrapped(i)) for i in range(30)] * 12
+    got = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == 360 and not any(x in r.text for r in got for x in ("Our site", "Read more", "All rights"))
+    assert all(r.text.split("\n")[0] == f"Title {r.page_id}" for r in got)

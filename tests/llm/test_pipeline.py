@@ -9,9 +9,11 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from quireworks.llm import mixing
 from quireworks.llm.exact_dedup import EXACT_SQL
 from quireworks.llm.mixing import MIX_SQL
 from quireworks.llm.quality_rules import QUALITY_SQL
@@ -86,8 +88,6 @@ def test_pipeline_brute(spark, tmp_path):
 
 def test_stages_on_nothing(spark):
     """Empty tables, clashing columns and nulls in every column pass all stages; all but the last keep the columns."""
-    from pyspark.sql import functions as F
-
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     some = [(None, None, None, None, None), (1, "plain words that go on " * 30, None, None, None)]
     for data in ([], some):
@@ -97,3 +97,34 @@ def test_stages_on_nothing(spark):
             assert after.columns == docs.columns
             docs = after
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 0
+
+
+def test_mix_of_equal_keys(spark):
+    """A third of the rows without an id, a third with one id, some rows equal: as SQL has it, and the documents are taken as often as the mix says."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["sea", "ship", "wind"]) for _ in range(n))
+    rows = [(None, text(rng.choice([3, 5, 5])), rng.choice("abc")) for _ in range(100)] + [(7, text(4), rng.choice("ab")) for _ in range(100)] + [(i, text(rng.randint(0, 9)), rng.choice(["a", "b", "c", None])) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = Counter(tuple(r) for r in mixing.mixture(docs).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert got == Counter(con.execute(MIX_SQL).fetchall())
+    taken, mixed = Counter(), Counter()
+    for (_, size, source_size, _, words), n in got.items():
+        taken[source_size] += words * n
+    sizes = Counter()
+    for _, t, source in rows:
+        sizes[source] += len(t.split())
+    for r in mixing.mixed_documents(docs).collect():
+        mixed[sizes[r.source]] += len(r.text.split())
+    assert mixed == +taken
+
+
+def test_mix_follows_finish_times(spark, monkeypatch):
+    """The cut decides: with the schedule's order turned round, other documents are taken."""
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 3 == 0]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = sorted(map(tuple, mixing.mixture(docs).collect()))
+    monkeypatch.setattr(mixing, "_order", lambda: [F.col("finish").desc(), F.col("source").asc_nulls_last(), F.col("start").asc()])
+    assert sorted(map(tuple, mixing.mixture(docs).collect())) != plain
