@@ -10,8 +10,9 @@ from ..plans import audit as audit_plan
 from ..plans import lift, qc
 from . import audit as audit_queries
 from . import layout as layout_queries
+from . import markdown as markdown_queries
 from . import qc as qc_queries
-from .sql import collapse, trim, words
+from .sql import BLOCKS, collapse, trim, words
 
 N = 40
 
@@ -74,7 +75,12 @@ def run_findings(spark, d):
     return audit_plan.audited(layout.files(layout_queries.text_lines(spark, d)))
 
 
-QUERIES = {"qc_run": qc_run, "qc_run_results": qc_run_results, "run_files": run_files, "run_findings": run_findings}
+def run_plans(spark, d):
+    """Budget figures of the chapters that lines with headings give."""
+    return audit_plan.planned(layout.files(layout_queries.text_lines(spark, d)))
+
+
+QUERIES = {"run_plans": run_plans, "qc_run": qc_run, "qc_run_results": qc_run_results, "run_files": run_files, "run_findings": run_findings}
 _Q = qc_queries
 _CHECKS = rf"""pr AS (SELECT DISTINCT doc_id % {N} AS project FROM documents),
 dd AS (SELECT doc_id % {N} AS project, doc_id, lang, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10))[1] AS first FROM documents),
@@ -120,7 +126,9 @@ _L, _A = layout_queries, audit_queries
 _FROM_ITEMS = f"""t4 AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY page, line) - 1 AS line_no, page, y, font_height AS fh, cells, text, is_table_row AS tr, {trim('text')} AS tt, is_list_item AS li FROM kl),
 t5 AS ({_L.TEXT_LINES.partition('t5 AS (')[2]}"""
 _RUN = f"WITH RECURSIVE {lift.LINES}, {_L.TEXT_LINES}, {_L.SECTIONS}, {_L.BLOCKS}, {_L.FILES}"
+_MD = markdown_queries.ORACLES["chapter_plans"].partition(markdown_queries.PLAN)[2]
 ORACLES = {
+    "run_plans": f"""{_RUN}, mf AS (SELECT {{'project': project, 'file': file}} AS file_id, type, markdown AS text FROM fi WHERE entry_kind = 'chapter'), {BLOCKS}, {markdown_queries.PLAN}{_MD.replace('SELECT file_id, component_counts, ratio', 'SELECT file_id.project, file_id.file, component_counts, ratio')}""",
     "run_files": f"""WITH RECURSIVE {lift.LINES}, {_L.ITEMS}, {_L.LAYOUT}, {_L.CLASSIFIED}, {_FROM_ITEMS}, {_L.SECTIONS}, {_L.BLOCKS}, {_L.FILES}
 SELECT project, id, file, start_page, end_page, {words('markdown')} AS words, md5(markdown) AS digest FROM fi""",
     "run_findings": f"""{_RUN}, mf AS (SELECT project, file AS file_id, start_page, end_page, markdown AS text FROM fi), en AS (SELECT project, (entry_kind, pos) AS pos, file AS id, title FROM fi),
