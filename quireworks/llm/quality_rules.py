@@ -33,6 +33,7 @@ SPACE_BYTES = b" \t\n\x0b\f\r"
 LETTER = re.compile(rb"[A-Za-z\x80-\xff]").search
 BULLETS, ELLIPSES = tuple(x.encode() for x in ("•", "‣", "◦", "- ", "* ")), ("…".encode(), b"...")
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+LETTER_BYTES = UPPER + LOWER + bytes(range(128, 256)) + SPACE_BYTES
 
 
 class Document:
@@ -96,6 +97,10 @@ class Document:
         """The words as numbers."""
         return np.fromiter(map(self.number.__getitem__, self.words), np.int64, self.n_words)
 
+    def _n_marks(self) -> int:
+        """Characters that are neither white space nor what a word with a letter needs: no fewer than the words without one."""
+        return len(self.data.translate(None, LETTER_BYTES))
+
     def _n_letterless(self) -> int:
         """Words that have no ASCII letter and nothing beyond ASCII."""
         bare = [i for w, i in self.number.items() if not LETTER(w)]
@@ -137,7 +142,7 @@ RULES: dict[str, Callable[[Document], bool]] = {
     "word_length": lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words,
     "bullet_lines": lambda d: 10 * d.n_bullets > 9 * len(d.lines),
     "ellipsis_lines": lambda d: 10 * d.n_ellipses > 3 * len(d.lines),
-    "letterless": lambda d: 10 * d.n_letterless > 4 * d.n_words,
+    "letterless": lambda d: 10 * d.n_marks > 4 * d.n_words and 10 * d.n_letterless > 4 * d.n_words,
     "braces": lambda d: 20 * d.n_braces > d.n_words,
     "links": lambda d: 10 * d.n_links > d.n_words,
     "one_word": lambda d: 10 * d.n_top_word > 3 * d.n_words,
