@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import stored
+from ..storage import marked, stored
 
 #: Characters of a substring by which titles and words meet, and how many of a title's are looked at.
 GRAM, PROBES = 8, 16
@@ -38,21 +38,25 @@ def _grams(text, sizes):
 
 def not_contained(titles: DataFrame, outline: DataFrame) -> DataFrame:
     """titles: project, id, title; outline: project, title. Titles that, white space and case aside, no outline title of their project contains.
-    A title looks at up to PROBES of its substrings of GRAM characters (a shorter one at the whole of it) and meets the outline titles that have the rarest of these, so beginnings that all
+    A title looks at up to PROBES of its substrings of GRAM characters (a shorter one at those of three or one) and meets the outline titles that have the rarest of these, so beginnings that all
     titles share cost nothing. Equal titles are sought once."""
     wanted = titles.select("project", "id", "title", T.squeezed(F.col("title")).alias("needle"))
-    needles = wanted.select("project", "needle").distinct()
-    size = F.least(F.length("needle"), F.lit(GRAM))
+    needles = wanted.where("needle != ''").select("project", "needle").distinct()
+    size = F.when(F.length("needle") >= GRAM, GRAM).when(F.length("needle") >= 3, 3).otherwise(1)  # three sizes, so that an outline title has three sets of substrings at most
     last = F.length("needle") - size  # the probes are spread over the needle
     probes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.substring(F.col("needle"), (F.floor(i * last / (PROBES - 1)) + 1).cast("int"), size)))
     hay = outline.select("project", T.squeezed(F.col("title")).alias("hay")).distinct()
-    sizes = needles.groupBy("project").agg(F.collect_set(size).alias("sizes"))  # GRAM + 1 numbers at most
+    sizes = needles.groupBy("project").agg(F.collect_set(size).alias("sizes"))
+    outlined = hay.select("project").distinct()
     hay = hay.join(sizes, "project").select("project", "hay", F.explode(_grams(F.col("hay"), F.col("sizes"))).alias("gram"))
+    asked = needles.select("project", "needle", F.explode(probes).alias("gram"))
+    key = F.xxhash64("project", "gram").alias("key")
+    hay = marked(hay.select("*", key), "key", asked.select(key).distinct())[0].drop("key")  # most substrings are nobody's probe
     often = hay.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
-    asked = needles.select("project", "needle", F.explode(probes).alias("gram")).join(often, ["project", "gram"], "left")
+    asked = asked.join(often, ["project", "gram"], "left")
     rarest = asked.groupBy("project", "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     met = rarest.join(hay, ["project", "gram"]).where(F.contains("hay", F.col("needle"))).select("project", "needle").distinct()
-    anything = needles.where("needle = ''").join(hay.select("project").distinct(), "project", "left_semi")  # nothing is contained in any title
+    anything = wanted.where("needle = ''").select("project", "needle").distinct().join(outlined, "project", "left_semi")  # nothing is contained in any title
     return wanted.join(met.unionByName(anything), ["project", "needle"], "left_anti").select("project", "id", "title")
 
 

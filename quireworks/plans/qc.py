@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gates
+from ..storage import stored
 
 #: What a project gets from a gate for which it has no measurements: nothing to look at is skipped, but these look at the output itself.
 NOTHING = {"no-broken-chars": "pass", "contrast": "fail", "outline-toc": "fail", "metadata": "fail", "file-size": "fail"}
@@ -18,6 +19,8 @@ INPUTS = {"assets-exist": ("references", "existing"), "outline-toc": ("titles",
 def checks(projects: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame:
     """projects: project. inputs: a gate's measurements under its id, or under the names in INPUTS; each has `project`. One row for each project and
     gate: project, pos, id, status, evidence, coverage (of text-coverage). A gate without input gives NOTHING's status, or skipped."""
+    if "text-coverage" in inputs:
+        inputs = inputs | {"text-coverage": stored(inputs["text-coverage"], "coverage")}  # read twice
     found = []
     for name in gates.GATES:
         needed = INPUTS.get(name, (name,))
@@ -35,11 +38,13 @@ def checks(projects: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame:
 
 def results(rows: DataFrame) -> DataFrame:
     """rows: checks(). Verdict, counts and score of each project."""
+    rows = stored(rows, "checks")  # one row for each project and gate
     return gates.verdicts(rows).join(gates.scores(rows), "project")
 
 
 def report(rows: DataFrame) -> DataFrame:
     """rows: checks(). project, text: a Markdown report of the verdict, a line for each gate, and the score."""
+    rows = stored(rows, "checks")
     found = results(rows)
     cell = F.replace(F.coalesce("evidence", F.lit("")), F.lit("|"), F.lit("\\|"))
     line = F.concat(F.lit("| "), "id", F.lit(" | "), "status", F.lit(" | "), cell, F.lit(" |"))
