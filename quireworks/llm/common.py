@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import clear, scratch, shared_folder, stored  # noqa: F401  used by the operators
+from ..storage import clear, marked, scratch, shared_folder, stored  # noqa: F401  used by the operators
 
 #: The white space of all text contracts here: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -128,23 +128,6 @@ def growing(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
-#: Bits of marked(): 2 ** 25 take 4 MB, whatever the input.
-MARKS, MARKS_EACH = 1 << 25, 1 << 15
-
-
-def marked(rows: DataFrame, key: str, among: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be among the first column of `among`, and those whose key certainly is not. A bitmap of hashes, broadcast at a fixed size, parts them without
-    a shuffle of the rows; the more keys are marked, the more rows of others come along, so the first part still has to be joined."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
-    bits = among.select(place(F.col(among.columns[0])).alias("at")).groupBy(F.floor(F.col("at") / MARKS_EACH).alias("mark_bucket")).agg(F.bitmap_construct_agg(F.col("at") % MARKS_EACH).alias("mark_bits"))
-    bits = F.broadcast(stored(bits, "marks"))
-    at = place(rows[key])
-    joined = rows.join(bits, F.floor(at / MARKS_EACH) == F.col("mark_bucket"), "left")
-    byte = F.conv(F.hex(F.substring("mark_bits", (F.floor(at % MARKS_EACH / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-    on = F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0)) == 1
-    return joined.where(on).select(*[rows[c] for c in rows.columns]), joined.where(~on).select(*[rows[c] for c in rows.columns])
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows that no model may learn from: crc32 of the id as text leaves 2 when divided by 4. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
