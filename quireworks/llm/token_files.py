@@ -43,9 +43,9 @@ PERCENTILE = 0.95
 SEGMENT = 1 << 18
 MAGIC = b"PFOR1"
 #: Bytes of a worker's memo of pieces, as counted: its objects and ENTRY for an entry's headers and place. When full, it starts anew.
-MEMO, ENTRY = 64 << 20, 190
+MEMO, ENTRY = 128 << 20, 190
 #: Pieces that the library encodes in one string; bytes of text that are encoded at once.
-PART, SLICE = 8192, 8 << 20
+PART, SLICE = 8192, 12 << 20
 
 
 # --- the format -------------------------------------------------------------------------------------------------
