@@ -13,6 +13,8 @@ from .language_id import identified
 from .mixing import MIX_SQL, mixture
 from .near_dedup import NEAR_SQL, near_groups
 from .quality_rules import QUALITY_SQL, judged
+from .secret_scan import secret_digests
+from .spelling import SPELLING_SQL, variants
 from .token_files import token_digests
 from .toxicity import scored
 
@@ -30,6 +32,8 @@ QUERIES = {
     "op8_chat_format": lambda spark, d: perspective_rows(table(spark, d, "conversations")),
     "op9_source_mixing": lambda spark, d: mixture(table(spark, d, "documents")),
     "op10_bpe_round_trip": lambda spark, d: round_trip(table(spark, d, "documents"), TOKENIZER),
+    "op11_secret_scan": lambda spark, d: secret_digests(table(spark, d, "documents")),
+    "op12_spelling_variants": lambda spark, d: variants(table(spark, d, "documents")),
 }
 ORACLES = {
     "op3_near_dedup": NEAR_SQL,
@@ -37,4 +41,5 @@ ORACLES = {
     "op7_exact_dedup": EXACT_SQL,
     "op8_chat_format": CHAT_SQL,
     "op9_source_mixing": MIX_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
 }
