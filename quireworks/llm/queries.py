@@ -13,6 +13,7 @@ from .language_id import identified
 from .mixing import MIX_SQL, mixture
 from .near_dedup import NEAR_SQL, near_groups
 from .quality_rules import QUALITY_SQL, judged
+from .ranked_search import SEARCH_SQL, ranked
 from .secret_scan import secret_digests
 from .spelling import SPELLING_SQL, variants
 from .token_files import token_digests
@@ -34,6 +35,7 @@ QUERIES = {
     "op10_bpe_round_trip": lambda spark, d: round_trip(table(spark, d, "documents"), TOKENIZER),
     "op11_secret_scan": lambda spark, d: secret_digests(table(spark, d, "documents")),
     "op12_spelling_variants": lambda spark, d: variants(table(spark, d, "documents")),
+    "op13_ranked_search": lambda spark, d: ranked(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 ORACLES = {
     "op3_near_dedup": NEAR_SQL,
@@ -42,4 +44,5 @@ ORACLES = {
     "op8_chat_format": CHAT_SQL,
     "op9_source_mixing": MIX_SQL,
     "op12_spelling_variants": SPELLING_SQL,
+    "op13_ranked_search": SEARCH_SQL,
 }
