@@ -1,67 +1,65 @@
-"""What written documents have to satisfy: rules by name, each a condition for gates.schema_violations()."""
+"""The forms of the documents that a project writes, as JSON Schemas for operators.schemas: inventory, page plan, resolved configuration, quality report."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 from ..functions import patterns as P
-from ..functions import text as T
-from .gates import schema_violations
 
-# What the forms of inventory, page plan and quality report allow.
+TEXT, FILLED, MAYBE_TEXT = {"type": "string"}, {"type": "string", "minLength": 1}, {"type": ["string", "null"]}
+COUNT, FROM_ONE, YES_NO = {"type": "integer", "minimum": 0}, {"type": "integer", "minimum": 1}, {"type": "boolean"}
+# The version, the patterns, the allowed words and the bounds of these documents.
+VERSION = {"type": "integer", "const": 1}
+TIME = {"type": "string", "pattern": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"}
+SHA256 = {"type": "string", "pattern": "^[a-f0-9]{64}$"}
+COLOUR = {"type": "string", "pattern": "^#[0-9a-fA-F]{6}$"}
+SLUG = {"type": "string", "pattern": "^[a-z0-9]+(-[a-z0-9]+)*$"}
 TYPES = ("introduction", "chapter", "conclusion", "unclassified")
 COMPONENTS = ("editorial-body", "process-steps", "checklist", "comparison-table", "calculation-card", "warning-callout", "tip-callout", "key-takeaways", "pull-quote")
 SOURCE_KINDS = ("heading", "paragraph", "list", "table", "blockquote")
 STATUSES = ("pass", "fail", "skipped")
-SCORES = {"content": 25, "typography": 20, "layout": 20, "consistency": 15, "technical": 10, "niche_fit": 10, "total": 100}
-TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z\z"
-SHA256, COLOUR, SLUG = r"^[a-f0-9]{64}\z", r"^#[0-9a-fA-F]{6}\z", r"^[a-z0-9]+(-[a-z0-9]+)*\z"
-
-
-def _at_least(column: str, least: int) -> Column:
-    return F.col(column) >= least
-
-
-def inventory_rules() -> dict[str, Column]:
-    """For rows of layout.files()."""
-    there = {f"{c}-required": F.col(c).isNotNull() for c in ("id", "title", "file")}
-    chapter = F.col("entry_kind") == "chapter"
-    return there | {"type-enum": F.when(chapter, F.col("type").isin(*TYPES)).otherwise(F.col("type").isNull()), "start-page-minimum": _at_least("start_page", 1), "end-page-minimum": _at_least("end_page", 1), "words-minimum": _at_least("words", 0)}
-
+SCORES = {"content": 25, "typography": 20, "layout": 20, "consistency": 15, "technical": 10, "nicheFit": 10}
+LANGUAGE = "en-US"
 
-def inventory_head_rules() -> dict[str, Column]:
-    """For rows of schema_version, source_file, source_sha256, extracted_at, page_count."""
-    return {"version-const": F.col("schema_version") == 1, "source-required": F.col("source_file").isNotNull(), "sha256-pattern": T.has(F.col("source_sha256"), SHA256), "time-pattern": T.has(F.col("extracted_at"), TIME), "pages-minimum": _at_least("page_count", 1)}
 
+def one_of(words) -> dict:
+    return {"type": "string", "enum": list(words)}
 
-def plan_rules() -> dict[str, Column]:
-    """For rows of markdown.plan()."""
-    there = {f"{c}-required": F.col(c).isNotNull() for c in ("rule", "preview")}
-    return there | {"index-minimum": _at_least("index", 0), "component-enum": F.col("component").isin(*COMPONENTS), "source-kind-enum": F.col("source_kind").isin(*SOURCE_KINDS)}
 
+def between(least: float, most: float | None = None) -> dict:
+    return {"type": "number", "minimum": least} | ({} if most is None else {"maximum": most})
 
-def chapter_plan_rules() -> dict[str, Column]:
-    """For rows of markdown.chapter_plans()."""
-    return {"ratio-range": F.col("editorial_body_ratio").between(0, 1), "pages-minimum": _at_least("estimated_pages", 0), "wanted-minimum": _at_least("min_non_body", 0), "actual-minimum": _at_least("actual_non_body", 0)}
 
+def each(of: dict) -> dict:
+    return {"type": "array", "items": of}
 
-def check_rules() -> dict[str, Column]:
-    """For rows of plans.qc.checks()."""
-    return {"id-required": F.col("id").isNotNull(), "status-enum": F.col("status").isin(*STATUSES)}
 
+def record(optional: dict | None = None, **fields: dict) -> dict:
+    """An object of these fields, all of them there, and of optional ones, and no others."""
+    return {"type": "object", "required": list(fields), "properties": fields | (optional or {}), "additionalProperties": False}
 
-def score_rules() -> dict[str, Column]:
-    """For rows of gates.scores()."""
-    return {f"{c}-range": F.col(c).between(0, most) for c, most in SCORES.items()}
 
+_ENTRY = {"id": TEXT, "title": TEXT, "file": TEXT, "startPage": FROM_ONE, "endPage": FROM_ONE, "wordCount": COUNT}
+CHAPTER = record(**_ENTRY, type=one_of(TYPES), number={"type": ["integer", "null"]})
+BONUS = record(**_ENTRY)
+INVENTORY = record(schemaVersion=VERSION, sourceFile=TEXT, sourceSha256=SHA256, extractedAt=TIME, pageCount=FROM_ONE, fallbackUsed=YES_NO, chapters=each(CHAPTER), bonuses=each(BONUS), warnings=each(TEXT))
 
-def config_rules() -> dict[str, Column]:
-    """For rows of config.resolved()."""
-    colours = {f"{k}-pattern": T.has(F.col(f"palette_{k}"), COLOUR) for k in P.PALETTE_VARIABLES}
-    return {"title-required": F.col("title").isNotNull(), "author-required": F.col("author").isNotNull(), "niche-required": F.col("niche").isNotNull()} | colours
+PLAN_BLOCK = record(index=COUNT, component=one_of(COMPONENTS), sourceKind=one_of(SOURCE_KINDS), rule=TEXT, preview=TEXT)
+CHAPTER_PLAN = record(
+    chapterId=TEXT, blocks=each(PLAN_BLOCK), componentCounts={"type": "object", "additionalProperties": COUNT}, editorialBodyRatio=between(0, 1), estimatedPages=between(0), minNonBodyComponents=COUNT, actualNonBodyComponents=COUNT, warnings=each(TEXT),
+)
+PAGE_PLAN = record(schemaVersion=VERSION, project=TEXT, generatedAt=TIME, chapters=each(CHAPTER_PLAN))
 
+CONFIG = record(
+    schemaVersion=VERSION,
+    project=record({"subtitle": MAYBE_TEXT}, slug=SLUG, title=FILLED, author=FILLED, niche=FILLED, targetReader=FILLED, tone=FILLED),
+    language={"type": "string", "const": LANGUAGE},
+    format=record(pageWidth=TEXT, pageHeight=TEXT, marginOuter=TEXT, marginInner=TEXT, marginTop=TEXT, marginBottom=TEXT),
+    disclaimer=record(required=YES_NO, text=MAYBE_TEXT),
+    theme=record(name=TEXT),
+    fonts=record(body=FILLED, heading=FILLED, mono=FILLED),
+    palette=record(**dict.fromkeys(P.PALETTE_VARIABLES, COLOUR)),
+    backMatter=record(ctaTitle=MAYBE_TEXT, ctaContent=MAYBE_TEXT, ctaLink=MAYBE_TEXT, ctaLinkLabel=MAYBE_TEXT, backCoverPunchline=MAYBE_TEXT, backCoverBullets=each(TEXT)),
+)
 
-def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    """All broken rules of all rows: rule_id, row_key. Nothing may be written unless there are none (sinks.write_valid_json)."""
-    return schema_violations(rows, key, rules)
+CHECK = record({"details": {}}, id=TEXT, status=one_of(STATUSES), **{"pass": YES_NO}, evidence=FILLED)
+SCORE = record(total=between(0, 100), max={"type": "integer", "const": 100}, breakdown=record(**{k: between(0, most) for k, most in SCORES.items()}), notes=each(TEXT))
+REPORT = record(schemaVersion=VERSION, project=TEXT, generatedAt=TIME, outputPdfPath=TEXT, pageCount=FROM_ONE, checks=each(CHECK), overallPass=YES_NO, aesthetic=SCORE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "markdown", "audit", "joins", "qc", "layout", "books", "more", "runs", "documents")
+MODULES = ("text", "markdown", "audit", "joins", "qc", "layout", "books", "more", "runs", "documents", "schemas")
 
 
 def queries_of() -> list:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import assembly, config, gates, joins, layout, markdown, rules
+from ..operators import assembly, config, gates, joins, layout, markdown
 from ..plans import lift
 from ..sources import sinks
 from . import books as book_queries
@@ -20,36 +19,6 @@ def ingest_warnings(spark, d):
     return layout.warnings(layout_queries.text_lines(spark, d))
 
 
-def inventory(spark, d):
-    """Inventory rows, some with a type, a page or a count that the form does not allow."""
-    p = F.col("project")
-    rows = layout.files(layout_queries.text_lines(spark, d))
-    rows = rows.withColumns({"type": F.when((p % 7 == 3) & (F.col("entry_kind") == "chapter"), "preface").otherwise(F.col("type")), "start_page": F.when(p % 13 == 5, 0).otherwise(F.col("start_page")), "words": F.when(p % 17 == 2, -1).otherwise(F.col("words"))})
-    return rules.violations(rows.withColumn("key", F.concat_ws("/", p.cast("string"), "entry_kind", F.col("pos").cast("string"))), "key", rules.inventory_rules())
-
-
-def plan_rows(spark, d):
-    rows = markdown.plan(lift.md_files(spark, d))
-    rows = rows.withColumn("component", F.when(F.col("index") % 9 == 5, "unknown").otherwise(F.col("component"))).withColumn("rule", F.when(F.col("index") % 11 > 0, F.col("rule")))
-    return rules.violations(rows.withColumn("key", F.concat_ws("/", F.col("file_id").cast("string"), F.col("index").cast("string"))), "key", rules.plan_rules())
-
-
-def score_rows(spark, d):
-    rows = gates.scores(qc_queries.checks(spark, d)).withColumn("total", F.col("total") + 10).withColumn("technical", F.when(F.col("project") % 3 > 0, F.col("technical")))
-    return rules.violations(rows, "project", rules.score_rules())
-
-
-def config_rows(spark, d):
-    return rules.violations(book_queries.resolved(spark, d), "project", rules.config_rules())
-
-
-def head_rows(spark, d):
-    p = F.col("doc_id")
-    rows = lift.table(spark, d, "documents").select(p, F.when(p % 9 > 0, 1).otherwise(2).alias("schema_version"), F.when(p % 8 > 0, F.col("source")).alias("source_file"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 1 << 20).alias("h"), (p % 6).alias("page_count"))
-    rows = rows.select("doc_id", "schema_version", "source_file", F.when(p % 5 == 0, F.upper("h")).otherwise(F.col("h")).alias("source_sha256"), F.concat(F.lit("2024-05-06T07:08:09"), F.when(p % 4 == 0, ".123").otherwise(""), F.when(p % 10 > 0, "Z").otherwise("+01:00")).alias("extracted_at"), "page_count")
-    return rules.violations(rows, "doc_id", rules.inventory_head_rules())
-
-
 def blocked_books(spark, d):
     p = F.col("doc_id")
     rows = lift.table(spark, d, "documents").select(p.alias("project"), (p % 3 == 0).alias("disclaimer_required"), F.when(p % 4 == 0, F.col("text")).when(p % 4 == 1, " \n ").when(p % 4 == 2, "").alias("disclaimer"))
@@ -112,11 +81,6 @@ def settings_files(spark, d):
 
 QUERIES = {
     "ingest_warnings": ingest_warnings,
-    "inventory_violations": inventory,
-    "inventory_head_violations": head_rows,
-    "plan_violations": plan_rows,
-    "score_violations": score_rows,
-    "config_violations": config_rows,
     "blocked_books": blocked_books,
     "inlined_fonts": inlined_fonts,
     "relative_paths": relative_paths,
@@ -130,9 +94,6 @@ QUERIES = {
 _L, _M, _B, _Q = layout_queries, markdown_queries, book_queries, qc_queries
 _RUN = f"WITH RECURSIVE {lift.LINES}, {_L.TEXT_LINES}, {_L.SECTIONS}, {_L.BLOCKS}"
 _PLAN = f"WITH {lift.MD}, {BLOCKS}, {_M.PLAN}"
-_broken = lambda name, key, cond, frm: f"SELECT '{name}' AS rule_id, ({key})::VARCHAR AS row_key FROM {frm} WHERE NOT coalesce({cond}, false)"
-_all = lambda key, frm, conds: " UNION ALL ".join(_broken(n, key, c, frm) for n, c in conds.items())
-_list = lambda xs: ", ".join(f"'{x}'" for x in xs)
 ORACLES = {
     "ingest_warnings": f"""{_RUN},
 lf AS (SELECT project, count(*) FILTER (section = 0) AS n, max(section) AS last FROM t7 GROUP BY project)
@@ -141,13 +102,6 @@ UNION ALL SELECT project, 'untitled-heading', section::BIGINT, heading_text FROM
 UNION ALL SELECT project, 'empty-divider', section::BIGINT, heading_text FROM s5 WHERE n_body = 0 AND f_kind IS NOT NULL AND f_kind = kind AND f_title = title AND f_number IS NOT DISTINCT FROM number
 UNION ALL SELECT project, 'repeated-paragraph', section::BIGINT, left(text, 80) FROM g6 WHERE section > 0 AND type = 'paragraph' AND p_type = 'paragraph' AND p_text = text
 UNION ALL SELECT project, 'control-character', section::BIGINT, regexp_extract(text, '[\\x{{80}}-\\x{{9F}}]') FROM g6 WHERE section > 0 AND regexp_matches(text, '[\\x{{80}}-\\x{{9F}}]')""",
-    "inventory_violations": f"""{_RUN}, {_L.FILES}, r AS (SELECT project || '/' || entry_kind || '/' || pos AS key, id, title, file, entry_kind, end_page, CASE WHEN project % 7 = 3 AND entry_kind = 'chapter' THEN 'preface' ELSE type END AS type, CASE WHEN project % 13 = 5 THEN 0 ELSE start_page END AS start_page, CASE WHEN project % 17 = 2 THEN -1 ELSE 0 END AS words FROM fi)
-""" + _all("key", "r", {"id-required": "id IS NOT NULL", "title-required": "title IS NOT NULL", "file-required": "file IS NOT NULL", "type-enum": f"CASE WHEN entry_kind = 'chapter' THEN type IN ({_list(rules.TYPES)}) ELSE type IS NULL END", "start-page-minimum": "start_page >= 1", "end-page-minimum": "end_page >= 1", "words-minimum": "words >= 0"}),
-    "inventory_head_violations": "WITH r AS (SELECT doc_id AS key, source, sha256(coalesce(text, '')) AS h FROM documents) " + _all("key", "r", {"version-const": "key % 9 > 0", "source-required": "key % 8 > 0 AND source IS NOT NULL", "sha256-pattern": "key % 5 > 0 OR h = upper(h)", "time-pattern": "key % 10 > 0", "pages-minimum": "key % 6 >= 1"}),
-    "plan_violations": f"{_PLAN}, r AS (SELECT file_id || '/' || index AS key, CASE WHEN index % 9 = 5 THEN 'unknown' ELSE component END AS component, source_kind, CASE WHEN index % 11 > 0 THEN rule END AS rule, preview, index FROM p) "
-    + _all("key", "r", {"rule-required": "rule IS NOT NULL", "preview-required": "preview IS NOT NULL", "index-minimum": "index >= 0", "component-enum": f"component IN ({_list(rules.COMPONENTS)})", "source-kind-enum": f"source_kind IN ({_list(rules.SOURCE_KINDS)})"}),
-    "score_violations": f"WITH r AS (SELECT * REPLACE (total + 10 AS total, CASE WHEN project % 3 > 0 THEN technical END AS technical) FROM ({_Q.ORACLES['qc_scores']})) " + _all("project", "r", {f"{c}-range": f"{c} BETWEEN 0 AND {most}" for c, most in rules.SCORES.items()}),
-    "config_violations": f"WITH {_B._L}, {_B._FIELDS}, {_B._CONFIG} " + _all("project", "r", {"title-required": "title IS NOT NULL", "author-required": "author IS NOT NULL", "niche-required": "niche IS NOT NULL"} | {f"{k}-pattern": f"regexp_matches(palette_{k}, '^#[0-9a-fA-F]{{6}}$')" for k in P.PALETTE_VARIABLES}),
     "blocked_books": r"SELECT doc_id AS project FROM documents WHERE doc_id % 3 = 0 AND NOT coalesce(doc_id % 4 = 0 AND regexp_matches(coalesce(text, ''), '\S'), false)",
     "inlined_fonts": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, 'fonts/' || (doc_id % 5) || CASE WHEN doc_id % 2 = 0 THEN '.ttf' ELSE '.woff2' END AS name, CASE doc_id % 3 WHEN 0 THEN '''' WHEN 1 THEN '"' ELSE '' END AS q FROM documents),
 u AS (SELECT *, 'url(' || q || CASE WHEN q = '' THEN name ELSE 'data:font/' || CASE WHEN doc_id % 2 = 0 THEN 'ttf' ELSE 'woff2' END || ';base64,' || to_base64(encode(name || text)) END || q || ')' AS u FROM t)

@@ -101,11 +101,6 @@ def preview_tier(spark, d):
     return gates.only_tier(files)
 
 
-def violations(spark, d):
-    orders = lift.table(spark, d, "orders")
-    return gates.schema_violations(orders, "o_orderkey", {"price-bound": F.col("o_totalprice") < 400000, "status-enum": F.col("o_orderstatus").isin("O", "F"), "priority-pattern": F.col("o_orderpriority").rlike(r"^[1-3]-")})
-
-
 QUERIES = {
     "qc_scores": lambda s, d: gates.scores(checks(s, d)),
     "qc_verdicts": lambda s, d: gates.verdicts(checks(s, d)),
@@ -116,7 +111,6 @@ QUERIES = {
     "qc_single_gates": single_gates,
     "preferred_files": preferred_files,
     "preview_tier": preview_tier,
-    "schema_violations": violations,
 }
 _G = ", ".join(f"'{g}'" for g in gates.GATES)
 _CHECKS = f"""ck AS (
@@ -201,6 +195,4 @@ r AS (SELECT *, CASE WHEN name = project || '-book.pdf' THEN 0 WHEN name = 'eboo
 SELECT project, arg_min(name, {'r': rank, 'n': name}) AS name, count(*) AS n, min(rank) AS rank FROM r GROUP BY project""",
     "preview_tier": """WITH f AS (SELECT user_id AS project, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS tier, printf('page-%06d.png', event_id) AS name FROM events)
 SELECT project, tier, name, row_number() OVER (PARTITION BY project ORDER BY name) AS nth FROM f JOIN (SELECT project, min(tier) AS tier FROM f GROUP BY project) USING (project, tier)""",
-    "schema_violations": """SELECT 'price-bound' AS rule_id, o_orderkey::VARCHAR AS row_key FROM orders WHERE NOT coalesce(o_totalprice < 400000, false) UNION ALL SELECT 'status-enum', o_orderkey::VARCHAR FROM orders WHERE NOT coalesce(o_orderstatus IN ('O', 'F'), false)
-UNION ALL SELECT 'priority-pattern', o_orderkey::VARCHAR FROM orders WHERE NOT coalesce(regexp_matches(o_orderpriority, '^[1-3]-'), false)""",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import schemas
+
 
 def write_files(files: DataFrame, path: str) -> None:
     """files: project, file, text. One folder per project and file, with the text as one part in it; what was there before is cleared."""
@@ -19,6 +21,11 @@ def write_valid_json(rows: DataFrame, violations: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_documents(documents: DataFrame, schema: dict, path: str) -> None:
+    """documents: json (one document each) and any columns. Written as lines of JSON, unless one breaks the schema: then nothing is written and the first errors are named with their paths."""
+    schemas.checked(documents, "json", schema).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quireworks.functions import text as T
-from quireworks.operators import assembly, gates, joins, layout, rules
+from quireworks.operators import assembly, gates, joins, layout
 from quireworks.plans import qc
 from quireworks.sources import files, sinks
 
@@ -125,14 +125,6 @@ def test_warnings(spark):
     }
 
 
-def test_rules(spark):
-    good = spark.createDataFrame([("k", "a", "T", "f.md", "chapter", "chapter", 1, 2, 0)], "key string, id string, title string, file string, entry_kind string, type string, start_page int, end_page int, words int")
-    assert rules.violations(good, "key", rules.inventory_rules()).count() == 0
-    bad = good.withColumns({"type": F.lit("odd"), "title": F.lit(None).cast("string"), "words": F.lit(-1)})
-    assert {r.rule_id for r in rules.violations(bad, "key", rules.inventory_rules()).collect()} == {"type-enum", "title-required", "words-minimum"}
-    assert set(rules.SCORES) <= set(gates.scores(spark.createDataFrame([("p", "contrast", "pass", 1.0)], "project string, id string, status string, coverage double")).columns)
-
-
 def test_joins_with_one_key_for_a_third(spark):
     """Titles with one beginning, lines of one and two words, a word that all groups have: as brute force has it."""
     titles = [("p", i, f"Chapter the same beginning {i % 40}") for i in range(90)] + [("p", 200, "ab"), ("p", 201, ""), ("r", 202, ""), ("p", 203, "zzz"), (None, 204, "x")]
