@@ -20,8 +20,12 @@ def sub(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+#: The characters of patterns.SPACE.
+_SPACES = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def trim(c: Column) -> Column:
-    return sub(c, rf"^{P.SPACE}+|{P.SPACE}+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column, to: str = " ") -> Column:

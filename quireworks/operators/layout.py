@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..storage import stored
+from .scans import scan
 
 SAME_LINE = 2.0
 CELL_GAP, CELL_LEAST, SPACE_GAP = 1.3, 14.0, 0.15
@@ -17,19 +20,24 @@ WRAP, LIST_WRAP = 2.46, 2.9
 
 def lines(items: DataFrame) -> DataFrame:
     """items: project, page, item_no, str, x, y, width, height. Lines: project, page, line, y, font_height, cells.
-    An item belongs to the open line if its y is within SAME_LINE of that line's first item; this needs a fold, as the distance to the neighbour would let lines drift."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "item_no", "str", "y", "width", "height")))
-    pages = items.groupBy("project", "page").agg(order.alias("items"))
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("at"))
-
-    def step(s: Column, i: Column) -> Column:
-        new = s["anchor"].isNull() | (F.abs(s["anchor"] - i["y"]) > SAME_LINE)
-        n = s["n"] + new.cast("int")
-        return F.struct(F.when(new, i["y"]).otherwise(s["anchor"]).alias("anchor"), n.alias("n"), F.concat(s["at"], F.array(n)).alias("at"))
-
-    at = F.aggregate("items", zero, step, lambda s: s["at"])
-    rows = pages.select("project", "page", F.inline(F.arrays_zip("items", at.alias("line"))))
-    rows = rows.select("project", "page", "line", "items.*")
+    An item belongs to the open line if its y is within SAME_LINE of that line's first item; this needs the page's order, as the distance to the neighbour would let lines drift: sorted items pass by with the open line's y as the only state."""
+    columns = ["project", "page", "item_no", "str", "x", "y", "width", "height"]
+    rows = items.select(*columns).withColumn("down", -F.col("y"))
+    schema = rows.withColumn("line", F.lit(0)).schema
+
+    def numbered(batches):
+        page, line, anchor = None, 0, None
+        for batch in batches:
+            out = []
+            for project, number, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                if page != (project, number):
+                    page, line, anchor = (project, number), 0, y
+                elif abs(anchor - y) > SAME_LINE:
+                    line, anchor = line + 1, y
+                out.append(line)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "line"])
+
+    rows = rows.repartition("project", "page").sortWithinPartitions("project", "page", "down", "x", "item_no").mapInArrow(numbered, schema)
     line = Window.partitionBy("project", "page", "line")
     rows = rows.withColumns({"font_height": F.max("height").over(line), "line_y": F.first("y").over(line.orderBy("x", "down", "item_no")), "blank": T.trim(F.col("str")) == ""})
     across = Window.partitionBy("project", "page", "line", "blank").orderBy("x", "down", "item_no")
@@ -55,8 +63,10 @@ def classified(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"is_last": F.lead("line").over(page).isNull(), "above": F.max("font_height").over(page.rowsBetween(Window.unboundedPreceding, -1))})
     footer = F.col("is_last") & T.has(T.trim(F.col("text")), r"^[0-9]{1,4}\z") & F.coalesce(F.col("font_height") < F.col("above"), F.lit(False))
     rows = rows.where(~footer)
-    number = F.row_number().over(Window.partitionBy("project").orderBy("page", "line")) - 1
-    return rows.select("project", number.alias("line_no"), "page", "y", "font_height", "text", "cells", "is_list_item", "is_table_row")
+    rows = stored(rows, "layout-lines")
+    ahead = scan(rows.groupBy("project", "page").agg(F.count(F.lit(1)).alias("n")), ["project"], "page", sums={"ahead": F.col("n")}).select(F.col("project").alias("of"), F.col("page").alias("at_page"), "ahead")
+    rows = rows.join(ahead, (F.col("project") == F.col("of")) & (F.col("page") == F.col("at_page"))).withColumn("nth", F.row_number().over(Window.partitionBy("project", "page").orderBy("line")))
+    return rows.select("project", (F.col("ahead") + F.col("nth") - 1).alias("line_no"), "page", "y", "font_height", "text", "cells", "is_list_item", "is_table_row")
 
 
 def heading(text: Column) -> Column:
@@ -68,107 +78,152 @@ def heading(text: Column) -> Column:
     return F.struct(kind.alias("kind"), number.alias("number"), title.alias("inline_title"))
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """Adds how each line follows the one before: wraps (plain), list_wraps, crosses (a page), list_follows."""
-    w = Window.partitionBy("project").orderBy("line_no")
-    before = lambda c: F.lag(c).over(w)
-    mean, gap = (F.col("font_height") + before("font_height")) / 2, before("y") - F.col("y")
-    same_page, same_font = F.col("page") == before("page"), F.abs(F.col("font_height") - before("font_height")) <= 0.5
-    prev, own = T.trim(before("text")), T.trim(F.col("text"))
+_BEFORE = ("page", "y", "font_height", "text")
+
+
+def _links() -> dict[str, Column]:
+    """How a line follows the one before, whose fields are was_*: wraps (plain), list_wraps, crosses (a page), list_follows."""
+    page, y, height, text = (F.col(f"was_{c}") for c in _BEFORE)
+    mean, gap = (F.col("font_height") + height) / 2, y - F.col("y")
+    same_page, same_font = F.col("page") == page, F.abs(F.col("font_height") - height) <= 0.5
+    prev, own = T.trim(text), T.trim(F.col("text"))
     first = F.substring(own, 1, 1)
-    crosses = (F.col("page") == before("page") + 1) & same_font & (prev != "") & (own != "") & ~T.has(prev, P.ENDS_BLOCK) & (first == F.lower(first)) & (first != F.upper(first))
+    crosses = (F.col("page") == page + 1) & same_font & (prev != "") & (own != "") & ~T.has(prev, P.ENDS_BLOCK) & (first == F.lower(first)) & (first != F.upper(first))
     no = lambda c: F.coalesce(c, F.lit(False))
-    return rows.withColumns({"wraps": no(same_page & same_font & (gap <= mean * WRAP)), "list_wraps": no(same_page & same_font & (gap <= mean * LIST_WRAP)), "crosses": no(crosses), "list_follows": no(~same_page | (gap <= mean * LIST_WRAP))})
+    return {"wraps": no(same_page & same_font & (gap <= mean * WRAP)), "list_wraps": no(same_page & same_font & (gap <= mean * LIST_WRAP)), "crosses": no(crosses), "list_follows": no(~same_page | (gap <= mean * LIST_WRAP))}
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """linked() with each line's heading (h) and the number of its section, 0 before the first heading."""
-    rows = linked(rows).withColumn("h", F.when(~F.col("is_table_row"), heading(F.col("text"))))
-    w = Window.partitionBy("project").orderBy("line_no")
-    return rows.withColumn("section", F.sum(F.when(F.col("h.kind").isNotNull(), 1).otherwise(0)).over(w))
+def linked(rows: DataFrame) -> DataFrame:
+    """Adds how each line follows the one before: wraps (plain), list_wraps, crosses (a page), list_follows."""
+    found = scan(rows, ["project"], "line_no", previous={f"was_{c}": F.col(c) for c in _BEFORE})
+    return found.withColumns(_links()).drop(*(f"was_{c}" for c in _BEFORE))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Classified lines with what sections and blocks need: the links to the line before, h (its heading), section (0 before the first heading), headings (of the project), role (head, title, body; a project's lines
+    before its first heading have none), starts (a block, for body). Stored.
+
+    A section's title lines follow its heading without a break. A body line is in a list if its section's last list item comes after the last line that ends lists: a table row or a plain line that does not wrap."""
+    # Few lines begin like a heading: the others are spared its patterns.
+    likely = ~F.col("is_table_row") & T.has(F.col("text"), rf"(?i)^{P.SPACE}*(introduction|conclusion|chapter|bonus)")
+    rows = stored(rows.withColumn("h", F.when(likely, heading(F.col("text")))), "layout-classified")
+    is_head = F.col("h.kind").isNotNull()
+    flags = {"was_head": is_head, "was_table": F.col("is_table_row"), "was_item": F.col("is_list_item")}
+    one = F.when(is_head, 1).otherwise(0)
+    rows = scan(rows, ["project"], "line_no", sums={"section": one}, previous={f"was_{c}": F.col(c) for c in _BEFORE} | flags, totals={"headings": one})
+    rows = rows.withColumns(_links()).withColumn("section", F.col("section") + one).drop(*(f"was_{c}" for c in _BEFORE))
+    rows = stored(rows, "layout-linked")
+    at = F.col("line_no")
+    plain = ~F.col("is_list_item") & ~F.col("is_table_row")
+    goes_on = is_head | plain & (F.col("was_head") | F.col("wraps"))
+    untitled = F.col("h.kind").isin("chapter", "bonus") & (F.col("h.inline_title") == "")
+    ends_list = F.col("is_table_row") | plain & ~F.col("list_wraps")
+    rows = scan(rows, ["project"], "line_no", maxima={
+        "head_at": F.when(is_head, at), "untitled_at": F.when(untitled, at), "break_at": F.when(~F.coalesce(goes_on, F.lit(False)), at), "item_at": F.when(F.col("is_list_item"), at), "end_at": F.when(F.coalesce(ends_list, F.lit(False)), at),
+    })
+    after = lambda a, b: F.coalesce(F.col(a), F.lit(-1)) > F.coalesce(F.col(b), F.lit(-1))
+    title_so_far = (F.col("untitled_at") == F.col("head_at")) & after("head_at", "break_at")
+    in_title = F.coalesce(~is_head & title_so_far & goes_on, F.lit(False))
+    role = F.when(is_head, "head").when(in_title, "title").when((F.col("section") > 0) | (F.col("headings") == 0), "body")
+    first = F.coalesce(F.col("was_head"), F.lit(True)) | F.coalesce(title_so_far, F.lit(False))
+    listed = after("item_at", "end_at") & after("item_at", "head_at")
+    mode = F.when(first, "").when(F.col("was_table"), "table").when(F.col("was_item") | listed, "list").otherwise("paragraph")
+    rows = rows.withColumns({"role": role, "mode": mode})
+    rows = rows.withColumn("starts", F.when(F.col("role") == "body", ~_goes_on(F.col("mode"))))
+    return stored(rows.drop("mode", "head_at", "untitled_at", "break_at", "item_at", "end_at", *flags), "layout-numbered")
+
+
+def _goes_on(mode: Column) -> Column:
+    """Whether a line continues a block of that mode ('' is none)."""
+    return (
+        F.when(F.col("is_table_row"), mode == "table")
+        .when(F.col("is_list_item"), (mode == "list") & F.col("list_follows"))
+        .when(mode == "list", F.col("list_wraps"))
+        .otherwise((mode == "paragraph") & (F.col("wraps") | F.col("crosses")))
+    )
 
 
 def sections(rows: DataFrame) -> DataFrame:
-    """Classified lines to sections: project, section, kind, number, title, from_next, heading_text, start_page, end_page, body (array of lines). Lines before the first
+    """Classified lines to sections: project, section, kind, number, title, from_next, heading_text, start_page, end_page, n_body (lines). Lines before the first
     heading belong to none; an empty section just before one of the same kind, title and number is dropped."""
-    return _all_sections(rows).where("NOT orphan").drop("orphan")
+    return _all_sections(numbered(rows)).where("NOT orphan").drop("orphan")
 
 
-def _all_sections(rows: DataFrame) -> DataFrame:
-    """sections() with `orphan` for those that it drops."""
-    rows = _numbered(rows).where("section > 0")
-    inside = Window.partitionBy("project", "section").orderBy("line_no")
-    rows = rows.withColumn("pos", F.row_number().over(inside) - 1)
-    head = F.first("h").over(inside)
-    untitled = head["kind"].isin("chapter", "bonus") & (head["inline_title"] == "")
-    plain = ~F.col("is_list_item") & ~F.col("is_table_row")
-    goes_on = F.when(F.col("pos") == 0, True).when(F.col("pos") == 1, plain).otherwise(plain & F.col("wraps"))
-    rows = rows.withColumns({"untitled": untitled, "in_title": F.bool_and(goes_on).over(inside)})
-    rows = rows.withColumn("is_title", F.col("untitled") & F.col("in_title") & (F.col("pos") > 0))
-    line = F.struct("line_no", "page", "text", "cells", "is_list_item", "is_table_row", "wraps", "list_wraps", "crosses", "list_follows")
-    body = F.array_sort(F.collect_list(F.when((F.col("pos") > 0) & ~F.col("is_title"), line)))
-    title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_title"), F.struct("line_no", T.trim(F.col("text")).alias("t"))))), lambda x: x["t"]), " ")
-    out = rows.groupBy("project", "section").agg(F.max(F.when(F.col("pos") == 0, F.struct("h", "text", "page"))).alias("top"), title.alias("next_title"), body.alias("body"))
+def _all_sections(lines_: DataFrame) -> DataFrame:
+    """lines_: numbered(). sections() with `orphan` for those that it drops."""
+    is_role = lambda r: F.col("role") == r
+    title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_role("title"), F.struct("line_no", T.trim(F.col("text")).alias("t"))))), lambda x: x["t"]), " ")
+    out = lines_.where("section > 0").groupBy("project", "section").agg(
+        F.max(F.when(is_role("head"), F.struct("h", "text", "page"))).alias("top"), title.alias("next_title"), F.count_if(is_role("body")).alias("n_body"), F.max(F.when(is_role("body"), F.struct("line_no", "page"))).alias("last")
+    )
     kind = F.col("top.h.kind")
     named = F.when(kind == "introduction", "Introduction").when(kind == "conclusion", "Conclusion").when(F.col("top.h.inline_title") != "", F.col("top.h.inline_title")).otherwise(F.col("next_title"))
-    end = F.when(F.size("body") > 0, F.element_at("body", -1)["page"]).otherwise(F.col("top.page"))
-    out = out.select("project", "section", kind.alias("kind"), F.col("top.h.number").alias("number"), named.alias("title"), (F.col("next_title") != "").alias("from_next"), F.col("top.text").alias("heading_text"), F.col("top.page").alias("start_page"), end.alias("end_page"), "body")
-    after = Window.partitionBy("project").orderBy("section")
-    following = F.lead(F.struct("kind", "title", "number")).over(after)
-    orphan = (F.size("body") == 0) & following.isNotNull() & following.eqNullSafe(F.struct("kind", "title", "number"))
-    return out.withColumn("orphan", orphan)
+    end = F.coalesce("last.page", "top.page")
+    out = out.select("project", "section", kind.alias("kind"), F.col("top.h.number").alias("number"), named.alias("title"), (F.col("next_title") != "").alias("from_next"), F.col("top.text").alias("heading_text"), F.col("top.page").alias("start_page"), end.alias("end_page"), "n_body")
+    out = stored(out, "layout-sections")
+    what = F.struct("kind", "title", "number")
+    following = out.select(F.col("project").alias("of"), (F.col("section") - 1).alias("before"), what.alias("following"))
+    orphan = F.coalesce((F.col("n_body") == 0) & F.col("following").eqNullSafe(what) & F.col("following").isNotNull(), F.lit(False))
+    return out.join(following, (F.col("project") == F.col("of")) & (F.col("section") == F.col("before")), "left").withColumn("orphan", orphan).drop("of", "before", "following")
 
 
 def blocks(found: DataFrame, key: str = "section") -> DataFrame:
-    """Sections' bodies to blocks: project, key, block_no, type, text, items, rows. Which lines continue a block depends on the block's own mode, so the starts are found by a fold. A paragraph equal to the one just before it is dropped."""
-    return _all_blocks(found, key).where("NOT again").select("project", key, "block_no", "type", F.when(F.col("type") == "paragraph", F.col("text")).alias("text"), "items", "rows")
-
-
-def _all_blocks(found: DataFrame, key: str = "section") -> DataFrame:
-    """blocks() with `again` for paragraphs that it drops, and `leaked` for callouts that it repairs."""
-    zero = F.struct(F.lit("").alias("mode"), F.array().cast("array<boolean>").alias("starts"))
-
-    def step(s: Column, x: Column) -> Column:
-        mode = F.when(x["is_table_row"], "table").when(x["is_list_item"], "list")
-        goes_on = (
-            F.when(x["is_table_row"], s["mode"] == "table")
-            .when(x["is_list_item"], (s["mode"] == "list") & x["list_follows"])
-            .when(s["mode"] == "list", x["list_wraps"])
-            .otherwise((s["mode"] == "paragraph") & (x["wraps"] | x["crosses"]))
-        )
-        plain = F.when((s["mode"] == "list") & goes_on, "list").otherwise("paragraph")
-        return F.struct(F.coalesce(mode, plain).alias("mode"), F.concat(s["starts"], F.array(~goes_on)).alias("starts"))
-
-    starts = F.aggregate("body", zero, step, lambda s: s["starts"])
-    rows = found.select("project", key, F.posexplode(F.arrays_zip("body", starts.alias("starts"))).alias("i", "x")).select("project", key, "i", "x.body.*", "x.starts")
-    w = Window.partitionBy("project", key).orderBy("i")
-    rows = rows.withColumn("block_no", F.sum(F.col("starts").cast("int")).over(w) - 1)
-    rows = rows.withColumn("item", F.sum(F.col("is_list_item").cast("int")).over(Window.partitionBy("project", key, "block_no").orderBy("i")))
-    lines_ = F.array_sort(F.collect_list(F.struct("i", T.trim(F.col("text")).alias("t"), "item", "cells", "is_list_item", "is_table_row")))
-    rows = rows.groupBy("project", key, "block_no").agg(lines_.alias("ls"))
-    kind = F.when(F.col("ls")[0]["is_table_row"], "table").when(F.col("ls")[0]["is_list_item"], "list").otherwise("paragraph")
-    raw = F.array_join(F.transform("ls", lambda x: x["t"]), " ")
+    """found: project, key, body (lines as linked() has them, in order). Bodies to blocks: project, key, block_no, type, text, items, rows. A paragraph equal to the one just before it is dropped."""
+    rows = found.select("project", key, F.posexplode("body").alias("line_no", "x")).select("project", key, "x.*", F.col("line_no").alias("place")).drop("line_no").withColumnRenamed("place", "line_no")
+    at = F.col("line_no")
+    plain = ~F.col("is_list_item") & ~F.col("is_table_row")
+    rows = scan(stored(rows, "layout-bodies"), ["project", key], "line_no", maxima={"item_at": F.when(F.col("is_list_item"), at), "end_at": F.when(F.col("is_table_row") | plain & ~F.col("list_wraps"), at)}, previous={"was_table": F.col("is_table_row"), "was_item": F.col("is_list_item")})
+    listed = F.coalesce(F.col("item_at"), F.lit(-1)) > F.coalesce(F.col("end_at"), F.lit(-1))
+    mode = F.when(F.col("was_table").isNull(), "").when(F.col("was_table"), "table").when(F.col("was_item") | listed, "list").otherwise("paragraph")
+    rows = rows.withColumn("mode", mode).withColumn("starts", ~_goes_on(F.col("mode")))
+    return _kept(_all_blocks(stored(rows, "layout-starts"), key), key)
+
+
+def _kept(rows: DataFrame, key: str = "section") -> DataFrame:
+    return rows.where("NOT again").select("project", key, "block_no", "type", F.when(F.col("type") == "paragraph", F.col("text")).alias("text"), "items", "rows")
+
+
+def section_blocks(rows: DataFrame) -> DataFrame:
+    """Classified lines to the blocks of their sections: blocks() of sections of any size."""
+    return _kept(_all_blocks(_body(numbered(rows)).where("section > 0")))
+
+
+def _body(lines_: DataFrame) -> DataFrame:
+    return lines_.where("role = 'body'")
+
+
+def _all_blocks(rows: DataFrame, key: str = "section") -> DataFrame:
+    """rows: body lines with starts; read twice. blocks() with `again` for paragraphs that it drops, and `leaked` for callouts that it repairs."""
+    number = lambda c: F.col(c).cast("int")
+    rows = scan(rows, ["project", key], "line_no", sums={"starts_before": number("starts"), "items_before": number("is_list_item")})
+    rows = rows.withColumns({"block_no": F.col("starts_before") + number("starts") - 1, "item": F.col("items_before") + number("is_list_item")})
+    # Lines to list items (a paragraph or a table is one), items to blocks: each in one group-by.
+    inner = F.array_sort(F.collect_list(F.struct("line_no", T.trim(F.col("text")).alias("t"), "cells")))
+    rows = rows.groupBy("project", key, "block_no", "item").agg(inner.alias("ls"), F.min(F.struct("line_no", "is_table_row", "is_list_item")).alias("first"))
+    rows = rows.select("project", key, "block_no", F.struct("item", F.array_join(F.transform("ls", lambda x: x["t"]), " ").alias("t"), F.transform("ls", lambda x: x["cells"]).alias("cells")).alias("x"), "first")
+    rows = rows.groupBy("project", key, "block_no").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.min("first").alias("first"))
+    kind = F.when(F.col("first.is_table_row"), "table").when(F.col("first.is_list_item"), "list").otherwise("paragraph")
+    texts = F.transform("xs", lambda x: x["t"])
+    raw = F.array_join(texts, " ")
     text = T.repaired_callout(raw)
-    item = lambda n: F.array_join(F.transform(F.filter("ls", lambda x: x["item"] == n), lambda x: x["t"]), " ")
-    items = F.transform(F.sequence(F.lit(1), F.greatest(F.array_max(F.transform("ls", lambda x: x["item"])), F.lit(1))), item)
-    rows = rows.select("project", key, "block_no", kind.alias("type"), text.alias("text"), items.alias("items"), F.transform("ls", lambda x: x["cells"]).alias("rows"), (raw != text).alias("leaked"))
+    rows = rows.select("project", key, "block_no", kind.alias("type"), text.alias("text"), texts.alias("items"), F.flatten(F.transform("xs", lambda x: x["cells"])).alias("rows"), (raw != text).alias("leaked"))
     run = T.bullets(F.col("text"))
     promoted = (F.col("type") == "paragraph") & F.startswith(T.trim(F.col("text")), F.lit("•")) & (F.size(run) >= 2)
     rows = rows.withColumns({"promoted": promoted, "run": run})
     rows = rows.select("project", key, "block_no", F.when(F.col("promoted"), "list").otherwise(F.col("type")).alias("type"), "text", F.when(F.col("promoted"), F.col("run")).when(F.col("type") == "list", F.col("items")).alias("items"), F.when(F.col("type") == "table", F.col("rows")).alias("rows"), "leaked")
-    before = F.lag(F.struct("type", "text")).over(Window.partitionBy("project", key).orderBy("block_no"))
-    again = (F.col("type") == "paragraph") & F.coalesce(before == F.struct("type", "text"), F.lit(False))
-    return rows.withColumn("again", again)
+    rows = scan(stored(rows, "layout-blocks"), ["project", key], "block_no", previous={"was_type": F.col("type"), "was_text": F.col("text")})
+    again = (F.col("type") == "paragraph") & F.coalesce((F.col("was_type") == F.col("type")) & (F.col("was_text") == F.col("text")), F.lit(False))
+    return rows.withColumn("again", again).drop("was_type", "was_text")
 
 
 def warnings(rows: DataFrame) -> DataFrame:
     """What files() leaves out, repairs or cannot tell: project, rule, section (null: the whole project), detail."""
-    numbered, found = _numbered(rows), _all_sections(rows)
+    lines_ = numbered(rows)
+    found = stored(_all_sections(lines_), "layout-all-sections")
     whole = F.lit(None).cast("bigint").alias("section")
-    per = numbered.groupBy("project").agg(F.count_if(F.col("section") == 0).alias("n"), F.max("section").alias("last"))
+    per = lines_.groupBy("project").agg(F.count_if(F.col("section") == 0).alias("n"), F.max("section").alias("last"))
     row = lambda df, rule, section, detail: df.select("project", F.lit(rule).alias("rule"), section, detail.cast("string").alias("detail"))
-    kept = found.where("NOT orphan")
-    parts = _all_blocks(kept)
+    parts = stored(_all_blocks(_body(lines_).where("section > 0")), "layout-all-blocks")
     return reduce(DataFrame.unionByName, [
         row(per.where("last > 0 AND n > 0"), "lines-before-first-heading", whole, F.col("n")),
         row(per.where("last = 0"), "no-heading", whole, F.col("n")),
@@ -183,25 +238,26 @@ def warnings(rows: DataFrame) -> DataFrame:
 def files(rows: DataFrame) -> DataFrame:
     """Classified lines to Markdown files and inventory: project, entry_kind, pos, id, type, number, title, file, start_page, end_page, words, markdown.
     A project without a heading gives one unclassified file of its whole text."""
-    found = sections(rows)
-    md = F.when(F.col("type") == "paragraph", F.col("text")).when(F.col("type") == "list", T.list_markdown(F.col("items"))).otherwise(T.table_markdown(F.col("rows")))
+    lines_ = numbered(rows)
+    found = _all_sections(lines_).where("NOT orphan").drop("orphan")
+    every = _kept(_all_blocks(_body(lines_)))
+    # Section 0 is there for projects without a heading alone.
+    md = F.when(F.col("type") == "paragraph", F.col("text")).when(F.col("type") == "list", F.when(F.col("section") > 0, T.list_markdown(F.col("items"))).otherwise(F.array_join("items", "\n"))).otherwise(T.table_markdown(F.col("rows")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", md.alias("md")))), lambda b: b["md"]), "\n\n")
-    bodies = blocks(found).groupBy("project", "section").agg(text.alias("body_md"))
-    out = found.drop("body").join(bodies, ["project", "section"], "left")
+    bodies = stored(every.groupBy("project", "section").agg(text.alias("body_md")), "layout-texts")
+    out = found.drop("n_body").join(bodies.where("section > 0"), ["project", "section"], "left")
     parts = F.array_compact(F.array(F.concat(F.lit("# "), "heading_text"), F.when(F.col("from_next"), F.concat(F.lit("## "), "title")), F.col("body_md")))
     name = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("heading_text"))
     is_bonus = F.col("kind") == "bonus"
-    pos = F.row_number().over(Window.partitionBy("project", is_bonus).orderBy("section")) - 1
-    out = out.withColumns({"markdown": F.concat(F.array_join(parts, "\n\n"), F.lit("\n")), "name": name, "pos": pos})
+    places = scan(found.select("project", "section", is_bonus.alias("is_bonus")), ["project", "is_bonus"], "section", sums={"pos": F.lit(1)}).select(F.col("project").alias("of"), F.col("section").alias("in"), F.col("pos").cast("int").alias("pos"))
+    out = out.join(places, (F.col("project") == F.col("of")) & (F.col("section") == F.col("in"))).withColumns({"markdown": F.concat(F.array_join(parts, "\n\n"), F.lit("\n")), "name": name})
     slug = F.when(T.slug(F.col("name")) != "", T.slug(F.col("name"))).otherwise(F.when(is_bonus, F.concat(F.lit("bonus-"), F.col("pos").cast("string"))).otherwise(F.col("kind")))
     id_ = F.when(is_bonus, slug).otherwise(F.concat(T.padded(F.col("pos")), F.lit("-"), slug))
     out = out.withColumn("id", id_)
     out = out.select("project", F.when(is_bonus, "bonus").otherwise("chapter").alias("entry_kind"), "pos", "id", F.when(~is_bonus, F.col("kind")).alias("type"), "number", F.col("name").alias("title"), F.concat(F.when(is_bonus, "bonuses/raw/").otherwise("chapters/"), "id", F.lit(".md")).alias("file"), "start_page", "end_page", "markdown")
-    line = F.struct("line_no", "page", "text", "cells", "is_list_item", "is_table_row", "wraps", "list_wraps", "crosses", "list_follows")
-    bare = linked(rows).join(found.select("project").distinct(), "project", "left_anti").groupBy("project").agg(F.array_sort(F.collect_list(line)).alias("body"), F.max("page").alias("pages"))
-    raw = F.when(F.col("type") == "paragraph", F.col("text")).when(F.col("type") == "list", F.array_join("items", "\n")).otherwise(T.table_markdown(F.col("rows")))
-    whole = blocks(bare.withColumn("section", F.lit(0))).groupBy("project").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", raw.alias("md")))), lambda b: b["md"]), "\n\n"), F.lit("\n")).alias("markdown"))
-    rest = whole.join(bare.select("project", "pages"), "project").select("project", F.lit("chapter").alias("entry_kind"), F.lit(0).alias("pos"), F.lit("00-full-text").alias("id"), F.lit("unclassified").alias("type"), F.lit(None).cast("int").alias("number"), F.lit("Full text").alias("title"), F.lit("chapters/00-full-text.md").alias("file"), F.lit(1).cast("int").alias("start_page"), F.col("pages").cast("int").alias("end_page"), "markdown")
+    pages = lines_.where("headings = 0").groupBy(F.col("project").alias("of")).agg(F.max("page").alias("pages"))
+    whole = bodies.where("section = 0").join(pages, F.col("project") == F.col("of")).select("project", "pages", F.concat("body_md", F.lit("\n")).alias("markdown"))
+    rest = whole.select("project", F.lit("chapter").alias("entry_kind"), F.lit(0).alias("pos"), F.lit("00-full-text").alias("id"), F.lit("unclassified").alias("type"), F.lit(None).cast("int").alias("number"), F.lit("Full text").alias("title"), F.lit("chapters/00-full-text.md").alias("file"), F.lit(1).cast("int").alias("start_page"), F.col("pages").cast("int").alias("end_page"), "markdown")
     return out.unionByName(rest).withColumn("words", T.word_count(F.col("markdown")))
 
 

@@ -150,14 +150,14 @@ def _joined(df):
 
 
 def _blocks(spark, d):
-    rows = layout.blocks(layout.sections(text_lines(spark, d)))
+    rows = layout.section_blocks(text_lines(spark, d))
     return rows.select("project", "section", "block_no", "type", "text", F.array_join("items", "¦").alias("items"), F.size("rows").cast("long").alias("n_rows"))
 
 
 QUERIES = {
     "layout_lines": lambda s, d: _joined(layout.lines(items(s, d))),
     "layout_classified": lambda s, d: _joined(layout.classified(layout.lines(items(s, d)))),
-    "section_list": lambda s, d: layout.sections(text_lines(s, d)).withColumn("n_body", F.size("body").cast("long")).drop("body"),
+    "section_list": lambda s, d: layout.sections(text_lines(s, d)),
     "section_blocks": _blocks,
     "ingest_files": lambda s, d: layout.files(text_lines(s, d)),
     "inventory_problems": lambda s, d: layout.inventory_problems(layout.files(text_lines(s, d))),
