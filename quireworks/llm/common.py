@@ -128,6 +128,17 @@ def growing(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that an operator uses, and all others as one, `rest`, so that no name of theirs meets one of the operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*rest) if rest else F.lit(None).cast("boolean")).alias("rest"))
+
+
+def unpacked(rows: DataFrame, like: DataFrame, *used: str) -> DataFrame:
+    """rows that come from packed(like, *used), with the columns of like."""
+    return rows.select(*(F.col(c) if c in used else F.col("rest").getField(c).alias(c) for c in like.columns))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows that no model may learn from: crc32 of the id as text leaves 2 when divided by 4. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, growing, marked, stored, text_of
+from .common import SPACES, growing, marked, packed, stored, text_of, unpacked
 
 #: Parts that the rows of one hash are spread over.
 SALTS = 64
@@ -86,7 +86,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     gone = found.where("NOT kept").drop("kept", "group_size")
     twice = stored(found.where("kept AND group_size > 1").groupBy(*same).count().where("count > 1").select(*same), "exact-twice")
     # Rows whose id no dropped or repeated row has stay where they are.
-    touched, rest = marked(docs, "doc_id", gone.select("exact_id").unionByName(twice.select("exact_id")))
+    touched, rest = marked(packed(docs, "doc_id", "text"), "doc_id", gone.select("exact_id").unionByName(twice.select("exact_id")))
     rows = touched.withColumns({"own_sha256": F.sha2(normal_form(text_of()), 256), "own_chars": F.char_length(text_of()).cast("long")})
     own = F.col("doc_id").eqNullSafe(F.col("exact_id")) & (F.col("own_sha256") == F.col("exact_sha256"))
     gone, twice = growing(gone), growing(twice)
@@ -94,7 +94,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     if not twice.isEmpty():
         one = out.join(twice, own, "left_semi").dropDuplicates(["doc_id", "own_sha256"])
         out = out.join(twice, own, "left_anti").unionByName(one)
-    return out.select(*docs.columns).unionByName(rest)
+    return unpacked(out.select("doc_id", "text", "rest").unionByName(rest), docs, "doc_id", "text")
 
 
 EXACT_SQL = r"""

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, growing, stored, text_of
+from .common import WORD, growing, packed, stored, text_of, unpacked
 
 MAX_COPIES = 3
 #: Hexadecimal digits of the MD5 that split a source's queue: 3 make 4096 parts.
@@ -134,6 +134,11 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it, none to MAX_COPIES times, all columns kept. Of rows that share id, source and size, it is left open which
     are taken once more than the others."""
+    used = ("doc_id", "text", "source")
+    return unpacked(_taken(packed(docs, *used)), docs, *used)
+
+
+def _taken(docs: DataFrame) -> DataFrame:
     each = _each(_mixed(docs).where("size > 0"), F.col("n"), "nth")
     each = each.select("source", "doc_id", "size", _copies(F.col("start") + F.col("nth") * F.col("size")).alias("copies"))
     counts = each.groupBy(F.col("source").alias("mix_source"), F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size")).agg(F.count(F.lit(1)).alias("mix_n"), F.sum("copies").alias("mix_total"))

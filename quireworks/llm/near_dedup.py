@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, growing, marked, stored, text_of, worker_cache
+from .common import Memo, growing, marked, packed, stored, text_of, unpacked, worker_cache
 
 #: Shingle length and similarity in percent, where a contract does not say otherwise.
 WORDS, PERCENT = 5, 80
@@ -330,7 +330,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the least doc_id reachable over links), kept."""
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the least doc_id reachable over links), kept. Ids that are no whole numbers get numbers in their order for the work, at the cost
+    of a shuffle of all texts."""
+    rows = docs.select("doc_id", "text")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _near_groups(rows, words, percent)
+    ids = rows.where("doc_id IS NOT NULL").select("doc_id").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = stored(ids.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("number")), "near-ids")
+    found = _near_groups(rows.join(growing(ids), F.col("doc_id") == F.col("id"), "left").select(F.col("number").alias("doc_id"), "text"), words, percent)
+    found = found.join(growing(ids), F.col("doc_id") == F.col("number"), "left").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+    least = ids.select(F.col("id").alias("least"), F.col("number").alias("of"))
+    return found.join(growing(least), F.col("component_id") == F.col("of"), "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"), "kept")
+
+
+def _near_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = rows_of(percent)
     signed = stored(_signed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words, rows), "near-signatures")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -354,8 +367,8 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     found = stored(near_groups(docs, words, percent).select("doc_id", "kept"), "near-found")
     gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = stored(gone.join(found.where("kept").select(F.col("doc_id").alias("gone_id")), "gone_id", "left_anti"), "near-gone")
-    touched, rest = marked(docs, "doc_id", gone)
-    return touched.join(growing(gone), F.col("doc_id") == F.col("gone_id"), "left_anti").unionByName(rest)
+    touched, rest = marked(packed(docs, "doc_id"), "doc_id", gone)
+    return unpacked(touched.join(growing(gone), F.col("doc_id") == F.col("gone_id"), "left_anti").unionByName(rest), docs, "doc_id")
 
 
 NEAR_SQL = r"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quireworks.llm import mixing
+from quireworks.llm import mixing, near_dedup
 from quireworks.llm.exact_dedup import EXACT_SQL
 from quireworks.llm.mixing import MIX_SQL
 from quireworks.llm.quality_rules import QUALITY_SQL
@@ -99,6 +101,38 @@ def test_stages_on_nothing(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 0
 
 
+def test_stages_with_all_names_of_the_code(spark):
+    """Extra columns of every name that the stages' modules write themselves, in texts of the code."""
+    folder = Path(mixing.__file__).parent
+    files = [folder / f"{x}.py" for x in ("common", "exact_dedup", "near_dedup", "mixing", "quality_rules", "bpe")] + [folder.parent / "storage.py"]
+    names = sorted({name.lower() for file in files for name in re.findall(r'["\']([A-Za-z_]\w*)["\']', file.read_text())} - {"doc_id", "text", "source", "lang", "n_chars"})
+    assert {"mark_bits", "exact_id", "gone_id", "mix_copies", "rest"} <= set(names)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("bdfgklmnprst") + rng.choice(["en", "ing", "ly", "s"]) for _ in range(120)) for _ in range(6)]
+    rows = [(i, texts[i % 6] + [".", ". ", " more"][i % 3], "en", "ab"[i % 2], i) for i in range(24)] + [(3, texts[0], "en", "a", 1), (None, texts[1], None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plain, wide = docs, docs.withColumns({name: F.lit(name) for name in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, plain, ""), stage(spark, wide, "")
+        assert wide.columns == docs.columns + names, name
+        assert Counter(map(tuple, wide.select(*docs.columns).collect())) == Counter(map(tuple, plain.collect())) != Counter(), name
+        assert all(r[x] == x for r in wide.collect() for x in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, "").count() == plain.count()
+
+
+def test_near_copies_with_text_ids(spark):
+    """Ids of any ordered type: the same groups as with numbers in their order."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(f"id{i:02}", " ".join(words[: 50 + i % 3])) for i in range(9)] + [("x", "something else entirely in here"), (None, " ".join(words)), ("y", None), ("id00", "one text of its own that nothing else has")]
+    texts = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id string, text string"))
+    order = {x: i for i, x in enumerate(sorted({i for i, _ in rows if i}))}
+    numbers = near_dedup.near_groups(spark.createDataFrame([(order.get(i), t) for i, t in rows], "doc_id int, text string"))
+    got = Counter((order.get(r.doc_id), r.n_shingles, order.get(r.component_id), r.kept) for r in texts.collect())
+    assert got == Counter(map(tuple, numbers.collect())) and texts.schema["component_id"].dataType.simpleString() == "string"
+    left = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted(r.doc_id or "" for r in left.collect()) == ["", "id00", "id00", "x", "y"]
+
+
 def test_mix_of_equal_keys(spark):
     """A third of the rows without an id, a third with one id, some rows equal: as SQL has it, and the documents are taken as often as the mix says."""
     rng = random.Random(4)
