@@ -4,17 +4,20 @@
 2. A host's pivot is the skeleton that most of its distinct pages have. Every page's skeleton is aligned with it by simple tree matching: a matched container has the pivot's number as
    its address, any other the address of its parent and its own label. An address with a label path below it is a slot.
 3. Slots are counted over all distinct pages of a host. A text is the host's template where it is constant: on most of the pages that have its slot at all, so that layouts of
-   a host do not hide each other's template. What varies is content. The host's containers are the addresses whose element holds most of the varying text, summed
+   a host do not hide each other's template, and on pages of several articles, so that one article under many addresses is no template of itself. (Pages are of one article if their longest text is the same, of the texts
+   that less than half of the host's pages have.) What varies is content. The host's containers are the addresses whose element holds most of the varying text, summed
    over the pages that have them. The wrapper is pivot, containers and template.
 4. Each page is parsed whole. Subtrees that HTML itself marks as no article (navigation, forms, scripts and so on, by tag or role) go. Where the host has a wrapper, it
-   decides: the article is the deepest container that the aligned page has (of several the one with most text), and template texts inside it go, whatever the elements are called. Only where
-   there is none subtrees also go by words in class and id, and the article is the largest `article` or `main` element, or else the body.
+   decides: the core of the article is the deepest container that the aligned page has (of several the one with most text). Template texts inside it go, whatever the elements are called, but for
+   subheadings that stand over content. To it come, up to an `article` element or the body, what stands beside the core in the elements around it without a container of its own (titles, leads), and siblings that are
+   labelled like the core or the element that holds it (sections); blocks that are all links, and what words in class and id mark, stay out there. Only where
+   there is no wrapper subtrees also go by words in class and id, and the article is the largest `article` or `main` element, or else the body.
    The rest is split into blocks: white space inside a block becomes one space, and blocks are joined by a line feed.
 
 Scale: pages are parsed twice; in between a narrow table of numbers stands for them. Counts are group-bys on host and slot or text, with partial sums in each task, so a hot host is spread
-like any other. What a host's wrapper holds is bounded by its pages' own size, as each text must be on `LAYOUT` of them. Wrappers are a stored table, which Spark broadcasts
+like any other. A host's wrapper grows with its layouts: a text or container of `PAGES` pages counts, however large the host. Wrappers are a stored table, which Spark broadcasts
 where it is below its threshold and joins by shuffle beyond it; such a join splits hot hosts by adaptive execution. Equal subtrees are matched at once, so an alignment's cost
-grows with what differs; children in lists of more than `PAIRS` pairs that differ are aligned in halves.
+grows with what differs; long lists of children that differ are aligned in linear space, by halves of one list and the best cut of the other.
 
 Edge cases: a null or empty html gives an empty text; a null or malformed url is a host of its own kind; unclosed and stray tags, truncated pages and unknown references are
 read as browsers do, as far as text goes; pages of any size and depth are parsed whole and counted.
@@ -35,9 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Distinct pages that a text or a container must be on at least, and their least share of the host's distinct pages (of each layout, however many there are).
-PAGES, LAYOUT = 3, 0.01
-#: Pairs of children that are aligned in one table.
+#: Distinct pages that a text or a container must be on at least; for a text, of as many articles.
+PAGES = 3
+#: Pairs of children that are aligned in one table, beyond which lists are divided.
 PAIRS = 1 << 22
 #: Share of the pages with a path on which a template text repeats; share of the varying text that the article's container holds.
 TEMPLATE, CONTAINER = 0.8, 0.6
@@ -307,16 +310,30 @@ def _chosen(xs, ys, weight) -> list[tuple[int, int]]:
     """The places of the pairs of the matching of two lists in order that weighs most."""
     if not xs or not ys:
         return []
-    if len(xs) * len(ys) > PAIRS:
-        i, j = len(xs) // 2, len(ys) // 2
-        return _chosen(xs[:i], ys[:j], weight) + [(i + p, j + q) for p, q in _chosen(xs[i:], ys[j:], weight)]
     kinds, at = np.unique(np.array(ys), return_inverse=True)
     rows: dict[int, np.ndarray] = {}
-    best = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
-    for i, x in enumerate(xs, 1):
+
+    def row_of(x) -> np.ndarray:
         if x not in rows:
             rows[x] = np.array([weight(x, y) for y in kinds.tolist()], np.int32)[at]
-        best[i, 1:] = np.maximum.accumulate(np.maximum(best[i - 1, 1:], best[i - 1, :-1] + rows[x]))
+        return rows[x]
+
+    if len(xs) > 1 and len(xs) * len(ys) > PAIRS:
+
+        def last(some, turned: bool) -> np.ndarray:
+            """The weight of the best matching of some of xs with each beginning (turned: end) of ys."""
+            best = np.zeros(len(ys) + 1, np.int32)
+            for x in some:
+                row = row_of(x)[::-1] if turned else row_of(x)
+                best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row))
+            return best[::-1] if turned else best
+
+        i = len(xs) // 2
+        j = int(np.argmax(last(xs[:i], False) + last(reversed(xs[i:]), True)))
+        return _chosen(xs[:i], ys[:j], weight) + [(i + p, j + q) for p, q in _chosen(xs[i:], ys[j:], weight)]
+    best = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
+    for i, x in enumerate(xs, 1):
+        best[i, 1:] = np.maximum.accumulate(np.maximum(best[i - 1, 1:], best[i - 1, :-1] + row_of(x)))
     out, i, j = [], len(xs), len(ys)
     while i and j:
         if best[i, j] == best[i - 1, j]:
@@ -409,12 +426,19 @@ def varying(shape: Shape, address: list[int], at: list[int], sizes: list[int], c
     return out
 
 
-def is_template(n: int, on_slot: int, pages: int) -> bool:
-    return pages >= PAGES and n >= max(PAGES, LAYOUT * pages) and n >= TEMPLATE * on_slot
+def article_of(texts: list[int], sizes: list[int], common: set[int]) -> int:
+    """What tells a page's article from others: its longest text that is not common on the host, or the first of several; 0 without one."""
+    found = max(((n, -i, text) for i, (text, n) in enumerate(zip(texts, sizes, strict=True)) if text not in common), default=(0, 0, 0))
+    return found[2]
 
 
-def is_container(under: int, total: int, n: int, pages: int) -> bool:
-    return n >= max(PAGES, LAYOUT * pages) and under >= CONTAINER * total > 0
+def is_template(n: int, on_slot: int, low: int, high: int) -> bool:
+    """low, high: two bitmaps of the articles' hashes, so that several articles leave several bits in one of them."""
+    return n >= PAGES and n >= TEMPLATE * on_slot and max(low.bit_count(), high.bit_count()) >= PAGES
+
+
+def is_container(under: int, total: int, n: int) -> bool:
+    return n >= PAGES and under >= CONTAINER * total > 0
 
 
 class Wrapper:
@@ -433,20 +457,86 @@ def induce(pages: list[str]) -> Wrapper | None:
         return None
     common = Counter(x.skeleton() for x in distinct.values())
     pivot = min(common, key=lambda x: (-common[x], x.encode()))
-    slots, texts, sums = Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
+    held = Counter()
+    for page in distinct.values():
+        held.update({key_of(text) for *_, text in page.runs})
+    common = {text for text, n in held.items() if n >= PAGES and 2 * n > len(distinct)}
+    slots, texts, low, high, sums = Counter(), Counter(), defaultdict(int), defaultdict(int), defaultdict(lambda: [0, 0, 0])
     found = []
     for page in distinct.values():
         address = addresses(page.shape, shape_of(pivot))
         keys = keys_of(page, address)
         slots.update({slot for slot, _ in keys})
         texts.update(set(keys))
+        article = article_of([key_of(x[3]) for x in page.runs], [len(x[3]) for x in page.runs], common)
+        for key in set(keys):
+            low[key] |= 1 << article % 64
+            high[key] |= 1 << article // 64 % 64
         found.append((page, address, keys))
-    template = [key for (slot, key), n in texts.items() if is_template(n, slots[slot], len(distinct))]
+    template = [key[1] for key, n in texts.items() if is_template(n, slots[key[0]], low[key], high[key])]
     for page, address, keys in found:
         fixed = [key in template for _, key in keys]
         for where, (under, total) in varying(page.shape, address, [x[1] for x in page.runs], [len(x[3]) for x in page.runs], fixed).items():
             sums[where] = [x + y for x, y in zip(sums[where], (under, total, 1), strict=True)]
-    return Wrapper(pivot, [where for where, (under, total, n) in sums.items() if is_container(under, total, n, len(distinct))], template)
+    return Wrapper(pivot, [where for where, (under, total, n) in sums.items() if is_container(under, total, n)], template)
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def all_links(node: Node) -> bool:
+    """Whether all text below an element is that of links."""
+    stack, some = [node], False
+    while stack:
+        for x in stack.pop().children:
+            if isinstance(x, Node):
+                if x.tag != "a":
+                    stack.append(x)
+                else:
+                    some = True
+            elif x.strip():
+                return False
+    return some
+
+
+def _marked(node: Node, top: Node) -> bool:
+    """Whether a word in class or id of the element, or of one around it below top, marks what is no article."""
+    while node is not top:
+        if not DROPPED_NAMES.isdisjoint(node.names):
+            return True
+        node = node.parent
+    return False
+
+
+def article_runs(page: Page, core: int, is_fixed: list[bool]) -> list[str]:
+    """The texts of the article whose core is a container of the page."""
+    shape, last = page.shape, page.shape.ends[core]
+    inside = [i for i, (_, at, _, _) in enumerate(page.runs) if core <= at < last]
+    taken = {i for i in inside if not is_fixed[i]}
+    heads = False  # whether what follows is content that the heading stands over
+    for i in reversed(inside):
+        node = page.runs[i][0]
+        if node.tag not in HEADINGS:
+            heads = not is_fixed[i] and not all_links(node)
+        elif is_fixed[i] and heads:
+            taken.add(i)
+    child = core
+    while child and not any(page.containers[child].tag == tag for tag in ("article", "main", "body")):
+        up = shape.parents[child]
+        top = page.containers[up]
+        like = {i for i in shape.children[up] if i != child and shape.labels[i] in (shape.labels[child], shape.labels[core])}
+        for i, (node, at, _, _) in enumerate(page.runs):
+            if is_fixed[i] or not up <= at < shape.ends[up] or child <= at < shape.ends[child]:
+                continue
+            if at == up:
+                # Beside a body's elements stand notes of all kinds: only what leads to the core is its title or lead.
+                own = node.tag != "body" and node.tag != "#root" if top.tag not in ("body", "html", "#root") else node.tag in HEADINGS | {"p"} and i < min(taken, default=0)
+            else:
+                own = any(x <= at < shape.ends[x] for x in like)
+            if own and not all_links(node) and not _marked(node, top):
+                taken.add(i)
+        child = up
+    return [page.runs[i][3] for i in sorted(taken)]
 
 
 def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
@@ -459,13 +549,9 @@ def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
         found = [i for i, x in enumerate(address) if i and x in wrapper.containers]
         if found:
             deepest = max(parsed.containers[i].depth for i in found)
-            lines: dict[int, list[str]] = {i: [] for i in found if parsed.containers[i].depth == deepest}
-            for (_, at, _, text), (_, key) in zip(parsed.runs, keys_of(parsed, address), strict=True):
-                if key not in wrapper.template:
-                    for i in lines:
-                        if i <= at < parsed.shape.ends[i]:
-                            lines[i].append(text)
-            return "\n".join(max(lines.values(), key=lambda texts: sum(map(len, texts))))
+            is_fixed = [key in wrapper.template for _, key in keys_of(parsed, address)]
+            size = {i: sum(len(text) for (_, at, _, text), fixed in zip(parsed.runs, is_fixed, strict=True) if not fixed and i <= at < parsed.shape.ends[i]) for i in found if parsed.containers[i].depth == deepest}
+            return "\n".join(article_runs(parsed, max(size, key=size.get), is_fixed))
     tree = parse(page)
     pruned(tree)
     marked = [x for x in walk(tree) if x.tag in ("article", "main") and not any(y.tag == "article" for y in _above(x))]
@@ -514,13 +600,23 @@ def wrappers(pages: DataFrame) -> DataFrame:
     each = stored(each.select("host", "x.*"), "page-runs")
     sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES)
     common = each.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"))
-    pivots = stored(common.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("less"), "skeleton")).alias("x")).join(sizes, "host").select("host", "pages", F.col("x.skeleton").alias("pivot")), "page-pivots")
+    pivots = common.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("less"), "skeleton")).alias("x")).join(sizes, "host").select("host", "pages", F.col("x.skeleton").alias("pivot"))
+    # Texts of more than half of a host's pages: no more than two pages' worth.
+    held = each.select("host", F.explode(F.array_distinct("texts")).alias("text")).groupBy("host", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    held = held.join(sizes, "host").where(2 * F.col("n") > F.col("pages")).groupBy("host").agg(F.collect_list("text").alias("common"))
+    pivots = stored(pivots.join(held, "host", "left").select("host", "pages", "pivot", F.coalesce("common", F.array().cast("array<bigint>")).alias("common")), "page-pivots")
 
     def slots(batches):
         known: dict[str, Shape] = {}
+        common: dict[str, set[int]] = {}
         for batch in batches:
-            out = []
-            for pivot, skeleton, at, below, texts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
+            out, articles = [], []
+            for host, pivot, skeleton, at, below, texts, n, many in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7), strict=True):
+                if host not in common:
+                    if len(common) > 10_000:
+                        common.clear()
+                    common[host] = set(many.as_py())
+                articles.append(article_of(texts, n, common[host]))
                 if pivot not in known:
                     if len(known) > 10_000:
                         known.clear()
@@ -529,14 +625,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 of = [key_of(address[i], x) for i, x in zip(at, below, strict=True)]
                 out.append((address, of, [key_of(x, y) for x, y in zip(of, texts, strict=True)]))
             column = lambda i: pa.array([x[i] for x in out], _LONGS)
-            yield _batch(host=batch.column(0), skeleton=batch.column(2), at=batch.column(3), sizes=batch.column(6), address=column(0), slots=column(1), texts=column(2))
+            yield _batch(host=batch.column(0), skeleton=batch.column(2), at=batch.column(3), sizes=batch.column(6), address=column(0), slots=column(1), texts=column(2), article=pa.array(articles, pa.int64()))
 
-    aligned = each.join(pivots, "host").select("host", "pivot", "skeleton", "at", "below", "texts", "sizes")
-    aligned = stored(aligned.mapInArrow(slots, "host string, skeleton string, at array<int>, sizes array<int>, address array<bigint>, slots array<bigint>, texts array<bigint>"), "page-slots")
+    aligned = each.join(pivots, "host").select("host", "pivot", "skeleton", "at", "below", "texts", "sizes", "common")
+    aligned = stored(aligned.mapInArrow(slots, "host string, skeleton string, at array<int>, sizes array<int>, address array<bigint>, slots array<bigint>, texts array<bigint>, article bigint"), "page-slots")
     on = aligned.select("host", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("on_slot"))
-    texts = aligned.select("host", F.explode(F.array_distinct(F.arrays_zip("slots", "texts"))).alias("x")).groupBy("host", F.col("x.slots").alias("slot"), F.col("x.texts").alias("text")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
-    least = F.greatest(F.lit(PAGES), F.col("pages") * LAYOUT)
-    kept = texts.join(on, ["host", "slot"]).join(pivots, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("on_slot") * TEMPLATE))
+    texts = aligned.select("host", "article", F.explode(F.array_distinct(F.arrays_zip("slots", "texts"))).alias("x")).groupBy("host", F.col("x.slots").alias("slot"), F.col("x.texts").alias("text"))
+    bit = lambda at: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")))
+    texts = texts.agg(F.count(F.lit(1)).alias("n"), bit(F.col("article")).alias("low"), bit(F.shiftright("article", 6)).alias("high"))
+    texts = texts.where((F.col("n") >= PAGES) & (F.greatest(F.bit_count("low"), F.bit_count("high")) >= PAGES))
+    kept = texts.join(on, ["host", "slot"]).where(F.col("n") >= F.col("on_slot") * TEMPLATE)
     template = pivots.join(kept.groupBy("host").agg(F.collect_set("text").alias("template")), "host", "left")
     template = stored(template.select("host", "pages", "pivot", F.coalesce("template", F.array().cast("array<bigint>")).alias("template")), "page-template")
 
@@ -557,8 +655,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     voted = aligned.join(template.select("host", "template"), "host").select("host", "template", "skeleton", "at", "sizes", "address", "texts")
     voted = voted.mapInArrow(weigh, "host string, address long, under long, total long, n long")
-    voted = voted.groupBy("host", "address").agg(*(F.sum(c).alias(c) for c in ("under", "total", "n"))).join(pivots, "host")
-    held = voted.where((F.col("n") >= least) & (F.col("total") > 0) & (F.col("under") >= F.col("total") * CONTAINER)).groupBy("host").agg(F.collect_set("address").alias("containers"))
+    voted = voted.groupBy("host", "address").agg(*(F.sum(c).alias(c) for c in ("under", "total", "n")))
+    held = voted.where((F.col("n") >= PAGES) & (F.col("total") > 0) & (F.col("under") >= F.col("total") * CONTAINER)).groupBy("host").agg(F.collect_set("address").alias("containers"))
     found = template.join(held, "host", "left").select("host", "pivot", F.coalesce("containers", F.array().cast("array<bigint>")).alias("containers"), "template")
     return stored(found, "page-wrappers")
 
