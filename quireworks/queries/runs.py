@@ -50,7 +50,7 @@ def _inputs(spark, d):
         "ids": docs.where("project != 13 OR lang != 'en'").select("project", F.col("lang").alias("target")),
         "metadata": projects.select("project", F.lit("t").alias("title"), F.lit("t").alias("wanted_title"), F.when(p % 10 == 9, "de").otherwise("en-US").alias("language"), F.lit("a & b").alias("author"), F.lit("a").alias("wanted_author")),
         "file-size": projects.select("project", (p * 450_000).alias("bytes")),
-        "lines": lift.table(spark, d, "benchmark").where("item_id < 400").select((F.col("item_id") % 20).alias("project"), F.col("item_id").alias("line_id"), F.col("text").alias("line")),
+        "lines": lift.table(spark, d, "benchmark").select((F.col("item_id") % 20).alias("project"), F.col("item_id").alias("line_id"), F.col("text").alias("line")),
         "bodies": docs.select("project", id_.alias("text_no"), text.alias("text")),
         "structure": docs.where("project < 38").select("project", F.concat(first, F.when(id_ % 401 == 0, "zz").otherwise("")).alias("title"), text.alias("text")),
     }
@@ -98,7 +98,7 @@ ch AS (SELECT project, lpad(lower(to_hex((project * 300000) % 16777216)), 6, '0'
 cl AS (SELECT project, {', '.join(f"('0x' || c[{i}:{i + 1}])::INT / 255.0::DOUBLE AS {n}" for i, n in ((1, 'r'), (3, 'g'), (5, 'b')))} FROM ch),
 cr AS (SELECT project, 1.05::DOUBLE / ({' + '.join(f"{k}::DOUBLE * CASE WHEN {n} <= 0.03928 THEN {n} / 12.92::DOUBLE ELSE pow(({n} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END" for k, n in ((0.2126, 'r'), (0.7152, 'g'), (0.0722, 'b')))} + 0.05::DOUBLE) AS ratio FROM cl),
 mi AS (SELECT project, count(*) AS n FROM dd WHERE NOT EXISTS (SELECT 1 FROM dd o WHERE o.project = dd.project AND o.project % 8 > 0 AND o.doc_id % 211 <> 7 AND contains(lower({collapse('o.first', '')}), lower({collapse('dd.first', '')}))) GROUP BY project),
-lk AS (SELECT DISTINCT project FROM dd JOIN benchmark b ON item_id < 400 AND item_id % 20 = project AND contains(lower({collapse('dd.text')}), lower({collapse('b.text')}))),
+lk AS (SELECT DISTINCT project FROM dd JOIN benchmark b ON item_id % 20 = project AND contains(lower({collapse('dd.text')}), lower({collapse('b.text')}))),
 st0 AS (
   SELECT project, 'fonts-embedded' AS id, count(*) FILTER (doc_id % 97 = 0 OR doc_id % 193 = 5) = 0 AS ok FROM dd WHERE project < 35 GROUP BY project
   UNION ALL SELECT project, 'text-coverage', passes FROM cv
@@ -114,7 +114,7 @@ st0 AS (
   UNION ALL SELECT project, 'folio-continuity', project NOT IN (SELECT project FROM fb WHERE reason IS NOT NULL) FROM f2 WHERE project < 30 GROUP BY project HAVING count(kind) > 0
   UNION ALL SELECT project, 'outline-toc', project % 8 > 0 AND project NOT IN (SELECT project FROM mi) AND NOT (project = 13 AND project IN (SELECT project FROM dd WHERE lang = 'en')) AND project IN (SELECT project FROM dd WHERE doc_id % 211 <> 7) FROM pr
   UNION ALL SELECT project, 'metadata', project % 10 <> 9 FROM pr UNION ALL SELECT project, 'file-size', project * 450000 / 1048576 < 15 FROM pr
-  UNION ALL SELECT project, 'no-bonus-in-body', project NOT IN (SELECT project FROM lk) FROM pr WHERE project IN (SELECT item_id % 20 FROM benchmark WHERE item_id < 400)
+  UNION ALL SELECT project, 'no-bonus-in-body', project NOT IN (SELECT project FROM lk) FROM pr WHERE project IN (SELECT item_id % 20 FROM benchmark)
   UNION ALL SELECT project, 'structure', count(*) FILTER (NOT contains(lower({collapse('text', '')}), lower({collapse('first', '')} || CASE WHEN doc_id % 401 = 0 THEN 'zz' ELSE '' END))) = 0 FROM dd WHERE project < 38 GROUP BY project),
 cc AS (
   SELECT project, pos, g.id, CASE WHEN ok THEN 'pass' WHEN NOT ok THEN 'fail' ELSE 'skipped' END AS status, CASE WHEN g.id = 'text-coverage' THEN coverage END AS coverage
