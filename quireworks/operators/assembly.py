@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..storage import stored
+from .scans import scan
 
 
 def print_cover(files: DataFrame) -> DataFrame:
@@ -142,18 +143,41 @@ def media_url(doc: Column, depth: int = 4) -> Column:
 # --- trees ---------------------------------------------------------------------------------------------------------
 
 
+#: Where a walk ends: behind a last root, or at a parent that is not there.
+_DONE, _LOST = -1, -2
+
+
 def flat_titles(nodes: DataFrame) -> DataFrame:
-    """nodes: project, id, parent (null for roots), pos, title. Depth-first order of each project's outline: project, nth, depth, title. One join for each level of depth, until a
-    level is empty; the nodes and each level are stored tables. Nodes that no root leads to are left out."""
-    path = lambda p: F.format_string("%019d", p)
-    nodes = stored(nodes.select("project", "id", "parent", "pos", "title"), "outline-nodes")
-    level = nodes.where("parent IS NULL").select("project", "id", "title", path(F.col("pos")).alias("path"), F.lit(0).alias("depth"))
-    found, depth = [level], 0
-    while not level.isEmpty():
-        depth += 1
-        up = level.select("project", F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = nodes.join(up, ["project", "parent"]).select("project", "id", "title", F.concat("above", F.lit("/"), path(F.col("pos"))).alias("path"), F.lit(depth).alias("depth"))
-        level = stored(level, "outline-level")
-        found.append(level)
-    rows = reduce(DataFrame.unionByName, found)
-    return rows.select("project", F.row_number().over(Window.partitionBy("project").orderBy("path")).alias("nth"), "depth", "title")
+    """nodes: project, id, parent (null for roots), pos, title. Depth-first order of each project's outline: project, nth, depth, title; of siblings with one pos the lesser id first. Nodes that no root leads to are left out.
+
+    The walk around the tree enters and leaves each node once, which makes a linked list of two steps a node. Pointer doubling gives each step what is left of its list, in as many rounds as the longest list's length
+    has binary digits, whatever the outline's depth; a round is a stored table of narrow rows, spread by step."""
+    is_root, up = F.col("parent").isNull().alias("is_root"), F.coalesce(F.col("parent").cast("string"), F.lit("")).alias("up")
+    rows = nodes.select("project", F.col("id").cast("string").alias("id"), is_root, up, "pos", F.col("id").alias("own"), "title").where("project IS NOT NULL AND id IS NOT NULL")
+    order = ["project", "is_root", "up", "pos", "own"]
+    rows = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()), "outline-nodes")
+    found = scan(rows.select("project", "id", "is_root", "up", "number"), ["project", "is_root", "up"], "number", sums={"nth": F.lit(1)}, previous={"before": F.col("number")}, totals={"siblings": F.lit(1)})
+    parents = rows.select(F.col("project").alias("of"), F.col("id").alias("up_id"), F.col("number").alias("up_number"))
+    found = stored(found.join(parents, ~F.col("is_root") & (F.col("project") == F.col("of")) & (F.col("up") == F.col("up_id")), "left").select("project", "number", "is_root", "before", (F.col("nth") + 1 == F.col("siblings")).alias("is_last"), "up_number"), "outline-siblings")
+    enter, leave = (lambda n: 2 * F.col(n)), (lambda n: 2 * F.col(n) + 1)
+    link = lambda df, step, ahead: df.select(step.alias("step"), ahead.alias("ahead"))
+    leaves = found.join(found.select(F.col("up_number").alias("has")).where("has IS NOT NULL").distinct(), F.col("number") == F.col("has"), "left_anti")
+    steps = reduce(DataFrame.unionByName, [
+        link(found.where("before IS NULL AND up_number IS NOT NULL"), enter("up_number"), enter("number")),
+        link(found.where("before IS NOT NULL"), leave("before"), enter("number")),
+        link(leaves, enter("number"), leave("number")),
+        link(found.where("is_last"), leave("number"), F.when(F.col("is_root"), _DONE).otherwise(F.coalesce(leave("up_number"), F.lit(_LOST)))),
+    ])
+    entering = F.col("step") % 2 == 0
+    steps = stored(steps.select("step", "ahead", F.when(entering, 1).otherwise(0).cast("long").alias("left"), F.when(entering, 1).otherwise(-1).cast("long").alias("rise")), "outline-steps")
+    most, reach = steps.count(), 1
+    while reach <= most and not steps.where("ahead >= 0").isEmpty():
+        then = steps.select(F.col("step").alias("at"), F.col("ahead").alias("then"), F.col("left").alias("more"), F.col("rise").alias("more_rise"))
+        on = steps.join(then, F.col("ahead") == F.col("at"), "left")
+        on = on.select("step", F.coalesce("then", "ahead").alias("ahead"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"), (F.col("rise") + F.coalesce("more_rise", F.lit(0))).alias("rise"))
+        steps, reach = stored(on, "outline-steps"), 2 * reach
+    walked = steps.where((F.col("ahead") == _DONE) & (F.col("step") % 2 == 0)).select(F.shiftright("step", 1).alias("node"), "left", "rise")
+    walked = stored(rows.join(walked, F.col("number") == F.col("node")).select("project", "title", "left", "rise"), "outline-walked")
+    sizes = walked.groupBy(F.col("project").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    out = walked.join(sizes, F.col("project") == F.col("of"))
+    return out.select("project", (F.col("n") - F.col("left") + 1).cast("int").alias("nth"), (-F.col("rise")).cast("int").alias("depth"), "title")
