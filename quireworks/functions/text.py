@@ -167,6 +167,11 @@ def with_variable(css: Column, name: str, value: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(css, F.lit(1), at - 1), head, value, F.lit(";"), after))
 
 
+def with_known_variable(css: Column, name: str, value: Column) -> Column:
+    """with_variable(), where css without a declaration of --name stops the run; null css stays null."""
+    return F.when(css.isNotNull(), F.coalesce(with_variable(css, name, value), F.raise_error(F.lit(f"no variable --{name} in the style sheet")).cast("string")))
+
+
 def toc_targets(html: Column) -> Column:
     """Ids that contents entries point to, by link and by page number."""
     href, number = (F.regexp_extract_all(html, F.lit(P.TOC_ENTRY), F.lit(i)) for i in (1, 2))

@@ -17,6 +17,13 @@ def with_content(entries: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
     return entries.join(files, "path"), entries.join(files, "path", "left_anti")
 
 
+def with_required_content(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """The join of with_content(), in which an entry without a file stops the run and is named."""
+    rows = entries.join(files.withColumn("is_there", F.lit(True)), "path", "left")
+    missing = F.raise_error(F.concat(F.lit("no file "), F.coalesce(F.col("path").cast("string"), F.lit("without a path")))).cast("boolean")
+    return rows.where(F.coalesce("is_there", missing)).drop("is_there")
+
+
 def by_position(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
     """Rows of each project paired by rank; what one side has more is left out."""
     rank = lambda df, c: df.withColumn("position", F.row_number().over(Window.partitionBy("project").orderBy(c)) - 1)

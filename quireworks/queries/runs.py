@@ -64,6 +64,13 @@ def qc_run_results(spark, d):
     return qc.results(qc.checks(*_inputs(spark, d)))
 
 
+def qc_report(spark, d):
+    """The Markdown report of each project's gates."""
+    checks = qc_queries.checks(spark, d)
+    checks = checks.withColumn("evidence", F.when(F.col("pos") % 3 > 0, F.concat(F.lit("at "), F.col("pos").cast("string"), F.lit(" | seen"))))
+    return qc.report(checks).select("project", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def run_files(spark, d):
     """Files that positioned words give, from items to Markdown."""
     rows = audit_plan.ingested(layout_queries.items(spark, d))
@@ -80,7 +87,7 @@ def run_plans(spark, d):
     return audit_plan.planned(layout.files(layout_queries.text_lines(spark, d)))
 
 
-QUERIES = {"run_plans": run_plans, "qc_run": qc_run, "qc_run_results": qc_run_results, "run_files": run_files, "run_findings": run_findings}
+QUERIES = {"run_plans": run_plans, "qc_run": qc_run, "qc_run_results": qc_run_results, "qc_report": qc_report, "run_files": run_files, "run_findings": run_findings}
 _Q = qc_queries
 _CHECKS = rf"""pr AS (SELECT DISTINCT doc_id % {N} AS project FROM documents),
 dd AS (SELECT doc_id % {N} AS project, doc_id, lang, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10))[1] AS first FROM documents),
@@ -135,6 +142,11 @@ SELECT project, id, file, start_page, end_page, {words('markdown')} AS words, md
 {_A.DUPLICATES}, {_A.DENSITY}, {_A.NEAR}, {_A.BROKEN}, {_A.LISTS}, {_A.TRUNCATED}, {_A.HEADINGS}
 SELECT 'duplicate-title' AS category, project, ids[1] AS file_id, array_to_string(ids, ',') AS detail FROM du
 UNION ALL SELECT * FROM ne UNION ALL SELECT * FROM br UNION ALL SELECT * FROM li UNION ALL SELECT * FROM tp UNION ALL SELECT * FROM uh""",
+    "qc_report": f"""WITH {_Q._CHECKS}, v AS ({_Q.ORACLES['qc_verdicts']}), sc AS ({_Q.ORACLES['qc_scores']}),
+l AS (SELECT project, string_agg('| ' || id || ' | ' || status || ' | ' || CASE WHEN pos % 3 > 0 THEN 'at ' || pos || ' \\| seen' ELSE '' END || ' |', chr(10) ORDER BY pos) AS ls FROM cc GROUP BY project)
+SELECT project, md5('# Quality of ' || project || chr(10) || chr(10) || '## Result: ' || verdict || chr(10) || chr(10) || '| Gate | Status | Evidence |' || chr(10) || '|---|---|---|' || chr(10) || ls || chr(10) || chr(10) || '## Score: ' || total || '/100' || chr(10) || chr(10)
+  || '| Dimension | Score |' || chr(10) || '|---|---|' || chr(10) || {" || ".join(f"'| {name} | ' || {c} || '/{most} |' || chr(10)" for name, c, most in (("Content", "content", 25), ("Typography", "typography", 20), ("Layout", "layout", 20), ("Consistency", "consistency", 15), ("Technical", "technical", 10), ("Niche fit", "niche_fit", 10)))}) AS digest
+FROM v JOIN sc USING (project) JOIN l USING (project)""",
     "qc_run": f"{_ALL} SELECT project, pos, id, status FROM cc",
     "qc_run_results": f"{_ALL}, v AS (SELECT project, CASE{_verdicts}), p AS ({_scores.partition('FROM cc GROUP BY project)')[0]}FROM cc GROUP BY project) SELECT * FROM v JOIN (SELECT *, 7.0::DOUBLE AS niche_fit, round(7.0::DOUBLE + content + typography + layout + consistency + technical, 1) AS total FROM p) USING (project)",
 }

@@ -125,6 +125,18 @@ def test_warnings(spark):
     }
 
 
+def test_what_stops_a_run(spark):
+    """A file that is not there, a style variable that is not there."""
+    entries, files = spark.createDataFrame([("a", 1), ("b", 2)], "path string, n int"), spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "path string, text string")
+    assert sorted(map(tuple, joins.with_required_content(entries, files).collect())) == [("a", 1, "x"), ("b", 2, "y")]
+    with pytest.raises(Exception, match="no file b"):
+        joins.with_required_content(entries, files.where("path <> 'b'")).collect()
+    css = spark.createDataFrame([("--a: 1pt; --b: 2;",), (None,)], "css string")
+    assert {r[0] for r in css.select(T.with_known_variable(F.col("css"), "b", F.lit("3"))).collect()} == {"--a: 1pt; --b: 3;", None}
+    with pytest.raises(Exception, match="no variable --c"):
+        css.select(T.with_known_variable(F.col("css"), "c", F.lit("3"))).collect()
+
+
 def test_joins_with_one_key_for_a_third(spark):
     """Titles with one beginning, lines of one and two words, a word that all groups have: as brute force has it."""
     titles = [("p", i, f"Chapter the same beginning {i % 40}") for i in range(90)] + [("p", 200, "ab"), ("p", 201, ""), ("r", 202, ""), ("p", 203, "zzz"), (None, 204, "x")]
