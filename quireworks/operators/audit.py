@@ -47,8 +47,10 @@ def broken_characters(files: DataFrame) -> DataFrame:
 
 def malformed_lists(files: DataFrame) -> DataFrame:
     """Blocks of numbered lines only that do not run 1, 2, 3; and single items that look cut off, by their end or by what follows."""
-    raw = files.select("project", "file_id", F.posexplode(F.split("text", r"\n\n+")).alias("block_no", "block"))
-    raw = raw.withColumn("following", T.trim(F.coalesce(F.lead("block").over(Window.partitionBy("project", "file_id").orderBy("block_no")), F.lit(""))))
+    # What follows comes from the same text: files of one name (bonuses with one slug) must not follow each other.
+    blocks = files.select("project", "file_id", F.split("text", r"\n\n+").alias("bs"))
+    raw = blocks.select("project", "file_id", F.inline(F.arrays_zip(F.col("bs").alias("block"), F.slice("bs", F.lit(2), F.size("bs")).alias("following"))))
+    raw = raw.where("block IS NOT NULL").withColumn("following", T.trim(F.coalesce("following", F.lit(""))))
     rows = raw.withColumn("ls", T.parts(F.col("block"), "\n"))
     rows = rows.where((F.size("ls") > 0) & F.forall("ls", lambda x: T.has(x, P.NUMBERED_LINE)))
     numbers = F.transform("ls", lambda x: F.regexp_extract(x, r"^([0-9]+)", 1).try_cast("bigint"))

@@ -276,3 +276,10 @@ def test_addresses(spark):
     doc = '{"a": {"z": "http://low"}, "results": [1, {"url": "https://x/y"}]}'
     assert value(spark, assembly.media_url(F.lit(doc), 3)) == "https://x/y"
     assert value(spark, assembly.media_url(F.lit('{"a": "ftp://x"}'), 2)) is None
+
+
+def test_files_of_one_name_do_not_follow_each_other(spark):
+    texts = ["# A\n\n1. cut off here\n\nand so on\n", "# B\n\n1. Whole.\n\nAnother one.\n"]
+    files = spark.createDataFrame([("p", "bonuses/raw/a.md", 1, 1, t) for t in texts], "project string, file_id string, start_page int, end_page int, text string")
+    assert [r.detail for r in audit.malformed_lists(files).collect()] == ["fragment=cut off here"]
+    assert [r.detail for r in audit.malformed_lists(files.where("text LIKE '# A%'")).collect()] == ["fragment=cut off here"]
