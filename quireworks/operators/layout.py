@@ -2,71 +2,110 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
 from ..storage import stored
-from .scans import scan
+from . import scans
+from .scans import plain_scan, scan
 
 SAME_LINE = 2.0
+#: Pages of a project that are numbered together.
+STRETCH = 64
 CELL_GAP, CELL_LEAST, SPACE_GAP = 1.3, 14.0, 0.15
 WRAP, LIST_WRAP = 2.46, 2.9
 
 
 def lines(items: DataFrame) -> DataFrame:
     """items: project, page, item_no, str, x, y, width, height. Lines: project, page, line, y, font_height, cells.
-    An item belongs to the open line if its y is within SAME_LINE of that line's first item; this needs the page's order, as the distance to the neighbour would let lines drift: sorted items pass by with the open line's y as the only state."""
+    An item belongs to the open line if its y is within SAME_LINE of that line's first item; this needs the page's order, as the distance to the neighbour would let lines drift: sorted items pass by with the open line, one row of the result, as the only state. Items are shuffled once."""
     columns = ["project", "page", "item_no", "str", "x", "y", "width", "height"]
-    rows = items.select(*columns).withColumn("down", -F.col("y"))
-    schema = rows.withColumn("line", F.lit(0)).schema
+    rows = items.select(*columns)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"project {kinds['project']}, page {kinds['page']}, line int, y {kinds['y']}, font_height {kinds['height']}, cells array<string>"
 
-    def numbered(batches):
-        page, line, anchor = None, 0, None
+    def put_together(batches):
+        held, number = None, 0  # the last line so far, which may go on, and its number
         for batch in batches:
-            out = []
-            for project, number, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if page != (project, number):
-                    page, line, anchor = (project, number), 0, y
-                elif abs(anchor - y) > SAME_LINE:
-                    line, anchor = line + 1, y
-                out.append(line)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "line"])
-
-    rows = rows.repartition("project", "page").sortWithinPartitions("project", "page", "down", "x", "item_no").mapInArrow(numbered, schema)
-    line = Window.partitionBy("project", "page", "line")
-    rows = rows.withColumns({"font_height": F.max("height").over(line), "line_y": F.first("y").over(line.orderBy("x", "down", "item_no")), "blank": T.trim(F.col("str")) == ""})
-    across = Window.partitionBy("project", "page", "line", "blank").orderBy("x", "down", "item_no")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(across)
-    rows = rows.withColumn("gap", gap)
-    new_cell = F.coalesce(F.col("gap") > F.greatest(F.col("font_height") * CELL_GAP, F.lit(CELL_LEAST)), F.lit(False))
-    glue = F.when(F.col("gap").isNull() | new_cell | ~(F.col("gap") > F.col("font_height") * SPACE_GAP), "").otherwise(" ")
-    rows = rows.withColumns({"cell": F.sum(new_cell.cast("int")).over(across), "piece": F.concat(glue, "str")})
-    keys = ["project", "page", "line"]
-    cells = rows.where("NOT blank").groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(F.struct("x", "down", "item_no", "piece"))).alias("p"))
-    cells = cells.select(*keys, "cell", T.trim(F.array_join(F.transform("p", lambda p: p["piece"]), "")).alias("text"))
-    cells = cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda c: c["text"]).alias("cells"))
-    every = rows.groupBy(*keys).agg(F.max("font_height").alias("font_height"), F.max("line_y").alias("y"))
-    return every.join(cells, keys, "left").select(*keys, "y", "font_height", F.coalesce("cells", F.array(F.lit(""))).alias("cells"))
+            table = pa.Table.from_batches([batch]).combine_chunks() if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            found, starts, numbers = _laid_out(table, number)
+            yield from found.slice(0, len(starts) - 1).to_batches()
+            held, number = table.slice(int(starts[-1])), int(numbers[-1])
+        if held is not None:
+            yield from _laid_out(held.combine_chunks(), number)[0].to_batches()
+
+    return rows.repartition("project", "page").sortWithinPartitions("project", "page", F.col("y").desc_nulls_first(), "x", "item_no").mapInArrow(put_together, schema)
+
+
+def _laid_out(items: pa.Table, number: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Sorted items to lines, where each of these starts, and their numbers, of which the first is given. A gap to the item before that is wide begins a cell, a lesser one gives a space. Blank items count for y and height alone."""
+    floats = lambda c: items[c].cast(pa.float64()).to_numpy()  # noqa: E731  nulls are NaN
+    same = [c.chunk(0).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in (items["project"], items["page"])]
+    turns = np.concatenate(([True], (same[0][1:] != same[0][:-1]) | (same[1][1:] != same[1][:-1])))
+    ys, anchor, starts = floats("y"), None, []
+    for i, (turned, y) in enumerate(zip(turns.tolist(), ys.tolist(), strict=True)):
+        if turned or abs(anchor - y) > SAME_LINE:
+            starts.append(i)
+            anchor = y
+    starts = np.array(starts)
+    nth = np.arange(len(starts))
+    opens = np.maximum.accumulate(np.where(turns[starts], nth, 0))
+    numbers = nth - opens + np.where(opens == 0, number, 0)
+    line = np.zeros(len(ys), dtype=np.int64)
+    line[starts[1:]] = 1
+    line = np.cumsum(line)
+    low = lambda a: np.where(np.isnan(a), -np.inf, a)  # noqa: E731  nulls come first
+    order = np.lexsort((items["item_no"].to_numpy(), low(-ys), low(floats("x")), line))
+    x, width, height, y = (floats(c)[order] for c in ("x", "width", "height", "y"))
+    text = items["str"].chunk(0).take(pa.array(order))
+    highest = np.fmax.reduceat(height, starts)
+    at = np.flatnonzero(pc.fill_null(pc.not_equal(pc.utf8_trim(text, characters=T.SPACES), ""), False).to_numpy(zero_copy_only=False))
+    of, gap = line[at], np.full(len(at), np.nan)
+    gap[1:] = x[at[1:]] - (x + width)[at[:-1]]
+    opening = np.ones(len(at), dtype=bool)
+    opening[1:] = of[1:] != of[:-1]
+    gap[opening] = np.nan
+    begins = opening | (gap > np.fmax(highest[of] * CELL_GAP, CELL_LEAST))
+    spaced = ~begins & ~np.isnan(gap) & ~(gap <= highest[of] * SPACE_GAP)
+    pieces = pc.binary_join_element_wise(pa.array(["", " "]).take(pa.array(spaced.astype(np.int8))), text.take(pa.array(at)), "")
+    first = np.flatnonzero(begins)
+    cells = pc.utf8_trim(pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pieces), ""), characters=T.SPACES)
+    counts = np.bincount(of[first], minlength=len(starts))
+    bare = np.flatnonzero(counts == 0)  # lines of blank items have one empty cell
+    lines_, which = np.concatenate((of[first], bare)), np.concatenate((np.arange(len(first)), np.full(len(bare), len(first))))
+    cells = pa.concat_arrays([cells, pa.array([""], cells.type)]).take(pa.array(which[np.argsort(lines_, kind="stable")]))
+    counts[bare] = 1
+    values = {"project": items["project"].take(pa.array(starts)), "page": items["page"].take(pa.array(starts)), "line": pa.array(numbers, pa.int32()), "y": pa.array(y[starts], from_pandas=True).cast(items.schema.field("y").type), "font_height": pa.array(highest, from_pandas=True).cast(items.schema.field("height").type)}
+    return pa.table(values | {"cells": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), cells)}), starts, numbers
 
 
 def classified(rows: DataFrame) -> DataFrame:
     """Adds text, is_table_row, is_list_item, drops blank lines and each page's footer number, and numbers the lines of a project."""
-    text, table_row = F.array_join("cells", " "), F.size("cells") >= 2
-    rows = rows.withColumns({"text": text, "is_table_row": table_row}).where(T.trim(F.col("text")) != "")
-    rows = rows.withColumn("is_list_item", ~F.col("is_table_row") & T.has(T.trim(F.col("text")), P.NUMBERED_LINE))
-    page = Window.partitionBy("project", "page").orderBy("line")
+    # Stretches of pages are dealt out, so a project of any size is spread; lines are shuffled and written once, without what follows from their cells.
+    rows = rows.select("project", "page", "line", "y", "font_height", "cells").withColumn("stretch", F.greatest(F.floor(F.col("page") / STRETCH), F.lit(0))).repartition("project", "stretch")
+    text = F.array_join("cells", " ")
+    rows = rows.where(T.trim(text) != "")
+    page, stretch = Window.partitionBy("project", "stretch", "page").orderBy("line"), Window.partitionBy("project", "stretch").orderBy("page", "line")
     rows = rows.withColumns({"is_last": F.lead("line").over(page).isNull(), "above": F.max("font_height").over(page.rowsBetween(Window.unboundedPreceding, -1))})
-    footer = F.col("is_last") & T.has(T.trim(F.col("text")), r"^[0-9]{1,4}\z") & F.coalesce(F.col("font_height") < F.col("above"), F.lit(False))
-    rows = rows.where(~footer)
+    footer = F.col("is_last") & T.has(T.trim(text), r"^[0-9]{1,4}\z") & F.coalesce(F.col("font_height") < F.col("above"), F.lit(False))
+    rows = rows.where(~footer).withColumn("nth", F.row_number().over(stretch).cast("long") - 1).drop("is_last", "above", "line")
     rows = stored(rows, "layout-lines")
-    ahead = scan(rows.groupBy("project", "page").agg(F.count(F.lit(1)).alias("n")), ["project"], "page", sums={"ahead": F.col("n")}).select(F.col("project").alias("of"), F.col("page").alias("at_page"), "ahead")
-    rows = rows.join(ahead, (F.col("project") == F.col("of")) & (F.col("page") == F.col("at_page"))).withColumn("nth", F.row_number().over(Window.partitionBy("project", "page").orderBy("line")))
-    return rows.select("project", (F.col("ahead") + F.col("nth") - 1).alias("line_no"), "page", "y", "font_height", "text", "cells", "is_list_item", "is_table_row")
+    before = Window.partitionBy("project").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("project", "stretch").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    later = rows.where("stretch > 0").join(ahead.where("stretch > 0"), ["project", "stretch"])  # nothing is ahead of the others, which most lines are
+    rows = rows.where("stretch = 0").withColumn("ahead", F.lit(0).cast("long")).unionByName(later)
+    rows = rows.withColumns({"line_no": F.col("ahead") + F.col("nth"), "text": text, "is_table_row": F.size("cells") >= 2})
+    rows = rows.withColumn("is_list_item", ~F.col("is_table_row") & T.has(T.trim(F.col("text")), P.NUMBERED_LINE))
+    return rows.select("project", "line_no", "page", "y", "font_height", "text", "cells", "is_list_item", "is_table_row")
 
 
 def heading(text: Column) -> Column:
@@ -99,26 +138,45 @@ def linked(rows: DataFrame) -> DataFrame:
     return found.withColumns(_links()).drop(*(f"was_{c}" for c in _BEFORE))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Classified lines with what sections and blocks need: the links to the line before, h (its heading), section (0 before the first heading), headings (of the project), role (head, title, body; a project's lines
-    before its first heading have none), starts (a block, for body). Stored.
+#: How lines of projects are gone through: the scan, and what keeps a table that is read twice.
+_Way = namedtuple("_Way", "scan kept")
+_WHOLE, _SEGMENTED = _Way(plain_scan, lambda df, name: df), _Way(scan, stored)
 
-    A section's title lines follow its heading without a break. A body line is in a list if its section's last list item comes after the last line that ends lists: a table row or a plain line that does not wrap."""
+
+def _parted(rows: DataFrame) -> list[tuple[DataFrame, _Way]]:
+    """Classified lines with h (their heading), stored, in two parts where need be: projects that fit into one segment of a scan, whose lines meet in one place by one shuffle, and larger ones, which go by segments."""
     # Few lines begin like a heading: the others are spared its patterns.
     likely = ~F.col("is_table_row") & T.has(F.col("text"), rf"(?i)^{P.SPACE}*(introduction|conclusion|chapter|bonus)")
     rows = stored(rows.withColumn("h", F.when(likely, heading(F.col("text")))), "layout-classified")
+    large = stored(rows.groupBy("project").agg(F.max("line_no").alias("last")).where(F.col("last") >= scans.SEGMENT).select("project"), "layout-large")
+    if large.isEmpty():
+        return [(rows, _WHOLE)]
+    large = F.broadcast(large)  # one project for each SEGMENT lines at most
+    return [(rows.join(large, "project", "left_anti"), _WHOLE), (rows.join(large, "project", "left_semi"), _SEGMENTED)]
+
+
+def _over(rows: DataFrame, make: Callable[[DataFrame, _Way], DataFrame]) -> DataFrame:
+    """make() of the numbered lines of each part."""
+    return reduce(DataFrame.unionByName, [make(_numbered(part, way), way) for part, way in _parted(rows)])
+
+
+def _numbered(rows: DataFrame, way: _Way) -> DataFrame:
+    """Classified lines with what sections and blocks need: the links to the line before, h (its heading), section (0 before the first heading), headings (of the project), role (head, title, body; a project's lines
+    before its first heading have none), starts (a block, for body).
+
+    A section's title lines follow its heading without a break. A body line is in a list if its section's last list item comes after the last line that ends lists: a table row or a plain line that does not wrap."""
     is_head = F.col("h.kind").isNotNull()
     flags = {"was_head": is_head, "was_table": F.col("is_table_row"), "was_item": F.col("is_list_item")}
     one = F.when(is_head, 1).otherwise(0)
-    rows = scan(rows, ["project"], "line_no", sums={"section": one}, previous={f"was_{c}": F.col(c) for c in _BEFORE} | flags, totals={"headings": one})
+    rows = way.scan(rows, ["project"], "line_no", sums={"section": one}, previous={f"was_{c}": F.col(c) for c in _BEFORE} | flags, totals={"headings": one})
     rows = rows.withColumns(_links()).withColumn("section", F.col("section") + one).drop(*(f"was_{c}" for c in _BEFORE))
-    rows = stored(rows, "layout-linked")
+    rows = way.kept(rows, "layout-linked")
     at = F.col("line_no")
     plain = ~F.col("is_list_item") & ~F.col("is_table_row")
     goes_on = is_head | plain & (F.col("was_head") | F.col("wraps"))
     untitled = F.col("h.kind").isin("chapter", "bonus") & (F.col("h.inline_title") == "")
     ends_list = F.col("is_table_row") | plain & ~F.col("list_wraps")
-    rows = scan(rows, ["project"], "line_no", maxima={
+    rows = way.scan(rows, ["project"], "line_no", maxima={
         "head_at": F.when(is_head, at), "untitled_at": F.when(untitled, at), "break_at": F.when(~F.coalesce(goes_on, F.lit(False)), at), "item_at": F.when(F.col("is_list_item"), at), "end_at": F.when(F.coalesce(ends_list, F.lit(False)), at),
     })
     after = lambda a, b: F.coalesce(F.col(a), F.lit(-1)) > F.coalesce(F.col(b), F.lit(-1))
@@ -130,7 +188,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     mode = F.when(first, "").when(F.col("was_table"), "table").when(F.col("was_item") | listed, "list").otherwise("paragraph")
     rows = rows.withColumns({"role": role, "mode": mode})
     rows = rows.withColumn("starts", F.when(F.col("role") == "body", ~_goes_on(F.col("mode"))))
-    return stored(rows.drop("mode", "head_at", "untitled_at", "break_at", "item_at", "end_at", *flags), "layout-numbered")
+    return way.kept(rows.drop("mode", "head_at", "untitled_at", "break_at", "item_at", "end_at", *flags), "layout-numbered")
 
 
 def _goes_on(mode: Column) -> Column:
@@ -146,11 +204,11 @@ def _goes_on(mode: Column) -> Column:
 def sections(rows: DataFrame) -> DataFrame:
     """Classified lines to sections: project, section, kind, number, title, from_next, heading_text, start_page, end_page, n_body (lines). Lines before the first
     heading belong to none; an empty section just before one of the same kind, title and number is dropped."""
-    return _all_sections(numbered(rows)).where("NOT orphan").drop("orphan")
+    return _over(rows, lambda lines_, way: _all_sections(lines_, way).where("NOT orphan").drop("orphan"))
 
 
-def _all_sections(lines_: DataFrame) -> DataFrame:
-    """lines_: numbered(). sections() with `orphan` for those that it drops."""
+def _all_sections(lines_: DataFrame, way: _Way) -> DataFrame:
+    """lines_: _numbered(). sections() with `orphan` for those that it drops."""
     is_role = lambda r: F.col("role") == r
     title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_role("title"), F.struct("line_no", T.trim(F.col("text")).alias("t"))))), lambda x: x["t"]), " ")
     out = lines_.where("section > 0").groupBy("project", "section").agg(
@@ -160,11 +218,13 @@ def _all_sections(lines_: DataFrame) -> DataFrame:
     named = F.when(kind == "introduction", "Introduction").when(kind == "conclusion", "Conclusion").when(F.col("top.h.inline_title") != "", F.col("top.h.inline_title")).otherwise(F.col("next_title"))
     end = F.coalesce("last.page", "top.page")
     out = out.select("project", "section", kind.alias("kind"), F.col("top.h.number").alias("number"), named.alias("title"), (F.col("next_title") != "").alias("from_next"), F.col("top.text").alias("heading_text"), F.col("top.page").alias("start_page"), end.alias("end_page"), "n_body")
-    out = stored(out, "layout-sections")
     what = F.struct("kind", "title", "number")
+    same = lambda following: F.coalesce((F.col("n_body") == 0) & following.eqNullSafe(what) & following.isNotNull(), F.lit(False))
+    if way is _WHOLE:
+        return out.withColumn("following", F.lead(what).over(Window.partitionBy("project").orderBy("section"))).withColumn("orphan", same(F.col("following"))).drop("following")
+    out = stored(out, "layout-sections")
     following = out.select(F.col("project").alias("of"), (F.col("section") - 1).alias("before"), what.alias("following"))
-    orphan = F.coalesce((F.col("n_body") == 0) & F.col("following").eqNullSafe(what) & F.col("following").isNotNull(), F.lit(False))
-    return out.join(following, (F.col("project") == F.col("of")) & (F.col("section") == F.col("before")), "left").withColumn("orphan", orphan).drop("of", "before", "following")
+    return out.join(following, (F.col("project") == F.col("of")) & (F.col("section") == F.col("before")), "left").withColumn("orphan", same(F.col("following"))).drop("of", "before", "following")
 
 
 def blocks(found: DataFrame, key: str = "section") -> DataFrame:
@@ -176,7 +236,7 @@ def blocks(found: DataFrame, key: str = "section") -> DataFrame:
     listed = F.coalesce(F.col("item_at"), F.lit(-1)) > F.coalesce(F.col("end_at"), F.lit(-1))
     mode = F.when(F.col("was_table").isNull(), "").when(F.col("was_table"), "table").when(F.col("was_item") | listed, "list").otherwise("paragraph")
     rows = rows.withColumn("mode", mode).withColumn("starts", ~_goes_on(F.col("mode")))
-    return _kept(_all_blocks(stored(rows, "layout-starts"), key), key)
+    return _kept(_all_blocks(stored(rows, "layout-starts"), _SEGMENTED, key), key)
 
 
 def _kept(rows: DataFrame, key: str = "section") -> DataFrame:
@@ -185,17 +245,17 @@ def _kept(rows: DataFrame, key: str = "section") -> DataFrame:
 
 def section_blocks(rows: DataFrame) -> DataFrame:
     """Classified lines to the blocks of their sections: blocks() of sections of any size."""
-    return _kept(_all_blocks(_body(numbered(rows)).where("section > 0")))
+    return _over(rows, lambda lines_, way: _kept(_all_blocks(_body(lines_).where("section > 0"), way)))
 
 
 def _body(lines_: DataFrame) -> DataFrame:
     return lines_.where("role = 'body'")
 
 
-def _all_blocks(rows: DataFrame, key: str = "section") -> DataFrame:
-    """rows: body lines with starts; read twice. blocks() with `again` for paragraphs that it drops, and `leaked` for callouts that it repairs."""
+def _all_blocks(rows: DataFrame, way: _Way, key: str = "section") -> DataFrame:
+    """rows: body lines with starts; read twice by segments. blocks() with `again` for paragraphs that it drops, and `leaked` for callouts that it repairs."""
     number = lambda c: F.col(c).cast("int")
-    rows = scan(rows, ["project", key], "line_no", sums={"starts_before": number("starts"), "items_before": number("is_list_item")})
+    rows = way.scan(rows, ["project", key], "line_no", sums={"starts_before": number("starts"), "items_before": number("is_list_item")})
     rows = rows.withColumns({"block_no": F.col("starts_before") + number("starts") - 1, "item": F.col("items_before") + number("is_list_item")})
     # Lines to list items (a paragraph or a table is one), items to blocks: each in one group-by.
     inner = F.array_sort(F.collect_list(F.struct("line_no", T.trim(F.col("text")).alias("t"), "cells")))
@@ -211,19 +271,24 @@ def _all_blocks(rows: DataFrame, key: str = "section") -> DataFrame:
     promoted = (F.col("type") == "paragraph") & F.startswith(T.trim(F.col("text")), F.lit("•")) & (F.size(run) >= 2)
     rows = rows.withColumns({"promoted": promoted, "run": run})
     rows = rows.select("project", key, "block_no", F.when(F.col("promoted"), "list").otherwise(F.col("type")).alias("type"), "text", F.when(F.col("promoted"), F.col("run")).when(F.col("type") == "list", F.col("items")).alias("items"), F.when(F.col("type") == "table", F.col("rows")).alias("rows"), "leaked")
-    rows = scan(stored(rows, "layout-blocks"), ["project", key], "block_no", previous={"was_type": F.col("type"), "was_text": F.col("text")})
+    rows = way.scan(way.kept(rows, "layout-blocks"), ["project", key], "block_no", previous={"was_type": F.col("type"), "was_text": F.col("text")})
     again = (F.col("type") == "paragraph") & F.coalesce((F.col("was_type") == F.col("type")) & (F.col("was_text") == F.col("text")), F.lit(False))
     return rows.withColumn("again", again).drop("was_type", "was_text")
 
 
 def warnings(rows: DataFrame) -> DataFrame:
     """What files() leaves out, repairs or cannot tell: project, rule, section (null: the whole project), detail."""
-    lines_ = numbered(rows)
-    found = stored(_all_sections(lines_), "layout-all-sections")
+    return _over(rows, _warnings)
+
+
+def _warnings(lines_: DataFrame, way: _Way) -> DataFrame:
+    lines_ = lines_ if way is _SEGMENTED else stored(lines_, "layout-numbered")  # read several times
+    found = stored(_all_sections(lines_, way), "layout-all-sections")
     whole = F.lit(None).cast("bigint").alias("section")
     per = lines_.groupBy("project").agg(F.count_if(F.col("section") == 0).alias("n"), F.max("section").alias("last"))
     row = lambda df, rule, section, detail: df.select("project", F.lit(rule).alias("rule"), section, detail.cast("string").alias("detail"))
-    parts = stored(_all_blocks(_body(lines_).where("section > 0")), "layout-all-blocks")
+    parts = _all_blocks(_body(lines_).where("section > 0"), way).where(F.col("again") | F.col("leaked") | T.has(F.col("text"), P.C1))
+    parts = stored(parts.select("project", "section", "text", "again", "leaked"), "layout-all-blocks")
     return reduce(DataFrame.unionByName, [
         row(per.where("last > 0 AND n > 0"), "lines-before-first-heading", whole, F.col("n")),
         row(per.where("last = 0"), "no-heading", whole, F.col("n")),
@@ -238,25 +303,31 @@ def warnings(rows: DataFrame) -> DataFrame:
 def files(rows: DataFrame) -> DataFrame:
     """Classified lines to Markdown files and inventory: project, entry_kind, pos, id, type, number, title, file, start_page, end_page, words, markdown.
     A project without a heading gives one unclassified file of its whole text."""
-    lines_ = numbered(rows)
-    found = _all_sections(lines_).where("NOT orphan").drop("orphan")
-    every = _kept(_all_blocks(_body(lines_)))
-    # Section 0 is there for projects without a heading alone.
-    md = F.when(F.col("type") == "paragraph", F.col("text")).when(F.col("type") == "list", F.when(F.col("section") > 0, T.list_markdown(F.col("items"))).otherwise(F.array_join("items", "\n"))).otherwise(T.table_markdown(F.col("rows")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", md.alias("md")))), lambda b: b["md"]), "\n\n")
-    bodies = stored(every.groupBy("project", "section").agg(text.alias("body_md")), "layout-texts")
-    out = found.drop("n_body").join(bodies.where("section > 0"), ["project", "section"], "left")
+    return _over(rows, _files)
+
+
+def _files(lines_: DataFrame, way: _Way) -> DataFrame:
+    lines_ = lines_ if way is _SEGMENTED else stored(lines_, "layout-numbered")  # read several times
+    found = _all_sections(lines_, way).where("NOT orphan").drop("orphan")
+
+    def texts(some: DataFrame) -> DataFrame:
+        # Section 0 is there for projects without a heading alone.
+        md = F.when(F.col("type") == "paragraph", F.col("text")).when(F.col("type") == "list", F.when(F.col("section") > 0, T.list_markdown(F.col("items"))).otherwise(F.array_join("items", "\n"))).otherwise(T.table_markdown(F.col("rows")))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", md.alias("md")))), lambda b: b["md"]), "\n\n")
+        return _kept(_all_blocks(_body(some), way)).groupBy("project", "section").agg(text.alias("body_md"))
+
+    out = found.drop("n_body").join(texts(lines_.where("section > 0")), ["project", "section"], "left")
     parts = F.array_compact(F.array(F.concat(F.lit("# "), "heading_text"), F.when(F.col("from_next"), F.concat(F.lit("## "), "title")), F.col("body_md")))
     name = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("heading_text"))
     is_bonus = F.col("kind") == "bonus"
-    places = scan(found.select("project", "section", is_bonus.alias("is_bonus")), ["project", "is_bonus"], "section", sums={"pos": F.lit(1)}).select(F.col("project").alias("of"), F.col("section").alias("in"), F.col("pos").cast("int").alias("pos"))
+    places = way.scan(found.select("project", "section", is_bonus.alias("is_bonus")), ["project", "is_bonus"], "section", sums={"pos": F.lit(1)}).select(F.col("project").alias("of"), F.col("section").alias("in"), F.col("pos").cast("int").alias("pos"))
     out = out.join(places, (F.col("project") == F.col("of")) & (F.col("section") == F.col("in"))).withColumns({"markdown": F.concat(F.array_join(parts, "\n\n"), F.lit("\n")), "name": name})
     slug = F.when(T.slug(F.col("name")) != "", T.slug(F.col("name"))).otherwise(F.when(is_bonus, F.concat(F.lit("bonus-"), F.col("pos").cast("string"))).otherwise(F.col("kind")))
     id_ = F.when(is_bonus, slug).otherwise(F.concat(T.padded(F.col("pos")), F.lit("-"), slug))
     out = out.withColumn("id", id_)
     out = out.select("project", F.when(is_bonus, "bonus").otherwise("chapter").alias("entry_kind"), "pos", "id", F.when(~is_bonus, F.col("kind")).alias("type"), "number", F.col("name").alias("title"), F.concat(F.when(is_bonus, "bonuses/raw/").otherwise("chapters/"), "id", F.lit(".md")).alias("file"), "start_page", "end_page", "markdown")
     pages = lines_.where("headings = 0").groupBy(F.col("project").alias("of")).agg(F.max("page").alias("pages"))
-    whole = bodies.where("section = 0").join(pages, F.col("project") == F.col("of")).select("project", "pages", F.concat("body_md", F.lit("\n")).alias("markdown"))
+    whole = texts(lines_.where("headings = 0")).join(pages, F.col("project") == F.col("of")).select("project", "pages", F.concat("body_md", F.lit("\n")).alias("markdown"))
     rest = whole.select("project", F.lit("chapter").alias("entry_kind"), F.lit(0).alias("pos"), F.lit("00-full-text").alias("id"), F.lit("unclassified").alias("type"), F.lit(None).cast("int").alias("number"), F.lit("Full text").alias("title"), F.lit("chapters/00-full-text.md").alias("file"), F.lit(1).cast("int").alias("start_page"), F.col("pages").cast("int").alias("end_page"), "markdown")
     return out.unionByName(rest).withColumn("words", T.word_count(F.col("markdown")))
 

@@ -44,3 +44,11 @@ def scan(rows: DataFrame, keys: list[str], at: str, sums: dict[str, Column] | No
         *[c for c in rows.columns if c != segment], *((F.col(f"in_{n}") + F.col(f"own_{n}")).alias(n) for n in sums), *(F.greatest(f"in_{n}", f"own_{n}").alias(n) for n in maxima),
         *(before_row[n].alias(n) for n in previous), *(F.col(f"in_{n}").alias(n) for n in totals),
     )
+
+
+def plain_scan(rows: DataFrame, keys: list[str], at: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, previous: dict[str, Column] | None = None, totals: dict[str, Column] | None = None) -> DataFrame:
+    """scan() for groups of bounded size: a group is one window, and rows that lie together by some of the keys are not shuffled again."""
+    group, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(at)
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    found = {n: F.coalesce(F.sum(c).over(ahead), F.lit(0)) for n, c in (sums or {}).items()} | {n: F.max(c).over(ahead) for n, c in (maxima or {}).items()}
+    return rows.withColumns(found | {n: F.lag(c).over(order) for n, c in (previous or {}).items()} | {n: F.sum(c).over(group) for n, c in (totals or {}).items()})

@@ -48,6 +48,21 @@ def test_cells_by_gap(spark):
     assert found.cells == ["ab c", "d"]
 
 
+def test_lines_go_on_over_batches(spark):
+    """Lines are the same however many rows a batch of items has; blank items alone give one empty cell. Items are shuffled once."""
+    rows = [(1 + i // 40, c, i % 40 % 9 * 7, 100 - i % 40 // 9 * 1.5, 3 + i % 4) for i, c in enumerate("ab c  d,e f ghi " * 20)] + [(99, " ", 5, 50, 5), (99, " ", 9, 50, 5)]
+    df, before = items(spark, rows), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = layout.lines(df).collect()
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        assert sorted(layout.lines(df).collect()) == sorted(whole)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.cells for r in whole if r.page == 99] == [[""]]
+    plan = layout.lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_footers_go(spark):
     rows = [("p", 1, 0, 700.0, 12.0, ["Text"]), ("p", 1, 1, 20.0, 8.0, ["12"]), ("p", 2, 0, 700.0, 12.0, ["Text"]), ("p", 2, 1, 20.0, 12.0, ["12"])]
     df = spark.createDataFrame(rows, "project string, page int, line int, y double, font_height double, cells array<string>")

@@ -84,3 +84,18 @@ def test_a_section_of_a_third_of_all_lines(spark, monkeypatch, segment):
     assert got == want
     files = layout.files(df)
     assert files.where("project = 'bare'").count() == 1 and files.where("project = 'hot'").count() == 1
+
+
+def test_small_projects_are_stored_twice_at_most(spark, monkeypatch):
+    """Projects of one segment go through windows by project, larger ones by segments: the same files and warnings, in parts or alone."""
+    r, names, store = random.Random(5), [], layout.stored
+    monkeypatch.setattr(layout, "stored", lambda df, name: (names.append(name), store(df, name))[1])
+    texts = ["Chapter 1: One", "BONUS", "Introduction", "Introduction", "words", "Same.", "Same.", "• a • b", "1. item", "and more"]
+    rows = [(p, i, 1 + i // 6, 700.0 - 25 * (i % 6), float(r.choice([12, 12, 18])), t, [t], t == "1. item", False) for p, n in (("long", 60), ("short", 9), ("one", 1)) for i, t in ((i, r.choice(texts if p != "one" else texts[4:])) for i in range(n))]
+    df = spark.createDataFrame(rows, "project string, line_no int, page int, y double, font_height double, text string, cells array<string>, is_list_item boolean, is_table_row boolean").repartition(3)
+    every = lambda: [sorted(map(repr, found.collect())) for found in (layout.files(df), layout.warnings(df), layout.sections(df), layout.section_blocks(df))]
+    whole = every()
+    assert names.count("layout-numbered") == 2 and "layout-linked" not in names and "layout-blocks" not in names
+    for segment in (2, 20):
+        monkeypatch.setattr(scans, "SEGMENT", segment)
+        assert every() == whole
