@@ -28,8 +28,12 @@ def leaked_lines(spark, d):
     return joins.contained_lines(lines, texts)
 
 
+def _each_word(df, *keys):
+    return df.select(*keys, F.explode(T.words(F.coalesce("text", F.lit("")))).alias("word"), F.lit(1).cast("long").alias("n"))
+
+
 def _words(df, *keys):
-    return df.select(*keys, F.explode(T.words(F.coalesce("text", F.lit("")))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    return _each_word(df, *keys).groupBy(*keys, "word").agg(F.sum("n").alias("n"))
 
 
 def draws(spark, d):
@@ -43,7 +47,7 @@ def draws(spark, d):
 def coverages(spark, d):
     """Documents as groups of a language, in the order of ids, draw from the language's own pool of which each fifth word has one occurrence too few."""
     docs = lift.table(spark, d, "documents").select(F.col("lang").alias("project"), F.col("doc_id").cast("string").alias("name"), F.col("doc_id").alias("priority"), F.coalesce("text", F.lit("")).alias("text"))
-    words = _words(docs, "project", "name", "priority")
+    words = _each_word(docs, "project", "name", "priority")
     pool = words.groupBy("project", "word").agg((F.sum("n") - F.when(F.length("word") % 5 == 0, 1).otherwise(0)).alias("n"))
     return joins.coverage(joins.drawn(pool, words))
 

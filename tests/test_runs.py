@@ -158,3 +158,12 @@ def test_joins_with_one_key_for_a_third(spark):
         want[name] = want.get(name, 0) + taken
     drawn = joins.drawn(spark.createDataFrame(pool, "project string, word string, n long"), spark.createDataFrame(groups, "project string, name string, priority int, word string, n long").repartition(5))
     assert {r.name: r.matched for r in drawn.collect()} == want
+
+
+def test_only_scarce_words_are_put_in_order(spark, monkeypatch):
+    stored, store = {}, joins.stored
+    monkeypatch.setattr(joins, "stored", lambda df, name: stored.setdefault(name, store(df, name)))
+    groups = spark.createDataFrame([("p", f"g{i}", i, w, 1) for i in range(6) for w in ("enough", "few", "few")], "project string, name string, priority int, word string, n long")
+    drawn = joins.drawn(spark.createDataFrame([("p", "enough", 6), ("p", "few", 3)], "project string, word string, n long"), groups).collect()
+    assert {r.name: (r.matched, r.total) for r in drawn} == {f"g{i}": (1 + max(0, min(2, 3 - 2 * i)), 3) for i in range(6)}
+    assert {r.word for r in stored["drawn-words"].collect()} == {"few"}
