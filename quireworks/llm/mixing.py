@@ -104,7 +104,7 @@ def cut(copies: DataFrame, budget: int) -> DataFrame:
     whole = copies.join(F.broadcast(ranges.where(F.col("ahead") + F.col("words") <= budget).select("range")), "range").select("source", "start")
     last = copies.join(F.broadcast(ranges.where((F.col("ahead") < budget) & (F.col("ahead") + F.col("words") > budget)).select("range", "ahead")), "range")
     running = F.coalesce(F.sum("size").over(Window.partitionBy("range").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    some = last.withColumn("before", F.col("ahead") + running).where(2 * F.col("before") + F.col("size") <= 2 * F.lit(budget)).select("source", "start")
+    some = last.withColumn("before", F.col("ahead") + running).where(2 * F.col("before") + F.col("size") <= F.lit(2 * budget)).select("source", "start")
     return whole.unionByName(some).groupBy(F.col("source").alias("aim_source")).agg(F.max("start").alias("taken_to"))
 
 

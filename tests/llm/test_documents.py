@@ -206,6 +206,14 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixture(empty).count() == 0
 
 
+def test_mixing_of_many_words(spark):
+    """A budget of more than 2 ** 30 words: twice that is no int."""
+    size = 100_000_000
+    sizes = spark.range(15).selectExpr("'a' AS source", "id AS doc_id", f"{size}L AS size", "1L AS n", f"id * {size} AS start")
+    found = mixing.cut(mixing.schedule(sizes, mixing.targets(sizes)), 15 * size).collect()
+    assert [tuple(r) for r in found] == [("a", 14 * size)]
+
+
 def test_round_trip(docs, rows, empty):
     tokenizer = Tokenizer.from_file(PATH)
     want = []
