@@ -26,11 +26,15 @@ def _get(value: Column, kind: str, path: str = "$") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def _step(name: str) -> str:
-    """The step to a property in the path of a variant."""
+def _let(value: Column, then) -> Column:
+    """then(x), an array, with x standing for the value, which is computed once however often `then` names it."""
+    return F.flatten(F.transform(F.array(value), then))
+
+
+def _checked_name(name: str) -> str:
     if "'" in name or "\\" in name:
         raise ValueError(f"property {name!r}: quotes and backslashes are not supported")
-    return f"['{name}']"
+    return name
 
 
 def _said(value) -> str:
@@ -42,16 +46,19 @@ def pointer(name: str) -> str:
 
 
 class _Value:
-    """What is at a path of a variant, with its type's name and its value as number, text, list and map. Paths start at a document or a list's element, so expressions do not grow with the depth."""
-
-    def __init__(self, base: Column, path: str):
-        self.base, self.path = base, path
-        self.value = base if path == "$" else _get(base, "variant", path)
-        self.kind = F.schema_of_variant(self.value)
-        self.number = F.when(F.regexp_like(self.kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")), _get(base, "double", path))
-        self.text = F.when(self.kind == "STRING", _get(base, "string", path))
-        self.list = _get(base, "array<variant>", path)
-        self.map = F.when(self.kind.startswith("OBJECT"), _get(base, "map<string,variant>", path))
+    """A variant with its type's name and its value as number and text, and as list and map where a schema asks for these. Telling a list or a map does not read what is in it."""
+
+    def __init__(self, value: Column, kind: Column, list_: Column | None = None, map_: Column | None = None):
+        self.value, self.list, self.map = value, list_, map_
+        self.kind = kind
+        self.number = F.when(self._starts("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _get(value, "double"))
+        self.text = F.when(kind == "STRING", _get(value, "string"))
+
+    def _starts(self, *names: str) -> Column:
+        out = F.startswith(self.kind, F.lit(names[0]))
+        for name in names[1:]:
+            out = out | F.startswith(self.kind, F.lit(name))
+        return out
 
     def is_a(self, name: str) -> Column:
         if name == "integer":
@@ -59,18 +66,21 @@ class _Value:
         if name == "number":
             return self.number.isNotNull()
         starts = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}
-        return self.kind.startswith(starts[name])
+        return self._starts(starts[name])
 
-    def equals(self, wanted) -> Column:
-        if wanted is None:
-            return self.is_a("null")
-        if isinstance(wanted, bool):
-            return F.coalesce(F.when(self.kind == "BOOLEAN", _get(self.base, "boolean", self.path)) == wanted, F.lit(False))
-        if isinstance(wanted, (int, float)):
-            return F.coalesce(self.number == float(wanted), F.lit(False))
-        if isinstance(wanted, str):
-            return F.coalesce(self.text == wanted, F.lit(False))
-        raise ValueError(f"{wanted!r}: lists and objects are not supported in enum and const")
+    def equals_any(self, wanted: list) -> Column:
+        out = F.lit(False)
+        for value in wanted:
+            if value is None:
+                out = out | self.is_a("null")
+            elif isinstance(value, bool):
+                out = out | F.coalesce(F.when(self.kind == "BOOLEAN", _get(self.value, "boolean")) == value, F.lit(False))
+            elif isinstance(value, (int, float)):
+                out = out | F.coalesce(self.number == float(value), F.lit(False))
+            elif not isinstance(value, str):
+                raise ValueError(f"{value!r}: lists and objects are not supported in enum and const")
+        texts = [value for value in wanted if isinstance(value, str)]
+        return out | F.coalesce(self.text.isin(texts), F.lit(False)) if texts else out
 
 
 def _resolved(schema: dict, root: dict, seen: tuple[str, ...]) -> tuple[dict, tuple[str, ...]]:
@@ -85,73 +95,97 @@ def _resolved(schema: dict, root: dict, seen: tuple[str, ...]) -> tuple[dict, tu
     return schema, seen
 
 
-def errors(base: Column, schema: dict, at: Column | str = "", root: dict | None = None, _path: str = "$", _seen: tuple[str, ...] = ()) -> Column:
+def errors(value: Column, schema: dict, at: Column | str = "", root: dict | None = None, _seen: tuple[str, ...] = ()) -> Column:
     """The errors of a variant (null: absent, no errors): an array of path, keyword, detail. at: its path."""
     root, at = root or schema, F.lit(at) if isinstance(at, str) else at
     schema, seen = _resolved(schema, root, _seen)
     if unknown := schema.keys() - _KNOWN - _SILENT:
         raise ValueError(f"keywords that are not supported: {', '.join(sorted(unknown))}")
-    x = _Value(base, _path)
+    none = F.array().cast(_ERRORS)
+    names = schema.get("type", [])
+    names = names if isinstance(names, list) else [names]
+    opened = [F.lit(None).cast("array<variant>"), F.lit(None).cast("map<string,variant>")]
+    if "array" in names or schema.keys() & {"items", "minItems", "maxItems"}:
+        opened[0] = "array<variant>"
+    if "object" in names or schema.keys() & {"properties", "required", "additionalProperties"}:
+        opened[1] = "map<string,variant>"
+
+    def looked(v: Column) -> Column:
+        if not schema.keys() & _KNOWN:
+            return none
+        if all(isinstance(x, Column) for x in opened):
+            return _let(F.schema_of_variant(v), lambda kind: _found(_Value(v, kind), schema, names, at, root, seen))
+        list_, map_ = (x if isinstance(x, Column) else _get(v, x) for x in opened)
+
+        def inside(x: Column) -> Column:
+            kind = F.when(x["map"].isNotNull(), "OBJECT").when(x["list"].isNotNull(), "ARRAY").otherwise(F.schema_of_variant(v))
+            return _found(_Value(v, kind, x["list"], x["map"]), schema, names, at, root, seen)
+
+        return _let(F.struct(list_.alias("list"), map_.alias("map")), inside)
+
+    return _let(value, lambda v: F.when(v.isNull(), none).otherwise(looked(v)))
+
+
+def _found(x: _Value, schema: dict, names: list[str], at: Column, root: dict, seen: tuple[str, ...]) -> Column:
+    """The errors of a value that is there."""
+    none = F.array().cast(_ERRORS)
     found: list[Column] = []
 
     def ask(keyword: str, holds: Column, detail) -> None:
         found.append(F.when(~holds, F.struct(at.alias("path"), F.lit(keyword).alias("keyword"), F.lit(_said(detail)).alias("detail"))))
 
-    def any_of(conditions: list[Column]) -> Column:
-        out = F.lit(False)
-        for c in conditions:
-            out = out | c
-        return out
-
-    if "type" in schema:
-        names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        ask("type", any_of([x.is_a(n) for n in names]), ", ".join(names))
+    if names:
+        holds = x.is_a(names[0])
+        for name in names[1:]:
+            holds = holds | x.is_a(name)
+        ask("type", holds, ", ".join(names))
     if "enum" in schema:
-        ask("enum", any_of([x.equals(v) for v in schema["enum"]]), ", ".join(map(_said, schema["enum"])))
+        ask("enum", x.equals_any(schema["enum"]), ", ".join(map(_said, schema["enum"])))
     if "const" in schema:
-        ask("const", x.equals(schema["const"]), schema["const"])
+        ask("const", x.equals_any([schema["const"]]), schema["const"])
     if "pattern" in schema:
         ask("pattern", F.regexp_like(x.text, F.lit(re.sub(r"(?<!\\)\$\Z", r"\\z", schema["pattern"]))), schema["pattern"])
-    size, items = F.char_length(x.text), F.size(x.list)
+    size, items = F.char_length(x.text), None if x.list is None else F.when(x.list.isNotNull(), F.size(x.list))
     for keyword, of, holds in [
         ("minLength", size, lambda a, b: a >= b), ("maxLength", size, lambda a, b: a <= b), ("minimum", x.number, lambda a, b: a >= b), ("maximum", x.number, lambda a, b: a <= b),
-        ("exclusiveMinimum", x.number, lambda a, b: a > b), ("exclusiveMaximum", x.number, lambda a, b: a < b), ("minItems", F.when(x.list.isNotNull(), items), lambda a, b: a >= b), ("maxItems", F.when(x.list.isNotNull(), items), lambda a, b: a <= b),
+        ("exclusiveMinimum", x.number, lambda a, b: a > b), ("exclusiveMaximum", x.number, lambda a, b: a < b), ("minItems", items, lambda a, b: a >= b), ("maxItems", items, lambda a, b: a <= b),
     ]:
         if keyword in schema:
             ask(keyword, holds(of, schema[keyword]), schema[keyword])
     for name in schema.get("required", []):
-        ask("required", ~x.is_a("object") | _get(base, "variant", _path + _step(name)).isNotNull(), name)
+        ask("required", F.map_contains_key(x.map, _checked_name(name)), name)
 
     parts = [F.array_compact(F.array(*found)).cast(_ERRORS)] if found else []
     known = schema.get("properties", {})
     for name, inner in known.items():
         if _resolved(inner, root, seen)[0]:
-            parts.append(errors(base, inner, F.concat(at, F.lit(pointer(name))), root, _path + _step(name), seen))
+            parts.append(errors(F.try_element_at(x.map, F.lit(_checked_name(name))), inner, F.concat(at, F.lit(pointer(name))), root, seen))
     more = schema.get("additionalProperties", True)
-    names = F.array(*map(F.lit, known)).cast("array<string>")
+    fields = F.array(*map(F.lit, known)).cast("array<string>")
     if more is False:
-        extra = F.array_sort(F.array_except(F.map_keys(x.map), names))
+        extra = F.array_sort(F.array_except(F.map_keys(x.map), fields))
         parts.append(F.transform(extra, lambda n: F.struct(at.alias("path"), F.lit("additionalProperties").alias("keyword"), n.alias("detail"))).cast(_ERRORS))
     elif isinstance(more, dict) and more:
         escaped = lambda n: F.concat(at, F.lit("/"), F.replace(F.replace(n, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
-        extra = F.filter(F.array_sort(F.map_keys(x.map)), lambda n: ~F.array_contains(names, n))
-        parts.append(F.flatten(F.transform(extra, lambda n: errors(F.element_at(x.map, n), more, escaped(n), root, "$", seen))))
+        extra = F.array_sort(F.filter(F.map_entries(x.map), lambda e: ~F.array_contains(fields, e["key"])), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        parts.append(F.flatten(F.transform(extra, lambda e: errors(e["value"], more, escaped(e["key"]), root, seen))))
     if schema.get("items"):
-        parts.append(F.flatten(F.transform(x.list, lambda v, i: errors(v, schema["items"], F.concat(at, F.lit("/"), i.cast("string")), root, "$", seen))))
-    none = F.array().cast(_ERRORS)
-    if not parts:
-        return none
-    return F.when(x.value.isNull(), none).otherwise(F.concat(*(F.coalesce(p, none) for p in parts)))
+        parts.append(F.flatten(F.transform(x.list, lambda v, i: errors(v, schema["items"], F.concat(at, F.lit("/"), i.cast("string")), root, seen))))
+    return F.concat(*(F.coalesce(p, none) for p in parts)) if parts else none
 
 
 def violations(rows: DataFrame, json: str, schema: dict, at: Column | str = "", root: dict | None = None) -> DataFrame:
     """rows with a column of JSON texts: the other columns, path, keyword, detail, one row for each error. For parts of a document: at is their place, root the schema that holds the definitions."""
     # The parser stops at a value's end; whatever follows that spoils the list or the object around it.
+    # Each step is a column of its own: a generator computes whatever its expression repeats as often as it is there.
     alone, inside = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"":'), json, F.lit("}")))
-    value = F.when(inside.isNotNull() & (F.size(_get(alone, "array<variant>")) == 1), _get(alone, "variant", "$[0]"))
+    others = [F.col(f"`{c}`") for c in rows.columns if c != json]
+    rows = rows.select(*others, _get(alone, "array<variant>").alias("variant_of_list"), inside.isNotNull().alias("variant_is_whole"))
+    value = F.when(F.col("variant_is_whole") & (F.size("variant_of_list") == 1), F.get("variant_of_list", F.lit(0)))
+    rows, value = rows.select(*others, value.alias("variant_value")), F.col("variant_value")
     broken = F.array(F.struct((F.lit(at) if isinstance(at, str) else at).alias("path"), F.lit("json").alias("keyword"), F.lit("a JSON text").alias("detail"))).cast(_ERRORS)
     found = F.when(value.isNull(), broken).otherwise(errors(value, schema, at, root))
-    return rows.select(*[c for c in rows.columns if c != json], F.inline(found))
+    return rows.select(*others, F.inline(found))
 
 
 def checked(rows: DataFrame, json: str, schema: dict) -> DataFrame:

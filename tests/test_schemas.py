@@ -78,6 +78,15 @@ def test_refusals(spark):
             found(spark, schema, "1")
 
 
+@pytest.mark.parametrize("schema", [rules.INVENTORY, rules.PAGE_PLAN, rules.CONFIG, rules.REPORT])
+def test_work_for_a_document(spark, schema):
+    """A document is parsed twice, however many places its form has, and the type of a value is looked up once."""
+    places = lambda s: 1 + sum(map(places, s.get("properties", {}).values())) + (places(s["items"]) if "items" in s else 0) + (places(more) if isinstance(more := s.get("additionalProperties"), dict) else 0)
+    rows = spark.createDataFrame([("{}",), ("[]",)], "json string").repartition(2)
+    plan = violations(rows, "json", schema)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2 and plan.count("schemaOfVariant") <= places(schema)
+
+
 def test_forms(spark, tmp_path):
     chapter = {"id": "01-a", "type": "chapter", "number": None, "title": "A", "file": "chapters/01-a.md", "startPage": 1, "endPage": 2, "wordCount": 0}
     bonus = {k: v for k, v in chapter.items() if k not in ("type", "number")}
