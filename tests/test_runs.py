@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,21 @@ def test_only_scarce_words_are_put_in_order(spark, monkeypatch):
     drawn = joins.drawn(spark.createDataFrame([("p", "enough", 6), ("p", "few", 3)], "project string, word string, n long"), groups).collect()
     assert {r.name: (r.matched, r.total) for r in drawn} == {f"g{i}": (1 + max(0, min(2, 3 - 2 * i)), 3) for i in range(6)}
     assert {r.word for r in stored["drawn-words"].collect()} == {"few"}
+
+
+def test_grams(spark):
+    """All substrings of the sizes, in time that grows with the text: one of 400,000 characters took minutes when each substring was sought from the text's beginning."""
+    long = "".join(chr(97 + i * i % 26) + str(i) for i in range(80_000))[:400_000]
+    for text, sizes in [("ab\ncé😀😀x yab\n", [1, 3, 8]), ("abc", [3, 8]), ("", [1]), (long, [8])]:
+        began = time.monotonic()
+        got = spark.createDataFrame([(text, sizes)], "t string, s array<int>").select(joins._grams(F.col("t"), F.col("s"))).first()[0]
+        assert len(got) == len(set(got)) and time.monotonic() - began < 30
+        assert {g for g in got if "?" not in g} == {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}
+
+
+def test_titles_without_a_partner(spark):
+    """Equal titles, nulls and empty ones, and projects that have no outline."""
+    titles = [("a", 1, "One Two"), ("a", 2, "x"), ("a", 3, None), ("a", 4, " "), ("b", 5, ""), ("b", 6, "One"), (None, 7, "One"), ("a", 8, "wo"), ("a", 9, "onetwo three four"), ("a", 10, "one two")]
+    outline = [("a", "ONE TWO"), ("a", None), ("a", "1. onetwo threefour."), (None, "One")]
+    got = joins.not_contained(spark.createDataFrame(titles, "project string, id int, title string"), spark.createDataFrame(outline, "project string, title string")).collect()
+    assert sorted(r.id for r in got) == [2, 3, 5, 6, 7]
