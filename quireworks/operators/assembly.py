@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import stored
+from ..storage import marked, stored
 from .scans import scan
 
 
@@ -62,11 +62,18 @@ def blocked(books: DataFrame) -> DataFrame:
 
 def inlined_fonts(styles: DataFrame, fonts: DataFrame) -> DataFrame:
     """styles: project, css; fonts: project, path, content (binary). Style sheets with their local fonts as data: project, css (null where one is missing), missing (the paths)."""
-    wanted = styles.select("project", F.explode(F.array_distinct(F.transform(T.font_urls(F.col("css")), lambda x: x["path"]))).alias("path"))
-    found = wanted.join(fonts.select("project", "path", F.regexp_replace(F.base64("content"), r"\s", "").alias("data")), ["project", "path"], "left")
-    per = found.groupBy("project").agg(F.map_from_entries(F.array_agg(F.when(F.col("data").isNotNull(), F.struct("path", "data")))).alias("data"), F.array_sort(F.array_agg(F.when(F.col("data").isNull(), F.col("path")))).alias("missing"))
-    rows = styles.join(per, "project", "left")
-    return rows.select("project", F.when(F.col("data").isNull(), F.col("css")).otherwise(T.with_fonts(F.col("css"), F.col("data"))).alias("css"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+    none = F.array().cast("array<string>")
+    styles = styles.select("project", "css", F.coalesce(F.array_distinct(F.transform(T.font_urls(F.col("css")), lambda x: x["path"])), none).alias("paths"))
+    # Fonts that no style sheet refers to are left out before the shuffle by a bitmap, and those that it lets through after.
+    key = F.xxhash64("project", "path")
+    asked = styles.select("project", F.explode("paths").alias("path")).select(key.alias("font_key"))
+    held = marked(fonts.where("content IS NOT NULL").select("project", "path", "content", key.alias("font_key")), "font_key", asked)[0]
+    held = held.groupBy("project").agg(F.array_agg(F.struct("path", "content")).alias("held"))
+    used = F.filter("held", lambda x: F.array_contains("paths", x["path"]))
+    data = F.map_from_entries(F.transform(used, lambda x: F.struct(x["path"], F.regexp_replace(F.base64(x["content"]), r"\s", ""))))
+    rows = styles.join(held, "project", "left").withColumn("data", F.coalesce(data, F.create_map().cast("map<string,string>")))
+    css = F.when(F.size("paths") == 0, F.col("css")).otherwise(T.with_fonts(F.col("css"), F.col("data")))
+    return rows.select("project", css.alias("css"), F.array_sort(F.array_except("paths", F.map_keys("data"))).alias("missing"))
 
 
 def resolved_paths(wanted: DataFrame, project_files: DataFrame, shared_files: DataFrame) -> DataFrame:
