@@ -350,12 +350,14 @@ def page_texts(items: DataFrame) -> DataFrame:
     """items: project, page, item_no, str, x, y, width, height, has_eol. Text of each page in the items' own order: a space after a gap on one line, a line feed where the line
     changes and after an end of line, which also forgets what came before it."""
     w = Window.partitionBy("project", "page").orderBy("item_no")
-    rows = items.withColumn("run", F.coalesce(F.sum(F.col("has_eol").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("filled", F.col("str") != "")
-    across = Window.partitionBy("project", "page", "run", "filled").orderBy("item_no")
-    end, y = F.lag(F.col("x") + F.col("width")).over(across), F.lag("y").over(across)
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.when(F.col("str") != "", F.struct("item_no", (F.col("x") + F.col("width")).alias("end"), "y"))
+    items = items.repartition("project", "page")  # before what the windows look at is put together, which would be shuffled with the rest
+    rows = items.withColumns({"before": F.last(filled, ignorenulls=True).over(ahead), "last_eol": F.max(F.when(F.col("has_eol"), F.col("item_no"))).over(ahead)})
+    rows = rows.withColumns({"filled": F.col("str") != "", "before": F.when(F.col("last_eol").isNull() | (F.col("last_eol") < F.col("before.item_no")), F.col("before"))})
+    end, y = F.col("before.end"), F.col("before.y")
     glue = F.when(end.isNull(), "").when(F.abs(y - F.col("y")) < 2, F.when(F.col("x") - end > F.col("height") * SPACE_GAP, " ").otherwise("")).otherwise("\n")
     rows = rows.withColumn("glue", glue)
     piece = F.concat(F.when(F.col("filled"), F.concat("glue", "str")).otherwise(""), F.when(F.col("has_eol"), "\n").otherwise(""))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", piece.alias("p")))), lambda x: x["p"]), "")
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("item_no", piece.alias("p"))))["p"], "")
     return rows.groupBy("project", "page").agg(text.alias("text"))

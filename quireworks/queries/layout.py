@@ -12,7 +12,8 @@ from .sql import NS, S, trim, words
 def items(spark, d):
     """All words on a grid, six to a line and five lines to a page with a footer number below; the words of some documents sink along the line."""
     docs = lift.table(spark, d, "documents").select(F.col("doc_id").alias("project"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    wrapped = lambda line: F.transform(F.sequence(F.lit(0), F.floor((F.size(F.split(line, " ")) - 1) / 6).cast("int")), lambda j: F.slice(F.split(line, " "), j * 6 + 1, F.lit(6)))
+    sixes = lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 6).cast("int")), lambda j: F.slice(ws, j * 6 + 1, F.lit(6)))
+    wrapped = lambda line: F.flatten(F.transform(F.array(F.split(line, " ")), sixes))  # noqa: E731  a line is split once
     rows = docs.select("project", F.posexplode(F.flatten(F.transform("lines", wrapped))).alias("r", "ws"))
     page, k = (F.floor(F.col("r") / 5) + 1).cast("int"), F.col("r") % 5
     item = lambda k, i, w: F.struct(k.cast("int").alias("k"), i.cast("int").alias("i"), w.alias("w"))

@@ -186,3 +186,43 @@ def test_titles_without_a_partner(spark):
     outline = [("a", "ONE TWO"), ("a", None), ("a", "1. onetwo threefour."), (None, "One")]
     got = joins.not_contained(spark.createDataFrame(titles, "project string, id int, title string"), spark.createDataFrame(outline, "project string, title string")).collect()
     assert sorted(r.id for r in got) == [2, 3, 5, 6, 7]
+
+
+def test_fonts_that_nobody_asks_for_stay_where_they_are(spark, monkeypatch):
+    kept, mark = [], assembly.marked
+    monkeypatch.setattr(assembly, "marked", lambda *a: kept.append(mark(*a)) or kept[0])
+    styles = spark.createDataFrame([("p", "url('a.ttf') url('b.ttf')"), ("q", "url('a.ttf')"), ("r", "url('b.ttf')")], "project string, css string")
+    rows = [(p, f, bytearray(f.encode())) for p in "pqr" for f in ("a.ttf", *(f"no{i}.ttf" for i in range(9)))] + [("p", "b.ttf", None), ("p", "no1.ttf", None), ("q", "no1.ttf", bytearray(b"again"))]
+    got = {r.project: r for r in assembly.inlined_fonts(styles, spark.createDataFrame(rows, "project string, path string, content binary")).collect()}
+    assert sorted((r.project, r.path) for r in kept[0][0].collect()) == [("p", "a.ttf"), ("q", "a.ttf")]
+    assert (got["p"].css, got["p"].missing, got["q"].css, got["q"].missing, got["r"].missing) == (None, ["b.ttf"], "url('data:font/ttf;base64,YS50dGY=')", [], ["b.ttf"])
+
+
+def test_page_texts_are_put_in_order_once(spark):
+    rows, want = [], {}
+    for page in range(3):
+        text, before = "", None
+        for i in range(40):
+            k = (i * 7 + page * 3) % 11
+            s, x, y, eol = ("" if k == 4 else None if k == 9 else f"w{i}"), float(i % 5 * 20), float(100 - i // 5 * 10 + k % 2), k in (4, 7)
+            rows.append(("p", page, i, s, x, y, 10.0, 10.0, None if k == 3 else eol))
+            if s:
+                text += ("" if before is None else "\n" if abs(before[1] - y) >= 2 else " " if x - before[0] > 10.0 * layout.SPACE_GAP else "") + s
+                before = (x + 10.0, y)
+            if eol:
+                text, before = text + "\n", None
+        want[page] = text
+    items = spark.createDataFrame(rows, "project string, page int, item_no int, str string, x double, y double, width double, height double, has_eol boolean").repartition(5)
+    texts = layout.page_texts(items)
+    assert {r.page: r.text for r in texts.collect()} == want
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_long_lines_become_items(spark, tmp_path):
+    """A line is split once: one of 60,000 words took minutes when each six of its words split it anew."""
+    from quireworks.queries import layout as layout_queries
+
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60_000)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.monotonic()
+    rows = layout_queries.items(spark, str(tmp_path)).where("str LIKE 'w%'").agg(F.count("str"), F.count_distinct("str")).first()
+    assert tuple(rows) == (60_000, 60_000) and time.monotonic() - began < 30
