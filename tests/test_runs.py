@@ -226,3 +226,11 @@ def test_long_lines_become_items(spark, tmp_path):
     began = time.monotonic()
     rows = layout_queries.items(spark, str(tmp_path)).where("str LIKE 'w%'").agg(F.count("str"), F.count_distinct("str")).first()
     assert tuple(rows) == (60_000, 60_000) and time.monotonic() - began < 30
+
+
+def test_assets_are_looked_up_in_one_aggregation(spark):
+    references = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b"), ("q", "a"), ("r", None), (None, "a")], "project string, path string")
+    existing = spark.createDataFrame([("p", "a"), ("q", "a"), ("q", "a"), ("r", None), ("s", "a")], "project string, path string")
+    found = gates.assets(references, existing)
+    assert {r.project: (r.status, r.evidence) for r in found.collect()} == {"p": ("fail", "1"), "q": ("pass", "0"), "r": ("fail", "1"), None: ("pass", "0")}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
