@@ -26,6 +26,7 @@ def book_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """books: project, title, subtitle, author, cover, disclaimer, disclaimer_required, n_bonuses, cta_title, cta_content, cta_link, punchline, points. chapters: project, pos, number, title, html.
     The sections in their order, each with its HTML or the reason it is left out: project, ordinal, nth, section, html, reason. The first chapter begins the body; the title marker goes into the book's first section. Books that blocked() names have none."""
     stopped = blocked(books).select("project")
+    chapters = chapters.withColumn("anchor", T.anchor(F.col("html")))  # before the shuffle, so the table of contents travels without the chapters
     books, chapters = books.join(stopped, "project", "left_anti"), chapters.join(stopped, "project", "left_anti")
     filled = lambda c: F.coalesce(T.trim(F.col(c)), F.lit("")) != ""
     e = lambda c: T.escaped(F.coalesce(F.col(c), F.lit("")))
@@ -47,7 +48,7 @@ def book_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", first).select("project", "ordinal", "nth", "section", F.when(F.col("ordinal") == F.col("first"), T.marked(F.col("html"), F.col("marker"))).otherwise(F.col("html")).alias("html"), "reason")
     body = chapters.withColumn("nth", F.row_number().over(w.partitionBy("project").orderBy("pos")) - 1)
     opened = F.when(F.col("nth") == 0, F.replace(F.col("html"), F.lit('<section class="chapter-open"'), F.lit('<section class="chapter-open body-start"'))).otherwise(F.col("html"))
-    entry = F.concat(F.lit('<li class="toc-entry"><a href="#'), T.anchor(F.col("html")), F.lit('">'), T.escaped(T.toc_label(F.col("number"), F.col("title"))), F.lit("</a></li>"))
+    entry = F.concat(F.lit('<li class="toc-entry"><a href="#'), F.col("anchor"), F.lit('">'), T.escaped(T.toc_label(F.col("number"), F.col("title"))), F.lit("</a></li>"))
     no_reason = F.lit(None).cast("string").alias("reason")
     toc = body.select("project", F.lit(4).alias("ordinal"), "nth", F.lit("toc").alias("section"), entry.alias("html"), no_reason)
     text = body.select("project", F.lit(5).alias("ordinal"), "nth", F.lit("chapter").alias("section"), opened.alias("html"), no_reason)

@@ -234,3 +234,12 @@ def test_assets_are_looked_up_in_one_aggregation(spark):
     found = gates.assets(references, existing)
     assert {r.project: (r.status, r.evidence) for r in found.collect()} == {"p": ("fail", "1"), "q": ("pass", "0"), "r": ("fail", "1"), None: ("pass", "0")}
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contents_travel_without_chapters(spark):
+    books = spark.createDataFrame([("b", "t", "", "a", None, "", False, 0, "", "", "", "", ["x"])], "project string, title string, subtitle string, author string, cover string, disclaimer string, disclaimer_required boolean, n_bonuses int, cta_title string, cta_content string, cta_link string, punchline string, points array<string>")
+    chapters = spark.createDataFrame([("b", 1, 1, "t", '<section class="chapter-open" id="c"></section>')], "project string, pos int, number int, title string, html string")
+    toc = assembly.book_parts(books, chapters).where("section = 'toc'")
+    assert [r.html for r in toc.collect()][0].startswith('<li class="toc-entry"><a href="#c">')
+    plan = toc._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("regexp_extract(html") > plan.rindex("Join LeftAnti")  # the anchor is found below the join, so before its shuffle
