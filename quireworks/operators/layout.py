@@ -14,36 +14,47 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..storage import stored
-from . import scans
+from ..storage import pressed, stored
+from . import packing, scans
 from .scans import plain_scan, scan
 
 SAME_LINE = 2.0
-#: Pages of a project that are numbered together.
-STRETCH = 64
+#: Pages of a project that are put in order and numbered together.
+STRETCH = 1024
 CELL_GAP, CELL_LEAST, SPACE_GAP = 1.3, 14.0, 0.15
 WRAP, LIST_WRAP = 2.46, 2.9
 
 
 def lines(items: DataFrame) -> DataFrame:
     """items: project, page, item_no, str, x, y, width, height. Lines: project, page, line, y, font_height, cells.
-    An item belongs to the open line if its y is within SAME_LINE of that line's first item; this needs the page's order, as the distance to the neighbour would let lines drift: sorted items pass by with the open line, one row of the result, as the only state. Items are shuffled once."""
-    columns = ["project", "page", "item_no", "str", "x", "y", "width", "height"]
-    rows = items.select(*columns)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"project {kinds['project']}, page {kinds['page']}, line int, y {kinds['y']}, font_height {kinds['height']}, cells array<string>"
+    An item belongs to the open line if its y is within SAME_LINE of that line's first item; this needs the page's order, as the distance to the neighbour would let lines drift. Items are shuffled once, packed, by stretches of pages; one stretch at a time is put in order."""
+    return packing.by_group(_dealt(items), ["project", "stretch"], lambda rows, group: _lines_of(rows, group)[0], _schema(items, "page", "line int"))
 
-    def put_together(batches):
-        held, number = None, 0  # the last line so far, which may go on, and its number
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).combine_chunks() if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-            found, starts, numbers = _laid_out(table, number)
-            yield from found.slice(0, len(starts) - 1).to_batches()
-            held, number = table.slice(int(starts[-1])), int(numbers[-1])
-        if held is not None:
-            yield from _laid_out(held.combine_chunks(), number)[0].to_batches()
 
-    return rows.repartition("project", "page").sortWithinPartitions("project", "page", F.col("y").desc_nulls_first(), "x", "item_no").mapInArrow(put_together, schema)
+def _stretch() -> Column:
+    return F.greatest(F.floor(F.col("page") / STRETCH), F.lit(0))
+
+
+def _dealt(items: DataFrame) -> DataFrame:
+    return items.select("project", _stretch().alias("stretch"), "page", "item_no", "str", "x", "y", "width", "height")
+
+
+def _schema(items: DataFrame, *more: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    columns = [x if " " in x else f"{x} {kinds[x]}" for x in ("project", *more)]
+    return ", ".join([*columns, f"y {kinds['y']}", f"font_height {kinds['height']}", "cells array<string>"])
+
+
+def _lines_of(items: pa.Table, group: np.ndarray) -> tuple[pa.Table, np.ndarray, pa.Array]:
+    """Items of whole pages, in any order, to lines, their groups and their stretches."""
+    number = lambda c: items[c].cast(pa.float64()).to_numpy()
+    low = lambda a: np.where(np.isnan(a), -np.inf, a)  # noqa: E731  nulls come first
+    page = items["page"].combine_chunks().fill_null(0).to_numpy()
+    there = items["page"].is_valid().to_numpy()
+    order = np.lexsort((items["item_no"].to_numpy(), low(number("x")), low(-number("y")), page, there, group))
+    items = items.take(pa.array(order)).combine_chunks()
+    found, starts, _ = _laid_out(items, 0)
+    return found, group[order][starts], items["stretch"].take(pa.array(starts))
 
 
 def _laid_out(items: pa.Table, number: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
@@ -91,14 +102,47 @@ def _laid_out(items: pa.Table, number: int) -> tuple[pa.Table, np.ndarray, np.nd
 def classified(rows: DataFrame) -> DataFrame:
     """Adds text, is_table_row, is_list_item, drops blank lines and each page's footer number, and numbers the lines of a project."""
     # Stretches of pages are dealt out, so a project of any size is spread; lines are shuffled and written once, without what follows from their cells.
-    rows = rows.select("project", "page", "line", "y", "font_height", "cells").withColumn("stretch", F.greatest(F.floor(F.col("page") / STRETCH), F.lit(0))).repartition("project", "stretch")
+    rows = rows.select("project", "page", "line", "y", "font_height", "cells").withColumn("stretch", _stretch()).repartition("project", "stretch")
     text = F.array_join("cells", " ")
     rows = rows.where(T.trim(text) != "")
     page, stretch = Window.partitionBy("project", "stretch", "page").orderBy("line"), Window.partitionBy("project", "stretch").orderBy("page", "line")
     rows = rows.withColumns({"is_last": F.lead("line").over(page).isNull(), "above": F.max("font_height").over(page.rowsBetween(Window.unboundedPreceding, -1))})
     footer = F.col("is_last") & T.has(T.trim(text), r"^[0-9]{1,4}\z") & F.coalesce(F.col("font_height") < F.col("above"), F.lit(False))
     rows = rows.where(~footer).withColumn("nth", F.row_number().over(stretch).cast("long") - 1).drop("is_last", "above", "line")
-    rows = stored(rows, "layout-lines")
+    return _counted(rows)
+
+
+def classified_items(items: DataFrame) -> DataFrame:
+    """classified(lines(items)), where the lines are never shuffled: footers go and lines are numbered where a stretch's items come together."""
+    return _counted(packing.by_group(_dealt(items), ["project", "stretch"], lambda rows, group: _without_footers(*_lines_of(rows, group)), _schema(items, "stretch bigint", "page", "nth bigint")))
+
+
+def _without_footers(rows: pa.Table, group: np.ndarray, stretch: pa.Array) -> pa.Table:
+    """_lines_of() without blank lines and footers, numbered in their stretch."""
+    text = pc.utf8_trim(pc.binary_join(rows["cells"], " "), characters=T.SPACES)
+    rows = rows.append_column("stretch", stretch).append_column("text", text).append_column("group", pa.array(group))
+    rows = rows.filter(pc.not_equal(text, "")).combine_chunks()
+    group = rows["group"].to_numpy()
+    if len(group):
+        page = rows["page"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        opens = np.append(0, np.flatnonzero((group[1:] != group[:-1]) | (page[1:] != page[:-1])) + 1)
+        last = np.append(opens[1:], len(group)) - 1
+        height = rows["font_height"].cast(pa.float64()).to_numpy()
+        before = height.copy()
+        before[last] = np.nan  # of the lines above the last, the highest
+        above = np.fmax.reduceat(before, opens)
+        footer = np.zeros(len(group), dtype=bool)
+        footer[last] = (height[last] < above) & pc.match_substring_regex(rows["text"].take(pa.array(last)), r"\A[0-9]{1,4}\z").to_numpy()
+        rows, group = rows.filter(pa.array(~footer)), group[~footer]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+    return rows.append_column("nth", pa.array(nth, pa.int64())).select(["project", "stretch", "page", "nth", "y", "font_height", "cells"])
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows: project, stretch, page, nth (in the stretch), y, font_height, cells. Stored; numbered in the project, with what follows from the cells."""
+    text = F.array_join("cells", " ")
+    rows = pressed(rows, "layout-lines")
     before = Window.partitionBy("project").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     ahead = rows.groupBy("project", "stretch").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     later = rows.where("stretch > 0").join(ahead.where("stretch > 0"), ["project", "stretch"])  # nothing is ahead of the others, which most lines are

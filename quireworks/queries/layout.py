@@ -157,7 +157,7 @@ def _blocks(spark, d):
 
 QUERIES = {
     "layout_lines": lambda s, d: _joined(layout.lines(items(s, d))),
-    "layout_classified": lambda s, d: _joined(layout.classified(layout.lines(items(s, d)))),
+    "layout_classified": lambda s, d: _joined(layout.classified_items(items(s, d))),
     "section_list": lambda s, d: layout.sections(text_lines(s, d)),
     "section_blocks": _blocks,
     "ingest_files": lambda s, d: layout.files(text_lines(s, d)),
