@@ -187,11 +187,12 @@ _Way = namedtuple("_Way", "scan kept")
 _WHOLE, _SEGMENTED = _Way(plain_scan, lambda df, name: df), _Way(scan, stored)
 
 
-def _parted(rows: DataFrame) -> list[tuple[DataFrame, _Way]]:
-    """Classified lines with h (their heading), stored, in two parts where need be: projects that fit into one segment of a scan, whose lines meet in one place by one shuffle, and larger ones, which go by segments."""
+def _parted(rows: DataFrame, at_hand: bool = False) -> list[tuple[DataFrame, _Way]]:
+    """Classified lines with h (their heading), stored unless they are at hand, in two parts where need be: projects that fit into one segment of a scan, whose lines meet in one place by one shuffle, and larger ones, which go by segments."""
     # Few lines begin like a heading: the others are spared its patterns.
     likely = ~F.col("is_table_row") & T.has(F.col("text"), rf"(?i)^{P.SPACE}*(introduction|conclusion|chapter|bonus)")
-    rows = stored(rows.withColumn("h", F.when(likely, heading(F.col("text")))), "layout-classified")
+    rows = rows.withColumns({"h": F.when(likely, heading(F.col("text"))), "cells": F.when(F.col("is_table_row"), F.col("cells"))})  # the cells of other lines are their text
+    rows = rows if at_hand else stored(rows, "layout-classified")
     large = stored(rows.groupBy("project").agg(F.max("line_no").alias("last")).where(F.col("last") >= scans.SEGMENT).select("project"), "layout-large")
     if large.isEmpty():
         return [(rows, _WHOLE)]
@@ -199,9 +200,9 @@ def _parted(rows: DataFrame) -> list[tuple[DataFrame, _Way]]:
     return [(rows.join(large, "project", "left_anti"), _WHOLE), (rows.join(large, "project", "left_semi"), _SEGMENTED)]
 
 
-def _over(rows: DataFrame, make: Callable[[DataFrame, _Way], DataFrame]) -> DataFrame:
+def _over(rows: DataFrame, make: Callable[[DataFrame, _Way], DataFrame], at_hand: bool = False) -> DataFrame:
     """make() of the numbered lines of each part."""
-    return reduce(DataFrame.unionByName, [make(_numbered(part, way), way) for part, way in _parted(rows)])
+    return reduce(DataFrame.unionByName, [make(_numbered(part, way), way) for part, way in _parted(rows, at_hand)])
 
 
 def _numbered(rows: DataFrame, way: _Way) -> DataFrame:
@@ -251,21 +252,32 @@ def sections(rows: DataFrame) -> DataFrame:
     return _over(rows, lambda lines_, way: _all_sections(lines_, way).where("NOT orphan").drop("orphan"))
 
 
+def _summary(over: Callable[[Column], Column]) -> list[Column]:
+    """What a section's lines tell of it; over() makes a window of an aggregate."""
+    is_role = lambda r: F.col("role") == r
+    titles = over(F.collect_list(F.when(is_role("title"), F.struct("line_no", T.trim(F.col("text")).alias("t")))))
+    title = F.array_join(F.transform(F.array_sort(titles), lambda x: x["t"]), " ")
+    last = over(F.max(F.when(is_role("body"), F.struct("line_no", "page"))))
+    return [over(F.max(F.when(is_role("head"), F.struct("h", "text", "page")))).alias("top"), title.alias("next_title"), over(F.count_if(is_role("body"))).alias("n_body"), last.alias("last")]
+
+
+def _described(summary: str = "") -> list[Column]:
+    """The fields of a section from _summary(), which may be the fields of a struct."""
+    top, next_title, n_body, last = (F.col(f"{summary}{c}") for c in ("top", "next_title", "n_body", "last"))
+    kind = top["h"]["kind"]
+    named = F.when(kind == "introduction", "Introduction").when(kind == "conclusion", "Conclusion").when(top["h"]["inline_title"] != "", top["h"]["inline_title"]).otherwise(next_title)
+    end = F.coalesce(last["page"], top["page"])
+    return [kind.alias("kind"), top["h"]["number"].alias("number"), named.alias("title"), (next_title != "").alias("from_next"), top["text"].alias("heading_text"), top["page"].alias("start_page"), end.alias("end_page"), n_body.alias("n_body")]
+
+
 def _all_sections(lines_: DataFrame, way: _Way) -> DataFrame:
     """lines_: _numbered(). sections() with `orphan` for those that it drops."""
-    is_role = lambda r: F.col("role") == r
-    title = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_role("title"), F.struct("line_no", T.trim(F.col("text")).alias("t"))))), lambda x: x["t"]), " ")
-    out = lines_.where("section > 0").groupBy("project", "section").agg(
-        F.max(F.when(is_role("head"), F.struct("h", "text", "page"))).alias("top"), title.alias("next_title"), F.count_if(is_role("body")).alias("n_body"), F.max(F.when(is_role("body"), F.struct("line_no", "page"))).alias("last")
-    )
-    kind = F.col("top.h.kind")
-    named = F.when(kind == "introduction", "Introduction").when(kind == "conclusion", "Conclusion").when(F.col("top.h.inline_title") != "", F.col("top.h.inline_title")).otherwise(F.col("next_title"))
-    end = F.coalesce("last.page", "top.page")
-    out = out.select("project", "section", kind.alias("kind"), F.col("top.h.number").alias("number"), named.alias("title"), (F.col("next_title") != "").alias("from_next"), F.col("top.text").alias("heading_text"), F.col("top.page").alias("start_page"), end.alias("end_page"), "n_body")
+    out = lines_.where("section > 0").groupBy("project", "section").agg(*_summary(lambda c: c))
+    out = out.select("project", "section", *_described())
     what = F.struct("kind", "title", "number")
     same = lambda following: F.coalesce((F.col("n_body") == 0) & following.eqNullSafe(what) & following.isNotNull(), F.lit(False))
     if way is _WHOLE:
-        return out.withColumn("following", F.lead(what).over(Window.partitionBy("project").orderBy("section"))).withColumn("orphan", same(F.col("following"))).drop("following")
+        return out.withColumn("orphan", same(F.lead(what).over(Window.partitionBy("project").orderBy("section"))))
     out = stored(out, "layout-sections")
     following = out.select(F.col("project").alias("of"), (F.col("section") - 1).alias("before"), what.alias("following"))
     return out.join(following, (F.col("project") == F.col("of")) & (F.col("section") == F.col("before")), "left").withColumn("orphan", same(F.col("following"))).drop("of", "before", "following")
@@ -296,25 +308,25 @@ def _body(lines_: DataFrame) -> DataFrame:
     return lines_.where("role = 'body'")
 
 
-def _all_blocks(rows: DataFrame, way: _Way, key: str = "section") -> DataFrame:
-    """rows: body lines with starts; read twice by segments. blocks() with `again` for paragraphs that it drops, and `leaked` for callouts that it repairs."""
+def _all_blocks(rows: DataFrame, way: _Way, key: str = "section", along: tuple[str, ...] = ()) -> DataFrame:
+    """rows: body lines with starts; read twice by segments. blocks() with `again` for paragraphs that it drops, and `leaked` for callouts that it repairs. along: columns that are the same in all lines of a section."""
     number = lambda c: F.col(c).cast("int")
     rows = way.scan(rows, ["project", key], "line_no", sums={"starts_before": number("starts"), "items_before": number("is_list_item")})
     rows = rows.withColumns({"block_no": F.col("starts_before") + number("starts") - 1, "item": F.col("items_before") + number("is_list_item")})
     # Lines to list items (a paragraph or a table is one), items to blocks: each in one group-by.
     inner = F.array_sort(F.collect_list(F.struct("line_no", T.trim(F.col("text")).alias("t"), "cells")))
-    rows = rows.groupBy("project", key, "block_no", "item").agg(inner.alias("ls"), F.min(F.struct("line_no", "is_table_row", "is_list_item")).alias("first"))
-    rows = rows.select("project", key, "block_no", F.struct("item", F.array_join(F.transform("ls", lambda x: x["t"]), " ").alias("t"), F.transform("ls", lambda x: x["cells"]).alias("cells")).alias("x"), "first")
-    rows = rows.groupBy("project", key, "block_no").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.min("first").alias("first"))
+    rows = rows.groupBy("project", key, *along, "block_no", "item").agg(inner.alias("ls"), F.min(F.struct("line_no", "is_table_row", "is_list_item")).alias("first"))
+    rows = rows.select("project", key, *along, "block_no", F.struct("item", F.array_join(F.transform("ls", lambda x: x["t"]), " ").alias("t"), F.transform("ls", lambda x: x["cells"]).alias("cells")).alias("x"), "first")
+    rows = rows.groupBy("project", key, *along, "block_no").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.min("first").alias("first"))
     kind = F.when(F.col("first.is_table_row"), "table").when(F.col("first.is_list_item"), "list").otherwise("paragraph")
     texts = F.transform("xs", lambda x: x["t"])
     raw = F.array_join(texts, " ")
     text = T.repaired_callout(raw)
-    rows = rows.select("project", key, "block_no", kind.alias("type"), text.alias("text"), texts.alias("items"), F.flatten(F.transform("xs", lambda x: x["cells"])).alias("rows"), (raw != text).alias("leaked"))
+    rows = rows.select("project", key, *along, "block_no", kind.alias("type"), text.alias("text"), texts.alias("items"), F.flatten(F.transform("xs", lambda x: x["cells"])).alias("rows"), (raw != text).alias("leaked"))
     run = T.bullets(F.col("text"))
     promoted = (F.col("type") == "paragraph") & F.startswith(T.trim(F.col("text")), F.lit("•")) & (F.size(run) >= 2)
     rows = rows.withColumns({"promoted": promoted, "run": run})
-    rows = rows.select("project", key, "block_no", F.when(F.col("promoted"), "list").otherwise(F.col("type")).alias("type"), "text", F.when(F.col("promoted"), F.col("run")).when(F.col("type") == "list", F.col("items")).alias("items"), F.when(F.col("type") == "table", F.col("rows")).alias("rows"), "leaked")
+    rows = rows.select("project", key, *along, "block_no", F.when(F.col("promoted"), "list").otherwise(F.col("type")).alias("type"), "text", F.when(F.col("promoted"), F.col("run")).when(F.col("type") == "list", F.col("items")).alias("items"), F.when(F.col("type") == "table", F.col("rows")).alias("rows"), "leaked")
     rows = way.scan(way.kept(rows, "layout-blocks"), ["project", key], "block_no", previous={"was_type": F.col("type"), "was_text": F.col("text")})
     again = (F.col("type") == "paragraph") & F.coalesce((F.col("was_type") == F.col("type")) & (F.col("was_text") == F.col("text")), F.lit(False))
     return rows.withColumn("again", again).drop("was_type", "was_text")
@@ -344,36 +356,66 @@ def _warnings(lines_: DataFrame, way: _Way) -> DataFrame:
     ])
 
 
-def files(rows: DataFrame) -> DataFrame:
+def files(rows: DataFrame, at_hand: bool = False) -> DataFrame:
     """Classified lines to Markdown files and inventory: project, entry_kind, pos, id, type, number, title, file, start_page, end_page, words, markdown.
-    A project without a heading gives one unclassified file of its whole text."""
-    return _over(rows, _files)
+    A project without a heading gives one unclassified file of its whole text. at_hand: rows are stored already, so reading them three times is cheap."""
+    return _over(rows, _files, at_hand)
 
 
-def _files(lines_: DataFrame, way: _Way) -> DataFrame:
-    lines_ = lines_ if way is _SEGMENTED else stored(lines_, "layout-numbered")  # read several times
-    found = _all_sections(lines_, way).where("NOT orphan").drop("orphan")
+def _body_md(blocks_: DataFrame, *along: str) -> DataFrame:
+    """_all_blocks() to the Markdown of sections. Section 0 is there for projects without a heading alone."""
+    md = F.when(F.col("type") == "paragraph", F.col("text")).when(F.col("type") == "list", F.when(F.col("section") > 0, T.list_markdown(F.col("items"))).otherwise(F.array_join("items", "\n"))).otherwise(T.table_markdown(F.col("rows")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", md.alias("md")))), lambda b: b["md"]), "\n\n")
+    return blocks_.where("NOT again").groupBy("project", "section", *along).agg(text.alias("body_md"))
 
-    def texts(some: DataFrame) -> DataFrame:
-        # Section 0 is there for projects without a heading alone.
-        md = F.when(F.col("type") == "paragraph", F.col("text")).when(F.col("type") == "list", F.when(F.col("section") > 0, T.list_markdown(F.col("items"))).otherwise(F.array_join("items", "\n"))).otherwise(T.table_markdown(F.col("rows")))
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", md.alias("md")))), lambda b: b["md"]), "\n\n")
-        return _kept(_all_blocks(_body(some), way)).groupBy("project", "section").agg(text.alias("body_md"))
 
-    out = found.drop("n_body").join(texts(lines_.where("section > 0")), ["project", "section"], "left")
+def _named(out: DataFrame) -> DataFrame:
+    """Sections with pos and body_md to files."""
     parts = F.array_compact(F.array(F.concat(F.lit("# "), "heading_text"), F.when(F.col("from_next"), F.concat(F.lit("## "), "title")), F.col("body_md")))
-    name = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("heading_text"))
     is_bonus = F.col("kind") == "bonus"
-    places = way.scan(found.select("project", "section", is_bonus.alias("is_bonus")), ["project", "is_bonus"], "section", sums={"pos": F.lit(1)}).select(F.col("project").alias("of"), F.col("section").alias("in"), F.col("pos").cast("int").alias("pos"))
-    out = out.join(places, (F.col("project") == F.col("of")) & (F.col("section") == F.col("in"))).withColumns({"markdown": F.concat(F.array_join(parts, "\n\n"), F.lit("\n")), "name": name})
+    out = out.withColumns({"markdown": F.concat(F.array_join(parts, "\n\n"), F.lit("\n")), "name": F.when(F.col("title") != "", F.col("title")).otherwise(F.col("heading_text"))})
     slug = F.when(T.slug(F.col("name")) != "", T.slug(F.col("name"))).otherwise(F.when(is_bonus, F.concat(F.lit("bonus-"), F.col("pos").cast("string"))).otherwise(F.col("kind")))
-    id_ = F.when(is_bonus, slug).otherwise(F.concat(T.padded(F.col("pos")), F.lit("-"), slug))
-    out = out.withColumn("id", id_)
-    out = out.select("project", F.when(is_bonus, "bonus").otherwise("chapter").alias("entry_kind"), "pos", "id", F.when(~is_bonus, F.col("kind")).alias("type"), "number", F.col("name").alias("title"), F.concat(F.when(is_bonus, "bonuses/raw/").otherwise("chapters/"), "id", F.lit(".md")).alias("file"), "start_page", "end_page", "markdown")
+    out = out.withColumn("id", F.when(is_bonus, slug).otherwise(F.concat(T.padded(F.col("pos")), F.lit("-"), slug)))
+    return out.select("project", F.when(is_bonus, "bonus").otherwise("chapter").alias("entry_kind"), "pos", "id", F.when(~is_bonus, F.col("kind")).alias("type"), "number", F.col("name").alias("title"), F.concat(F.when(is_bonus, "bonuses/raw/").otherwise("chapters/"), "id", F.lit(".md")).alias("file"), "start_page", "end_page", "markdown")
+
+
+def _unnamed(whole: DataFrame) -> DataFrame:
+    """project, pages, body_md of projects without a heading to files."""
+    return whole.select("project", F.lit("chapter").alias("entry_kind"), F.lit(0).alias("pos"), F.lit("00-full-text").alias("id"), F.lit("unclassified").alias("type"), F.lit(None).cast("int").alias("number"), F.lit("Full text").alias("title"), F.lit("chapters/00-full-text.md").alias("file"), F.lit(1).cast("int").alias("start_page"), F.col("pages").cast("int").alias("end_page"), F.concat("body_md", F.lit("\n")).alias("markdown"))
+
+
+def _files(lines_: DataFrame, way: _Way) -> DataFrame:
+    out, whole = (_sections_at_once if way is _WHOLE else _sections_by_segments)(lines_, way)
+    return _named(out).unionByName(_unnamed(whole)).withColumn("words", T.word_count(F.col("markdown")))
+
+
+def _sections_at_once(lines_: DataFrame, way: _Way) -> tuple[DataFrame, DataFrame]:
+    """Sections with pos and body_md, and body_md of projects without a heading. A project's lines lie in one place, where they become blocks and sections: text is shuffled once, and written once."""
+    here = Window.partitionBy("project", "section")
+    summary = ["top", "next_title", "n_body", "last", "pages"]
+    rows = lines_.where("section > 0 OR headings = 0").select("*", *_summary(lambda c: c.over(here)), F.max("page").over(here).alias("pages"))
+    bare = F.col("role").eqNullSafe("head") & (F.col("n_body") == 0)  # stands for a section without a body
+    rows = rows.where((F.col("role") == "body") | bare).withColumns({"starts": F.coalesce("starts", F.lit(True)), "about": F.struct(*summary)}).drop(*summary)
+    rows = _body_md(_all_blocks(rows, way, along=("about",)), "about")
+    rows = rows.select("project", "section", *_described("about."), F.col("about.pages").alias("pages"), F.when(F.col("about.n_body") > 0, F.col("body_md")).alias("body_md"))
+    what = F.struct("kind", "title", "number")
+    following = F.lead(F.when(F.col("section") > 0, what)).over(Window.partitionBy("project").orderBy("section"))
+    rows = rows.withColumn("orphan", F.coalesce((F.col("n_body") == 0) & following.eqNullSafe(what) & following.isNotNull(), F.lit(False))).where("NOT orphan")
+    rows = rows.withColumn("is_bonus", F.col("kind") == "bonus")
+    rows = way.scan(rows, ["project", "is_bonus"], "section", sums={"pos": F.lit(1)}).withColumn("pos", F.col("pos").cast("int"))
+    rows = stored(rows.drop("orphan", "n_body", "is_bonus"), "layout-numbered")
+    return rows.where("section > 0"), rows.where("section = 0")
+
+
+def _sections_by_segments(lines_: DataFrame, way: _Way) -> tuple[DataFrame, DataFrame]:
+    """_sections_at_once() of projects whose lines are spread."""
+    found = _all_sections(lines_, way).where("NOT orphan").drop("orphan")
+    texts = lambda some: _body_md(_all_blocks(_body(some), way))
+    out = found.drop("n_body").join(texts(lines_.where("section > 0")), ["project", "section"], "left")
+    places = way.scan(found.select("project", "section", (F.col("kind") == "bonus").alias("is_bonus")), ["project", "is_bonus"], "section", sums={"pos": F.lit(1)}).select(F.col("project").alias("of"), F.col("section").alias("in"), F.col("pos").cast("int").alias("pos"))
+    out = out.join(places, (F.col("project") == F.col("of")) & (F.col("section") == F.col("in")))
     pages = lines_.where("headings = 0").groupBy(F.col("project").alias("of")).agg(F.max("page").alias("pages"))
-    whole = texts(lines_.where("headings = 0")).join(pages, F.col("project") == F.col("of")).select("project", "pages", F.concat("body_md", F.lit("\n")).alias("markdown"))
-    rest = whole.select("project", F.lit("chapter").alias("entry_kind"), F.lit(0).alias("pos"), F.lit("00-full-text").alias("id"), F.lit("unclassified").alias("type"), F.lit(None).cast("int").alias("number"), F.lit("Full text").alias("title"), F.lit("chapters/00-full-text.md").alias("file"), F.lit(1).cast("int").alias("start_page"), F.col("pages").cast("int").alias("end_page"), "markdown")
-    return out.unionByName(rest).withColumn("words", T.word_count(F.col("markdown")))
+    return out, texts(lines_.where("headings = 0")).join(pages, F.col("project") == F.col("of")).select("project", "pages", "body_md")
 
 
 def inventory_problems(entries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..storage import stored
 
 def ingested(items: DataFrame) -> DataFrame:
     """items: project, page, item_no, str, x, y, width, height. Files with their inventory fields (layout.files)."""
-    return layout.files(layout.classified_items(items))
+    return layout.files(layout.classified_items(items), at_hand=True)
 
 
 def audited(files: DataFrame) -> DataFrame:

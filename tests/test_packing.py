@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quireworks import storage
 from quireworks.operators import layout, packing
+from quireworks.plans import audit
 from quireworks.queries import layout as queries
 
 from .oracle import SMALL
@@ -69,3 +70,14 @@ def test_pressed(spark):
     before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
     df = spark.range(1000).repartition(3, F.col("id"))
     assert storage.pressed(df, "pressed").count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_text_of_small_projects_is_stored_twice(spark, monkeypatch):
+    """From items to files: as lines and as sections; what is left reads these as they lie, and classified lines that are at hand aren't written again."""
+    names, store = [], layout.stored
+    monkeypatch.setattr(layout, "stored", lambda df, name: (names.append(name), store(df, name))[1])
+    rows = [(p, 1, i, t, 10.0, 700.0 - 20 * i, 50.0, 10.0) for p in ("a", "b") for i, t in enumerate(["Chapter 1: One", "words", "Introduction", "BONUS"] if p == "a" else ["words"])]
+    found = audit.ingested(spark.createDataFrame(rows, ITEMS))
+    assert names == ["layout-large", "layout-numbered"]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.project, r.entry_kind, r.id, r.markdown) for r in found.collect()) == [("a", "bonus", "bonus", "# BONUS\n"), ("a", "chapter", "00-one", "# Chapter 1: One\n\nwords\n"), ("a", "chapter", "01-introduction", "# Introduction\n"), ("b", "chapter", "00-full-text", "words\n")]
