@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quireworks.functions import text as T
 from quireworks.operators import assembly, gates, joins, layout
 from quireworks.plans import qc
+from quireworks.queries import runs
 from quireworks.sources import files, sinks
 
+from .oracle import SMALL, tables
+
 
 def measurements(spark):
     """A book of text alone: every gate that has something to look at passes."""
@@ -243,3 +248,19 @@ def test_contents_travel_without_chapters(spark):
     assert [r.html for r in toc.collect()][0].startswith('<li class="toc-entry"><a href="#c">')
     plan = toc._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("regexp_extract(html") > plan.rindex("Join LeftAnti")  # the anchor is found below the join, so before its shuffle
+
+
+def test_qc_run_looks_at_all_events(spark, tmp_path):
+    """Numbers that break in the one book of a user beyond the first 30 fail their project; every project whose books go on passes, and the statement says the same."""
+    folder = tmp_path / "some"
+    folder.mkdir()
+    for file in os.listdir(SMALL):
+        if file != "events.parquet":
+            (folder / file).symlink_to(f"{SMALL}/{file}")
+    con = duckdb.connect()
+    # Books of seven pages each, i to iv and 1 to 3, go on; that of user 75 has one page more, whose number skips two.
+    con.execute(f"COPY (SELECT e AS event_id, TIMESTAMP '2024-01-01' AS ts, u AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{{}}' AS props FROM range(0, 89) a(u), range(1, 8) b(e) UNION ALL SELECT 13, TIMESTAMP '2024-01-01', 75, 'view', 1.0, '{{}}') TO '{folder}/events.parquet'")
+    got = {r.project: r.status for r in runs.qc_run(spark, str(folder)).where("id = 'folio-continuity'").collect()}
+    assert got == {p: "fail" if p == 75 % 40 else "pass" for p in range(40)}
+    want = tables(str(folder)).execute(f"SELECT project, status FROM ({runs.ORACLES['qc_run']}) WHERE id = 'folio-continuity'").fetchall()
+    assert dict(want) == got
